@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docketry.llm import simhash
+from docketry.llm import bpe, common, packing, simhash, warc
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +24,40 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of the texts decoded from them."""
+    coded = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, decode=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, read back."""
+    files = warc.write(table(spark, sf_dir, "pages"), common.fresh(spark, "warc"))
+    return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op7_packing": op7_packing,
+    "op9_bpe": op9_bpe,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+               CASE WHEN strlen(html) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(html) >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
