@@ -154,7 +154,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 BLOCK_LEAST, BLOCK_MOST, BLOCKS = 256, 16384, 64
 
 
-def pair_blocks(df: DataFrame, key: str, spread: str, ready: Column | None = None, extra: list[Column] = (), least: int = BLOCK_LEAST) -> DataFrame:
+def pair_blocks(df: DataFrame, key: str, spread: str, ready: Column | None = None, extra: list[Column] = (), least: int = BLOCK_LEAST, most: int = BLOCK_MOST) -> DataFrame:
     """Rows of the keys that several rows share, dealt out as pairs of blocks.
 
     A group of n rows is cut by a hash of ``spread`` into blocks of bounded
@@ -166,7 +166,9 @@ def pair_blocks(df: DataFrame, key: str, spread: str, ready: Column | None = Non
     """
     stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *extra)
     stats = stats.where((F.col("_n") > 1) & (F.lit(True) if ready is None else ready)).select(F.col(key).alias("_key"), "_n")
-    block = F.least(F.greatest(F.lit(least), F.ceil(F.col("_n") / BLOCKS)), F.lit(BLOCK_MOST))
+    # As a table of its own, so that the join below may split the rows of one key.
+    stats = cut(stats, "groups")
+    block = F.least(F.greatest(F.lit(least), F.ceil(F.col("_n") / BLOCKS)), F.lit(most))
     rows = df.join(stats, F.col(key) == F.col("_key")).drop("_key")
     rows = rows.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
     rows = rows.withColumn("_own", F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int"))

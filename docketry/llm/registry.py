@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, common, packing, simhash, warc
+from docketry.llm import bpe, common, packing, runindex, simhash, warc
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without strings of 200 bytes that repeat."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runindex.remove(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents and of the texts decoded from them."""
     coded = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, decode=True)
@@ -44,6 +50,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op7_packing": op7_packing,
+    "op8_suffix_array": op8_suffix_array,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
