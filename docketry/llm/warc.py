@@ -48,7 +48,12 @@ def train(pages: DataFrame, payload_col: str = "html", id_col: str = "page_id")
 
     Empty where the sample is too small to train on.
     """
-    sample = pages.where(F.length(payload_col) > 0).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS)
+    filled = pages.where(F.length(payload_col) > 0).withColumn("_hash", F.xxhash64(id_col))
+    # The threshold comes from the ids alone; only rows below it bring their payloads.
+    top = filled.select("_hash").orderBy("_hash").limit(SAMPLE_ROWS).agg(F.max("_hash")).first()[0]
+    if top is None:
+        return b""
+    sample = filled.where(F.col("_hash") <= top).limit(SAMPLE_ROWS)
     texts = [row[0].encode() for row in sample.select(F.substring(payload_col, 1, SAMPLE_BYTES)).collect()]
     head = http_head(SAMPLE_BYTES)
     try:
