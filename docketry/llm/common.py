@@ -59,6 +59,18 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Largest table that is sent to every executor.
+SMALL_BYTES = 8 << 20
+
+
+def small(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """``df``, marked for broadcast if ``rows`` rows of ``width`` bytes are within the bound.
+
+    Beyond it the join shuffles both sides.
+    """
+    return F.broadcast(df) if rows * width <= SMALL_BYTES else df
+
+
 # ---------------------------------------------------------------- bytes and hashes
 
 #: Odd, so that it has an inverse modulo 2**64.
