@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, common, linededup, packing, runindex, simhash, warc
+from docketry.llm import bpe, common, linededup, lm, packing, runindex, simhash, warc
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the training part."""
+    return lm.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that go from each document, and what is left of it."""
     out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -55,6 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_lm": op4_lm,
     "op5_line_dedup": op5_line_dedup,
     "op7_packing": op7_packing,
     "op8_suffix_array": op8_suffix_array,
