@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, common, linededup, lm, packing, runindex, simhash, warc
+from docketry.llm import bpe, common, linededup, lm, ordinal, packing, runindex, simhash, warc
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and keep decision for all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ordinal.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,6 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_lm": op4_lm,
     "op5_line_dedup": op5_line_dedup,
