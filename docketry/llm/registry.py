@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, common, linededup, lm, ordinal, packing, runindex, simhash, warc
+from docketry.llm import bpe, common, linededup, lm, lshforest, ordinal, packing, pivots, runindex, simhash, warc
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings."""
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and keep decision for all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,6 +46,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest embeddings of every fiftieth."""
+    rows = table(spark, sf_dir, "embeddings")
+    return lshforest.search(rows, rows.where(lshforest.every("vec_id", 50)))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
@@ -65,10 +76,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_lm": op4_lm,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ann": op6_ann,
     "op7_packing": op7_packing,
     "op8_suffix_array": op8_suffix_array,
     "op9_bpe": op9_bpe,
