@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from docketry.plans import cases, evaluation, reports, retrieval, storage  # noqa: F401  they register their queries
+from docketry.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
     """Every registered query."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {}
+    return dict(ORACLES)
