@@ -59,6 +59,12 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def without(columns: list[str], added: list[str]) -> list[str]:
+    """The columns but those that added ones of the same name replace."""
+    names = {a.lower() for a in added}
+    return [c for c in columns if c.lower() not in names]
+
+
 #: Largest table that is sent to every executor.
 SMALL_BYTES = 8 << 20
 

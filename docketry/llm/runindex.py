@@ -40,11 +40,11 @@ from pyspark.sql import types as T
 from docketry.llm import common
 
 #: Bytes of a string that must not repeat, and bytes of its sample.
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 #: Window starts that are hashed at a time; bits that hold a place among them.
 PIECE, PLACE = 2 << 20, np.uint64((1 << 22) - 1)
-#: Contexts that a block may have; contexts that share an index.
-BLOCK, INDEXED = 3072, 5000
+#: Contexts that a block may have, at least and at most; contexts that share an index.
+BLOCK_LEAST, BLOCK, INDEXED = 1024, 3072, 5000
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -93,53 +93,50 @@ class RunIndex:
         """``data``: the strings end to end. Each gets an end mark that sorts before all bytes."""
         count = len(lengths)
         self.starts = np.cumsum(lengths + 1) - (lengths + 1)
-        n = len(data) + count
-        text = np.empty(n, dtype=np.int64)
-        marks = self.starts + lengths
-        is_mark = np.zeros(n, dtype=bool)
-        is_mark[marks] = True
-        text[is_mark] = np.arange(count)
-        text[~is_mark] = data.astype(np.int64) + count
-        self.text, self.is_mark = text, is_mark
-        order = self._sort(count)
+        self.n = n = len(data) + count
+        text = np.zeros(n, dtype=np.int16)
+        solid = np.ones(n, dtype=bool)
+        solid[self.starts + lengths] = False
+        text[solid] = data.astype(np.int16) + 1
+        self.text = text
+        order = self._sort()
         before = text[order - 1]
-        change = np.ones(n, dtype=bool)
-        change[1:] = before[1:] != before[:-1]
+        # A string's first symbol starts a run, as no match goes on across an end mark.
+        change = before == 0
+        change[0] = True
+        change[1:] |= before[1:] != before[:-1]
         #: First place of each run, its symbol, and text positions at its start and at the end of the run before.
         self.heads = np.flatnonzero(change)
         self.symbols = before[self.heads]
         self.first = order[self.heads]
         self.last_before = order[self.heads - 1]
-        self.n = n
 
-    def _sort(self, count: int) -> np.ndarray:
+    def _sort(self) -> np.ndarray:
         """Suffixes in order, by doubling; only those not yet told apart are sorted again."""
-        n = len(self.text)
-        bits = int(count + 256).bit_length()
-        per = 62 // bits
-        padded = np.concatenate([self.text, np.zeros(per, dtype=np.int64)])
-        key = np.zeros(n, dtype=np.int64)
-        for k in range(per):
+        n, bits, per = self.n, 9, 6
+        padded = np.concatenate([self.text, np.zeros(per, dtype=np.int16)]).astype(np.int64)
+        key = padded[:n]
+        for k in range(1, per):
             key = (key << bits) | padded[k : k + n]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         fresh = np.ones(n, dtype=bool)
         fresh[1:] = ranked[1:] != ranked[:-1]
         group = np.flatnonzero(fresh)
+        size = np.diff(np.append(group, n))
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.repeat(group, np.diff(np.append(group, n)))
-        size = np.repeat(np.diff(np.append(group, n)), np.diff(np.append(group, n)))
-        active = order[size > 1]
+        rank[order] = np.repeat(group, size)
+        active = order[np.repeat(size, size) > 1]
         reach = per
         while len(active):
             after = active + reach
-            key = (rank[active] << 32) | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-            by = np.argsort(key, kind="stable")
-            active, key = active[by], key[by]
             own = rank[active]
+            key = (own << 32) | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            by = np.argsort(key)
+            active, key, own = active[by], key[by], own[by]
+            at = np.arange(len(active))
             lead = np.ones(len(active), dtype=bool)
             lead[1:] = own[1:] != own[:-1]
-            at = np.arange(len(active))
             slot = own + at - np.maximum.accumulate(np.where(lead, at, 0))
             order[slot] = active
             lead[1:] = key[1:] != key[:-1]
@@ -156,15 +153,20 @@ class RunIndex:
         Together they cover every string of that length that starts twice.
         """
         left, right = self.first[1:], self.last_before[1:]
-        alive = np.ones(len(left), dtype=bool)
+        good = np.flatnonzero(np.maximum(left, right) + least <= self.n)
+        # Most pairs part early; a few far symbols tell.
+        for far in (least - 1, least // 2, least // 4, 3 * least // 4, 0):
+            good = good[self.text[left[good] + far] == self.text[right[good] + far]]
+        left, right = left[good], right[good]
         length = np.zeros(len(left), dtype=np.int64)
-        where = np.flatnonzero(alive)
-        step = 16
+        where = np.arange(len(left))
+        step = 64
         while len(where):
-            # Compare the next symbols of those that still agree.
+            # Compare the next symbols of those that still agree; an end mark ends a match.
             a = left[where, None] + length[where, None] + np.arange(step)
             b = right[where, None] + length[where, None] + np.arange(step)
-            same = (self.text[np.minimum(a, self.n - 1)] == self.text[np.minimum(b, self.n - 1)]) & (np.maximum(a, b) < self.n)
+            one = self.text[np.minimum(a, self.n - 1)]
+            same = (one == self.text[np.minimum(b, self.n - 1)]) & (one > 0) & (np.maximum(a, b) < self.n)
             run = np.where(same.all(axis=1), step, same.argmin(axis=1))
             length[where] += run
             where = where[run == step]
@@ -211,7 +213,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     holders = rows.join(wanted, _same("id", "_id") & (F.col("digest") == F.col("_digest"))).select("id", "digest", F.encode("text", "utf-8").alias("bytes"), F.explode("wanted").alias("w"))
     held = holders.select("w.key", "id", "digest", F.col("w.start").alias("start"), (F.col("w.n") == 1).alias("single"), F.substring("bytes", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("bytes"))
     held = common.cut(held, "held").withColumn("uid", F.xxhash64("id", "digest", "start"))
-    units = common.pair_blocks(held, "key", "uid", most=BLOCK)
+    units = common.pair_blocks(held, "key", "uid", least=BLOCK_LEAST, most=BLOCK)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in common.whole_groups(batches, ["key", "bi", "bj"], INDEXED):
@@ -236,8 +238,19 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """``docs`` without repeated strings, and n_bytes, n_removed, n_spans and the ``kept`` bytes.
 
     Of every string of ``length`` bytes that also starts anywhere else, all
-    bytes go, judged on the input.
+    bytes go, judged on the input. Columns of ``docs`` with the names of the
+    added ones are replaced.
     """
+    docs = docs.select(*common.without(docs.columns, ["n_bytes", "n_removed", "n_spans", "kept"]))
+    return _remove(docs, id_col, text_col, length, gram, True)
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with texts without repeated strings; a document of which nothing is left goes."""
+    return _remove(docs, id_col, text_col, length, gram, False)
+
+
+def _remove(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, figures: bool) -> DataFrame:
     found = repeats(docs, id_col, text_col, length, gram).select(F.col("id").alias("_run_id"), F.col("digest").alias("_run_digest"), F.col("spans").alias("_run_spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.withColumn("_run_own", F.xxhash64(text)).withColumn("_run_key", F.col(id_col).cast("long"))
@@ -267,7 +280,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 size.append(len(own))
             texts = [None if was is None else k.decode("utf-8", errors="ignore") for was, k in zip(batch.column(text_col).is_valid().to_pylist(), kept)]
             columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
+            if not figures:
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([not (r and r == z) for r, z in zip(removed, size)], pa.bool_()))
+                continue
             yield pa.RecordBatch.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     added = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
-    return joined.mapInArrow(strip, T.StructType([*docs.schema.fields, *added]))
+    return joined.mapInArrow(strip, T.StructType([*docs.schema.fields, *(added if figures else [])]))
