@@ -175,8 +175,12 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
 
 
 def grade(docs: DataFrame, model: Model, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """``docs`` with expected_grade, tail_probability (of the highest grade) and kept."""
+    """``docs`` with expected_grade, tail_probability (of the highest grade) and kept.
+
+    Columns of ``docs`` with these names are replaced.
+    """
     common.scratch(docs.sparkSession)
+    docs = docs.select(*common.without(docs.columns, ["expected_grade", "tail_probability", "kept"]))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,3 +206,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``docs`` graded by a model of the labelled ones among them."""
     model = train(docs, labels.select(id_col, rating().alias("grade")), GRADES, id_col, text_col)
     return grade(docs, model, text_col)
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
+    """Those of ``docs`` that the model of the labelled ones keeps, with their columns."""
+    model = train(docs, labels.select(id_col, rating().alias("grade")), GRADES, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.parts(batches, text_col):
+            row, feature = features(*common.utf8(batch.column(text_col)))
+            above = model.above(np.bincount(row, model.weights[feature], minlength=len(batch)))
+            yield batch.filter(pa.array(above[:, -1] >= keep_from))
+
+    return docs.mapInArrow(run, docs.schema)
