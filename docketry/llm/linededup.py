@@ -30,8 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.llm import common
 
@@ -142,16 +144,47 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return common.cut(gone.groupBy("id").agg(F.collect_list("line").alias("gone"), F.sum("near").alias("near")), "dropped-lines")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the lines that stay, and n_lines, n_removed (of them n_near near copies)."""
+def _apply(docs: DataFrame, id_col: str, text_col: str, least: int, figures: bool) -> DataFrame:
     gone = dropped(docs, id_col, text_col, least).select(F.col("id").alias("_ld_id"), F.col("gone").alias("_ld_gone"), F.col("near").alias("_ld_near"))
     size = gone.agg(F.count(F.lit(1)), F.sum(F.size("_ld_gone"))).first()
     joined = docs.join(common.small(gone, size[0] * 8 + (size[1] or 0), 4), F.col(id_col).cast("long") == F.col("_ld_id"), "left")
-    all_lines = F.split(F.col(text_col), "\n", -1)
-    joined = joined.withColumn("_ld_lines", F.coalesce(F.size(all_lines), F.lit(0)))
-    stays = F.array_except(F.sequence(F.lit(1), F.col("_ld_lines")), F.transform("_ld_gone", lambda x: x + 1))
-    left = F.array_join(F.transform(stays, lambda i: F.element_at(all_lines, i)), "\n")
-    text = F.when(F.col("_ld_gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(left)
-    kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    counts = [F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_ld_lines")).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.col("_ld_near"), F.lit(0)).cast("long").alias("n_near")]
-    return joined.select(*kept, *counts)
+    names = docs.columns
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.parts(batches, text_col):
+            text = batch.column(text_col)
+            lines = pc.fill_null(pc.add(pc.count_substring(text, "\n"), 1), 0).cast(pa.int64())
+            removed = np.zeros(len(batch), dtype=np.int64)
+            lost = np.zeros(len(batch), dtype=bool)
+            gone = batch.column("_ld_gone")
+            touched = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False) & text.is_valid().to_numpy(zero_copy_only=False))
+            if len(touched):
+                new = text.to_pylist()
+                for k, numbers in zip(touched.tolist(), gone.take(pa.array(touched)).to_pylist()):
+                    away = set(numbers)
+                    new[k] = "\n".join(line for n, line in enumerate(new[k].split("\n")) if n not in away)
+                    removed[k] = len(away)
+                    lost[k] = not new[k].encode().split()
+                text = pa.array(new, pa.string())
+            columns = [text if c == text_col else batch.column(c) for c in names]
+            if figures:
+                near = pc.fill_null(batch.column("_ld_near"), 0)
+                yield pa.RecordBatch.from_arrays([*columns, lines, pa.array(removed), near], [*names, "n_lines", "n_removed", "n_near"])
+            else:
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(~lost))
+
+    added = [T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed", "n_near")] if figures else []
+    return joined.select(*names, "_ld_gone", "_ld_near").mapInArrow(rebuild, T.StructType([*docs.schema.fields, *added]))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with the lines that stay, and n_lines, n_removed (of them n_near near copies).
+
+    Columns of ``docs`` with these names are replaced.
+    """
+    return _apply(docs.select(*common.without(docs.columns, ["n_lines", "n_removed", "n_near"])), id_col, text_col, least, True)
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with the lines that stay; a document that loses all its words goes."""
+    return _apply(docs, id_col, text_col, least, False)
