@@ -1 +1,188 @@
-"""Queries of this area."""
+"""Queries that score answers and classifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docketry.functions import rules
+from docketry.operators import evaluate
+from docketry.plans.registry import query
+from docketry.sources.tables import table
+
+PAIRS_SQL = "SELECT b.item_id AS pair_id, d.text AS response, b.text AS reference, 'What is the decision and ruling of case ' || d.lang || ' about facts that th' AS query, CAST(b.item_id % 20 AS DOUBLE) / 20 AS bert FROM benchmark b JOIN documents d ON d.doc_id = b.item_id"
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("response"), "lang")
+    refs = table(spark, folder, "benchmark").select(F.col("item_id").alias("pair_id"), F.col("text").alias("reference"))
+    asked = F.concat(F.lit("What is the decision and ruling of case "), F.col("lang"), F.lit(" about facts that th"))
+    return docs.join(refs, "pair_id").select("pair_id", "response", "reference", asked.alias("query"), ((F.col("pair_id") % 20).cast("double") / 20).alias("bert"))
+
+
+def _grams(n: int) -> str:
+    words = lambda c: f"list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    side = lambda c, out: f"{out} AS (SELECT pair_id, g, count(*) AS n FROM (SELECT pair_id, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {n} - 1), ' '))) AS g FROM (SELECT pair_id, {words(c)} AS w FROM pairs)) GROUP BY ALL)"
+    return f"""WITH pairs AS ({PAIRS_SQL}), {side('response', 'a')}, {side('reference', 'b')},
+    s AS (SELECT pair_id, CAST(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS DOUBLE) AS hit, CAST(coalesce(sum(a.n), 0) AS DOUBLE) AS own, CAST(coalesce(sum(b.n), 0) AS DOUBLE) AS theirs FROM a FULL JOIN b USING (pair_id, g) GROUP BY pair_id),
+    r AS (SELECT pair_id, CASE WHEN own > 0 THEN hit / own ELSE 0 END AS p, CASE WHEN theirs > 0 THEN hit / theirs ELSE 0 END AS r FROM s)
+    SELECT pair_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("pair_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(_grams(1))
+def rouge1(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlap in single words."""
+    return _rounded(evaluate.rouge_n(_pairs(spark, folder), 1))
+
+
+@query(_grams(2))
+def rouge2(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlap in pairs of words."""
+    return _rounded(evaluate.rouge_n(_pairs(spark, folder), 2))
+
+
+@query()
+def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlap in the longest common subsequence."""
+    return _rounded(evaluate.rouge_l(_pairs(spark, folder)))
+
+
+@query("""WITH p AS (SELECT b.item_id, d.doc_id, d.text, b.text AS reference FROM benchmark b JOIN documents d ON d.doc_id IN (b.item_id, b.item_id + 40)),
+    w AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split(regexp_replace(lower(reference), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) AS b FROM p),
+    s AS (SELECT item_id, doc_id, len(list_intersect(a, b)) * 1.0 / greatest(1, len(b)) AS share FROM w)
+    SELECT item_id, round(max(share), 6) AS best, arg_max(doc_id, share * 1000000 - doc_id * 0.000001) AS doc_id FROM s GROUP BY item_id""")
+def best_reference(spark: SparkSession, folder: str) -> DataFrame:
+    """The better of two answers for each reference; the first one wins a tie."""
+    refs = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("reference"), F.explode(F.array(F.col("item_id"), F.col("item_id") + 40)).alias("doc_id"))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
+    both = refs.join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    share = F.size(F.array_intersect(words("text"), words("reference"))) / F.greatest(F.lit(1), F.size(words("reference")))
+    scored = both.select("item_id", "doc_id", share.alias("share"))
+    return scored.groupBy("item_id").agg(F.round(F.max("share"), 6).alias("best"), F.max_by("doc_id", F.struct("share", -F.col("doc_id"))).alias("doc_id"))
+
+
+def _section_sql(c: str, name: str) -> str:
+    words, patterns = rules.DIGEST_WORDS[name].split("|"), rules.DIGEST_PATTERNS[name]
+    listed = ", ".join(f"'{w}'" for w in words)
+    found = " + ".join(f"CAST(regexp_matches(lower({c}), '{p}') AS INTEGER)" for p in patterns)
+    return f"(0.7::DOUBLE * len(list_filter([{listed}], lambda w: contains(lower({c}), w))) / {float(len(words))} + 0.3::DOUBLE * ({found}) / {float(len(patterns))})"
+
+
+@query(f"WITH pairs AS ({PAIRS_SQL}) SELECT pair_id, " + ", ".join(f"round({_section_sql('query || response', n)}, 4) AS {n}" for n in rules.DIGEST_WORDS) + " FROM pairs")
+def section_identification(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the sections of a digest."""
+    scores = evaluate.section_scores(F.concat("query", "response"))
+    return _pairs(spark, folder).select("pair_id", scores.alias("s")).select("pair_id", *(F.round(F.element_at("s", n), 4).alias(n) for n in rules.DIGEST_WORDS))
+
+
+def _flags(c: str) -> str:
+    return ", ".join(f"CASE WHEN {_section_sql(c, n)} > 0.3 THEN '{n}' END" for n in ("facts", "ruling"))
+
+
+@query(f"""WITH pairs AS ({PAIRS_SQL}), f AS (SELECT pair_id, list_filter([{_flags("query || ' background respondent accused held ordered wherefore decreed'")}], lambda x: x IS NOT NULL) AS a, list_filter([{_flags("reference || ' held ordered wherefore decision'")}], lambda x: x IS NOT NULL) AS b FROM pairs),
+    s AS (SELECT pair_id, len(a) AS own, len(b) AS theirs, len(list_intersect(a, b)) AS hit FROM f),
+    r AS (SELECT *, CASE WHEN own > 0 THEN hit / CAST(own AS DOUBLE) ELSE 0 END AS p, CASE WHEN theirs > 0 THEN hit / CAST(theirs AS DOUBLE) ELSE 0 END AS r FROM s)
+    SELECT pair_id, round((2 - (own - hit) - (theirs - hit)) / 2.0::DOUBLE, 4) AS accuracy, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, CAST(theirs - hit AS INTEGER) AS n_missing, CAST(own - hit AS INTEGER) AS n_extra FROM r""")
+def section_f1(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of an answer against those of its reference, where the question asks for them."""
+    ours = F.concat("query", F.lit(" background respondent accused held ordered wherefore decreed"))
+    theirs = F.concat("reference", F.lit(" held ordered wherefore decision"))
+    told = evaluate.compare_sections(ours, theirs, evaluate.expected_sections(F.col("query")))
+    return _pairs(spark, folder).select("pair_id", told.alias("s")).select("pair_id", "s.accuracy", "s.precision", "s.recall", "s.f1", F.size("s.missing").alias("n_missing"), F.size("s.extra").alias("n_extra"))
+
+
+@query("""SELECT q AS query_id, CASE q WHEN 0 THEN 'facts' WHEN 1 THEN 'ruling' WHEN 2 THEN 'facts|issues|ruling' WHEN 3 THEN 'facts|issues' ELSE 'facts|issues|ruling' END AS expected FROM range(5) t(q)""")
+def expected_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections that questions ask for."""
+    asked = spark.createDataFrame([(0, "the facts please"), (1, "what was held"), (2, "a digest of it"), (3, "facts and issues"), (4, "tell me all")], "query_id long, query string")
+    return asked.select("query_id", F.array_join(evaluate.expected_sections(F.col("query")), "|").alias("expected"))
+
+
+_WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) > {1}))"
+
+
+@query(f"""WITH pairs AS ({PAIRS_SQL}), w AS (SELECT pair_id, lower(response) AS low, {_WORDS.format('query', 3)} AS q, {_WORDS.format('response', 0)} AS r FROM pairs),
+    rel AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in rules.RELATED.items())}) AS t(word, related)),
+    b AS (SELECT pair_id, 0.5::DOUBLE * count(*) AS bonus FROM w JOIN rel ON list_contains(q, word) AND len(list_filter(string_split(related, '|'), lambda s: contains(low, s))) > 0 GROUP BY pair_id)
+    SELECT pair_id, round(least(1.0, len(list_intersect(q, r)) / CAST(len(q) AS DOUBLE) + least(coalesce(bonus, 0) / len(q), 0.3)), 6) AS relevance FROM w LEFT JOIN b USING (pair_id)""")
+def query_relevance(spark: SparkSession, folder: str) -> DataFrame:
+    """How far answers take up the words of their question."""
+    return _pairs(spark, folder).select("pair_id", F.round(evaluate.query_relevance(F.col("query"), F.col("response")), 6).alias("relevance"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS.split("|")) + "]"
+
+
+@query(f"""WITH pairs AS ({PAIRS_SQL}), w AS (SELECT pair_id, list_filter({_WORDS.format('query', 0)}, lambda x: NOT list_contains({_STOP}, x)) AS q, {_WORDS.format('response', 0)} AS r, {_WORDS.format('reference', 0)} AS c FROM pairs),
+    s AS (SELECT pair_id, list_intersect(q, c) AS s, r FROM w) SELECT pair_id, CAST(len(s) AS INTEGER) AS n_shared, round(CASE WHEN len(s) > 0 THEN len(list_intersect(s, r)) / CAST(len(s) AS DOUBLE) ELSE 0 END, 6) AS overlap FROM s""")
+def context_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of a question that its context has, and how many of those the answer has."""
+    stop = F.split(F.lit(rules.STOP_WORDS), r"\|")
+    words = lambda c: F.array_except(F.array_distinct(evaluate.ascii_tokens(F.col(c), 1)), stop)
+    shared = _pairs(spark, folder).select("pair_id", F.array_intersect(words("query"), words("reference")).alias("s"), words("response").alias("r"))
+    return shared.select("pair_id", F.size("s").alias("n_shared"), F.round(F.coalesce(F.try_divide(F.size(F.array_intersect("s", "r")), F.size("s")), F.lit(0.0)), 6).alias("overlap"))
+
+
+@query("""SELECT doc_id, bert < 0.85 OR rouge < 0.45 AS detected, round(bert * 0.7 + rouge * 0.3, 4) AS consistency,
+    round(CASE WHEN bert < 0.85 OR rouge < 0.45 THEN greatest(0.0, 1 - (greatest(0.0, (0.85 - bert) / 0.85) * 0.7 + greatest(0.0, (0.45 - rouge) / 0.45) * 0.3)) ELSE least(1.0, (bert - 0.85) / (1 - 0.85)) * 0.7 + least(1.0, (rouge - 0.45) / (1 - 0.45)) * 0.3 END, 4) AS confidence
+    FROM (SELECT doc_id, CAST(doc_id % 101 AS DOUBLE) / 100 AS bert, CAST(doc_id % 37 AS DOUBLE) / 36 AS rouge FROM documents)""")
+def hallucination_flag(spark: SparkSession, folder: str) -> DataFrame:
+    """Which answers depart from their reference."""
+    scored = table(spark, folder, "documents").select("doc_id", ((F.col("doc_id") % 101).cast("double") / 100).alias("bert"), ((F.col("doc_id") % 37).cast("double") / 36).alias("rouge"))
+    return scored.select("doc_id", evaluate.hallucination(F.col("bert"), F.col("rouge")).alias("h")).select("doc_id", "h.detected", "h.consistency", "h.confidence")
+
+
+QUALITY_SQL = """WITH s AS (SELECT doc_id, CAST(doc_id % 101 AS DOUBLE) / 100 AS bert, CAST(doc_id % 37 AS DOUBLE) / 36 AS r1, CAST(doc_id % 29 AS DOUBLE) / 28 AS r2, CAST(doc_id % 31 AS DOUBLE) / 30 AS rl, CAST(doc_id % 5 AS DOUBLE) / 4 AS dg, CAST(doc_id % 11 AS DOUBLE) / 10 AS rel FROM documents),
+    m AS (SELECT doc_id, bert, r1, r2, rl, dg, ((bert * 0.6 + r1 * 0.2 + r2 * 0.1 + rl * 0.1) * 0.6 + dg * 0.2 + rel * 0.2) * 1.65 AS raised FROM s),
+    q AS (SELECT *, least(1.0, greatest(0.0, CASE WHEN raised < 0.4 THEN raised * 1.15 ELSE raised END)) AS quality FROM m)"""
+
+
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    part = lambda n: (F.col("doc_id") % n).cast("double") / (n - 1)
+    return table(spark, folder, "documents").select("doc_id", part(101).alias("bert"), part(37).alias("r1"), part(29).alias("r2"), part(31).alias("rl"), part(5).alias("dg"), part(11).alias("rel"))
+
+
+@query(QUALITY_SQL + " SELECT doc_id, round(quality, 6) AS quality, CASE WHEN quality >= 0.8 THEN 'HIGH' WHEN quality >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level, quality >= 0.65 AS met, CAST((bert < 0.4)::INT + (r1 < 0.4)::INT + (dg < 0.5)::INT AS INTEGER) AS n_issues FROM q")
+def composite_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of answers, its level and the issues behind it."""
+    q = _scored(spark, folder).withColumn("quality", evaluate.composite_quality(*(F.col(c) for c in ("bert", "r1", "r2", "rl", "dg", "rel"))))
+    issues = (F.col("bert") < 0.4).cast("int") + (F.col("r1") < 0.4).cast("int") + (F.col("dg") < 0.5).cast("int")
+    return q.select("doc_id", F.round("quality", 6).alias("quality"), evaluate.accuracy_level(F.col("quality")).alias("level"), (F.col("quality") >= 0.65).alias("met"), issues.alias("n_issues"))
+
+
+@query(QUALITY_SQL + " SELECT doc_id, round(bert * 0.7 + (r1 + r2 + rl) / 3 * 0.15 + dg * 0.15, 4) AS overall FROM q")
+def overall_relevance(spark: SparkSession, folder: str) -> DataFrame:
+    """Content relevance of answers."""
+    return _scored(spark, folder).select("doc_id", F.round(evaluate.overall_relevance(*(F.col(c) for c in ("bert", "r1", "r2", "rl", "dg"))), 4).alias("overall"))
+
+
+LABEL_SQL = "SELECT doc_id AS example, 'quality' AS label, quality AS truth, CAST(length(text) > 800 AS INTEGER) AS guess FROM labels JOIN documents USING (doc_id) UNION ALL SELECT doc_id, 'toxic', toxic, CAST(contains(text, 'idiot') OR contains(text, 'clown') AS INTEGER) FROM labels JOIN documents USING (doc_id)"
+
+
+@query(f"""WITH p AS ({LABEL_SQL}), c AS (SELECT label, sum(truth * guess)::DOUBLE AS tp, sum((1 - truth) * guess)::DOUBLE AS fp, sum(truth * (1 - guess))::DOUBLE AS fn, sum((1 - truth) * (1 - guess))::DOUBLE AS tn FROM p GROUP BY label),
+    m AS (SELECT *, tp + fn AS support, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM c),
+    f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM m),
+    e AS (SELECT avg(same) AS accuracy FROM (SELECT example, min(CAST(truth = guess AS INTEGER)) AS same FROM p GROUP BY example))
+    SELECT round(sum(p * support) / sum(support), 6) AS precision, round(sum(r * support) / sum(support), 6) AS recall, round(sum(f * support) / sum(support), 6) AS f1, round(sum(tn) / (sum(tn) + sum(fp)), 6) AS specificity, round(any_value(accuracy), 6) AS accuracy FROM f, e""")
+def multilabel_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of a rule classifier over two labels."""
+    both = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    rude = F.contains("text", F.lit("idiot")) | F.contains("text", F.lit("clown"))
+    rows = both.select(F.col("doc_id").alias("example"), F.explode(F.array(F.struct(F.lit("quality").alias("label"), F.col("quality").alias("truth"), (F.length("text") > 800).cast("int").alias("guess")), F.struct(F.lit("toxic").alias("label"), F.col("toxic").alias("truth"), rude.cast("int").alias("guess")))).alias("r"))
+    out = evaluate.multilabel(rows.select("example", "r.*"))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "specificity", "accuracy")))
+
+
+@query("""WITH l AS (SELECT vec_id, label, 1 / (1 + exp(-CAST(embedding[1] AS DOUBLE) * 10)) AS p, CASE WHEN label < 4 THEN 'area' WHEN label < 8 THEN 'form' ELSE 'other' END AS category FROM embeddings),
+    r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(p, 9) DESC, vec_id) AS n FROM l WHERE p > 0.1) SELECT category, vec_id, label, round(p, 6) AS p FROM r WHERE n <= 5""")
+def label_organise(spark: SparkSession, folder: str) -> DataFrame:
+    """Five best labels of every category by the probability that a logit gives; labels map to categories."""
+    taxonomy = spark.createDataFrame([(k, "area" if k < 4 else "form" if k < 8 else "other") for k in range(10)], "label int, category string")
+    p = 1 / (1 + F.exp(-F.element_at("embedding", 1).cast("double") * 10))
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", p.alias("p")).where("p > 0.1").join(F.broadcast(taxonomy), "label")
+    best = rows.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy(F.desc(F.round("p", 9)), "vec_id")))
+    return best.where("n <= 5").select("category", "vec_id", "label", F.round("p", 6).alias("p"))

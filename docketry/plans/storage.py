@@ -1 +1,165 @@
-"""Queries of this area."""
+"""Queries of sources and sinks, pages, display and the glossary."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docketry.functions import display, text
+from docketry.operators import glossary
+from docketry.plans.registry import query
+from docketry.sources import pages, records
+from docketry.sources.tables import table
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title FROM pages")
+def page_title(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles of pages."""
+    return table(spark, folder, "pages").select("page_id", pages.title(F.col("html")).alias("title"))
+
+
+@query("""WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM pages)
+    SELECT page_id, CAST(count(*) AS BIGINT) AS n_links, min(CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN host || href ELSE host || '/' || href END) AS first_url FROM l GROUP BY page_id""")
+def page_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of pages, made absolute."""
+    found = table(spark, folder, "pages").select("page_id", "url", F.explode(pages.links(F.col("html"))).alias("href"))
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.min(pages.absolute(F.col("href"), F.col("url"))).alias("first_url"))
+
+
+@query("SELECT page_id, length(html) >= 1000 AND NOT (contains(html, 'Supreme Court E-Library') AND length(html) < 2000) AS worth FROM pages")
+def page_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Which pages are worth parsing."""
+    return table(spark, folder, "pages").select("page_id", pages.worth_parsing(F.col("html")).alias("worth"))
+
+
+@query("SELECT host, page_id FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, page_id, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1) ORDER BY page_id) AS n FROM pages) WHERE n = 1")
+def dedupe_first_url(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each host the first page."""
+    rows = table(spark, folder, "pages").select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("url"), "page_id")
+    return pages.first_by_url(rows, F.asc("page_id")).select(F.col("url").alias("host"), "page_id")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def resume_anti_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are not stored yet."""
+    return records.keep_new(table(spark, folder, "documents").select("doc_id"), table(spark, folder, "labels"), "doc_id")
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def upsert_last_wins(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches of events by user; of each the latest stays."""
+    events = table(spark, folder, "events").select("user_id", "event_id", "value")
+    return records.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), "user_id", "event_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id || '42'), doc_id LIMIT 100")
+def sample_deterministic(spark: SparkSession, folder: str) -> DataFrame:
+    """A hundred documents, the same in every run."""
+    return table(spark, folder, "documents").orderBy(F.md5(F.encode(F.concat(F.col("doc_id").cast("string"), F.lit("42")), "utf-8")), "doc_id").limit(100).select("doc_id")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_properties(spark: SparkSession, folder: str) -> DataFrame:
+    """Properties of events."""
+    return table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT item_id, CAST(item_id + 1 AS BIGINT) AS place FROM benchmark WHERE item_id + 1 BETWEEN 5 AND 20")
+def query_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """Test questions from the fifth to the twentieth, both included."""
+    rows = table(spark, folder, "benchmark").withColumn("place", F.col("item_id") + 1)
+    return rows.where(F.col("place").between(5, 20)).select("item_id", "place")
+
+
+@query(r"""SELECT page_id, 10.0::DOUBLE + CASE WHEN regexp_matches(lower(url), 'elibrary\.judiciary\.gov\.ph|sc\.judiciary\.gov\.ph|lawphil\.net') THEN 20.0 ELSE 0.0 END + CASE WHEN contains(lower(url), '.gov.ph') THEN 15.0 ELSE 0.0 END
+    + CASE WHEN regexp_matches(lower(html), 'supreme court|decision|ruling|case') THEN 10.0 ELSE 0.0 END AS score FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://lawphil.net/x' WHEN 1 THEN 'https://www.sc.gov.ph/y' ELSE url END AS url, html FROM pages)""")
+def web_relevance(spark: SparkSession, folder: str) -> DataFrame:
+    """Relevance of web results."""
+    url = F.when(F.col("page_id") % 3 == 0, "https://lawphil.net/x").when(F.col("page_id") % 3 == 1, "https://www.sc.gov.ph/y").otherwise(F.col("url"))
+    return table(spark, folder, "pages").select("page_id", display.web_relevance(url, F.col("html")).alias("score"))
+
+
+@query("SELECT page_id, CASE WHEN host = 'lawphil.net' THEN 'LawPhil' ELSE host END AS site FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'lawphil.net' ELSE replace(regexp_extract(url, '^https?://([^/?#]+)', 1), 'www.', '') END AS host FROM pages)")
+def source_domain(spark: SparkSession, folder: str) -> DataFrame:
+    """Sites of web results by name."""
+    url = F.when(F.col("page_id") % 3 == 0, "https://www.lawphil.net/x").otherwise(F.col("url"))
+    return table(spark, folder, "pages").select("page_id", display.site(url).alias("site"))
+
+
+@query(r"SELECT page_id, md5(trim(replace(replace(regexp_replace(html, '\s+', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'))) AS digest FROM pages")
+def snippet_cleaning(spark: SparkSession, folder: str) -> DataFrame:
+    """Snippets in one line."""
+    return table(spark, folder, "pages").select("page_id", F.md5(F.encode(display.plain_snippet(F.col("html")), "utf-8")).alias("digest"))
+
+
+@query(r"""SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace('[INST] Based on my knowledge, ' || text || ' However, please note that x', '\[/?(INST|SYS|USER|ASSISTANT)\]', '', 'g'), '(?is)\s+However,? please note that.*$', ''), ' ' || chr(10))) AS digest FROM conversations WHERE NOT contains(text, chr(10) || chr(10))""")
+def clean_response(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers without instruction marks and disclaimers."""
+    raw = F.concat(F.lit("[INST] Based on my knowledge, "), F.col("text"), F.lit(" However, please note that x"))
+    rows = table(spark, folder, "conversations").where(~F.contains("text", F.lit("\n\n")))
+    return rows.select("conv_id", "turn", F.md5(F.encode(display.clean_response(raw), "utf-8")).alias("digest"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split('**Title**' || chr(10) || '- item' || chr(10) || '**[G.R. No. 1](gr:1)**' || chr(10) || text, chr(10))) AS line FROM documents)
+    SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^\*\*[^*]+\*\*:?$|^#{1,3} ') AND NOT regexp_matches(line, '\]\(gr:') THEN 'heading' WHEN regexp_matches(trim(line), '^[-*•] ') THEN 'bullet' WHEN regexp_matches(line, '\*\*\[[^\]]+\]\((gr|am|https?):[^)]+\)\*\*') THEN 'link' ELSE 'paragraph' END AS kind, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY ALL""")
+def richtext_line_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of lines of answers."""
+    full = F.concat(F.lit("**Title**\n- item\n**[G.R. No. 1](gr:1)**\n"), F.col("text"))
+    lines = table(spark, folder, "documents").select(F.explode(F.split(full, "\n")).alias("line"))
+    return lines.groupBy(display.line_kind(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(glossary.SEED, "term string, aliases array<string>, definition string, importance int")
+
+
+_NAMES = "(VALUES " + ", ".join(f"('{t}', '{n.lower()}', {99 if n == t else 100}, {i})" for t, a, _, i in glossary.SEED for n in [t, *a]) + ") AS g(term, name, exact, importance)"
+_ASKED = ["what is amparo", "swindling", "Habeas Corpus", "rule 65", "unknown thing"]
+
+
+@query(f"""WITH q AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{q.lower()}')" for k, q in enumerate(_ASKED))}) AS t(query_id, q)),
+    s AS (SELECT query_id, term, CASE WHEN q = name THEN exact WHEN contains(q, name) OR contains(name, q) THEN 82.0 + (importance - 3) * 2 END AS score, max(CASE WHEN q = name THEN exact END) OVER (PARTITION BY query_id) AS best FROM q, {_NAMES}),
+    m AS (SELECT query_id, term, max(score) AS score FROM s WHERE score IS NOT NULL AND (best IS NULL OR score = best) GROUP BY ALL)
+    SELECT CAST(query_id AS BIGINT) AS query_id, term, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS INTEGER) AS rank FROM m""")
+def glossary_exact_substring(spark: SparkSession, folder: str) -> DataFrame:
+    """Glossary terms by name and by part of a name."""
+    asked = spark.createDataFrame(list(enumerate(_ASKED)), "query_id long, query string")
+    return glossary.search(_terms(spark), asked, fuzzy=False)
+
+
+@query()
+def glossary_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
+    """Glossary terms by likeness as well."""
+    asked = spark.createDataFrame([(0, "ampparo"), (1, "certiorary"), (2, "quo waranto")], "query_id long, query string")
+    return glossary.search(_terms(spark), asked)
+
+
+@query("SELECT conv_id, turn, role IN ('system', 'user', 'assistant') AND trim(text) <> '' AS valid, CASE WHEN turn % 2 = 0 THEN 'full' ELSE 'simplified' END AS template FROM conversations")
+def request_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Which messages are valid, and the template that applies."""
+    valid = F.col("role").isin("system", "user", "assistant") & (F.trim("text") != "")
+    return table(spark, folder, "conversations").select("conv_id", "turn", valid.alias("valid"), F.coalesce(F.when(F.col("turn") % 2 == 1, "simplified"), F.lit("full")).alias("template"))
+
+
+@query("SELECT CAST(q AS BIGINT) AS query_id, CASE q WHEN 0 THEN 'FACTS' WHEN 1 THEN 'RULING' WHEN 2 THEN 'FACTS|ISSUES|RULING' ELSE 'ISSUES' END AS sections FROM range(4) t(q)")
+def template_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of the simplified template by question."""
+    asked = spark.createDataFrame([(0, "facts of it"), (1, "the ruling"), (2, "a digest"), (3, "issues only")], "query_id long, query string")
+    return asked.select("query_id", display.template_sections(F.col("query")).alias("sections"))
+
+
+@query("SELECT CAST(q AS BIGINT) AS query_id, CASE q WHEN 0 THEN 'SEARCH_CASES' WHEN 1 THEN 'CASE_DIGEST' WHEN 2 THEN 'WEB_SEARCH' END AS name, CASE q WHEN 0 THEN 'facts' END AS focus FROM range(4) t(q)")
+def classifier_action(spark: SparkSession, folder: str) -> DataFrame:
+    """Actions that a classifier's answers ask for."""
+    said = spark.createDataFrame([(0, "[SEARCH_CASES:facts]"), (1, "ok [CASE_DIGEST]"), (2, "[WEB_SEARCH] now"), (3, "nothing")], "query_id long, answer string")
+    return said.select("query_id", display.action(F.col("answer")).alias("a")).select("query_id", "a.name", "a.focus")
+
+
+@query("SELECT md5(doc_id || '|' || lang) AS key, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'cached ' || doc_id ELSE 'made ' || doc_id END AS context FROM documents")
+def context_cache_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Contexts from the cache where it has them, else made anew."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang")
+    key = F.md5(F.encode(F.concat_ws("|", F.col("doc_id").cast("string"), "lang"), "utf-8"))
+    keyed = docs.select(key.alias("key"), "doc_id")
+    cache = keyed.where("doc_id % 2 = 0").select("key", F.concat(F.lit("cached "), F.col("doc_id").cast("string")).alias("kept"))
+    return keyed.join(cache, "key", "left").select("key", "doc_id", text.first_present(F.col("kept"), F.concat(F.lit("made "), F.col("doc_id").cast("string"))).alias("context"))
