@@ -28,13 +28,13 @@ def create(path: str):
     """A new file for writing; its folder is made."""
     where, name = resolve(path)
     where.create_dir(os.path.dirname(name), recursive=True)
-    return where.open_output_stream(name)
+    return where.open_output_stream(name, compression=None)
 
 
 def open_stream(path: str):
     """A file for sequential reading."""
     where, name = resolve(path)
-    return where.open_input_stream(name)
+    return where.open_input_stream(name, compression=None)
 
 
 def save(path: str, array: np.ndarray) -> None:
@@ -52,7 +52,7 @@ def mapped(path: str, dtype: str) -> np.ndarray:
     """
     where, name = resolve(path)
     if not is_local(path):
-        with where.open_input_stream(name) as source, tempfile.TemporaryFile() as copy:
+        with where.open_input_stream(name, compression=None) as source, tempfile.TemporaryFile() as copy:
             while piece := source.read(8 << 20):
                 copy.write(piece)
             copy.flush()
