@@ -278,7 +278,7 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
                     removed.append(int(gone.sum()))
                     runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 size.append(len(own))
-            texts = [None if was is None else k.decode("utf-8", errors="ignore") for was, k in zip(batch.column(text_col).is_valid().to_pylist(), kept)]
+            texts = [None if not was else k.decode("utf-8", errors="ignore") for was, k in zip(batch.column(text_col).is_valid().to_pylist(), kept)]
             columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
             if not figures:
                 yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([not (r and r == z) for r, z in zip(removed, size)], pa.bool_()))
