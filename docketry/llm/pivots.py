@@ -10,8 +10,9 @@ Equal vectors are one row with a count throughout. A long list is dealt out as
 pairs of bounded blocks. Links are not emitted: a unit gives the number of links
 of each vector, and a spanning forest of its links for the components.
 
-The pivots are a sample of bounded size, ``PIVOTS_MOST`` at most; every vector
-is indexed. The tests hold recall against brute force.
+The pivots come from a sample of bounded size, ``PIVOTS_MOST`` at most, and no
+two of them are nearly alike: of a tight group one at most is a pivot, so that
+its members agree on it. Every vector is indexed. The tests hold recall against brute force.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components link with nothing, and each is its own component; only vectors of
@@ -35,6 +36,8 @@ from docketry.llm import common, vectors
 COSINE = 0.95
 #: Pivots at least and at most; nearest pivots that describe a vector; those that candidates share.
 PIVOTS_LEAST, PIVOTS_MOST, NEAREST, SHARED = 32, 4096, 8, 2
+#: Pivots have smaller cosines than this with each other.
+APART = 0.9
 #: Rows of a block of a list; rows compared at a time.
 BLOCK_LEAST, BLOCK, STRIP = 2048, 4096, 512
 
@@ -44,8 +47,19 @@ def pivot_count(rows: int) -> int:
     return min(PIVOTS_MOST, max(PIVOTS_LEAST, 1 << math.ceil(math.log2(2 * math.sqrt(max(1, rows))))))
 
 
+def spread(unit: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` rows that are not nearly alike one before them."""
+    kept: list[int] = []
+    for at in range(len(unit)):
+        if len(kept) == count:
+            break
+        if not kept or (unit[kept] @ unit[at]).max() < APART:
+            kept.append(at)
+    return unit[kept]
+
+
 def choose(reps: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Pivots by length of vector: the ``count`` rows with the smallest hashes of their ids, as unit vectors."""
+    """Pivots by length of vector, from the rows with the smallest hashes of their ids, as unit vectors."""
     hashed = reps.select("rep", "v", F.xxhash64("rep").alias("h"))
     top = hashed.select("h").orderBy("h").limit(count).agg(F.max("h")).first()[0]
     found: dict[int, list[np.ndarray]] = {}
@@ -53,7 +67,7 @@ def choose(reps: DataFrame, count: int) -> dict[int, np.ndarray]:
         for _, v in hashed.where(F.col("h") <= top).orderBy("h").limit(count).select("h", "v").collect():
             own = np.array(v, dtype=np.float64)
             found.setdefault(len(own), []).append(own / np.linalg.norm(own))
-    return {n: np.stack(rows) for n, rows in found.items()}
+    return {n: spread(np.stack(rows), count) for n, rows in found.items()}
 
 
 def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
@@ -102,7 +116,6 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     good = vectors.clean(rows, id_col, vector_col)
     width = "array<float>" if "float" in dict(good.dtypes)["v"] else "array<double>"
     reps = common.cut(good.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "vectors")
-    # Repeated ids may stand for several vectors: the place is then told apart by the vector.
     count = reps.count()
     pivots = choose(reps, pivot_count(count))
     first = dict(zip(pivots, np.cumsum([0, *map(len, pivots.values())]).tolist()))
