@@ -101,53 +101,36 @@ class Writer:
         return self.path, self.records
 
 
-class _Reader:
-    """Bytes of a stream, with what was looked at ahead put first."""
-
-    def __init__(self, head: bytes, rest):
-        self.head, self.rest = head, rest
-
-    def read(self, size: int = -1) -> bytes:
-        if self.head:
-            got, self.head = (self.head, b"") if size < 0 else (self.head[:size], self.head[size:])
-            return got
-        return self.rest.read(size)
+def frames(source, known: zstandard.ZstdCompressionDict | None, held: bytes = b"") -> Iterator[bytes]:
+    """The content of each frame of a stream that begins with ``held``."""
+    context = zstandard.ZstdDecompressor(dict_data=known)
+    while held := held or source.read(1 << 16):
+        frame, pieces = context.decompressobj(), []
+        while True:
+            pieces.append(frame.decompress(held))
+            if frame.eof:
+                break
+            held = source.read(1 << 16)
+            if not held:
+                raise ValueError("a frame is cut off")
+        held = frame.unused_data
+        yield b"".join(pieces)
 
 
 def records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a file."""
+    """Headers (names in lower case) and block of each record of a file; a frame holds one."""
     with storage.open_stream(path) as source:
-        head = source.read(8)
-        known = None
+        head, known = source.read(8), None
         if len(head) == 8 and struct.unpack("<I", head[:4])[0] == DICTIONARY_MAGIC:
             known = zstandard.ZstdCompressionDict(source.read(struct.unpack("<I", head[4:])[0]))
             head = b""
-        plain = zstandard.ZstdDecompressor(dict_data=known).stream_reader(_Reader(head, source), read_across_frames=True)
-        held = b""
-        while True:
-            while (end := held.find(b"\r\n\r\n")) < 0:
-                more = plain.read(1 << 16)
-                if not more:
-                    if held:
-                        raise ValueError(f"{path}: a record is cut off")
-                    return
-                held += more
-            first, *lines = held[:end].decode().split("\r\n")
-            if not first.startswith("WARC/"):
-                raise ValueError(f"{path}: no record where one should start")
+        for raw in frames(source, known, head):
+            end = raw.index(b"\r\n\r\n")
+            first, *lines = raw[:end].decode().split("\r\n")
             headers = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines)}
-            need = end + 4 + int(headers["content-length"]) + 4
-            pieces = [held]
-            have = len(held)
-            while have < need:
-                more = plain.read(max(1 << 16, need - have))
-                if not more:
-                    raise ValueError(f"{path}: a record is cut off")
-                pieces.append(more)
-                have += len(more)
-            held = b"".join(pieces)
-            yield headers, held[end + 4 : need - 4]
-            held = held[need:]
+            if not first.startswith("WARC/") or len(raw) != end + 8 + int(headers["content-length"]):
+                raise ValueError(f"{path}: a frame that is not one record")
+            yield headers, raw[end + 4 : -4]
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dictionary: bytes | None = None, level: int = LEVEL, revisit_from: int = REVISIT_FROM, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -196,9 +179,9 @@ def read(files: DataFrame) -> DataFrame:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, expected in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 out: list[list] = [[] for _ in names]
-                size = 0
+                size = found = 0
 
                 def made() -> pa.RecordBatch:
                     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
@@ -214,10 +197,13 @@ def read(files: DataFrame) -> DataFrame:
                     for column, value in zip(out, (number(headers["warc-record-id"]), headers.get("warc-target-uri"), length, digest, kind, number(headers.get("warc-refers-to")), payload and payload.decode())):
                         column.append(value)
                     size += len(block)
+                    found += 1
                     if size > 4 << 20:
                         yield made()
                         out, size = [[] for _ in names], 0
+                if found != expected:
+                    raise ValueError(f"{path}: {found} records, not {expected}")
                 if out[0]:
                     yield made()
 
-    return files.select("path").repartition(tasks).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    return files.select("path", "records").repartition(tasks).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
