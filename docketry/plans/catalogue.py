@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.plans import cases, evaluation, reports, retrieval, storage  # noqa: F401  they register their queries
+from docketry.plans import cases, evaluation, reports, retrieval, storage, titles  # noqa: F401  they register their queries
 from docketry.plans.registry import ORACLES, QUERIES, Query
 
 
