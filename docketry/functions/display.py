@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketry.functions.text import captured
+from docketry.functions.text import captured, trimmed
 
 #: Names of known sites.
 SITES = {
@@ -54,7 +54,7 @@ def case_of_response(text: Column) -> Column:
 def messages(prompt: Column) -> Column:
     """A prompt as its parts by role."""
     parts = F.filter(F.split(F.regexp_replace(prompt, r"(?m)^(System|User): ", "\u0001$1\u0002"), "\u0001"), lambda p: F.trim(p) != "")
-    return F.transform(parts, lambda p: F.when(F.contains(p, F.lit("\u0002")), F.struct(F.lower(F.element_at(F.split(p, "\u0002"), 1)).alias("role"), F.trim(F.element_at(F.split(p, "\u0002"), 2)).alias("content"))).otherwise(F.struct(F.lit("user").alias("role"), F.trim(p).alias("content"))))
+    return F.transform(parts, lambda p: F.when(F.contains(p, F.lit("\u0002")), F.struct(F.lower(F.element_at(F.split(p, "\u0002"), 1)).alias("role"), trimmed(F.element_at(F.split(p, "\u0002"), 2)).alias("content"))).otherwise(F.struct(F.lit("user").alias("role"), trimmed(p).alias("content"))))
 
 
 def action(answer: Column) -> Column:
