@@ -89,6 +89,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON r.other = l.a),
+        comp AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+        SELECT c.vec_id, CAST((SELECT count(*) FROM link l WHERE l.a = c.vec_id) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept FROM comp c
+    """,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
