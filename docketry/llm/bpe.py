@@ -175,6 +175,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     common.scratch(docs.sparkSession)
     content = vocab.read(tokenizer)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(content)
         for batch in common.parts(batches, "text"):
@@ -195,6 +196,7 @@ def decode(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str
     common.scratch(rows.sparkSession)
     content = vocab.read(tokenizer)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(content)
         for batch in common.parts(batches, "ids", 16 << 20):

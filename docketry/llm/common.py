@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,6 +62,21 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives its worker's free memory back when it ends."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def without(columns: list[str], added: list[str]) -> list[str]:
     """The columns but those that added ones of the same name replace."""
     names = {a.lower() for a in added}

@@ -84,6 +84,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     common.scratch(spark)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @common.tidy
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, "text"):
             row, number, words, first, stop = lines_of(*common.utf8(batch.column("text")))
@@ -106,6 +107,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     found = found.select("id", F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("line"))
     texts = common.cut(found.select("id", "line", F.try_element_at("all", F.col("line") + 1).alias("text")).where("text is not null").dropDuplicates(["id", "line"]), "line-texts")
 
+    @common.tidy
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, "text", 1 << 20):
             row, _, words, first, stop = lines_of(*common.utf8(batch.column("text")))
@@ -134,6 +136,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     pairs = pairs.join(texts, ["id", "line"]).select("id", "line", "text", F.col("other.id").alias("_oid"), F.col("other.line").alias("_oline"))
     pairs = pairs.join(texts.select(F.col("id").alias("_id"), F.col("line").alias("_line"), F.col("text").alias("earlier")), (F.col("_oid") == F.col("_id")) & (F.col("_oline") == F.col("_line")))
 
+    @common.tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [within_one(a.encode().split(), b.encode().split()) for a, b in zip(batch.column("text").to_pylist(), batch.column("earlier").to_pylist())]
@@ -150,6 +153,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, least: int, figures: boo
     joined = docs.join(common.small(gone, size[0] * 8 + (size[1] or 0), 4), F.col(id_col).cast("long") == F.col("_ld_id"), "left")
     names = docs.columns
 
+    @common.tidy
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, text_col):
             text = batch.column(text_col)

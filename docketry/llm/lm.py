@@ -121,6 +121,7 @@ def count_words(train: DataFrame) -> Words:
     spark = train.sparkSession
     folder = common.fresh(spark, "words")
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, "text", 8 << 20):
             word, n = np.unique(token_hashes(batch)[0], return_counts=True)
@@ -276,6 +277,7 @@ def fit(train: DataFrame) -> Model:
     texts = train.count() if words.tokens else 0
     hot = np.array([*words.frequent, *([start] if texts > hot_count(words.tokens) else [])], dtype=np.uint64)
 
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         held = 0
@@ -363,6 +365,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     words = model.words
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, "text"):
             number, seen, before, counts = numbered(words, batch)

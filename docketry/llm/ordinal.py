@@ -196,6 +196,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(sample, F.col("id") == F.col("_id")).select("text", "grade")
 
+    @common.tidy
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, "text"):
             row, feature = features(*common.utf8(batch.column("text")))
@@ -204,6 +205,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
 
     held = common.cut(found.mapInArrow(extract, "grade int, features binary"), "features")
 
+    @common.tidy
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grade, sets = [], []
         for batch in batches:
@@ -228,6 +230,7 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text", keep_from: floa
     docs = docs.select(*common.without(docs.columns, ["expected_grade", "tail_probability", "kept"]))
     names = docs.columns
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, text_col):
             above = model.judge(batch, text_col)
@@ -256,6 +259,7 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """Those of ``docs`` that the model of the labelled ones keeps, with their columns."""
     model = train(docs, labels.select(id_col, rating().alias("grade")), GRADES, id_col, text_col)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, text_col):
             above = model.judge(batch, text_col)

@@ -99,6 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     common.scratch(docs.sparkSession)
     content = vocab.read(tokenizer_path)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(content)
         first = TaskContext.get().partitionId() << 33

@@ -120,6 +120,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     pivots = choose(reps, pivot_count(count))
     first = dict(zip(pivots, np.cumsum([0, *map(len, pivots.values())]).tolist()))
 
+    @common.tidy
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = vectors.lists(batch.column("v"))
@@ -138,6 +139,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     listed = described.withColumn("pivot", F.explode(F.filter("names", lambda n: n >= 0)))
     units = common.pair_blocks(listed, "pivot", "rep", least=BLOCK_LEAST, most=BLOCK)
 
+    @common.tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in common.whole_groups(batches, ["pivot", "bi", "bj"], BLOCK):
             a, b, n = [], [], []

@@ -44,7 +44,7 @@ LENGTH, GRAM = 200, 64
 #: Window starts that are hashed at a time; bits that hold a place among them.
 PIECE, PLACE = 2 << 20, np.uint64((1 << 22) - 1)
 #: Contexts that a block may have, at least and at most; contexts that share an index.
-BLOCK_LEAST, BLOCK, INDEXED = 1024, 3072, 5000
+BLOCK_LEAST, BLOCK, INDEXED = 1024, 2048, 2500
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -192,6 +192,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     common.scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
 
+    @common.tidy
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, "text"):
             row, key, digest, start, end = contexts(*common.utf8(batch.column("text")), length, gram)
@@ -215,6 +216,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     held = common.cut(held, "held").withColumn("uid", F.xxhash64("id", "digest", "start"))
     units = common.pair_blocks(held, "key", "uid", least=BLOCK_LEAST, most=BLOCK)
 
+    @common.tidy
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in common.whole_groups(batches, ["key", "bi", "bj"], INDEXED):
             # A context of several units of one sample must not match itself.
@@ -258,6 +260,7 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     names = [f.name for f in docs.schema.fields]
     joined = joined.select(*docs.columns, F.col("_run_spans.start").alias("_run_start"), F.col("_run_spans.end").alias("_run_end"))
 
+    @common.tidy
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, text_col):
             data, offs = common.utf8(batch.column(text_col))

@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint of every row as a signed long."""
     common.scratch(docs.sparkSession)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, "text"):
             data, offs = common.utf8(batch.column("text"))
@@ -118,6 +119,7 @@ def link(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     both = [F.min("_seg").alias("_lo"), F.max("_seg").alias("_hi")]
     units = common.pair_blocks(keyed.withColumn("_seg", segment), "key", "fp", (F.col("_lo") != F.col("_hi")) | exact, both)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in common.whole_groups(batches, ["key", "bi", "bj"]):
             rep = table.column("rep").to_numpy()

@@ -145,6 +145,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     digested = rows.withColumn("digest", F.sha2("payload", 256))
     planned = digested.join(again, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("id", "url", "payload", "digest", "first")
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
         for batch in batches:
@@ -175,6 +176,7 @@ def read(files: DataFrame) -> DataFrame:
         tail = (uri or "").strip("<>").removeprefix(RECORD_ID)
         return int(tail) if tail else None
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
