@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,6 +66,11 @@ def _shards(things: int, each: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, things / each))))
 
 
+def own_path(folder: str, shard: int) -> str:
+    """A name of its own for what a task writes, so that a second attempt never touches files in use."""
+    return f"{folder}/{shard}-{uuid.uuid4().hex}"
+
+
 def pair_shards(tokens: int) -> int:
     """Shards for the bigrams of so many tokens."""
     return min(SHARDS_MOST, max(SHARDS_LEAST, _shards(tokens, SHARD_TOKENS)))
@@ -137,18 +143,19 @@ def count_words(train: DataFrame) -> Words:
         word = table.column("word").to_numpy().view(np.uint64)
         order = np.argsort(word)
         k = table.column("shard")[0].as_py()
-        storage.save(f"{folder}/{k}.hash", word[order])
+        path = own_path(folder, k)
+        storage.save(path + ".hash", word[order])
         n = table.column("n").to_numpy()[order].astype("<i8")
-        storage.save(f"{folder}/{k}.count", n)
+        storage.save(path + ".count", n)
         often = pa.array([np.flatnonzero(n > limit)], pa.list_(pa.int64()))
-        return pa.table({"shard": pa.array([k], pa.int32()), "size": pa.array([len(word)], pa.int64()), "often": often})
+        return pa.table({"shard": pa.array([k], pa.int32()), "size": pa.array([len(word)], pa.int64()), "often": often, "path": pa.array([path])})
 
     limit = hot_count(tokens)
-    made = {r[0]: r for r in counted.withColumn("shard", shard).groupBy("shard").applyInArrow(save, "shard int, size long, often array<long>").collect()}
+    made = {r[0]: r for r in counted.withColumn("shard", shard).groupBy("shard").applyInArrow(save, "shard int, size long, often array<long>, path string").collect()}
     common.forget(spark, counted.cut_path)
     sizes = tuple(made[k][1] if k in made else 0 for k in range(shards))
     offsets = np.cumsum([0, *sizes])
-    return Words(tuple(f"{folder}/{k}" for k in range(shards)), sizes, tokens, tuple(int(offsets[k] + at) for k in sorted(made) for at in made[k][2]))
+    return Words(tuple(made[k][3] if k in made else "" for k in range(shards)), sizes, tokens, tuple(int(offsets[k] + at) for k in sorted(made) for at in made[k][2]))
 
 
 def numbered(words: Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +228,7 @@ class Model:
         edges = np.searchsorted(number, self.words.offsets)
         for k, path in enumerate(self.follow):
             own = number[edges[k] : edges[k + 1]]
-            if len(own):
+            if len(own) and path:
                 c = array(path, "<u4")[own - self.words.offsets[k]].astype(np.float64)
                 out[edges[k] : edges[k + 1]] += np.maximum(c - self._cut(self.word_cut, c), 0) / max(self.kinds, 1)
         return out
@@ -311,7 +318,7 @@ def fit(train: DataFrame) -> Model:
             if len(key) > 2 * HELD:
                 key, n = _merge(key, n)
         key, n = _merge(key, n)
-        path = f"{folder}/{k}"
+        path = own_path(folder, k)
         storage.save(path + ".key", key)
         storage.save(path + ".count", n.astype("<u4"))
         first = (key >> np.uint64(32)).astype(np.int64)
@@ -328,11 +335,11 @@ def fit(train: DataFrame) -> Model:
         figures[0] = by
         figures[1 : 1 + len(word), 0] = kinds
         figures[1 + len(word) :] = stats[split]
-        return pa.table([pa.array(kind), pa.array(ident.astype(np.int64)), *(pa.array(figures[:, c]) for c in range(4))], ["kind", "id", "a", "b", "c", "d"])
+        return pa.table([pa.array(kind), pa.array(ident.astype(np.int64)), *(pa.array(figures[:, c]) for c in range(4)), pa.array([path, *[None] * (len(kind) - 1)], pa.string())], ["kind", "id", "a", "b", "c", "d", "path"])
 
-    made = common.cut(train.mapInArrow(count, "shard int, blob binary").groupBy("shard").applyInArrow(gather, "kind byte, id long, a long, b long, c long, d long"), "gathered")
-    rows = made.where("kind = 0").select("id", "a", "b", "c", "d").collect()
-    written = {r[0] for r in rows}
+    made = common.cut(train.mapInArrow(count, "shard int, blob binary").groupBy("shard").applyInArrow(gather, "kind byte, id long, a long, b long, c long, d long, path string"), "gathered")
+    rows = made.where("kind = 0").select("id", "a", "b", "c", "d", "path").collect()
+    written = {r[0]: r[5] for r in rows}
     hot_rows = {r[0]: r[1:] for r in made.where("kind = 2").groupBy("id").agg(*(F.sum(c) for c in "abcd")).collect()}
     follow = common.cut(made.where("kind = 1").groupBy("id").agg(F.sum("a").alias("k")), "followers")
     n1, n2, n3, n4, many, kinds = follow.agg(*_by_count("k"), F.coalesce(F.sum((F.col("k") >= 3).cast("long")), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
@@ -344,14 +351,15 @@ def fit(train: DataFrame) -> Model:
         k = table.column("part")[0].as_py()
         out = np.zeros(words.sizes[k], dtype="<u4")
         out[table.column("id").to_numpy() - offsets[k]] = table.column("k").to_numpy()
-        storage.save(words.paths[k] + ".follow", out)
-        return pa.table({"part": pa.array([k], pa.int32())})
+        path = own_path(folder, k) + ".follow"
+        storage.save(path, out)
+        return pa.table({"part": pa.array([k], pa.int32()), "path": pa.array([path])})
 
-    follow.withColumn("part", part.cast("int")).groupBy("part").applyInArrow(align, "part int").collect()
+    aligned = dict(follow.withColumn("part", part.cast("int")).groupBy("part").applyInArrow(align, "part int, path string").collect())
     for gone in (made, follow):
         common.forget(spark, gone.cut_path)
     return Model(
-        words, tuple(f"{folder}/{k}" if k in written else "" for k in range(shards)), tuple(p + ".follow" for p in words.paths), hot,
+        words, tuple(written.get(k, "") for k in range(shards)), tuple(aligned.get(k, "") for k in range(len(words.paths))), hot,
         np.array([hot_rows.get(int(h), (0, 0, 0, 0)) for h in hot], dtype=np.float64).reshape(-1, 4),
         discounts(*(sum(r[c] for r in rows) for c in range(1, 5))), word_cut, kinds,
         (word_cut[0] * n1 + word_cut[1] * n2 + word_cut[2] * many) / kinds if kinds else 1.0,
