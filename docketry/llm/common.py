@@ -36,9 +36,19 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that this session's operators have written to the shared folder; their results must be stored by then."""
+    while _made:
+        forget(spark, _made.pop())
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:

@@ -62,7 +62,8 @@ def halves(spans: common.Spans, first: np.ndarray, stop: np.ndarray, least: int
         head = (long - 1) // 2
         mark = common.mix(long.astype(np.uint64))
         for k, part in enumerate((spans.of(first, first + head), spans.of(stop - (long - 1 - head), stop))):
-            found.append(np.where(long >= least, common.mix(part ^ mark) | np.uint64(1), np.uint64(0)) ^ np.where(long >= least, np.uint64(k << 1), np.uint64(0)))
+            key = common.mix((part ^ mark) + np.uint64(k + 1)) | np.uint64(1)
+            found.append(np.where(long >= least, key, np.uint64(0)))
     return found
 
 
