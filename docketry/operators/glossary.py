@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.session import ship
@@ -24,6 +24,23 @@ SEED = [
 ]
 
 
+ENTRY = "term string, aliases array<string>, definition string, elements array<string>, anchors array<struct<type:string,id:string>>, bar_importance int"
+
+
+def read(spark: SparkSession, *paths: str) -> DataFrame:
+    """Entries of JSON files that hold a list or a record with ``entries``; other files are ignored.
+
+    Without any entry the seed stands in.
+    """
+    files = spark.read.text(list(paths), wholetext=True)
+    entry = f"array<struct<{', '.join(f'{n}:{t}' for n, t in (f.strip().split(' ', 1) for f in ENTRY.replace('struct<type:string,id:string>', 'map<string;string>').split(',')))}>>".replace("map<string;string>", "map<string,string>")
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", entry)).otherwise(F.from_json("value", f"struct<entries:{entry}>")["entries"])
+    found = files.select(F.explode(listed).alias("e")).select("e.term", "e.aliases", "e.definition", F.col("e.bar_importance").alias("importance"))
+    seed = spark.createDataFrame(SEED, "term string, aliases array<string>, definition string, importance int")
+    none = found.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    return found.unionByName(seed.crossJoin(F.broadcast(none)).drop("n"))
+
+
 def normal(c: Column) -> Column:
     """A name in lower case with its usual short forms written out."""
     c = F.lower(F.trim(c))

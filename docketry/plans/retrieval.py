@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import extract, text
-from docketry.operators import search
+from docketry.operators import engine, search
 from docketry.plans.cases import CTE
 from docketry.plans.registry import query
 from docketry.sources.tables import cases, table
@@ -211,3 +211,10 @@ def important_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """First three important chunks of every document."""
     rows = table(spark, folder, "documents").where("doc_id % 3 <> 0").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     return rows.where("n <= 3").select("doc_id", "source", "n")
+
+
+@query()
+def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions from routing to a summary."""
+    asked = spark.createDataFrame(list(enumerate([*ASKED, "G.R. No. 100010", "A.M. No. P-13-2903"])), "query_id int, query string")
+    return engine.answer(cases(spark, folder), asked)
