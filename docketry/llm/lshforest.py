@@ -34,7 +34,7 @@ TOP = 5
 #: Trees; bits of a string; entries met (counted once per tree) that are enough, as a share of a block's rows.
 TREES, DEPTH, SHARE = 32, 24, 1.0
 #: Rows and queries of a block.
-ROWS, QUERIES = 16384, 2048
+ROWS, QUERIES = 16384, 32768
 SEED = 7
 
 

@@ -6,6 +6,10 @@ enough pivots name both; they are found within the inverted list of a pivot and
 counted in the list of the first pivot that they share, so every pair counts
 once. Candidates are verified by their cosine in double precision.
 
+Where lists by one pivot would grow long, they are kept by pairs of pivots: the
+same candidates, as two that share enough pivots share a pair, in lists whose
+length no longer grows with the table until pairs run out.
+
 Equal vectors are one row with a count throughout. A long list is dealt out as
 pairs of bounded blocks. Links are not emitted: a unit gives the number of links
 of each vector, and a spanning forest of its links for the components.
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import common, vectors
@@ -38,6 +42,8 @@ COSINE = 0.95
 PIVOTS_LEAST, PIVOTS_MOST, NEAREST, SHARED = 32, 4096, 8, 2
 #: Pivots have smaller cosines than this with each other.
 APART = 0.9
+#: Mean length of lists by one pivot from which they are kept by pairs.
+LONG_LIST = 8192
 #: Rows of a block of a list; rows compared at a time.
 BLOCK_LEAST, BLOCK, STRIP = 2048, 4096, 512
 
@@ -79,21 +85,36 @@ def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST)
     return np.concatenate([top, np.full((len(top), nearest - k), -1)], axis=1).astype(np.int32)
 
 
-def _unit_links(pivot: int, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, names: np.ndarray, own: np.ndarray, halves: tuple[int, int], cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bits of a pivot in the key of a list; a pair has the smaller pivot, plus one, above them.
+PIVOT = (1 << 26) - 1
+
+
+def _keys(by_pairs: bool) -> Column:
+    """Keys of the lists that a vector with these ``names`` stands in."""
+    named = F.array_sort(F.filter("names", lambda n: n >= 0)).cast("array<long>")
+    if not by_pairs:
+        return named
+    pairs = F.flatten(F.transform(named, lambda p: F.transform(F.filter(named, lambda q: q > p), lambda q: (p + 1) * (PIVOT + 1) + q)))
+    return F.when(F.size(named) > 1, pairs).otherwise(named)
+
+
+def _unit_links(key: int, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, names: np.ndarray, own: np.ndarray, halves: tuple[int, int], cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links by row of one unit, and edges that connect what its links connect."""
     norm = np.linalg.norm(x, axis=1)
     used = np.unique(names[names >= 0])
     sign = np.zeros((len(ids), len(used)), dtype=np.float32)
     rows, places = np.nonzero(names >= 0)
     sign[rows, np.searchsorted(used, names[rows, places])] = 1
-    before = sign[:, used < pivot]
+    # The unit counts pairs whose first shared pivots are those of its key, so every pair counts once.
+    before = sign[:, used < (key & PIVOT)]
+    above = int(key > PIVOT)
     need = min(shared, len(used))
     left, right = (np.flatnonzero(own == h) for h in halves)
     same = halves[0] == halves[1]
     count = np.zeros(len(ids), dtype=np.int64)
     for at in range(0, len(left), STRIP):
         a = left[at : at + STRIP]
-        candidate = (sign[a] @ sign[right].T >= need) & (before[a] @ before[right].T == 0)
+        candidate = (sign[a] @ sign[right].T >= need) & (before[a] @ before[right].T == above)
         if same:
             candidate &= np.arange(at, at + len(a))[:, None] < np.arange(len(right))[None, :]
         hit = candidate.any(axis=1)
@@ -136,7 +157,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("size"), batch.column("v"), pa.array(list(names), pa.list_(pa.int32()))], ["rep", "size", "v", "names"])
 
     described = reps.select("rep", "size", "v").mapInArrow(describe, f"rep long, size long, v {width}, names array<int>")
-    listed = described.withColumn("pivot", F.explode(F.filter("names", lambda n: n >= 0)))
+    total = sum(map(len, pivots.values()))
+    by_pairs = shared > 1 and total >= 4 * nearest and count * nearest > LONG_LIST * total
+    listed = described.withColumn("pivot", F.explode(_keys(by_pairs)))
     units = common.pair_blocks(listed, "pivot", "rep", least=BLOCK_LEAST, most=BLOCK)
 
     @common.tidy

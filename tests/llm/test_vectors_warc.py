@@ -68,6 +68,13 @@ def test_blocks_do_not_change_links(spark, monkeypatch):
     assert sum(n for n, _ in whole.values()) >= 0.97 * s.sum()
 
 
+def test_lists_by_pairs_give_the_same_links(spark, monkeypatch):
+    x = clusters(7)
+    single = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_duplicates(table(spark, x)).collect()}
+    monkeypatch.setattr(pivots, "LONG_LIST", 1)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_duplicates(table(spark, x)).collect()} == single
+
+
 ODD = [[1, 0], [1, 0], None, [0, 0], [float("nan"), 1], [float("inf"), 1], [1, 0, 0], [2, 0], [0, 1], []]
 
 
