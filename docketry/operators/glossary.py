@@ -84,3 +84,26 @@ def search(entries: DataFrame, queries: DataFrame, k: int = 5, fuzzy: bool = Tru
 def answer(term: Column, definition: Column) -> Column:
     """An entry as text."""
     return F.concat_ws(": ", term, definition)
+
+
+#: Score from which an entry answers a question.
+ANSWER_FROM = 78.0
+#: Fixed patterns: what asks for a definition or for elements, and what names a case and so asks for none.
+DEFINES = r"(?i)^(?:what\s+is|define|meaning\s+of|ano\s+ang)\s+(?:an?\s+|the\s+)?(.+?)[ ?.]*$"
+ELEMENTS = r"(?i)\b(?:elements|requisites)\s+of\s+(.+?)[ ?.]*$"
+NAMES_CASE = r"(?i)\bg\.?r\.?\s*no|\bvs?\.\s|\bversus\b"
+
+
+def respond(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, answer) of every question: the entry it asks for, or null where a search has to answer."""
+    q = F.col("query")
+    asked = F.coalesce(*(F.nullif(F.regexp_extract(q, p, 1), F.lit("")) for p in (DEFINES, ELEMENTS)))
+    keyed = queries.select("query_id", F.when(~q.rlike(NAMES_CASE), asked).alias("query"))
+    best = search(entries, keyed.where("query is not null"), k=1).where(F.col("score") >= ANSWER_FROM).select("query_id", "term")
+    told = best.join(F.broadcast(entries.select("term", answer(F.col("term"), F.col("definition")).alias("answer"))), "term")
+    return keyed.select("query_id").join(F.broadcast(told.select("query_id", "answer")), "query_id", "left")
+
+
+def syllabus(subjects: DataFrame, topics: DataFrame) -> DataFrame:
+    """``subjects`` with the areas that ``topics`` (subject, areas) gives them; one that it lacks is not specified."""
+    return subjects.join(F.broadcast(topics), "subject", "left").withColumn("areas", F.coalesce("areas", F.array(F.lit("Not specified"))))

@@ -163,3 +163,18 @@ def context_cache_join(spark: SparkSession, folder: str) -> DataFrame:
     keyed = docs.select(key.alias("key"), "doc_id")
     cache = keyed.where("doc_id % 2 = 0").select("key", F.concat(F.lit("cached "), F.col("doc_id").cast("string")).alias("kept"))
     return keyed.join(cache, "key", "left").select("key", "doc_id", text.first_present(F.col("kept"), F.concat(F.lit("made "), F.col("doc_id").cast("string"))).alias("context"))
+
+
+@query("""SELECT CAST(q AS BIGINT) AS query_id, CASE q WHEN 0 THEN 'Amparo: Remedy for violations of the right to life, liberty and security.' WHEN 1 THEN 'Estafa: Fraud that causes damage to another.' END AS answer FROM range(4) t(q)""")
+def glossary_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions that the glossary answers, and those that it leaves to a search."""
+    asked = spark.createDataFrame([(0, "What is the amparo?"), (1, "elements of swindling"), (2, "what is G.R. No. 5"), (3, "hello")], "query_id long, query string")
+    return glossary.respond(_terms(spark), asked)
+
+
+@query("SELECT subject, CASE subject WHEN 'labor_law' THEN 'Standards|Relations' ELSE 'Not specified' END AS areas FROM (VALUES ('labor_law'), ('other')) AS t(subject)")
+def syllabus_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Areas of subjects."""
+    topics = spark.createDataFrame([("labor_law", ["Standards", "Relations"])], "subject string, areas array<string>")
+    found = glossary.syllabus(spark.createDataFrame([("labor_law",), ("other",)], "subject string"), topics)
+    return found.select("subject", F.array_join("areas", "|").alias("areas"))
