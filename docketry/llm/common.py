@@ -302,14 +302,15 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     mark = _mark(held)
     while mark[0]:
         both = held.select(F.col("u").alias("n"), F.col("v").alias("m")).union(held.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least = both.groupBy("n").agg(F.min("m").alias("r")).select(F.col("n").alias("k"), F.least("n", "r").alias("r"))
-        large = both.join(least, F.col("n") == F.col("k")).where("m > n").select(F.col("m").alias("u"), F.col("r").alias("v")).distinct()
+        # The smallest neighbours are tables of their own, so that a join may split the edges of a hub.
+        near = cut(both.groupBy("n").agg(F.min("m").alias("r")).select(F.col("n").alias("k"), F.least("n", "r").alias("r")), what)
+        large = both.join(near, F.col("n") == F.col("k")).where("m > n").select(F.col("m").alias("u"), F.col("r").alias("v")).distinct()
         large = cut(large, what)
-        least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("r"))
-        small = large.join(least, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("r").alias("v")), F.struct(F.col("v").alias("u"), F.col("r").alias("v")))).alias("e"))
+        lowest = cut(large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("r")), what)
+        small = large.join(lowest, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("r").alias("v")), F.struct(F.col("v").alias("u"), F.col("r").alias("v")))).alias("e"))
         now = cut(small.select("e.u", "e.v").where("u <> v").distinct(), what)
-        forget(spark, held.cut_path)
-        forget(spark, large.cut_path)
+        for done in (held, near, large, lowest):
+            forget(spark, done.cut_path)
         held, before, mark = now, mark, _mark(now)
         if mark == before:
             break
