@@ -26,7 +26,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str
     lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     # All three are one row each, so the joins with them are no shuffles.
     totals = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("all_terms")))
-    idf = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    # Counted over tf, so that all uses of the index need the same columns and share one shuffle.
+    idf = index.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).crossJoin(F.broadcast(totals)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     wanted = queries.select("query_id", F.explode(ascii_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weights = wanted.join(idf, "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
