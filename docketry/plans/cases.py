@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docketry.functions import extract, rules, text
 from docketry.operators import chunks
 from docketry.plans.registry import query
-from docketry.sources.tables import CASES_SQL, cases, table
+from docketry.sources.tables import CASES_SQL, cases, table, whole_cases
 
 CTE = f"WITH RECURSIVE cases AS ({CASES_SQL})"
 
@@ -174,7 +174,7 @@ def chunk_stats_by_section(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of every case with identifiers and places."""
-    made = chunks.section_chunks(cases(spark, folder).select("doc_id", "clean_text", "gr_number", "special_number"))
+    made = chunks.section_chunks(whole_cases(spark, folder).select("doc_id", "clean_text", "gr_number", "special_number"))
     made = made.withColumn("id", chunks.chunk_id(text.first_present(F.col("gr_number"), F.col("special_number")), F.col("section"), F.col("paragraph_index")))
     order = Window.partitionBy("doc_id").orderBy("section", "paragraph_index")
     return made.select("doc_id", "id", "section", "section_type", "paragraph_index", "token_count", F.md5(F.encode("content", "utf-8")).alias("digest"), (F.row_number().over(order) - 1).alias("chunk_index"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("total_chunks"))

@@ -9,7 +9,7 @@ from docketry.functions import extract, text
 from docketry.operators import engine, search
 from docketry.plans.cases import CTE
 from docketry.plans.registry import query
-from docketry.sources.tables import cases, table
+from docketry.sources.tables import cases, table, whole_cases
 
 QUESTION = "the of and erthat tion nothere"
 TOKENS = r"list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) >= 2)"
@@ -217,4 +217,4 @@ def important_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Questions from routing to a summary."""
     asked = spark.createDataFrame(list(enumerate([*ASKED, "G.R. No. 100010", "A.M. No. P-13-2903"])), "query_id int, query string")
-    return engine.answer(cases(spark, folder), asked)
+    return engine.answer(whole_cases(spark, folder), asked)

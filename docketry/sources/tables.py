@@ -42,3 +42,15 @@ FROM documents
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of a folder as case records."""
     return spark.sql(CASES_SQL.replace("FROM documents", "FROM {documents}"), documents=table(spark, folder, "documents"))
+
+
+#: The sections of every third document: as CASES_SQL has them, and with the whole text at its thirds.
+_CUT = "substr(text, 1, 900), chr(10), 'THE ISSUE', chr(10), substr(text, 1, 300), chr(10), 'THE RULING', chr(10), substr(text, 200, 700)"
+_WHOLE = "substr(text, 1, {n}), chr(10), 'THE ISSUE', chr(10), substr(text, {n} + 1, {n}), chr(10), 'THE RULING', chr(10), substr(text, 2 * {n} + 1)".replace("{n}", "CAST(floor(length(text) / 3) AS INT)")
+
+
+def whole_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of a folder as case records that hold every character of their texts."""
+    if _CUT not in CASES_SQL:
+        raise ValueError("CASES_SQL has other sections")
+    return spark.sql(CASES_SQL.replace(_CUT, _WHOLE).replace("FROM documents", "FROM {documents}"), documents=table(spark, folder, "documents"))
