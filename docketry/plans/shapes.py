@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import display, extract, text
@@ -52,9 +52,19 @@ def response_truncation(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT vec_id, CAST(i AS INTEGER) AS label_id, CAST(i = label AS INTEGER) AS hot FROM embeddings, range(10) t(i) WHERE vec_id < 50")
 def multi_hot(spark: SparkSession, folder: str) -> DataFrame:
     """Labels as long rows of zeros and ones; ids out of range are left out."""
-    rows = table(spark, folder, "embeddings").where("vec_id < 50").select("vec_id", F.array("label").alias("labels"))
+    return _hot(table(spark, folder, "embeddings").where("vec_id < 50"))
+
+
+def _hot(rows: DataFrame) -> DataFrame:
+    labelled = rows.select("vec_id", F.array("label").alias("labels"))
     hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(i.alias("label_id"), F.array_contains("labels", i).cast("int").alias("hot")))
-    return rows.select("vec_id", F.explode(hot).alias("h")).select("vec_id", "h.label_id", "h.hot")
+    return labelled.select("vec_id", F.explode(hot).alias("h")).select("vec_id", "h.label_id", "h.hot")
+
+
+@query()
+def multi_hot_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of all vectors as long rows of zeros and ones."""
+    return _hot(table(spark, folder, "embeddings"))
 
 
 @query(CTE + " SELECT doc_id, 50.0::DOUBLE * (CAST(contains(lower(case_title), 'acme corporation') AS INTEGER) + CAST(contains(lower(case_title), 'nlrc 2') AS INTEGER)) AS score FROM cases")
@@ -88,6 +98,16 @@ def web_answer(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("batch").agg(F.array_join(listed, "\n").alias("answer"))
 
 
+@query()
+def web_answer_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """First three results of every search by their place among all its pages, whatever ids are missing."""
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("page_id"))
+    rows = table(spark, folder, "pages").select(F.floor(F.col("page_id") / 10).alias("batch"), "page_id", "url").withColumn("place", place).where("place <= 3")
+    line = F.concat(F.col("place").cast("string"), F.lit(". "), F.coalesce("url", F.lit("")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
+    return rows.groupBy("batch").agg(F.array_join(listed, "\n").alias("answer"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN CAST(100000 + conv_id AS VARCHAR) END AS case_id FROM conversations")
 def response_case(spark: SparkSession, folder: str) -> DataFrame:
     """The case that an answer links to."""
@@ -117,6 +137,14 @@ def term_sets(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_missing"))
 
 
+@query()
+def term_sets_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the two halves of every whole text share, and those of the first that the second lacks."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    a, b = (F.array_distinct(F.split(t, " ")) for t in (F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))))
+    return table(spark, folder, "documents").select("doc_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_missing"))
+
+
 @query("SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'digest' WHEN 1 THEN 'ruling' ELSE 'facts' END AS expected_type, CASE WHEN item_id % 2 = 0 THEN 'G.R. No. ' || item_id ELSE 'id' || item_id END AS case_number FROM benchmark")
 def test_query_normal_form(spark: SparkSession, folder: str) -> DataFrame:
     """Test questions with the kind of answer they expect and the number of their case."""

@@ -95,11 +95,20 @@ def snippet_cleaning(spark: SparkSession, folder: str) -> DataFrame:
 @query(r"""SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace('[INST] Based on my knowledge, ' || text || ' However, please note that x', '\[/?(INST|SYS|USER|ASSISTANT)\]', '', 'g'), '(?is)\s+However,? please note that.*$', ''), ' ' || chr(10))) AS digest FROM conversations WHERE NOT contains(text, chr(10) || chr(10))""")
 def clean_response(spark: SparkSession, folder: str) -> DataFrame:
     """Answers without instruction marks and disclaimers."""
+    return _cleaned(table(spark, folder, "conversations").where(~F.contains("text", F.lit("\n\n"))))
+
+
+def _cleaned(rows: DataFrame) -> DataFrame:
     raw = F.concat(F.lit("[INST] Based on my knowledge, "), F.col("text"), F.lit(" However, please note that x"))
-    rows = table(spark, folder, "conversations").where(~F.contains("text", F.lit("\n\n")))
     return rows.select("conv_id", "turn", F.md5(F.encode(display.clean_response(raw), "utf-8")).alias("digest"))
 
 
+@query()
+def clean_response_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of all messages, those with empty lines as well, without instruction marks and disclaimers."""
+    return _cleaned(table(spark, folder, "conversations"))
+
+
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split('**Title**' || chr(10) || '- item' || chr(10) || '**[G.R. No. 1](gr:1)**' || chr(10) || text, chr(10))) AS line FROM documents)
     SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^\*\*[^*]+\*\*:?$|^#{1,3} ') AND NOT regexp_matches(line, '\]\(gr:') THEN 'heading' WHEN regexp_matches(trim(line), '^[-*•] ') THEN 'bullet' WHEN regexp_matches(line, '\*\*\[[^\]]+\]\((gr|am|https?):[^)]+\)\*\*') THEN 'link' ELSE 'paragraph' END AS kind, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY ALL""")
 def richtext_line_types(spark: SparkSession, folder: str) -> DataFrame:

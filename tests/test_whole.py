@@ -29,3 +29,35 @@ def test_every_character_reaches_the_cases(spark, folder):
 def test_section_chunks_of_long_documents(spark, folder):
     rows = catalogue.queries()["section_chunks"](spark, folder).where("doc_id = 9").collect()
     assert sum(r.token_count for r in rows) >= len(TEXT) // 4
+
+
+@pytest.fixture(scope="module")
+def others(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("others"))
+    spark.createDataFrame([(7, 3), (50, 0), (99, 12)], "vec_id long, label int").write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([(k, f"u{k}") for k in (0, 4, 5, 9, 17)], "page_id long, url string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([(1, 0, "user", "one\n\ntwo"), (1, 1, "user", "one")], "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    long = " ".join(f"w{k}" for k in range(200))
+    spark.createDataFrame([(1, f"{long} {long} tail")], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_all_vectors_have_labels(spark, others):
+    rows = catalogue.queries()["multi_hot_all"](spark, others).collect()
+    assert len(rows) == 30
+    assert {(r.vec_id, r.label_id) for r in rows if r.hot} == {(7, 3), (50, 0)}
+
+
+def test_results_are_ranked_where_ids_are_missing(spark, others):
+    rows = catalogue.queries()["web_answer_ranked"](spark, others).collect()
+    assert {r.batch: r.answer for r in rows} == {0: "1. u0\n2. u4\n3. u5", 1: "1. u17"}
+
+
+def test_whole_texts_are_compared(spark, others):
+    row = catalogue.queries()["term_sets_whole"](spark, others).first()
+    assert row.n_both >= 195 and row.n_missing <= 5
+
+
+def test_messages_with_empty_lines_are_cleaned(spark, others):
+    rows = {r.turn: r.digest for r in catalogue.queries()["clean_response_all"](spark, others).collect()}
+    assert set(rows) == {0, 1} and rows[0] != rows[1]
