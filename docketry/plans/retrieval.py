@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import extract, text
 from docketry.operators import engine, search
-from docketry.plans.cases import CTE
+from docketry.plans.cases import CTE, section_chunks
 from docketry.plans.registry import query
 from docketry.sources.tables import cases, table, whole_cases
 
@@ -213,6 +213,23 @@ def important_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("n <= 3").select("doc_id", "source", "n")
 
 
+#: Kinds of sections whose chunks count as important.
+IMPORTANT = ["dispositive", "issues", "legal_analysis"]
+
+
+def first_important(made: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` important chunks of every document, sections in the order in which they are cut out."""
+    order = F.array_position(F.array(*map(F.lit, ["ruling", "issues", "arguments"])), F.col("section"))
+    placed = made.where(F.col("section_type").isin(IMPORTANT)).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(order, "paragraph_index")))
+    return placed.where(F.col("n") <= n)
+
+
+@query()
+def important_section_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """First five chunks of every case that hold its ruling, issues or arguments."""
+    return first_important(section_chunks(spark, folder)).select("doc_id", "id", "section", "section_type", "paragraph_index", "n")
+
+
 @query()
 def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Questions from routing to a summary."""

@@ -61,3 +61,11 @@ def test_whole_texts_are_compared(spark, others):
 def test_messages_with_empty_lines_are_cleaned(spark, others):
     rows = {r.turn: r.digest for r in catalogue.queries()["clean_response_all"](spark, others).collect()}
     assert set(rows) == {0, 1} and rows[0] != rows[1]
+
+
+def test_important_chunks_of_every_case(spark, folder):
+    rows = catalogue.queries()["important_section_chunks"](spark, folder).orderBy("doc_id", "n").collect()
+    by_doc = {k: [r.section for r in rows if r.doc_id == k] for k in (3, 4, 9)}
+    assert by_doc[3][0] == "issues" and by_doc[9][0] == "issues" and by_doc[4] == ["ruling"]
+    assert all([r.n for r in rows if r.doc_id == k] == list(range(1, len(v) + 1)) and len(v) <= 5 for k, v in by_doc.items())
+    assert {r.section_type for r in rows} <= {"dispositive", "issues", "legal_analysis"}
