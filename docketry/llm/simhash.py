@@ -27,7 +27,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import common
@@ -79,8 +79,8 @@ def fingerprint_texts(texts: list[bytes], shingle: int = SHINGLE, seed: int = SE
     return np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).ravel() if len(texts) else np.zeros(0, np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of every row as a signed long; with ``digest`` one of the exact text as well."""
     common.scratch(docs.sparkSession)
 
     @common.tidy
@@ -89,9 +89,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             data, offs = common.utf8(batch.column("text"))
             raw = data.tobytes()
             found = fingerprint_texts([raw[a:b] for a, b in zip(offs, offs[1:])])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    names = ["id", "own"] if digest else ["id"]
+    text = F.col(text_col).cast("string")
+    columns = [F.col(id_col).cast("long").alias("id"), *([_digest(text).alias("own")] if digest else []), text.alias("text")]
+    return docs.select(*columns).mapInArrow(run, "".join(f"{n} long, " for n in names) + "fp long")
+
+
+def _digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _variants() -> list:
@@ -169,3 +176,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     """``docs`` without those whose group has a smaller id; rows without an id stay."""
     gone = near_duplicates(docs, id_col, text_col, distance).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """Exactly one row of ``docs`` for each group of near duplicates.
+
+    Groups are of texts, so rows that repeat an id fall together only if their
+    texts are near, and rows without an id take part. The smallest id stays, of
+    its texts the one with the smallest digest, of equal texts the first row as
+    JSON; a row without an id stays only where the group has no id.
+    """
+    held = common.cut(fingerprints(docs, id_col, text_col, digest=True), "simhash")
+    rows = held.groupBy("fp", "id", "own").agg(F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "own", "n")
+    fps = common.cut(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-reps")
+    found = common.components(link(fps.select(F.col("fp").alias("rep"), "fp"), distance), "simhash-links")
+    best = fps.join(found, F.col("fp") == F.col("id"), "left").groupBy(F.coalesce("component_id", "fp").alias("group")).agg(F.min("first").alias("first"))
+    best = common.cut(best.select(F.col("first.id").alias("_first_id"), F.col("first.own").alias("_first_own"), F.col("first.n").alias("_first_n")), "simhash-first")
+    joined = docs.withColumn("_own", _digest(F.col(text_col).cast("string"))).withColumn("_key", F.col(id_col).cast("long"))
+    joined = joined.join(best, F.col("_key").eqNullSafe(F.col("_first_id")) & (F.col("_own") == F.col("_first_own")))
+    if best.where("_first_n > 1").isEmpty():
+        return joined.select(*docs.columns)
+    row = F.struct(*docs.columns)
+    again = joined.where("_first_n > 1").groupBy("_first_id", "_first_own").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return joined.where("_first_n = 1").select(*docs.columns).union(again.select("_row.*"))
