@@ -98,18 +98,26 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
         if len(left) and len(right):
             ids, x = left.column("id").to_numpy(), vectors.matrix(left.column("v"))
             names, y = right.column("id").to_numpy(), vectors.matrix(right.column("v"))
+            # Rows of one id stand side by side.
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            many = bool((ids[1:] == ids[:-1]).any())
             norm, size = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
             for q, met in enumerate(Forest(x, trees, depth).candidates(y, max(int(share * len(ids)), 8 * top * trees))):
                 met = met[ids[met] != names[q]]
-                score = (x[met] @ y[q]) / (norm[met] * size[q])
-                if len(met) > 4 * top:
+                if many and len(np.unique(ids[met])) < top:
+                    # The rows of few ids fill the candidates: all rows are candidates.
+                    met = np.flatnonzero(ids != names[q])
+                own, score = ids[met], (x[met] @ y[q]) / (norm[met] * size[q])
+                if many and len(met):
+                    # Of rows that repeat an id the best counts.
+                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    own, score = own[first], np.maximum.reduceat(score, first)
+                if len(own) > 4 * top:
                     edge = np.partition(score, len(score) - top)[len(score) - top]
-                    met, score = met[score >= edge], score[score >= edge]
-                # Of rows that repeat an id the best counts.
-                by = np.lexsort((-score, ids[met]))
-                by = by[np.concatenate([[True], np.diff(ids[met][by]) != 0])] if len(by) else by
-                by = by[np.lexsort((ids[met][by], -score[by]))][:top]
-                found.append((np.full(len(by), names[q]), ids[met][by], score[by]))
+                    own, score = own[score >= edge], score[score >= edge]
+                by = np.lexsort((own, -score))[:top]
+                found.append((np.full(len(by), names[q]), own[by], score[by]))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
