@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm import common, vocab
 
-#: Words whose encodings a worker keeps between batches.
-KEPT_WORDS = 600_000
+#: Words whose encodings a worker keeps between batches, their letters at most, and pairs of tokens it has judged.
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 600_000, 64, 1_000_000
 
 
 class TrieEncoder:
@@ -67,6 +68,7 @@ class TrieEncoder:
         self.fits: dict[int, bool] = {}
         self.by_text = {t: k for t, k in self.by_text.items() if self._whole(k)}
         self.packed = [np.uint32(n).tobytes() for n in self.id_of]
+        self.size = [len(self.bytes_of[n]) for n in self.id_of]
         self.known: dict[str, bytes] = {}
 
     def _whole(self, k: int) -> bool:
@@ -97,17 +99,17 @@ class TrieEncoder:
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word as little-endian 32-bit integers."""
         out: dict[str, bytes] = {}
-        token_at, fits, longest, packed = self.by_text.get, self.fits, self.longest, self.packed
+        token_at, fits, longest, packed, size = self.by_text.get, self.fits, self.longest, self.packed, self.size
         path = b""
-        last: list[int] = [-1]
-        code: list[bytes] = [b""]
+        # Of each node the last token alone; its encoding is read off by walking back to the root.
+        last = array("i", [-1])
         for raw, word in sorted((w.encode(), w) for w in words):
             shared = 0
             for a, b in zip(path, raw):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], code[shared + 1 :]
+            del last[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
                 for start in range(max(0, end - longest), end):
                     token = token_at(raw[start:end])
@@ -118,18 +120,21 @@ class TrieEncoder:
                         key = before << 32 | token
                         ok = fits.get(key)
                         if ok is None:
+                            if len(fits) >= KEPT_PAIRS:
+                                fits.clear()
                             ok = fits[key] = self._goes(before, token)
                         if not ok:
                             continue
                     last.append(token)
-                    code.append(code[start] + packed[token])
                     break
                 else:
                     raise ValueError(f"no token ends at byte {end} of {raw!r}")
             path = raw
-            out[word] = code[len(raw)]
-        if len(fits) > 1_000_000:
-            fits.clear()
+            tokens, at = [], len(raw)
+            while at:
+                tokens.append(packed[last[at]])
+                at -= size[last[at]]
+            out[word] = b"".join(reversed(tokens))
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -137,7 +142,7 @@ class TrieEncoder:
         pieces: list[list[str] | bytes] = []
         spans = [0]
         for text in texts:
-            for part in self.cut.split(text) if self.cut and "<" in text else [text]:
+            for part in self.cut.split(text) if self.cut else [text]:
                 if self.cut and part in self.special:
                     pieces.append(np.uint32(self.special[part]).tobytes())
                 elif part:
@@ -153,6 +158,9 @@ class TrieEncoder:
         self.known |= self.encode_words(list(new))
         get = self.known.__getitem__
         coded = [piece if type(piece) is bytes else b"".join(map(get, piece)) for piece in pieces]
+        for word in new:
+            if len(word) > KEPT_LENGTH:
+                del self.known[word]
         return [b"".join(coded[a:b]) for a, b in zip(spans, spans[1:])]
 
     def decode(self, ids: bytes) -> str:

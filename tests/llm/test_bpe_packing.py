@@ -1,8 +1,13 @@
 """BPE and packing against the tokenizers library."""
 
+import json
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -109,3 +114,31 @@ def test_ids_may_be_null_or_repeat(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "c d"), (1, "c d")], "doc_id long, text string")
     assert packing.pack_documents(df, PATH).where(F.col("start") == 0).count() == 3
     assert bpe.encode(df, PATH).count() == 3
+
+
+def test_a_word_of_a_million_letters_needs_little_memory():
+    code = f"""
+import random, resource
+import numpy as np
+from tokenizers import Tokenizer
+from docketry.llm import bpe, vocab
+coder = bpe.TrieEncoder(vocab.read({PATH!r}))
+pick = random.Random(1)
+word = "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids = coder.encode_batch([word])[0]
+grown = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+assert grown < 300 << 10, grown
+assert word not in coder.known
+assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file({PATH!r}).encode(word, add_special_tokens=False).ids
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+
+
+def test_special_tokens_need_no_certain_sign(tmp_path):
+    stored = json.loads(Path(PATH).read_text())
+    stored["added_tokens"].append({**stored["added_tokens"][0], "id": len(stored["model"]["vocab"]) + 1, "content": "[stop]"})
+    own = tmp_path / "own.json"
+    own.write_text(json.dumps(stored))
+    ids = bpe.TrieEncoder(vocab.read(str(own))).encode_batch(["a[stop]b"])[0]
+    assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(str(own)).encode("a[stop]b", add_special_tokens=False).ids
