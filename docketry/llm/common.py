@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +21,27 @@ from docketry.session import ship
 # ---------------------------------------------------------------- scratch storage
 
 
+#: Bytes of an Arrow batch on its way to a worker, so that long texts do not travel by the ten thousand.
+BATCH_BYTES = 4 << 20
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
-    Only where none is set, as in local tests, a temporary folder is made.
+    Only where none is set and all runs on this machine, as in local tests, a
+    temporary folder is made. Batches that go to workers are bounded here too.
     """
     ship(spark)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docketry-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -93,16 +104,23 @@ def without(columns: list[str], added: list[str]) -> list[str]:
     return [c for c in columns if c.lower() not in names]
 
 
-#: Largest table that is sent to every executor.
-SMALL_BYTES = 8 << 20
+#: A key is heavy if it has more than one part in so many of all rows; so there are no more heavy keys than that.
+HEAVY = 1024
 
 
-def small(df: DataFrame, rows: int, width: int) -> DataFrame:
-    """``df``, marked for broadcast if ``rows`` rows of ``width`` bytes are within the bound.
+def join_counted(rows: DataFrame, table: DataFrame, on: dict[str, str], count: str, total: int) -> DataFrame:
+    """``rows`` joined to a table with one row per key and the ``count`` of the rows that have it.
 
-    Beyond it the join shuffles both sides.
+    ``on`` maps columns of ``rows`` to the table's key and ``total`` is the sum
+    of the counts. Rows of heavy keys stay where they are and meet the at most
+    ``HEAVY`` rows of the table by broadcast; all others are sort-merged.
     """
-    return F.broadcast(df) if rows * width <= SMALL_BYTES else df
+    limit = max(1, total // HEAVY)
+    same = functools.reduce(lambda a, b: a & b, (F.col(r) == F.col(t) for r, t in on.items()))
+    heavy = F.broadcast(table.where(F.col(count) > limit))
+    light = table.where(F.col(count) <= limit)
+    others = rows.join(heavy, same, "left_anti")
+    return rows.join(heavy, same).union(others.join(light.hint("merge"), same))
 
 
 # ---------------------------------------------------------------- bytes and hashes
@@ -137,8 +155,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Words up to this many bytes are hashed all at once, longer ones each by XXH64.
+SHORT = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word ``data[start:end]``.
+
+    Eight bytes at a time go through ``mix``, which is one-to-one: words of one
+    length up to eight bytes never collide, and no pattern of letters does by design.
+    """
+    size = end - start
+    out = mix((size + 1).astype(np.uint64) * BASE2)
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    live = np.flatnonzero(size <= SHORT)
+    for at in range(0, SHORT, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        out[live] = mix(out[live] ^ (eights[start[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]))
+    for k in np.flatnonzero(size > SHORT):
+        out[k] = xxhash.xxh64_intdigest(data[start[k] : end[k]].tobytes())
+    return out
+
+
 class Spans:
-    """Hashes of any spans of an array of symbols, from prefix sums of a polynomial."""
+    """Hashes of any spans of an array of symbols, from prefix sums of a polynomial.
+
+    Equal spans have equal hashes; that equal hashes mean equal spans must be verified.
+    """
 
     def __init__(self, symbols: np.ndarray, base: np.uint64 = BASE, inverse: np.uint64 = BASE_INV):
         n = len(symbols)
@@ -168,9 +214,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parts(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, sliced so that each holds about ``limit`` bytes of text or one row."""
+    """The batches, sliced so that each holds about ``limit`` bytes of text or one row; ``text`` may be a column of lengths."""
     for batch in batches:
-        n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        own = batch.column(text)
+        n = pc.fill_null(own if pa.types.is_integer(own.type) else pc.binary_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         block = (np.cumsum(n) - n) // limit
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(n)] if len(n) else [0]
         for a, b in zip(cuts, cuts[1:]):

@@ -47,6 +47,31 @@ def test_lines_of_odd_tables(spark):
     assert {r.doc_id for r in linededup.keep(spark.createDataFrame([(1, "one two"), (2, "one two"), (3, " ")], "doc_id long, text string")).collect()} == {1, 3}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    line = "one line of several words"
+    rows = [(1, line), (2, line + "\nq"), (2, "a wholly different first line here\nr"), (2, None), (2, "")]
+    got = {(r.doc_id, r.text) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, line), (2, "q"), (2, "a wholly different first line here\nr"), (2, None), (2, "")}
+
+
+def test_lines_whose_letters_or_words_form_a_thue_morse_sequence(spark):
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    texts = ["".join("ab"[b] for b in bits[:2048]), "".join("ba"[b] for b in bits[:2048]), " ".join("ab"[b] for b in bits), " ".join("ba"[b] for b in bits)]
+    got = linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in got} == {k: (t, 0) for k, t in enumerate(texts)}
+
+
+def test_lines_that_differ_in_blanks_alone_are_equal(spark):
+    texts = ["a b c", "  a\tb\r c \x0b", "a b  c", "a bc"]
+    got = linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {0: "a b c", 1: "", 2: "", 3: "a bc"}
+
+
+def test_columns_with_the_names_of_the_operator(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 5, [1], "x"), (2, "a b c d f", 6, None, "y")], "doc_id long, text string, h1 int, _ld_id array<int>, KEPT string")
+    assert [(r.h1, r._ld_id, r.KEPT, r.text) for r in linededup.keep(df).collect()] == [(5, [1], "x", "a b c d e")]
+
+
 def test_one_edit():
     for a, b in [("a b c", "a b c"), ("a b c", "a x c"), ("a b c", "a c"), ("a b", "b a"), ("", "a"), ("a b c d", "a c b d"), ("a", "a b c")]:
         a, b = a.split(), b.split()
