@@ -5,7 +5,8 @@ window the ``GRAM`` bytes with the smallest hash are its sample; equal windows
 have equal samples at equal places, so two equal windows meet under the hash
 of their sample. Windows that follow each other and share a sample form one
 context. A context whose sample occurs nowhere else holds no repeat; contexts
-that are equal as a whole are repeats as a whole.
+that are equal as a whole, by a 128-bit BLAKE2b digest of their bytes, are
+repeats as a whole and stand in the index once.
 
 What is left, different contexts of one sample, goes to an index. The suffixes
 of a block of contexts are sorted, and the Burrows-Wheeler transform is kept as
@@ -29,6 +30,7 @@ rest of that character.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,10 +47,12 @@ LENGTH, GRAM = 200, 64
 PIECE, PLACE = 2 << 20, np.uint64((1 << 22) - 1)
 #: Contexts that a block may have, at least and at most; contexts that share an index.
 BLOCK_LEAST, BLOCK, INDEXED = 1024, 2048, 2500
+#: Suffixes that are compared at a time.
+COMPARED = 8192
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, key, digest, start, end) of every context of texts laid end to end; places within the row."""
+    """(row, key, digests, start, end) of every context of texts laid end to end; places within the row."""
     found: list[tuple[np.ndarray, ...]] = []
     wide = length - gram + 1
     for a in range(0, len(data), PIECE):
@@ -78,11 +82,12 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         stop = np.flatnonzero(good & other[1:]) + length
         at = place[start]
         row = np.searchsorted(offsets, a + start, side="right") - 1
-        digest = spans.of(start, stop) ^ common.mix((at - start).astype(np.uint64))
-        found.append((row, hashes[at], digest, a + start - offsets[row], a + stop - offsets[row]))
+        raw = piece.tobytes()
+        digest = b"".join(hashlib.blake2b(raw[b:c], digest_size=16).digest() for b, c in zip(start.tolist(), stop.tolist()))
+        found.append((row, hashes[at], np.frombuffer(digest, "<i8").reshape(-1, 2), a + start - offsets[row], a + stop - offsets[row]))
     if not found:
         none = np.zeros(0, dtype=np.int64)
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none.reshape(0, 2), none, none
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -159,17 +164,18 @@ class RunIndex:
             good = good[self.text[left[good] + far] == self.text[right[good] + far]]
         left, right = left[good], right[good]
         length = np.zeros(len(left), dtype=np.int64)
-        where = np.arange(len(left))
         step = 64
-        while len(where):
-            # Compare the next symbols of those that still agree; an end mark ends a match.
-            a = left[where, None] + length[where, None] + np.arange(step)
-            b = right[where, None] + length[where, None] + np.arange(step)
-            one = self.text[np.minimum(a, self.n - 1)]
-            same = (one == self.text[np.minimum(b, self.n - 1)]) & (one > 0) & (np.maximum(a, b) < self.n)
-            run = np.where(same.all(axis=1), step, same.argmin(axis=1))
-            length[where] += run
-            where = where[run == step]
+        for at in range(0, len(left), COMPARED):
+            where = np.arange(at, min(at + COMPARED, len(left)))
+            while len(where):
+                # Compare the next symbols of those that still agree; an end mark ends a match.
+                a = left[where, None] + length[where, None] + np.arange(step)
+                b = right[where, None] + length[where, None] + np.arange(step)
+                one = self.text[np.minimum(a, self.n - 1)]
+                same = (one == self.text[np.minimum(b, self.n - 1)]) & (one > 0) & (np.maximum(a, b) < self.n)
+                run = np.where(same.all(axis=1), step, same.argmin(axis=1))
+                length[where] += run
+                where = where[run == step]
         good = np.flatnonzero(length >= least)
         at = np.concatenate([left[good], right[good]])
         span = np.concatenate([length[good], length[good]])
@@ -185,8 +191,9 @@ def _same(a: str, b: str) -> Column:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, digest, spans) of the rows with repeats: byte spans that together hold every repeated string.
 
-    ``digest`` is xxhash64 of the text, so rows that share an id stay apart.
-    Spans may overlap.
+    ``digest`` is xxhash64 of the text, so rows that share an id stay apart. A
+    span has its start in its upper 32 bits and its end in the lower. Spans may
+    overlap.
     """
     spark = docs.sparkSession
     common.scratch(spark)
@@ -196,25 +203,30 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, "text"):
             row, key, digest, start, end = contexts(*common.utf8(batch.column("text")), length, gram)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("digest").take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["id", "digest", "key", "class", "start", "end"])
-
-    found = common.cut(rows.where(F.octet_length("text") >= length).mapInArrow(sample, "id long, digest long, key long, class long, start int, end int"), "contexts")
-    shared = common.cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key")), "samples")
-    again = common.cut(found.join(shared, F.col("key") == F.col("_key")).drop("_key"), "shared")
-    common.forget(spark, found.cut_path)
-    classes = common.cut(again.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "digest", "start", "end")).alias("one")), "classes")
-    copies = common.cut(classes.where("n > 1").select(F.col("key").alias("_key"), F.col("class").alias("_class")), "copies")
-    whole = again.join(copies, (F.col("key") == F.col("_key")) & (F.col("class") == F.col("_class"))).select("id", "digest", "start", "end")
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("digest").take(at), pa.array(key.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(start << 32 | end)], ["id", "digest", "key", "c1", "c2", "span"])
+
+    found = common.cut(rows.where(F.octet_length("text") >= length).mapInArrow(sample, "id long, digest long, key long, c1 long, c2 long, span long"), "contexts")
+    shared = common.cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.col("n").alias("_n")), "samples")
+    total = _total(shared, "_n")
+    again = common.cut(common.join_counted(found, shared, {"key": "_key"}, "_n", total).drop("_key", "_n"), "shared")
+    for done in (found, shared):
+        common.forget(spark, done.cut_path)
+    classes = common.cut(again.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "digest", "span")).alias("one")), "classes")
+    copies = classes.where("n > 1").select(F.col("key").alias("_key"), F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.col("n").alias("_n"))
+    whole = common.join_counted(again, copies, {"key": "_key", "c1": "_c1", "c2": "_c2"}, "_n", total).select("id", "digest", "span")
 
     # Contexts that share a sample with others that differ: their bytes are compared.
-    several = common.cut(classes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low")).where("k > 1 and low = 1").select(F.col("key").alias("_key")), "several")
-    wanted = classes.join(several, F.col("key") == F.col("_key")).select("key", "n", "one.*")
-    wanted = wanted.groupBy("id", "digest").agg(F.collect_list(F.struct("key", "n", "start", "end")).alias("wanted"))
+    several = common.cut(classes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low")).where("k > 1 and low = 1").select(F.col("key").alias("_key"), F.col("k").alias("_k")), "several")
+    wanted = common.join_counted(classes, several, {"key": "_key"}, "_k", _total(several, "_k")).select("key", "n", "one.*")
+    wanted = wanted.groupBy("id", "digest").agg(F.collect_list(F.struct("key", "n", "span")).alias("wanted"))
     wanted = wanted.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "wanted")
-    holders = rows.join(wanted, _same("id", "_id") & (F.col("digest") == F.col("_digest"))).select("id", "digest", F.encode("text", "utf-8").alias("bytes"), F.explode("wanted").alias("w"))
-    held = holders.select("w.key", "id", "digest", F.col("w.start").alias("start"), (F.col("w.n") == 1).alias("single"), F.substring("bytes", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("bytes"))
-    held = common.cut(held, "held").withColumn("uid", F.xxhash64("id", "digest", "start"))
-    units = common.pair_blocks(held, "key", "uid", least=BLOCK_LEAST, most=BLOCK)
+    holders = rows.join(wanted.hint("merge"), _same("id", "_id") & (F.col("digest") == F.col("_digest"))).select("id", "digest", F.encode("text", "utf-8").alias("bytes"), F.explode("wanted").alias("w"))
+    start = F.shiftright("w.span", 32).cast("int")
+    held = holders.select("w.key", "id", "digest", start.alias("start"), (F.col("w.n") == 1).alias("single"), F.substring("bytes", start + 1, F.col("w.span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") - start).alias("bytes"))
+    # Rows that repeat an id and a text hold a context several times; it is wanted once.
+    held = common.cut(held.dropDuplicates(["key", "id", "digest", "start"]), "held")
+    units = common.pair_blocks(held.withColumn("uid", F.xxhash64("id", "digest", "start")), "key", "uid", least=BLOCK_LEAST, most=BLOCK)
 
     @common.tidy
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,14 +238,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             string, start, end = RunIndex(np.frombuffer(b"".join(raw), dtype=np.uint8), np.array(list(map(len, raw)), dtype=np.int64)).matches(length)
             single = table.column("single").to_numpy(zero_copy_only=False)[string]
             string, start, end = string[single], start[single], end[single]
-            origin = table.column("start").to_numpy()[string]
+            origin = table.column("start").to_numpy()[string].astype(np.int64)
             picked = table.select(["id", "digest"]).take(pa.array(string)).combine_chunks()
             columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in picked.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array((origin + start).astype(np.int32)), pa.array((origin + end).astype(np.int32))], ["id", "digest", "start", "end"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((origin + start) << 32 | (origin + end))], ["id", "digest", "span"])
+
+    partial = units.select("key", "bi", "bj", "uid", "id", "digest", "start", "single", "bytes").mapInArrow(index, "id long, digest long, span long")
+    marks = whole.union(partial).groupBy("id", "digest").agg(F.collect_set("span").alias("spans"))
+    marks = common.cut(marks, "repeats")
+    for done in (again, classes, several, held):
+        common.forget(spark, done.cut_path)
+    return marks
+
 
-    partial = units.select("key", "bi", "bj", "uid", "id", "digest", "start", "single", "bytes").mapInArrow(index, "id long, digest long, start int, end int")
-    marks = whole.union(partial).groupBy("id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return common.cut(marks, "repeats")
+def _total(df: DataFrame, count: str) -> int:
+    return df.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -256,26 +275,26 @@ def _remove(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     found = repeats(docs, id_col, text_col, length, gram).select(F.col("id").alias("_run_id"), F.col("digest").alias("_run_digest"), F.col("spans").alias("_run_spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.withColumn("_run_own", F.xxhash64(text)).withColumn("_run_key", F.col(id_col).cast("long"))
-    joined = joined.join(found, _same("_run_key", "_run_id") & (F.col("_run_own") == F.col("_run_digest")), "left")
+    joined = joined.join(found.hint("merge"), _same("_run_key", "_run_id") & (F.col("_run_own") == F.col("_run_digest")), "left")
     names = [f.name for f in docs.schema.fields]
-    joined = joined.select(*docs.columns, F.col("_run_spans.start").alias("_run_start"), F.col("_run_spans.end").alias("_run_end"))
+    joined = joined.select(*docs.columns, "_run_spans")
 
     @common.tidy
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, text_col):
             data, offs = common.utf8(batch.column(text_col))
-            starts, ends = batch.column("_run_start").to_pylist(), batch.column("_run_end").to_pylist()
             kept, size, removed, runs = [], [], [], []
-            for a, b, s, e in zip(offs, offs[1:], starts, ends):
+            for a, b, spans in zip(offs, offs[1:], batch.column("_run_spans")):
                 own = data[a:b]
-                if not s:
+                if not spans.is_valid:
                     kept.append(own.tobytes())
                     removed.append(0)
                     runs.append(0)
                 else:
+                    spans = spans.values.to_numpy()
                     depth = np.zeros(len(own) + 1, dtype=np.int64)
-                    np.add.at(depth, s, 1)
-                    np.add.at(depth, e, -1)
+                    np.add.at(depth, spans >> 32, 1)
+                    np.add.at(depth, spans & 0xFFFFFFFF, -1)
                     gone = np.cumsum(depth[:-1]) > 0
                     kept.append(own[~gone].tobytes())
                     removed.append(int(gone.sum()))
