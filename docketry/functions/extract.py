@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketry.functions.text import captured, contains_any, first_present, present
+from docketry.functions.text import captured, contains_any, first_present, let, present
 
 #: Fixed patterns: numbers of cases.
 GR_BLOCK = r"(?i)G\.R\.\s+No(?:s)?\.?\s*([0-9][0-9\-*,\s]+)"
@@ -26,14 +26,9 @@ NAME = r"([A-Z][A-Za-z\-']+(?:\s+[A-Z][A-Za-z\-']+)*)"
 LONG_NAME = r"([A-Z][A-Za-z\-']+(?:\s+[A-Z][A-Za-z\-']+)*(?:\s+(?:SR\.|JR\.|III|IV|V|VI|VII|VIII|IX|X))*)"
 PONENTES = [rf"{NAME}\s*,\s*(C\.J\.|J\.|JJ\.|CJ\.|CJ|SAJ)\s*[:\.]?", rf"{LONG_NAME}\s*,\s*(J\.|JJ\.|C\.J\.|CJ\.|CJ|SAJ)\s*[:\.]?", rf"{LONG_NAME}\s*,\s*(J|JJ|C\.J\.|CJ\.|CJ|SAJ)\s*[:\.]?"]
 HEADINGS = r"(?i)^(?:DECISION\s+|RESOLUTION\s+|D\s*E\s*C\s*I\s*S\s*I\s*O\s*N\s+|R\s*E\s*S\s*O\s*L\s*U\s*T\s*I\s*O\s*N\s+)"
-#: Fixed patterns: the ruling as the crawler and as the chunker see it, and the other sections in order.
+#: Fixed patterns: the ruling as a page's record and as its chunks see it.
 RULING = r"(?is)(?:WHEREFORE.*?SO ORDERED\.?|ACCORDINGLY.*?SO ORDERED\.?|IN VIEW WHEREOF.*?SO ORDERED\.?)"
 DISPOSITIVE = r"(?is)(?:WHEREFORE|ACCORDINGLY|IN VIEW OF THE FOREGOING|IN VIEW WHEREOF|THUS|HENCE|PREMISES CONSIDERED).{0,10000}?SO\s+ORDERED\.?"
-SECTIONS = [
-    ("facts", "THE FACTS?", "THE ISSUE|THE RULING|WHEREFORE"), ("facts", "ANTECEDENT FACTS?", "THE ISSUE|THE RULING|WHEREFORE"),
-    ("issues", "THE ISSUE[S]?", "THE RULING|WHEREFORE"), ("issues", "ISSUE[S]?", "THE RULING|WHEREFORE"),
-    ("arguments", "THE RULING", "WHEREFORE"), ("arguments", "DISCUSSION", "WHEREFORE"),
-]
 
 
 def head_lines(text: Column, n: int = 10) -> Column:
@@ -90,18 +85,61 @@ def ponente(text: Column) -> Column:
     return F.coalesce(*found)
 
 
-def sections(text: Column, ruling: str = DISPOSITIVE) -> Column:
-    """Sections of more than 100 characters by name, the ruling of any length; the whole text as body if there are none."""
-    pairs = [F.struct(F.lit("ruling").alias("section"), F.trim(captured(text, ruling, 0)).alias("content"))]
-    for k, (name, begin, end) in enumerate(SECTIONS):
-        content = F.regexp_replace(captured(text, rf"(?is){begin}.*?(?={end}|$)", 0), r"^\s+|\s+$", "")
-        long = F.when(F.length(content) > 100, content)
-        if k % 2:
-            pairs[-1] = F.struct(F.lit(name).alias("section"), F.coalesce(pairs[-1]["content"], long).alias("content"))
-        else:
-            pairs.append(F.struct(F.lit(name).alias("section"), long.alias("content")))
-    some = F.filter(F.array(*pairs), lambda s: s["content"].isNotNull())
-    return F.when(F.size(some) > 0, some).otherwise(F.array(F.struct(F.lit("body").alias("section"), text.alias("content"))))
+#: Letters that markers of sections are written in; texts keep their length where only these change.
+_SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Where each section begins, and what ends it; of two beginnings of one section the first that gives enough text counts.
+MARKERS = [
+    ("facts", "THE FACT", ["THE ISSUE", "THE RULING", "WHEREFORE"]), ("facts", "ANTECEDENT FACT", ["THE ISSUE", "THE RULING", "WHEREFORE"]),
+    ("issues", "THE ISSUE", ["THE RULING", "WHEREFORE"]), ("issues", "ISSUE", ["THE RULING", "WHEREFORE"]),
+    ("arguments", "THE RULING", ["WHEREFORE"]), ("arguments", "DISCUSSION", ["WHEREFORE"]),
+]
+LEADS = ["WHEREFORE", "ACCORDINGLY", "IN VIEW OF THE FOREGOING", "IN VIEW WHEREOF", "THUS", "HENCE", "PREMISES CONSIDERED"]
+
+
+def _first_of(places: list[Column]) -> Column:
+    """The smallest place that is not 0; null without one."""
+    return F.least(*(F.nullif(p, F.lit(0)) for p in places)) if len(places) > 1 else F.nullif(places[0], F.lit(0))
+
+
+def _capitals(text: Column) -> Column:
+    """The text in capitals, each character in its place."""
+    upper = F.upper(text)
+    return F.when(F.length(upper) == F.length(text), upper).otherwise(F.translate(text, _SMALL, _LARGE))
+
+
+def _ruling(text: Column, upper: Column, pattern: str, leads: list[str]) -> Column:
+    lead = _first_of([F.instr(upper, w) for w in leads])
+    return F.when(F.contains(upper, F.lit("ORDERED")), let(lead, lambda at: captured(F.substr(text, at), pattern, 0)))
+
+
+def ruling(text: Column, pattern: str = DISPOSITIVE, leads: list[str] = LEADS) -> Column:
+    """The disposition: from the first word that leads one in to SO ORDERED; null without one.
+
+    The pattern is only tried from the first such word on, and only where an order is given at all.
+    """
+    return let(_capitals(text), lambda upper: _ruling(text, upper, pattern, leads))
+
+
+def sections(text: Column, pattern: str = DISPOSITIVE) -> Column:
+    """Sections of more than 100 characters by name, the ruling of any length; the whole text as body if there are none.
+
+    Markers are located in one copy of the text in capitals, then the text is sliced.
+    """
+
+    def content(upper: Column, begin: str, ends: list[str]) -> Column:
+        start = F.nullif(F.instr(upper, begin), F.lit(0))
+        part = let(start, lambda at: F.substr(text, at, F.coalesce(_first_of([F.position(F.lit(e), upper, at + len(begin)) for e in ends]), F.length(text) + 1) - at))
+        return let(F.regexp_replace(part, r"^\s+|\s+$", ""), lambda c: F.when(F.length(c) > 100, c))
+
+    def listed(upper: Column) -> Column:
+        pairs = [F.struct(F.lit("ruling").alias("section"), F.trim(_ruling(text, upper, pattern, LEADS)).alias("content"))]
+        for name in dict.fromkeys(m[0] for m in MARKERS):
+            tries = [content(upper, begin, ends) for own, begin, ends in MARKERS if own == name]
+            pairs.append(F.struct(F.lit(name).alias("section"), F.coalesce(*tries).alias("content")))
+        return F.filter(F.array(*pairs), lambda s: s["content"].isNotNull())
+
+    body = F.array(F.struct(F.lit("body").alias("section"), text.alias("content")))
+    return let(let(_capitals(text), listed), lambda some: F.when(F.size(some) > 0, some).otherwise(body))
 
 
 def section_type(section: Column) -> Column:
@@ -138,11 +176,14 @@ def header_block(text: Column) -> Column:
 
 def dispositive_excerpt(text: Column) -> Column:
     """The first 200 characters of the ruling, cut at a word if one ends after the 150th."""
-    ruling = captured(text, DISPOSITIVE, 0)
-    first = F.trim(F.substring(ruling, 1, 200))
-    at = F.length(first) - F.locate(" ", F.reverse(first))
-    whole = F.when((F.locate(" ", F.reverse(first)) > 0) & (at > 150), F.concat(F.substr(first, F.lit(1), at), F.lit("..."))).otherwise(first)
-    return F.coalesce(F.when(F.length(ruling) > 200, whole).otherwise(first), F.lit(""))
+
+    def cut(found: Column) -> Column:
+        first = F.trim(F.substring(found, 1, 200))
+        at = F.length(first) - F.locate(" ", F.reverse(first))
+        whole = F.when((F.locate(" ", F.reverse(first)) > 0) & (at > 150), F.concat(F.substr(first, F.lit(1), at), F.lit("..."))).otherwise(first)
+        return F.when(F.length(found) > 200, whole).otherwise(first)
+
+    return F.coalesce(let(ruling(text), cut), F.lit(""))
 
 
 def gr_of_query(query: Column) -> Column:

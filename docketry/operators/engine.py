@@ -1,7 +1,8 @@
 """Questions end to end: routed, looked up or searched, rescored, each case once, with a summary.
 
-All questions of a table are answered by one plan. Questions are few and go to
-every executor; cases are shuffled only where a search needs it.
+All questions of a table are answered by one plan. Tables of questions go to
+every executor as far as ``search.sized`` finds them small; cases are shuffled
+only where a search needs it.
 """
 
 from __future__ import annotations
@@ -37,16 +38,16 @@ def answer(cases: DataFrame, queries: DataFrame, key: str = "doc_id", top: int =
 
     numbered = asked.where("route in ('number', 'special')").select("query_id", "route", F.explode(F.when(F.col("route") == "special", F.array(F.struct(F.lit(0).alias("place"), F.col("special").alias("number")))).otherwise(F.array(*(F.struct(F.lit(n).alias("place"), F.concat(F.lit(p), F.col("gr")).alias("number")) for n, p in enumerate(FORMS))))).alias("form"))
     numbers = own.select("*", F.explode(F.array_distinct(F.array_compact(F.array("gr_number", "special_number")))).alias("number"))
-    exact = numbers.join(F.broadcast(numbered.select("query_id", "route", "form.place", "form.number")), "number")
+    exact = numbers.join(search.sized(numbered.select("query_id", "route", "form.place", "form.number")), "number")
     exact = exact.withColumn("first", F.min("place").over(Window.partitionBy("query_id"))).where("place = first").select("query_id", "route", F.lit(0.0).alias("score"), *fields)
 
-    by_justice = own.crossJoin(F.broadcast(asked.where("route = 'ponente'"))).where(extract.ponente_matches(F.col("ponente"), F.col("justice"))).select("query_id", "route", F.lit(0.0).alias("score"), *fields)
-    titled = own.crossJoin(F.broadcast(asked.where("route = 'title'"))).where(F.forall("parties", lambda p: F.contains(F.lower("case_title"), p))).select("query_id", "route", F.lit(0.0).alias("score"), *fields)
+    by_justice = own.crossJoin(search.sized(asked.where("route = 'ponente'"))).where(extract.ponente_matches(F.col("ponente"), F.col("justice"))).select("query_id", "route", F.lit(0.0).alias("score"), *fields)
+    titled = own.crossJoin(search.sized(asked.where("route = 'title'"))).where(F.forall("parties", lambda p: F.contains(F.lower("case_title"), p))).select("query_id", "route", F.lit(0.0).alias("score"), *fields)
 
     met = titled.select("query_id").distinct()
-    worded = asked.where("route in ('words', 'title')").join(F.broadcast(met), "query_id", "left_anti")
+    worded = asked.where("route in ('words', 'title')").join(met, "query_id", "left_anti")
     hits = search.ranked(search.bm25(own, worded.select("query_id", "query"), key, "clean_text"), "doc_id", 4 * top).withColumnRenamed("doc_id", "_hit").withColumnRenamed("score", "_bm25")
-    found = own.join(hits, F.col(key) == F.col("_hit")).join(F.broadcast(worded.select("query_id", "query")), "query_id")
+    found = own.join(hits, F.col(key) == F.col("_hit")).join(worded.select("query_id", "query"), "query_id")
     similar = extract.title_similarity(extract.query_parts(F.col("query")), F.col("case_title"))
     searched = found.select("query_id", F.lit("words").alias("route"), (similar * 0.7 + F.col("_bm25") * 0.3).alias("score"), *fields)
 

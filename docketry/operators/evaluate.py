@@ -72,8 +72,7 @@ def section_scores(text: Column) -> Column:
     low = F.lower(text)
     out = []
     for name, words in rules.DIGEST_WORDS.items():
-        listed = words.split("|")
-        share = F.size(F.filter(F.array(*map(F.lit, listed)), lambda w: F.contains(low, w))) / float(len(listed))
+        share = F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))) / float(len(words))
         patterns = rules.DIGEST_PATTERNS[name]
         found = sum((low.rlike(p).cast("int") for p in patterns), F.lit(0)) / float(len(patterns))
         out += [F.lit(name), F.least(share, F.lit(1.0)) * 0.7 + found * 0.3]
@@ -110,15 +109,15 @@ def query_relevance(query: Column, response: Column) -> Column:
     words = F.array_distinct(F.filter(ascii_tokens(query, 1), lambda w: F.length(w) > 3))
     low = F.lower(response)
     direct = F.size(F.array_intersect(words, ascii_tokens(response, 1)))
-    related = F.create_map(*(x for k, v in rules.RELATED.items() for x in (F.lit(k), F.lit(v))))
-    bonus = F.size(F.filter(words, lambda w: F.exists(F.split(F.coalesce(F.try_element_at(related, w), F.lit("")), r"\|"), lambda s: (s != "") & F.contains(low, s)))) * 0.5
+    related = F.create_map(*(x for k, v in rules.RELATED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    bonus = F.size(F.filter(words, lambda w: F.coalesce(F.exists(F.try_element_at(related, w), lambda s: F.contains(low, s)), F.lit(False)))) * 0.5
     n = F.size(words)
     return F.when(n == 0, 0.5).otherwise(F.least(F.lit(1.0), direct / n + F.least(bonus / n, F.lit(0.3))))
 
 
 def context_relevance(query: Column, response: Column, context: Column) -> Column:
     """0.7 of the relevance, and 0.3 for the words of the question that context and answer share."""
-    stop = F.split(F.lit(rules.STOP_WORDS), r"\|")
+    stop = F.array(*map(F.lit, rules.STOP_WORDS))
     words = lambda c: F.array_except(F.array_distinct(ascii_tokens(c, 1)), stop)
     shared = F.array_intersect(words(query), words(context))
     overlap = _ratio(F.size(F.array_intersect(shared, words(response))), F.size(shared))

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from docketry.functions.text import ascii_tokens
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Rows of a table that may go to every executor.
+FEW = 20_000
+
+
+def sized(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, to be sent to every executor if it has at most ``most`` rows; else Spark joins it as any other table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -15,27 +22,53 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(ascii_tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score) of the documents that share a term with a query.
+def totals(docs: DataFrame, words: Column) -> DataFrame:
+    """One row (n, all_terms): documents and the terms of all of them."""
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(words)), F.lit(0)).alias("all_terms"))
 
-    ``queries`` has query_id and query. Repeated words of a query count
-    repeatedly; terms in more than half the documents get a share of the mean
-    weight instead of a negative one.
+
+def weigh(vocabulary: DataFrame, sums: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, term, qtf, idf, n, all_terms) of the terms of questions.
+
+    ``vocabulary`` has (term, df). Terms in more than half the documents get a
+    share of the mean weight of all terms instead of a negative one.
     """
-    index = postings(docs, doc_id, text)
-    lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    # All three are one row each, so the joins with them are no shuffles.
-    totals = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("all_terms")))
-    # Counted over tf, so that all uses of the index need the same columns and share one shuffle.
-    idf = index.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).crossJoin(F.broadcast(totals)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    weight = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = vocabulary.crossJoin(F.broadcast(sums)).withColumn("idf", weight)
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    wanted = queries.select("query_id", F.explode(ascii_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = wanted.join(idf, "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
-    hits = index.join(weights, "term").join(lengths, "doc_id").crossJoin(F.broadcast(totals))
+    known = idf.join(wanted, "term").crossJoin(F.broadcast(mean))
+    return known.select("query_id", "term", "qtf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "n", "all_terms")
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of questions (query_id, query); repeated words count repeatedly."""
+    return queries.select("query_id", F.explode(ascii_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def scored(hits: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of rows with qtf, idf, tf, dl, n and all_terms."""
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("all_terms") / F.col("n"))))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, doc_id, score) of the documents that share a term with a query.
+
+    ``queries`` has query_id and query. Documents are cut into words within
+    their row: their length is a size, and only words of the questions leave
+    the row. What is shuffled is the vocabulary, combined before the shuffle,
+    and the hits. ``index`` stores both, for questions that come again.
+    """
+    split = docs.select(F.col(doc_id).alias("doc_id"), ascii_tokens(F.col(text)).alias("words"))
+    vocabulary = split.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked_terms(queries)
+    weights = weigh(vocabulary, totals(split, F.col("words")), sized(wanted))
+    terms = [r[0] for r in wanted.select("term").distinct().limit(FEW + 1).collect()]
+    kept = F.filter("words", lambda w: w.isin(terms)) if len(terms) <= FEW else F.col("words")
+    tf = split.select("doc_id", F.size("words").alias("dl"), F.explode(kept).alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return scored(tf.join(weights, "term"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors in double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -43,8 +76,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score); ``queries`` (query_id, q) are few by contract and go to every executor."""
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+    """(query_id, vec_id, score) of all vectors for each of a stated set of questions (query_id, q)."""
+    return vectors.crossJoin(sized(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
 
 
 def ranked(scores: DataFrame, key: str, k: int, by: str = "query_id", places: int = 9) -> DataFrame:
@@ -69,7 +102,7 @@ def first_per_key(df: DataFrame, key: Column, *order: Column, limit: int | None
     return kept.orderBy(*order).limit(limit) if limit else kept
 
 
-def within_budget(df: DataFrame, tokens: str, budget: int, *order: Column, by: str | None = None) -> DataFrame:
-    """Rows in order up to the first that goes over the budget, with the running sum."""
-    window = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def within_budget(df: DataFrame, tokens: str, budget: int, *order: Column, by: str) -> DataFrame:
+    """Rows of each question in order up to the first that goes over the budget, with the running sum."""
+    window = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("running", F.sum(tokens).over(window)).where(F.col("running") <= budget)

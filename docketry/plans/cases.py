@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.functions import extract, rules, text
+from docketry.functions import classify, extract, rules, text
 from docketry.operators import chunks
 from docketry.plans.registry import query
-from docketry.sources.tables import CASES_SQL, cases, table, whole_cases
+from docketry.sources.tables import CASES_SQL, cases, table
 
 CTE = f"WITH RECURSIVE cases AS ({CASES_SQL})"
 
@@ -68,48 +65,38 @@ def ponente(spark: SparkSession, folder: str) -> DataFrame:
     return cases(spark, folder).select("doc_id", extract.ponente(F.col("clean_text")).alias("ponente"))
 
 
+def _any_sql(c: str, words: list[str]) -> str:
+    return f"regexp_matches({c}, '{'|'.join(words)}')"
+
+
 def _subtype_sql() -> str:
-    one = lambda words: f"regexp_matches(t, '{words}')"
     items = []
     for label, words in rules.SUBTYPES:
-        condition = "g LIKE '%-%'" if not words else one(words)
+        condition = _any_sql("t", words) if words else "g LIKE '%-%'"
         if label == "administrative_matter":
-            condition = f"NOT regexp_matches(u, '{rules.NOT_ADMINISTRATIVE}') AND {condition}"
+            condition = f"NOT {_any_sql('u', rules.NOT_ADMINISTRATIVE)} AND {condition}"
         if label == "disciplinary_complaint":
-            condition = f"NOT regexp_matches(u, '{rules.NOT_ADMINISTRATIVE}') AND contains(u, 'COMPLAINANT') AND contains(u, 'RESPONDENT')"
+            condition = f"NOT {_any_sql('u', rules.NOT_ADMINISTRATIVE)} AND contains(u, 'COMPLAINANT') AND contains(u, 'RESPONDENT')"
         items.append(f"CASE WHEN {condition} THEN '{label}' END")
     return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
 
 
 @query(CTE + f""", u AS (SELECT doc_id, upper(case_title) AS u, upper(case_title) || chr(10) || upper(substr(clean_text, 1, 4000)) AS t, gr_number AS g FROM cases),
     s AS (SELECT doc_id, u, t, {_subtype_sql()} AS a FROM u)
-    SELECT doc_id, CASE WHEN contains(t, 'A.M.') THEN 'administrative' WHEN regexp_matches(t, '{rules.CRIMINAL}') THEN 'criminal' ELSE 'civil' END AS case_type,
+    SELECT doc_id, CASE WHEN contains(t, 'A.M.') THEN 'administrative' WHEN {_any_sql("t", rules.CRIMINAL)} THEN 'criminal' ELSE 'civil' END AS case_type,
       array_to_string(CASE WHEN contains(t, 'PETITION') AND NOT list_has_any(a, ['certiorari', 'mandamus', 'prohibition', 'habeas_corpus', 'appeal']) THEN list_append(a, 'petition') ELSE a END, '|') AS case_subtypes FROM s""")
 def case_type_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Primary type and subtypes by keyword, in the order of the rules."""
-    both = cases(spark, folder).select("doc_id", "gr_number", F.upper("case_title").alias("u"), F.concat(F.upper("case_title"), F.lit("\n"), F.upper(F.substring("clean_text", 1, 4000))).alias("t"))
-    # Plain substring tests: there are about a hundred, and a regular expression costs many times as much.
-    holds = lambda c, words: reduce(or_, (F.contains(c, F.lit(w)) for w in words.split("|")))
-    plain = ~holds("u", rules.NOT_ADMINISTRATIVE)
-    items = []
-    for label, words in rules.SUBTYPES:
-        met = holds("t", words) if words else F.contains("gr_number", F.lit("-"))
-        if label == "administrative_matter":
-            met = plain & met
-        if label == "disciplinary_complaint":
-            met = plain & F.contains("u", F.lit("COMPLAINANT")) & F.contains("u", F.lit("RESPONDENT"))
-        items.append(F.when(met, label))
-    found = both.withColumn("a", F.array_compact(F.array(*items)))
-    open_ = F.contains("t", F.lit("PETITION")) & ~F.arrays_overlap("a", F.array(*map(F.lit, rules.NAMED_PETITIONS)))
-    kind = F.when(F.contains("t", F.lit("A.M.")), "administrative").when(holds("t", rules.CRIMINAL), "criminal").otherwise("civil")
-    return found.select("doc_id", kind.alias("case_type"), _joined(F.when(open_, F.array_append("a", "petition")).otherwise(F.col("a"))).alias("case_subtypes"))
+    kinds = classify.case_types(F.col("case_title"), F.col("clean_text"), F.col("gr_number"))
+    found = cases(spark, folder).select("doc_id", kinds.alias("k"))
+    return found.select("doc_id", "k.case_type", _joined(F.col("k.case_subtypes")).alias("case_subtypes"))
 
 
 def _section_sql() -> str:
     one = lambda begin, end: f"trim(regexp_extract(clean_text, '(?is)({begin}.*?)(?:{end}|$)', 1), ' ' || chr(10))"
     out = "(SELECT doc_id, 'ruling' AS section, trim(regexp_extract(clean_text, '(?is)(?:WHEREFORE|ACCORDINGLY|IN VIEW OF THE FOREGOING|IN VIEW WHEREOF|THUS|HENCE|PREMISES CONSIDERED).*?SO\\s+ORDERED\\.?', 0)) AS content FROM cases)"
     for name in ("facts", "issues", "arguments"):
-        tries = [f"CASE WHEN length({one(b, e)}) > 100 THEN {one(b, e)} END" for n, b, e in extract.SECTIONS if n == name]
+        tries = [f"CASE WHEN length({one(b, '|'.join(e))}) > 100 THEN {one(b, '|'.join(e))} END" for n, b, e in extract.MARKERS if n == name]
         out += f" UNION ALL (SELECT doc_id, '{name}', coalesce({', '.join(tries)}, '') FROM cases)"
     return out
 
@@ -174,7 +161,7 @@ def chunk_stats_by_section(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of every case with identifiers and places."""
-    made = chunks.section_chunks(whole_cases(spark, folder).select("doc_id", "clean_text", "gr_number", "special_number"))
+    made = chunks.section_chunks(cases(spark, folder).select("doc_id", "clean_text", "gr_number", "special_number"))
     made = made.withColumn("id", chunks.chunk_id(text.first_present(F.col("gr_number"), F.col("special_number")), F.col("section"), F.col("paragraph_index")))
     order = Window.partitionBy("doc_id").orderBy("section", "paragraph_index")
     return made.select("doc_id", "id", "section", "section_type", "paragraph_index", "token_count", F.md5(F.encode("content", "utf-8")).alias("digest"), (F.row_number().over(order) - 1).alias("chunk_index"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("total_chunks"))
@@ -281,7 +268,7 @@ def title_like(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _subject_sql() -> str:
-    rows = ", ".join(f"('{s}', {k}, '{w}')" for k, (s, ws) in enumerate(rules.SUBJECTS.items()) for w in ws.split("|"))
+    rows = ", ".join(f"('{s}', {k}, '{w}')" for k, (s, ws) in enumerate(rules.SUBJECTS.items()) for w in ws)
     return f"(VALUES {rows}) AS k(subject, rank, keyword)"
 
 
@@ -290,10 +277,8 @@ SUBJECT_CTE = CTE + f""", low AS (SELECT doc_id, lower(case_title || ' ' || clea
 
 
 def _subject_scores(spark: SparkSession, folder: str) -> DataFrame:
-    low = cases(spark, folder).select("doc_id", F.lower(F.concat_ws(" ", "case_title", "clean_text")).alias("t"))
-    # ASCII word borders on both sides, as the rules are in ASCII.
-    counts = [F.struct(F.lit(s).alias("subject"), F.lit(k).alias("rank"), sum((F.when(F.contains("t", F.lit(w)), F.regexp_count("t", F.lit(rf"(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])"))).otherwise(0) for w in ws.split("|")), F.lit(0)).cast("long").alias("score")) for k, (s, ws) in enumerate(rules.SUBJECTS.items())]
-    return low.select("doc_id", F.explode(F.array(*counts)).alias("s")).select("doc_id", "s.*").where("score > 0")
+    counts = classify.subject_counts(F.concat_ws(" ", "case_title", "clean_text"))
+    return cases(spark, folder).select("doc_id", F.explode(counts).alias("s")).select("doc_id", "s.*").where("score > 0")
 
 
 @query(SUBJECT_CTE + " SELECT doc_id, subject, score FROM sc")

@@ -66,7 +66,7 @@ def best_reference(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _section_sql(c: str, name: str) -> str:
-    words, patterns = rules.DIGEST_WORDS[name].split("|"), rules.DIGEST_PATTERNS[name]
+    words, patterns = rules.DIGEST_WORDS[name], rules.DIGEST_PATTERNS[name]
     listed = ", ".join(f"'{w}'" for w in words)
     found = " + ".join(f"CAST(regexp_matches(lower({c}), '{p}') AS INTEGER)" for p in patterns)
     return f"(0.7::DOUBLE * len(list_filter([{listed}], lambda w: contains(lower({c}), w))) / {float(len(words))} + 0.3::DOUBLE * ({found}) / {float(len(patterns))})"
@@ -106,7 +106,7 @@ _WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a
 
 
 @query(f"""WITH pairs AS ({PAIRS_SQL}), w AS (SELECT pair_id, lower(response) AS low, {_WORDS.format('query', 3)} AS q, {_WORDS.format('response', 0)} AS r FROM pairs),
-    rel AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in rules.RELATED.items())}) AS t(word, related)),
+    rel AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{'|'.join(v)}')" for k, v in rules.RELATED.items())}) AS t(word, related)),
     b AS (SELECT pair_id, 0.5::DOUBLE * count(*) AS bonus FROM w JOIN rel ON list_contains(q, word) AND len(list_filter(string_split(related, '|'), lambda s: contains(low, s))) > 0 GROUP BY pair_id)
     SELECT pair_id, round(least(1.0, len(list_intersect(q, r)) / CAST(len(q) AS DOUBLE) + least(coalesce(bonus, 0) / len(q), 0.3)), 6) AS relevance FROM w LEFT JOIN b USING (pair_id)""")
 def query_relevance(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,14 +114,14 @@ def query_relevance(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).select("pair_id", F.round(evaluate.query_relevance(F.col("query"), F.col("response")), 6).alias("relevance"))
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS.split("|")) + "]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS) + "]"
 
 
 @query(f"""WITH pairs AS ({PAIRS_SQL}), w AS (SELECT pair_id, list_filter({_WORDS.format('query', 0)}, lambda x: NOT list_contains({_STOP}, x)) AS q, {_WORDS.format('response', 0)} AS r, {_WORDS.format('reference', 0)} AS c FROM pairs),
     s AS (SELECT pair_id, list_intersect(q, c) AS s, r FROM w) SELECT pair_id, CAST(len(s) AS INTEGER) AS n_shared, round(CASE WHEN len(s) > 0 THEN len(list_intersect(s, r)) / CAST(len(s) AS DOUBLE) ELSE 0 END, 6) AS overlap FROM s""")
 def context_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Words of a question that its context has, and how many of those the answer has."""
-    stop = F.split(F.lit(rules.STOP_WORDS), r"\|")
+    stop = F.array(*map(F.lit, rules.STOP_WORDS))
     words = lambda c: F.array_except(F.array_distinct(evaluate.ascii_tokens(F.col(c), 1)), stop)
     shared = _pairs(spark, folder).select("pair_id", F.array_intersect(words("query"), words("reference")).alias("s"), words("response").alias("r"))
     return shared.select("pair_id", F.size("s").alias("n_shared"), F.round(F.coalesce(F.try_divide(F.size(F.array_intersect("s", "r")), F.size("s")), F.lit(0.0)), 6).alias("overlap"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import extract, text
-from docketry.operators import engine, search
+from docketry.operators import engine, index, search
 from docketry.plans.cases import CTE, section_chunks
 from docketry.plans.registry import query
-from docketry.sources.tables import cases, table, whole_cases
+from docketry.sources import scratch
+from docketry.sources.tables import cases, table
 
 QUESTION = "the of and erthat tion nothere"
 TOKENS = r"list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) >= 2)"
@@ -50,6 +51,24 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _lexical(spark, folder, 10).select("doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {BM25_CTE} SELECT doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM lex WHERE rank <= 10")
+def stored_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten best documents by a word index that is written first; a question reads its terms' folders alone."""
+    path = scratch.path(spark, "index")
+    index.build(table(spark, folder, "documents"), path)
+    return search.ranked(index.bm25(spark, path, _question(spark)), "doc_id", 10).select("doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {VECTOR_CTE} SELECT doc_id AS vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM vec WHERE rank <= 20")
+def stored_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty nearest of stored unit vectors."""
+    path = scratch.path(spark, "index")
+    vectors = table(spark, folder, "embeddings")
+    index.build_vectors(vectors, path)
+    asked = vectors.where("vec_id = 0").select(F.lit(1).alias("query_id"), F.col("embedding").alias("q"))
+    return index.nearest(spark, path, asked, 20).select(F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {BM25_CTE} SELECT CAST(count(*) AS BIGINT) AS n_documents, round(sum(coalesce(score, 0)), 4) AS total, CAST(count(*) FILTER (score IS NULL) AS BIGINT) AS n_zero FROM documents LEFT JOIN sc USING (doc_id)")
 def bm25_all_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all documents, those without a shared term as zero."""
@@ -88,7 +107,7 @@ def hybrid_hydrated(spark: SparkSession, folder: str) -> DataFrame:
 def title_party_match(spark: SparkSession, folder: str) -> DataFrame:
     """Cases whose title names both parties of a question."""
     asked = spark.range(1).select(extract.parties(F.lit("Acme vs NLRC 2")).alias("p"))
-    met = cases(spark, folder).crossJoin(F.broadcast(asked)).where((F.size("p") >= 2) & F.forall("p", lambda p: F.contains(F.lower("case_title"), p)))
+    met = cases(spark, folder).crossJoin(search.sized(asked)).where((F.size("p") >= 2) & F.forall("p", lambda p: F.contains(F.lower("case_title"), p)))
     return met.orderBy("doc_id").limit(50).select("doc_id", "case_title")
 
 
@@ -97,8 +116,8 @@ def exact_number_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Cases with a number; the first of its forms that any case has counts."""
     forms = ["100010", "G.R. No. 100010", "GR No. 100010"]
     place = F.array_position(F.array(*map(F.lit, forms)), F.col("gr_number"))
-    met = cases(spark, folder).where(F.col("gr_number").isin(forms)).withColumn("form", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(place)))
-    return met.where("form = 1").orderBy("doc_id").limit(8).select("doc_id", "gr_number")
+    met = cases(spark, folder).where(F.col("gr_number").isin(forms)).withColumn("form", place)
+    return met.join(F.broadcast(met.agg(F.min("form").alias("form"))), "form").orderBy("doc_id").limit(8).select("doc_id", "gr_number")
 
 
 #: Questions for the routing query, and how often a text of a conversation stands for each.
@@ -234,4 +253,4 @@ def important_section_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Questions from routing to a summary."""
     asked = spark.createDataFrame(list(enumerate([*ASKED, "G.R. No. 100010", "A.M. No. P-13-2903"])), "query_id int, query string")
-    return engine.answer(whole_cases(spark, folder), asked)
+    return engine.answer(cases(spark, folder), asked)

@@ -10,7 +10,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Documents as case records with a header, a caption and sections. Both SQL dialects read it.
+#: Documents as case records with a header, a caption and their whole texts, every third in sections. Both SQL dialects read it.
 CASES_SQL = """
 SELECT doc_id,
   concat(
@@ -24,7 +24,7 @@ SELECT doc_id,
       WHEN 4 THEN 'IN RE: PETITION FOR ADOPTION OF ANA ' ELSE 'BIR, PETITIONER, VS. DELTA CO. ' END, doc_id % 50, ', RESPONDENT.', chr(10),
     'D E C I S I O N', chr(10),
     CASE doc_id % 5 WHEN 0 THEN 'PERALTA, J.:' WHEN 1 THEN 'LAZARO-JAVIER, J.:' WHEN 2 THEN 'GESMUNDO, C.J.:' WHEN 3 THEN 'PER CURIAM:' ELSE 'DELA CRUZ, J.:' END, chr(10),
-    CASE WHEN doc_id % 3 = 0 THEN concat('THE FACTS', chr(10), substr(text, 1, 900), chr(10), 'THE ISSUE', chr(10), substr(text, 1, 300), chr(10), 'THE RULING', chr(10), substr(text, 200, 700), chr(10)) ELSE concat(text, chr(10)) END,
+    CASE WHEN doc_id % 3 = 0 THEN concat('THE FACTS', chr(10), substr(text, 1, CAST(floor(length(text) / 3) AS INT)), chr(10), 'THE ISSUE', chr(10), substr(text, CAST(floor(length(text) / 3) AS INT) + 1, CAST(floor(length(text) / 3) AS INT)), chr(10), 'THE RULING', chr(10), substr(text, 2 * CAST(floor(length(text) / 3) AS INT) + 1), chr(10)) ELSE concat(text, chr(10)) END,
     CASE WHEN doc_id % 2 = 0 THEN concat('WHEREFORE, the petition is GRANTED. ', substr(text, 1, 180), ' SO ORDERED.') ELSE 'Costs against petitioner.' END
   ) AS clean_text,
   CASE doc_id % 6 WHEN 0 THEN concat('PEOPLE OF THE PHILIPPINES, PLAINTIFF, VS. JUAN CRUZ ', doc_id % 50) WHEN 1 THEN concat('MARIA REYES, PETITIONER, VS. COURT OF APPEALS ', doc_id % 50)
@@ -42,15 +42,3 @@ FROM documents
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of a folder as case records."""
     return spark.sql(CASES_SQL.replace("FROM documents", "FROM {documents}"), documents=table(spark, folder, "documents"))
-
-
-#: The sections of every third document: as CASES_SQL has them, and with the whole text at its thirds.
-_CUT = "substr(text, 1, 900), chr(10), 'THE ISSUE', chr(10), substr(text, 1, 300), chr(10), 'THE RULING', chr(10), substr(text, 200, 700)"
-_WHOLE = "substr(text, 1, {n}), chr(10), 'THE ISSUE', chr(10), substr(text, {n} + 1, {n}), chr(10), 'THE RULING', chr(10), substr(text, 2 * {n} + 1)".replace("{n}", "CAST(floor(length(text) / 3) AS INT)")
-
-
-def whole_cases(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of a folder as case records that hold every character of their texts."""
-    if _CUT not in CASES_SQL:
-        raise ValueError("CASES_SQL has other sections")
-    return spark.sql(CASES_SQL.replace(_CUT, _WHOLE).replace("FROM documents", "FROM {documents}"), documents=table(spark, folder, "documents"))

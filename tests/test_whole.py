@@ -3,7 +3,7 @@
 import pytest
 
 from docketry.plans import catalogue
-from docketry.sources.tables import whole_cases
+from docketry.sources.tables import cases
 
 TEXT = " ".join(f"Word{k} stands in sentence {k} of this text." for k in range(1500))
 
@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
 
 
 def test_every_character_reaches_the_cases(spark, folder):
-    for r in whole_cases(spark, folder).collect():
+    for r in cases(spark, folder).collect():
         if r.doc_id % 3:
             assert TEXT in r.clean_text
         else:
