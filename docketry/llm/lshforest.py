@@ -3,15 +3,22 @@
 A tree is a sorted array of hash strings, one bit for each of its random
 hyperplanes. A query descends each tree to the entries that share its longest
 prefix. Then all trees are ascended together, one bit at a time: the entries
-that share the shorter prefix join the candidates, until there are enough. The
-nearest of the candidates by cosine in double precision are returned.
+that share the shorter prefix join the candidates, whose cosines are computed
+in double precision at once.
+
+The ascent ends by itself: a row at cosine s shares a bit with the query with
+probability p = 1 - acos(s) / pi, so it is in none of T ranges of prefixes of n
+bits with probability (1 - p**n)**T. Once that is at most ``MISS`` for the
+score of the last neighbour found, a nearer row is unlikely to be missing. So
+queries in tight groups end after few rows, and those whose neighbours are
+hardly nearer than chance see a large part of the rows. With ``miss`` 0 each
+query ascends to the roots, and the result is exact.
 
 Rows are dealt into blocks of bounded size, each with a forest of its own, and
 queries into blocks as well; each block of queries searches each block of rows,
-and the best of all blocks are merged. How many candidates a block yields is a
-share of its rows, so recall does not change with the size of the table; the
-tests hold it against brute force. Equal vectors have equal strings in all
-trees, so they are candidates together.
+and the best of all blocks are merged. Equal vectors have equal strings in all
+trees, so they are candidates together. The tests hold recall and the share of
+rows that is verified against brute force.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components take no part, nor do rows without an id; only vectors of equal
@@ -23,6 +30,8 @@ result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,56 +40,91 @@ from pyspark.sql import functions as F
 from docketry.llm import common, vectors
 
 TOP = 5
-#: Trees; bits of a string; entries met (counted once per tree) that are enough, as a share of a block's rows.
-TREES, DEPTH, SHARE = 32, 24, 1.0
-#: Rows and queries of a block.
-ROWS, QUERIES = 16384, 32768
+#: Trees; bits of a string; probability of missing a row as near as the last neighbour at which the ascent ends.
+TREES, DEPTH, MISS = 192, 24, 0.1
+#: Rows and queries of a block; queries whose ranges are held at a time.
+ROWS, QUERIES, AT_ONCE = 16384, 32768, 2048
 SEED = 7
 
 
 class Forest:
-    """Sorted arrays of hash strings over the rows of a matrix."""
+    """Sorted arrays of hash strings over the rows of a matrix, with ids that ascend."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
+        self.ids, self.x, self.norm = ids, x, np.linalg.norm(x, axis=1)
         self.trees, self.depth = trees, depth
+        self.many = bool((ids[1:] == ids[:-1]).any())
         planes = np.random.default_rng(seed).standard_normal((trees, depth, x.shape[1]))
         self.planes = planes / np.linalg.norm(planes, axis=2, keepdims=True)
-        self.order, self.strings = [], []
+        self.order, self.strings = np.empty((trees, len(x)), dtype=np.int32), np.empty((trees, len(x)), dtype=np.int32)
         for t in range(trees):
             own = self.hash(x, t)
-            order = np.argsort(own, kind="stable")
-            self.order.append(order)
-            self.strings.append(own[order])
+            self.order[t] = np.argsort(own, kind="stable")
+            self.strings[t] = own[self.order[t]]
 
     def hash(self, x: np.ndarray, tree: int) -> np.ndarray:
         """The strings of rows in one tree, first bit highest."""
         bits = x @ self.planes[tree].T > 0
-        return bits.astype(np.int64) @ (1 << np.arange(self.depth - 1, -1, -1, dtype=np.int64))
-
-    def candidates(self, queries: np.ndarray, enough: int):
-        """Rows for each query: all that share the longest prefix length at which enough are met."""
-        strings = np.stack([self.hash(queries, t) for t in range(self.trees)])
-        low = np.zeros(strings.shape, dtype=np.int64)
-        high = np.zeros(strings.shape, dtype=np.int64)
-        open_ = np.ones(len(queries), dtype=bool)
+        return (bits.astype(np.int64) @ (1 << np.arange(self.depth - 1, -1, -1, dtype=np.int64))).astype(np.int32)
+
+    def _met(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Rows of a range in each tree, as often as they are met."""
+        size = high - low
+        first = np.arange(self.trees) * self.order.shape[1] + low
+        return self.order.ravel()[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    def _best(self, rows: np.ndarray, score: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the best ``top`` of distinct ids."""
+        if self.many and len(rows):
+            by = np.lexsort((-score, self.ids[rows]))
+            rows, score = rows[by], score[by]
+            first = np.concatenate([[True], self.ids[rows[1:]] != self.ids[rows[:-1]]])
+            rows, score = rows[first], score[first]
+        by = np.lexsort((self.ids[rows], -score))[:top]
+        return rows[by], score[by]
+
+    def nearest(self, names: np.ndarray, y: np.ndarray, top: int = TOP, miss: float = MISS):
+        """(ids, scores, rows verified) of each query, by name and vector."""
+        for at in range(0, len(y), AT_ONCE):
+            yield from self._nearest(names[at : at + AT_ONCE], y[at : at + AT_ONCE], top, miss)
+
+    def _nearest(self, names: np.ndarray, y: np.ndarray, top: int, miss: float):
+        n, size = len(self.ids), np.linalg.norm(y, axis=1)
+        strings = np.stack([self.hash(y, t) for t in range(self.trees)])
+        low, high = np.zeros(strings.shape, dtype=np.int64), np.zeros(strings.shape, dtype=np.int64)
+        best = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(y)
+        seen: dict[int, np.ndarray] = {}
+        verified = np.zeros(len(y), dtype=np.int64)
+        open_ = np.arange(len(y))
         for up in range(self.depth + 1):
-            at = np.flatnonzero(open_)
             for t in range(self.trees):
-                base = strings[t, at] >> up << up
-                low[t, at] = np.searchsorted(self.strings[t], base)
-                high[t, at] = np.searchsorted(self.strings[t], base + (1 << up))
-            open_[at] = (high[:, at] - low[:, at]).sum(axis=0) < enough
-            if not open_.any():
+                base = strings[t, open_] >> up << up
+                low[t, open_] = np.searchsorted(self.strings[t], base)
+                high[t, open_] = np.searchsorted(self.strings[t], base + (1 << up))
+            stay = []
+            for q in open_.tolist():
+                own = seen.setdefault(q, np.zeros(n, dtype=bool))
+                met = self._met(low[:, q], high[:, q]) if up < self.depth else np.arange(n)
+                met = np.unique(met[~own[met]])
+                own[met] = True
+                met = met[self.ids[met] != names[q]]
+                verified[q] += len(met)
+                rows, score = best[q]
+                if len(met):
+                    rows, score = best[q] = self._best(np.concatenate([rows, met]), np.concatenate([score, (self.x[met] @ y[q]) / (self.norm[met] * size[q])]), top)
+                agree = 1 - math.acos(max(-1.0, min(1.0, score[-1]))) / math.pi if len(rows) == top else 0.0
+                if up < self.depth and (1 - agree ** (self.depth - up)) ** self.trees > miss or len(rows) < top and up < self.depth:
+                    stay.append(q)
+                else:
+                    del seen[q]
+            open_ = np.array(stay, dtype=np.int64)
+            if not stay:
                 break
-        met = np.zeros(len(self.order[0]), dtype=bool)
-        for q in range(len(queries)):
-            met[:] = False
-            for t in range(self.trees):
-                met[self.order[t][low[t, q] : high[t, q]]] = True
-            yield np.flatnonzero(met)
+        for (rows, score), count in zip(best, verified.tolist()):
+            yield self.ids[rows], score, count
 
 
-def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, trees: int = TREES, depth: int = DEPTH, share: float = SHARE) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, trees: int = TREES, depth: int = DEPTH, miss: float = MISS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest rows found for every query, nearest first."""
     spark = rows.sparkSession
     common.scratch(spark)
@@ -98,26 +142,9 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
         if len(left) and len(right):
             ids, x = left.column("id").to_numpy(), vectors.matrix(left.column("v"))
             names, y = right.column("id").to_numpy(), vectors.matrix(right.column("v"))
-            # Rows of one id stand side by side.
             order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            many = bool((ids[1:] == ids[:-1]).any())
-            norm, size = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-            for q, met in enumerate(Forest(x, trees, depth).candidates(y, max(int(share * len(ids)), 8 * top * trees))):
-                met = met[ids[met] != names[q]]
-                if many and len(np.unique(ids[met])) < top:
-                    # The rows of few ids fill the candidates: all rows are candidates.
-                    met = np.flatnonzero(ids != names[q])
-                own, score = ids[met], (x[met] @ y[q]) / (norm[met] * size[q])
-                if many and len(met):
-                    # Of rows that repeat an id the best counts.
-                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    own, score = own[first], np.maximum.reduceat(score, first)
-                if len(own) > 4 * top:
-                    edge = np.partition(score, len(score) - top)[len(score) - top]
-                    own, score = own[score >= edge], score[score >= edge]
-                by = np.lexsort((own, -score))[:top]
-                found.append((np.full(len(by), names[q]), own[by], score[by]))
+            for name, (own, score, _) in zip(names, Forest(ids[order], x[order], trees, depth).nearest(names, y, top, miss)):
+                found.append((np.full(len(own), name), own, score))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 

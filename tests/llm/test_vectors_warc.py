@@ -112,6 +112,43 @@ def test_recall_of_the_forest(spark):
     assert hit / (120 * 5) >= 0.9
 
 
+def _recall(x, forest, queries, miss):
+    s = cosines(x)
+    hit = share = 0
+    for q, (ids, score, verified) in zip(queries, forest.nearest(queries, x[queries], 5, miss)):
+        order = [k for k in np.lexsort((np.arange(len(x)), -s[q])) if k != q][:5]
+        hit += len(set(ids.tolist()) & set(order))
+        share += verified / len(x)
+    return hit / (5 * len(queries)), share / len(queries)
+
+
+def test_share_of_rows_that_is_verified():
+    rng = np.random.default_rng(2)
+    tight = rng.standard_normal((600, 64))[rng.integers(0, 600, 8000)] + rng.standard_normal((8000, 64)) * 0.25
+    loose = rng.standard_normal((8000, 64))
+    queries = np.arange(0, 8000, 100)
+    for x, most in ((tight, 0.02), (loose, 0.45)):
+        x = x.astype(np.float32).astype(np.float64)
+        forest = lshforest.Forest(np.arange(8000), x)
+        recall, share = _recall(x, forest, queries, lshforest.MISS)
+        assert recall >= 0.9 and share <= most
+    # Without a chance of missing anything all rows are seen, and the result is exact.
+    assert _recall(x, forest, queries[:20], 0.0) == (1.0, pytest.approx(7999 / 8000))
+
+
+def test_twice_the_rows_in_groups_need_no_more_candidates():
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((1600, 64))
+    shares = []
+    for n in (4000, 8000, 16000):
+        x = centres[np.arange(n) % (n // 10)] + rng.standard_normal((n, 64)) * 0.2
+        queries = np.arange(0, n, n // 40)
+        recall, share = _recall(x, lshforest.Forest(np.arange(n), x), queries, lshforest.MISS)
+        assert recall >= 0.9
+        shares.append(share)
+    assert shares[2] < 0.6 * shares[0]
+
+
 def test_ties_go_to_smaller_ids(spark):
     x = np.tile(np.random.default_rng(3).standard_normal(16), (40, 1))
     df = table(spark, x)
@@ -135,9 +172,38 @@ def test_round_trip(spark):
         if r.page_id in (3, 5, 9):
             assert (r.payload_digest, r.payload_bytes) == (digest, len(body.encode()))
     assert next(r for r in got if r.page_id == 8).payload == "x" * 300000
+    heads = [h for f in files.collect() for h, _ in warc.records(f.path)]
+    own = [h["warc-record-id"] for h in heads]
+    assert len(set(own)) == len(own) == 9
+    # Page 3 occurs twice, so its revisits name the page; every record that is named exists.
+    assert all(h["x-refers-to-page-id"] == "3" and "warc-refers-to" not in h for h in heads if h["warc-type"] == "revisit")
+    assert all(r.page_id is not None and r.record_type == "revisit" for r in got if r.refers_to is not None)
     assert warc.read(warc.write(df.where("false"), common.fresh(spark, "warc-test"))).count() == 0
 
 
+def test_revisits_name_a_record(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 2)
+    df = spark.createDataFrame([(k, None, ("a" if k % 3 else "b") * 150) for k in range(30)], "page_id long, url string, html string")
+    files = warc.write(df, common.fresh(spark, "warc-test"))
+    heads = [h for f in files.collect() for h, _ in warc.records(f.path)]
+    whole = {h["warc-record-id"]: h["x-page-id"] for h in heads if h["warc-type"] == "response"}
+    assert sorted(whole.values()) == ["0", "1"] and len({h["warc-record-id"] for h in heads}) == 30
+    for h in heads:
+        if h["warc-type"] == "revisit":
+            assert whole[h["warc-refers-to"]] == h["x-refers-to-page-id"] == ("1" if int(h["x-page-id"]) % 3 else "0")
+
+
+def test_pages_without_anything(spark):
+    df = spark.createDataFrame([(None, None, None), (None, None, None), (1, None, None)], "page_id long, url string, html string")
+    got = warc.read(warc.write(df, common.fresh(spark, "warc-test"))).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type) for r in got) == [(0, 0, "response"), (0, 0, "response"), (1, 0, "response")]
+
+
+def test_dictionary_holds_headers_of_records(spark):
+    df = spark.createDataFrame([(k, f"http://site.example/page/{k}", f"<html>page {k} of a site with words {k * 7919 % 1000}</html>" * 4) for k in range(400)], "page_id long, url string, html string")
+    assert b"WARC-Target-URI: http://site.example/page/" in warc.train(df)
+
+
 def test_format(tmp_path):
     samples = [warc.http_head(50) + f"<html><p>page {k} with words that repeat</p></html>".encode() * 3 for k in range(200)]
     known = zstandard.train_dictionary(2000, samples).as_bytes()
@@ -151,7 +217,7 @@ def test_format(tmp_path):
     assert magic == 0x184D2A5D and raw[8 : 8 + size] == known
     first = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(known)).decompressobj()
     assert first.decompress(raw[8 + size :]).startswith(b"WARC/1.1\r\n") and first.unused_data  # a frame for each record
-    assert [int(h["warc-record-id"].split(":")[-1].strip(">")) for h, _ in warc.records(path)] == list(range(20))
+    assert [int(h["x-page-id"]) for h, _ in warc.records(path)] == list(range(20))
     open(path, "wb").write(raw[:-5])
     with pytest.raises((ValueError, zstandard.ZstdError)):
         list(warc.records(path))
