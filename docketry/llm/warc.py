@@ -3,8 +3,13 @@
 A file starts with a skippable frame that holds a Zstandard dictionary, as the
 format for compressed WARC files has it; then each record is a frame of its
 own, compressed with that dictionary. The dictionary is trained on a bounded
-sample of the records. Of records with equal payloads of some length the one
-with the smallest id is written whole, the others as revisits of it.
+sample of records as they are archived, headers included. Of records with equal
+payloads of some length the one with the smallest id is written whole, the
+others as revisits of it.
+
+Every record has an id of its own: that of a row whose page id and payload
+occur once follows from both, so that revisits can name it; any other is
+random. A revisit of a page that occurs several times names the page alone.
 
 Writers are tasks: each writes files of its own to the shared folder and hands
 on their paths, so files of a lost or repeated task are never read.
@@ -33,7 +38,9 @@ from docketry.llm import common, storage
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD_ID = "urn:x-docketry:page:"
+#: Fields of our own: the page of a record, and the page whose payload a revisit repeats.
+PAGE, REFERS = "X-Page-ID", "X-Refers-To-Page-ID"
+NAMES = uuid.UUID("8b8f6f0e-3f0c-5d43-9a55-0f5c2f0a7a11")
 
 #: Bytes of a dictionary; records of the sample it is trained on and bytes of each.
 DICTIONARY_SIZE, SAMPLE_ROWS, SAMPLE_BYTES = 64 << 10, 1000, 8 << 10
@@ -43,10 +50,11 @@ LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 
 
-def train(pages: DataFrame, payload_col: str = "html", id_col: str = "page_id") -> bytes:
-    """A dictionary from a sample of bounded size: the rows with the smallest hashes of their ids.
+def train(pages: DataFrame, payload_col: str = "html", id_col: str = "page_id", url_col: str | None = "url") -> bytes:
+    """A dictionary from a sample of bounded size: records of the rows with the smallest hashes of their ids.
 
-    Empty where the sample is too small to train on.
+    A record of the sample has the beginning of a long payload only. Empty
+    where the sample is too small to train on.
     """
     filled = pages.where(F.length(payload_col) > 0).withColumn("_hash", F.xxhash64(id_col))
     # The threshold comes from the ids alone; only rows below it bring their payloads.
@@ -54,10 +62,12 @@ def train(pages: DataFrame, payload_col: str = "html", id_col: str = "page_id")
     if top is None:
         return b""
     sample = filled.where(F.col("_hash") <= top).limit(SAMPLE_ROWS)
-    texts = [row[0].encode() for row in sample.select(F.substring(payload_col, 1, SAMPLE_BYTES)).collect()]
-    head = http_head(SAMPLE_BYTES)
+    cut = F.substring(payload_col, 1, SAMPLE_BYTES)
+    url = F.substring(url_col, 1, SAMPLE_BYTES) if url_col else F.lit(None).cast("string")
+    taken = sample.select(F.col(id_col).cast("long"), url, cut, F.sha2(payload_col, 256)).collect()
+    records = [record("response", name, url, text.encode(), digest, None) for name, url, text, digest in taken]
     try:
-        return zstandard.train_dictionary(DICTIONARY_SIZE, [head + t for t in texts]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_SIZE, records).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -67,15 +77,28 @@ def http_head(length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
 
 
-def record(kind: str, name: int | None, url: str | None, payload: bytes, digest: str, original: int | None) -> bytes:
-    """One WARC record; a revisit has the HTTP head alone."""
+def record_id(name: int, digest: str) -> str:
+    """The id of the record of a page and payload that occur once."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{name} {digest}')}>"
+
+
+def record(kind: str, name: int | None, url: str | None, payload: bytes, digest: str, original: int | None, single: bool = True, original_single: bool = True) -> bytes:
+    """One WARC record; a revisit has the HTTP head alone.
+
+    ``single``: page and payload occur once; ``original_single``: those of the record that is revisited do.
+    """
     block = http_head(len(payload)) + (payload if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{RECORD_ID}{'' if name is None else name}>", f"WARC-Date: {DATE}"]
+    own = record_id(name, digest) if single and name is not None else f"<urn:uuid:{uuid.uuid4()}>"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
+    if name is not None:
+        lines.append(f"{PAGE}: {name}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{RECORD_ID}{original}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Date: {DATE}", f"{REFERS}: {original}"]
+        if original_single:
+            lines.append(f"WARC-Refers-To: {record_id(original, digest)}")
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -138,29 +161,41 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     common.scratch(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     known = train(rows, "payload", "id") if dictionary is None else dictionary
-    light = rows.where((F.octet_length("payload") >= revisit_from) & F.col("id").isNotNull()).select("id", F.sha2("payload", 256).alias("digest"))
-    first = light.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select(F.col("digest").alias("_digest"), "first")
+    digest = F.sha2("payload", 256).alias("digest")
+    light = rows.where(F.col("id").isNotNull()).select("id", digest, (F.octet_length("payload") >= revisit_from).alias("large"))
+    # One row for each page and payload, and how often they occur together.
+    paired = common.cut(light.groupBy("digest", "id").agg(F.first("large").alias("large"), F.count(F.lit(1)).alias("n")), "warc-pages")
+    first = paired.where("large").groupBy("digest").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    first = common.cut(first.select(F.col("digest").alias("_digest"), "first", "_k"), "warc-first")
+    total = first.agg(F.coalesce(F.sum("_k"), F.lit(0))).first()[0]
+    again = common.join_counted(paired.where("large"), first, {"digest": "_digest"}, "_k", total).where("id <> first.id")
+    alone = F.lit(None).cast("long"), F.lit(None).cast("long")
+    known_first = again.select("id", "digest", "n", F.col("first.id").alias("first"), F.col("first.n").alias("first_n"))
     # By id, not by payload: however many copies a payload has, their rows stay spread.
-    again = light.join(first, F.col("digest") == F.col("_digest")).where("id <> first").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
-    digested = rows.withColumn("digest", F.sha2("payload", 256))
-    planned = digested.join(again, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("id", "url", "payload", "digest", "first")
+    noted = known_first.union(paired.where("n > 1").join(known_first.select("id", "digest").hint("merge"), ["id", "digest"], "left_anti").select("id", "digest", "n", *alone))
+    noted = noted.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "n", "first", "first_n")
+    planned = rows.withColumn("digest", F.sha2("payload", 256)).join(noted.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    planned = planned.select("id", "url", "payload", "digest", "first", F.coalesce(F.col("n") == 1, F.lit(True)).alias("single"), F.coalesce(F.col("first_n") == 1, F.lit(True)).alias("first_single"))
 
     @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
         for batch in batches:
-            for name, url, payload, digest, original in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, url, payload, digest, original, single, first_single in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None or writer.payload >= file_bytes:
                     if writer:
                         done.append(writer.close())
                     writer = Writer(f"{folder}/{uuid.uuid4().hex}.warc.zst", known, level)
                 raw = payload.encode()
-                writer.add(record("response" if original is None else "revisit", name, url, raw, digest, original), len(raw))
+                writer.add(record("response" if original is None else "revisit", name, url, raw, digest, original, single, first_single), len(raw))
         if writer:
             done.append(writer.close())
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "records"])
 
-    return common.cut(planned.mapInArrow(run, "path string, records long"), "warc-files")
+    files = common.cut(planned.mapInArrow(run, "path string, records long"), "warc-files")
+    for done in (paired, first):
+        common.forget(files.sparkSession, done.cut_path)
+    return files
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -172,9 +207,8 @@ def read(files: DataFrame) -> DataFrame:
     """
     tasks = max(1, files.count())
 
-    def number(uri: str | None) -> int | None:
-        tail = (uri or "").strip("<>").removeprefix(RECORD_ID)
-        return int(tail) if tail else None
+    def number(field: str | None) -> int | None:
+        return None if field is None else int(field)
 
     @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +230,7 @@ def read(files: DataFrame) -> DataFrame:
                         payload = block[end:]
                         if len(payload) != length or hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"{path}: a payload differs from its digest")
-                    for column, value in zip(out, (number(headers["warc-record-id"]), headers.get("warc-target-uri"), length, digest, kind, number(headers.get("warc-refers-to")), payload and payload.decode())):
+                    for column, value in zip(out, (number(headers.get(PAGE.lower())), headers.get("warc-target-uri"), length, digest, kind, number(headers.get(REFERS.lower())), payload and payload.decode())):
                         column.append(value)
                     size += len(block)
                     found += 1
