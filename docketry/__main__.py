@@ -1,15 +1,18 @@
-"""Run a registered query, or build the chunk and posting tables of a corpus.
+"""Run a registered query, or build and ask the index of a corpus.
 
     python -m docketry list
     python -m docketry query NAME FOLDER [OUT]
     python -m docketry build CASES.jsonl.gz OUT
+    python -m docketry ask OUT "a question"
 """
 
 from __future__ import annotations
 
 import sys
 
-from docketry.operators import chunks, search
+from pyspark.sql import functions as F
+
+from docketry.operators import chunks, index, search
 from docketry.plans import catalogue
 from docketry.session import build, ship
 from docketry.sources import records
@@ -26,9 +29,15 @@ def main(args: list[str]) -> int:
     if args[:1] == ["build"] and len(args) == 3:
         spark = ship(build())
         cases = records.read_cases(spark, args[1], partitions=spark.sparkContext.defaultParallelism)
-        made = chunks.section_chunks(cases.select("id", "gr_number", "special_number", "case_title", "ponente", "clean_text"))
-        made.drop("clean_text").write.mode("overwrite").parquet(f"{args[2]}/chunks")
-        search.postings(spark.read.parquet(f"{args[2]}/chunks"), "id", "content").write.mode("overwrite").parquet(f"{args[2]}/postings")
+        chunks.case_chunks(cases).write.mode("overwrite").parquet(f"{args[2]}/chunks")
+        index.build(spark.read.parquet(f"{args[2]}/chunks"), args[2], "chunk_id", "content")
+        return 0
+    if args[:1] == ["ask"] and len(args) == 3:
+        spark = ship(build())
+        asked = spark.createDataFrame([(1, args[2])], "query_id int, query string")
+        best = search.ranked(index.bm25(spark, args[1], asked), "doc_id", 10)
+        found = best.join(spark.read.parquet(f"{args[1]}/chunks"), F.col("doc_id") == F.col("chunk_id"))
+        found.select("rank", "score", "case_id", "section", "content_preview").orderBy("rank").show(10, truncate=80)
         return 0
     print(__doc__, file=sys.stderr)
     return 2

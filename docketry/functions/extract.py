@@ -24,7 +24,9 @@ BODY_DATES = [rf"(?i)Promulgated\s*(?:on)?\s*:\s*{DATE}", rf"(?i)Promulgated\s*(
 #: Fixed patterns: a justice's name before the mark of the office.
 NAME = r"([A-Z][A-Za-z\-']+(?:\s+[A-Z][A-Za-z\-']+)*)"
 LONG_NAME = r"([A-Z][A-Za-z\-']+(?:\s+[A-Z][A-Za-z\-']+)*(?:\s+(?:SR\.|JR\.|III|IV|V|VI|VII|VIII|IX|X))*)"
-PONENTES = [rf"{NAME}\s*,\s*(C\.J\.|J\.|JJ\.|CJ\.|CJ|SAJ)\s*[:\.]?", rf"{LONG_NAME}\s*,\s*(J\.|JJ\.|C\.J\.|CJ\.|CJ|SAJ)\s*[:\.]?", rf"{LONG_NAME}\s*,\s*(J|JJ|C\.J\.|CJ\.|CJ|SAJ)\s*[:\.]?"]
+PONENTE_LAST = rf"\b{NAME}\s*,\s*J\.?\b"
+SPACED = r"(?:D\s*E\s*C\s*I\s*S\s*I\s*O\s*N\s+)"
+PONENTES = [rf"{NAME}\s*,\s*(C\.J\.|J\.|JJ\.|CJ\.|CJ|SAJ)\s*[:\.]?", rf"{SPACED}{NAME}\s*,\s*(C\.J\.|J\.|JJ\.|CJ\.|CJ|SAJ)\s*[:\.]?", rf"{LONG_NAME}\s*,\s*(J\.|JJ\.|C\.J\.|CJ\.|CJ|SAJ)\s*[:\.]?", rf"{LONG_NAME}\s*,\s*(J|JJ|C\.J\.|CJ\.|CJ|SAJ)\s*[:\.]?"]
 HEADINGS = r"(?i)^(?:DECISION\s+|RESOLUTION\s+|D\s*E\s*C\s*I\s*S\s*I\s*O\s*N\s+|R\s*E\s*S\s*O\s*L\s*U\s*T\s*I\s*O\s*N\s+)"
 #: Fixed patterns: the ruling as a page's record and as its chunks see it.
 RULING = r"(?is)(?:WHEREFORE.*?SO ORDERED\.?|ACCORDINGLY.*?SO ORDERED\.?|IN VIEW WHEREOF.*?SO ORDERED\.?)"
@@ -82,7 +84,8 @@ def ponente(text: Column) -> Column:
         name = F.trim(F.regexp_replace(F.trim(captured(window, pattern)), HEADINGS, ""))
         mark = captured(window, pattern, 2)
         found.append(F.concat(name, F.lit(", "), F.when(mark.isin("J", "JJ"), F.concat(mark, F.lit("."))).otherwise(mark)))
-    return F.coalesce(*found)
+    plain = F.trim(F.regexp_replace(captured(window, PONENTE_LAST), HEADINGS, ""))
+    return F.coalesce(*found, F.concat(plain, F.lit(", J.")))
 
 
 #: Letters that markers of sections are written in; texts keep their length where only these change.
@@ -274,3 +277,9 @@ def title_similarity(parts: Column, title: Column) -> Column:
 def case_key(gr: Column, special: Column, other: Column) -> Column:
     """What tells a case: its number, its special number, or else."""
     return first_present(gr, special, other)
+
+
+def within_years(year: Column, date: Column, first: int, last: int) -> Column:
+    """Whether a case may be of these years: by its year, else by the four digits that its date begins with; unknown years pass."""
+    known = F.coalesce(year.cast("int"), F.regexp_extract(date, r"^(\d{4})", 1).try_cast("int"))
+    return known.isNull() | known.between(first, last)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.functions import classify, extract, rules, text
+from docketry.functions import classify, extract, rules, text, titles
 from docketry.operators import chunks
 from docketry.plans.registry import query
 from docketry.sources.tables import CASES_SQL, cases, table
@@ -158,13 +158,47 @@ def chunk_stats_by_section(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("section_type", extract.section_type(F.col("section")))
 
 
+def all_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of every case, its summary first."""
+    return chunks.case_chunks(cases(spark, folder), "doc_id")
+
+
 @query()
 def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of every case with identifiers and places."""
-    made = chunks.section_chunks(cases(spark, folder).select("doc_id", "clean_text", "gr_number", "special_number"))
-    made = made.withColumn("id", chunks.chunk_id(text.first_present(F.col("gr_number"), F.col("special_number")), F.col("section"), F.col("paragraph_index")))
-    order = Window.partitionBy("doc_id").orderBy("section", "paragraph_index")
-    return made.select("doc_id", "id", "section", "section_type", "paragraph_index", "token_count", F.md5(F.encode("content", "utf-8")).alias("digest"), (F.row_number().over(order) - 1).alias("chunk_index"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("total_chunks"))
+    made = all_chunks(spark, folder)
+    return made.select("doc_id", F.col("chunk_id").alias("id"), "section", "section_type", "paragraph_index", "token_count", F.md5(F.encode("content", "utf-8")).alias("digest"), "chunk_index", "total_chunks")
+
+
+RULING_SQL = r"regexp_extract(clean_text, '(?is)(?:WHEREFORE|ACCORDINGLY|IN VIEW OF THE FOREGOING|IN VIEW WHEREOF|THUS|HENCE|PREMISES CONSIDERED).*?SO\s+ORDERED\.?', 0)"
+SUMMARY_CTE = CTE + f""", r AS (SELECT *, {RULING_SQL} AS full_ruling FROM cases), f AS (SELECT *, trim(substr(full_ruling, 1, 200)) AS f FROM r),
+    p AS (SELECT *, length(f) - instr(reverse(f), ' ') AS cut_at, instr(reverse(f), ' ') AS sp FROM f),
+    e AS (SELECT *, CASE WHEN length(full_ruling) > 200 AND sp > 0 AND cut_at > 150 THEN substr(f, 1, cut_at) || '...' ELSE f END AS excerpt FROM p),
+    m AS (SELECT *, coalesce(gr_number, special_number, CAST(doc_id AS VARCHAR)) AS case_id, concat_ws('. ', 'Case: ' || case_title, coalesce('G.R. Number: ' || gr_number, 'Special Number: ' || special_number), 'Ponente: ' || ponente, 'Ruling: ' || nullif(excerpt, '')) AS content FROM e)"""
+
+
+@query(SUMMARY_CTE + " SELECT doc_id, case_id, content, CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || '...' ELSE content END AS content_preview, CAST(greatest(1, length(content) // 4) AS INTEGER) AS token_count, CAST(0 AS INTEGER) AS chunk_index, 'mini_summary' AS section_type FROM m")
+def summary_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The first chunk of every case, which says what the case is and how it ended."""
+    made = all_chunks(spark, folder).where("chunk_type = 'summary'")
+    return made.select("doc_id", "case_id", "content", "content_preview", "token_count", "chunk_index", "section_type")
+
+
+@query(SUMMARY_CTE + """ SELECT content, 'summary' AS section, 'mini_summary' AS section_type, 'summary' AS chunk_type, CAST(0 AS INTEGER) AS paragraph_index, CAST(greatest(1, length(content) // 4) AS INTEGER) AS token_count, case_id,
+    coalesce(gr_number, '') AS gr_number, coalesce(special_number, '') AS special_number, case_title AS title, '' AS date, coalesce(ponente, '') AS ponente, '' AS division, false AS en_banc, '' AS source_url, CAST(coalesce(promulgation_year, 0) AS INTEGER) AS promulgation_year,
+    false AS is_administrative, CAST(0 AS INTEGER) AS chunk_index, 'v2.0' AS chunk_version, CAST(1700000000 AS BIGINT) AS processed_timestamp, 'rule_based_fallback' AS classification_method, CAST(0 AS DOUBLE) AS classification_confidence FROM m""")
+def point_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """What goes into an index with the first chunk of every case, in all fields but the number of chunks and the scores."""
+    made = chunks.payload(all_chunks(spark, folder).where("chunk_type = 'summary'"), F.timestamp_seconds(F.lit(1700000000)))
+    return made.select("payload.*").drop("total_chunks", "case_type_classification")
+
+
+@query(SUMMARY_CTE + f""" SELECT '{extract.CONTEXTS["general"]} ' || content AS content, content AS original_content, 'summary' AS section, 'mini_summary' AS section_type, coalesce(gr_number, '') AS gr_number, coalesce(special_number, '') AS special_number,
+    case_title AS title, coalesce(ponente, '') AS ponente, '' AS case_type, '' AS date, 'summary' AS chunk_type, CAST(greatest(1, length(content) // 4) AS INTEGER) AS token_count, true AS contextual FROM m""")
+def contextual_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """What goes into a contextual index with the first chunk of every case."""
+    made = all_chunks(spark, folder).where("chunk_type = 'summary'")
+    return chunks.contextual_payload(made, extract.context_of(F.col("section_type"))).select("payload.*").drop("stable_id")
 
 
 @query(CTE + " SELECT doc_id, sha256(k) AS stable_id, 'sha256:' || sha256(clean_text) AS checksum, md5(clean_text || '|' || substr(clean_text, 1, 500)) AS chunk_hash FROM (SELECT doc_id, clean_text, coalesce(gr_number, '') || '|' || coalesce(special_number, '') || '|body|general|0|' || substr(sha256(clean_text), 1, 16) AS k FROM cases)")
@@ -246,11 +280,13 @@ def website_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return cases(spark, folder).select("doc_id", F.md5(F.encode(text.without_site_lines(F.col("clean_text")), "utf-8")).alias("digest"))
 
 
-@query(CTE + " SELECT doc_id FROM cases WHERE promulgation_year IS NULL OR promulgation_year BETWEEN 2005 AND 2015")
+@query(CTE + """, d AS (SELECT doc_id, promulgation_year, CASE doc_id % 4 WHEN 0 THEN CAST(1998 + doc_id % 25 AS VARCHAR) || '-01-31' WHEN 1 THEN 'undated' WHEN 2 THEN '' END AS date FROM cases),
+    y AS (SELECT doc_id, coalesce(promulgation_year, TRY_CAST(CASE WHEN regexp_matches(date, '^[0-9]{4}') THEN substr(date, 1, 4) END AS INTEGER)) AS year FROM d)
+    SELECT doc_id FROM y WHERE year IS NULL OR year BETWEEN 2005 AND 2015""")
 def year_filter_unknown_passes(spark: SparkSession, folder: str) -> DataFrame:
-    """Cases of some years; those of unknown year pass."""
-    year = F.col("promulgation_year")
-    return cases(spark, folder).where(year.isNull() | year.between(2005, 2015)).select("doc_id")
+    """Cases of some years, by the year or the beginning of the date; those of unknown year pass."""
+    four = F.when(F.col("doc_id") % 4 == 0, F.concat((F.col("doc_id") % 25 + 1998).cast("string"), F.lit("-01-31"))).when(F.col("doc_id") % 4 == 1, "undated").when(F.col("doc_id") % 4 == 2, "")
+    return cases(spark, folder).withColumn("date", four).where(extract.within_years(F.col("promulgation_year"), F.col("date"), 2005, 2015)).select("doc_id")
 
 
 @query("SELECT doc_id, length(text) >= 500 AS indexable, length(text) >= 100 AS classifiable FROM documents")
@@ -260,11 +296,13 @@ def minimum_content(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", (n >= 500).alias("indexable"), (n >= 100).alias("classifiable"))
 
 
-@query(CTE + """ SELECT doc_id, length(case_title) BETWEEN 10 AND 3000 AND regexp_matches(lower(case_title), '\\bv\\.|\\bvs\\.?\\b|\\bversus\\b|people of the philippines') AS title_like FROM cases""")
+@query(CTE + """, t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'EN BANC ' || case_title WHEN 1 THEN case_title || ' v. Others' ELSE case_title END AS t FROM cases)
+    SELECT doc_id, length(t) BETWEEN 10 AND 3000 AND NOT regexp_matches(upper(t), 'EN BANC|(FIRST|SECOND|THIRD) DIVISION|PER CURIAM|REPUBLIC OF THE PHILIPPINES|SUPREME COURT') AND (regexp_matches(lower(t), '\\bv\\.\\b|\\bvs\\b|\\bvs\\.\\b|\\b versus \\b') OR contains(t, 'People of the Philippines')) AS title_like FROM t""")
 def title_like(spark: SparkSession, folder: str) -> DataFrame:
     """Which titles look like captions."""
-    low = F.lower("case_title")
-    return cases(spark, folder).select("doc_id", (F.length("case_title").between(10, 3000) & low.rlike(r"\bv\.|\bvs\.?(?=\W|$)|\bversus\b|people of the philippines")).alias("title_like"))
+    t = F.col("case_title")
+    varied = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("EN BANC "), t)).when(F.col("doc_id") % 5 == 1, F.concat(t, F.lit(" v. Others"))).otherwise(t)
+    return cases(spark, folder).select("doc_id", titles.title_like(varied).alias("title_like"))
 
 
 def _subject_sql() -> str:
@@ -298,32 +336,6 @@ def subject_primary_secondary(spark: SparkSession, folder: str) -> DataFrame:
     return placed.groupBy("doc_id").agg(F.min(F.when(F.col("place") == 1, F.col("subject"))).alias("primary_subject"), F.count_if((F.col("place") > 1) & (F.col("score") >= 0.5 * F.col("best"))).alias("n_secondary"), sure.alias("confidence"))
 
 
-@query(CTE + """ SELECT doc_id, CASE WHEN contains(upper(clean_text), 'A.M.') THEN 'administrative' ELSE 'judicial' END AS jurisdiction,
-    CASE WHEN length(clean_text) < 2000 THEN 'simple' WHEN length(clean_text) < 5000 THEN 'moderate' WHEN length(clean_text) < 10000 THEN 'complex' ELSE 'highly_complex' END AS complexity,
-    round(least(1.0, len(list_filter(['contract', 'property', 'marriage', 'damages', 'petition'], lambda w: contains(lower(clean_text), w))) / 5.0), 6) AS civil_share FROM cases""")
-def rule_fallback_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    """Jurisdiction, complexity and share of keywords, without a model."""
-    n = F.length("clean_text")
-    words = F.array(*map(F.lit, ["contract", "property", "marriage", "damages", "petition"]))
-    low = F.lower("clean_text")
-    share = F.size(F.filter(words, lambda w: F.contains(low, w))) / 5.0
-    return cases(spark, folder).select(
-        "doc_id", F.when(F.contains(F.upper("clean_text"), F.lit("A.M.")), "administrative").otherwise("judicial").alias("jurisdiction"),
-        F.when(n < 2000, "simple").when(n < 5000, "moderate").when(n < 10000, "complex").otherwise("highly_complex").alias("complexity"), F.round(F.least(F.lit(1.0), share), 6).alias("civil_share"),
-    )
-
-
-@query(CTE + """, t AS (SELECT doc_id, CASE WHEN special_number IS NOT NULL THEN ['administrative'] WHEN contains(case_title, 'PEOPLE') THEN ['criminal'] WHEN contains(case_title, 'NLRC') THEN ['labor'] WHEN contains(case_title, 'BIR') THEN ['tax'] ELSE [] END
-      || CASE doc_id % 4 WHEN 0 THEN ['en_banc'] WHEN 1 THEN ['division'] WHEN 2 THEN ['division'] ELSE ['division'] END AS a FROM cases)
-    SELECT doc_id, array_to_string(CASE WHEN len(a) = 1 THEN ['civil'] || a ELSE a END, '|') AS labels FROM t""")
-def weak_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels for training from the fields alone; civil by default."""
-    title = F.col("case_title")
-    kind = F.when(F.col("special_number").isNotNull(), "administrative").when(F.contains(title, F.lit("PEOPLE")), "criminal").when(F.contains(title, F.lit("NLRC")), "labor").when(F.contains(title, F.lit("BIR")), "tax").otherwise("civil")
-    bench = F.when(extract.division(F.col("clean_text")) == "En Banc", "en_banc").otherwise("division")
-    return cases(spark, folder).select("doc_id", _joined(F.array_distinct(F.array(kind, bench))).alias("labels"))
-
-
 @query(CTE + " SELECT doc_id, trim(regexp_replace(regexp_replace(replace(case_title, 'PEOPLE OF THE PHILIPPINES', ''), '[,\\s]*$', ''), '\\s+', ' ', 'g')) AS title, upper(substr(lang, 1, 1)) || lang AS tag FROM cases")
 def title_cleanup(spark: SparkSession, folder: str) -> DataFrame:
     """Titles without noise and trailing marks."""

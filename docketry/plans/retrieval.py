@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import extract, text
 from docketry.operators import engine, index, search
-from docketry.plans.cases import CTE, section_chunks
+from docketry.plans.cases import CTE, all_chunks
 from docketry.plans.registry import query
 from docketry.sources import scratch
 from docketry.sources.tables import cases, table
@@ -225,28 +225,20 @@ def collection_availability(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("points")).withColumn("available", F.col("points") >= 100)
 
 
-@query("SELECT doc_id, source, n FROM (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS n FROM documents WHERE doc_id % 3 <> 0) WHERE n <= 3")
-def important_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """First three important chunks of every document."""
-    rows = table(spark, folder, "documents").where("doc_id % 3 <> 0").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return rows.where("n <= 3").select("doc_id", "source", "n")
-
-
 #: Kinds of sections whose chunks count as important.
 IMPORTANT = ["dispositive", "issues", "legal_analysis"]
 
 
 def first_important(made: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` important chunks of every document, sections in the order in which they are cut out."""
-    order = F.array_position(F.array(*map(F.lit, ["ruling", "issues", "arguments"])), F.col("section"))
-    placed = made.where(F.col("section_type").isin(IMPORTANT)).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(order, "paragraph_index")))
+    """The first ``n`` important chunks of every document, in the order in which they are cut out."""
+    placed = made.where(F.col("section_type").isin(IMPORTANT)).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")))
     return placed.where(F.col("n") <= n)
 
 
 @query()
 def important_section_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """First five chunks of every case that hold its ruling, issues or arguments."""
-    return first_important(section_chunks(spark, folder)).select("doc_id", "id", "section", "section_type", "paragraph_index", "n")
+    return first_important(all_chunks(spark, folder)).select("doc_id", F.col("chunk_id").alias("id"), "section", "section_type", "paragraph_index", "n")
 
 
 @query()
