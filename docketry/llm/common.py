@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import sys
 import tempfile
 import uuid
@@ -37,7 +38,9 @@ def scratch(spark: SparkSession) -> str:
         spark.conf.set(limit, str(BATCH_BYTES))
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        # With its scheme, as Spark resolves it: a bare path need not be on this machine.
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
     found = spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.split("[")[0] == "local":
@@ -83,6 +86,12 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that have ended; it does so when the driver's memory is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(run: Callable) -> Callable:
     """A function over batches that gives its worker's free memory back when it ends."""
 

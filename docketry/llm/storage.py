@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import mmap
 import os
-import tempfile
 
 import numpy as np
 from pyarrow import fs
@@ -20,8 +18,8 @@ def resolve(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def is_local(path: str) -> bool:
-    """Whether the shared folder is mounted, so that its files can be mapped in place."""
-    return path.startswith(("file:", "/"))
+    """Whether a file is in a mounted folder, so that it can be mapped in place; paths without a scheme are."""
+    return path.startswith("file:") or "://" not in path
 
 
 def create(path: str):
@@ -37,25 +35,29 @@ def open_stream(path: str):
     return where.open_input_stream(name, compression=None)
 
 
+#: Bytes before an array: the name of its type.
+HEAD = 16
+
+
 def save(path: str, array: np.ndarray) -> None:
-    """The array's bytes, little-endian, as a file."""
+    """The array's type and bytes, little-endian, as a file."""
+    array = np.ascontiguousarray(array, dtype=array.dtype.newbyteorder("<"))
     with create(path) as out:
-        out.write(np.ascontiguousarray(array).data)
+        out.write(array.dtype.str.encode().ljust(HEAD))
+        out.write(array.data)
 
 
-def mapped(path: str, dtype: str) -> np.ndarray:
-    """A file of ``save`` as an array that is mapped to memory, not read.
+def load(path: str) -> np.ndarray:
+    """A file of ``save`` as an array.
 
-    A mounted shared folder is mapped in place. From another store the file is
-    copied to the worker's temporary folder and its name removed at once, so
-    that nothing stays behind when the worker ends.
+    In a mounted folder it is mapped to memory, not read; from another store it
+    is read whole, so that nothing is left on the worker's disk.
     """
     where, name = resolve(path)
     if not is_local(path):
-        with where.open_input_stream(name, compression=None) as source, tempfile.TemporaryFile() as copy:
-            while piece := source.read(8 << 20):
-                copy.write(piece)
-            copy.flush()
-            size = copy.tell()
-            return np.frombuffer(mmap.mmap(copy.fileno(), size, prot=mmap.PROT_READ), dtype=dtype) if size else np.zeros(0, dtype)
-    return np.memmap(name, dtype=dtype, mode="r") if os.path.getsize(name) else np.zeros(0, dtype)
+        with where.open_input_stream(name, compression=None) as source:
+            kind = source.read(HEAD).decode().strip()
+            return np.frombuffer(source.read(), dtype=kind)
+    with open(name, "rb") as source:
+        kind = source.read(HEAD).decode().strip()
+    return np.memmap(name, dtype=kind, mode="r", offset=HEAD) if os.path.getsize(name) > HEAD else np.zeros(0, kind)

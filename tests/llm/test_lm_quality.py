@@ -6,55 +6,75 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from docketry.llm import lm, ordinal
+from docketry.llm import lm, ordinal, storage
 
 
-def plain_scores(texts, held):
+def plain_discounts(counts):
+    by = Counter(counts)
+    n1, n2, n3, n4 = (by[k] for k in (1, 2, 3, 4))
+    if not (n1 and n2 and n3 and n4):
+        return 0.5, 0.75, 0.9
+    y = n1 / (n1 + 2 * n2)
+    return tuple(min(max(k - (k + 1) * y * b / a, 0), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+
+
+def plain_scores(texts, held, order):
+    """Modified Kneser-Ney by plain counting, with ``order - 1`` start marks."""
     docs = [[*(t or "").encode().lower().split(), None] for t in texts]
-    words, pairs = Counter(), Counter()
-    for k, d in enumerate(docs):
+    padded = [["<"] * (order - 1) + d for d in docs]
+    words, counts = Counter(), Counter()
+    for k, (d, p) in enumerate(zip(docs, padded)):
         if not held(k):
             words.update(d)
-            pairs.update(zip(["<", *d[:-1]], d))
+            counts.update(tuple(p[i : i + order]) for i in range(len(d)))
     n, v = sum(words.values()), len(words)
-
-    def cuts(counts):
-        by = Counter(counts)
-        return lm.discounts(*(by[k] for k in (1, 2, 3, 4)))
-
-    kinds = Counter(w for _, w in pairs)
-    d2, d1, total = cuts(pairs.values()), cuts(kinds.values()), max(len(pairs), 1)
-    free = sum(d1[min(c, 3) - 1] for c in kinds.values()) / total if pairs else 1.0
-    after = defaultdict(list)
-    for (h, _), c in pairs.items():
-        after[h].append(c)
-
-    def p1(w):
-        return (max(kinds[w] - d1[min(kinds[w], 3) - 1], 0) / total if kinds[w] else 0) + free / (v + 1)
-
-    def p2(h, w):
-        if h not in after:
-            return p1(w)
-        c = pairs[h, w]
-        return (max(c - d2[min(c, 3) - 1], 0) if c else 0) / sum(after[h]) + sum(d2[min(x, 3) - 1] for x in after[h]) / sum(after[h]) * p1(w)
-
-    return [(len(d), sum(w in words for w in d), n, sum(math.log10((words[w] + 1) / (n + v + 1)) for w in d), sum(math.log10(p2(h, w)) for h, w in zip(["<", *d[:-1]], d))) for d in docs]
-
-
-@pytest.mark.parametrize("hot", [8, 10**6])
-def test_scores(spark, monkeypatch, hot):
+    levels = {order: counts}
+    for size in range(order - 1, 0, -1):
+        levels[size] = Counter(g[1:] for g in levels[size + 1])
+    cuts = {size: plain_discounts(c.values()) for size, c in levels.items()}
+    after = {size: defaultdict(list) for size in levels}
+    for size, c in levels.items():
+        for g, m in c.items():
+            after[size][g[:-1]].append(m)
+
+    def cut(size, m):
+        return cuts[size][min(m, 3) - 1] if m else 0
+
+    def p(gram):
+        size = len(gram)
+        seen = after[size].get(gram[:-1])
+        if size == 1:
+            free = sum(cut(1, m) for m in seen) / sum(seen) if seen else 1.0
+            return free / (v + 1) + (max(levels[1][gram] - cut(1, levels[1][gram]), 0) / sum(seen) if seen else 0)
+        if not seen:
+            return p(gram[1:])
+        m = levels[size][gram]
+        return max(m - cut(size, m), 0) / sum(seen) + sum(cut(size, x) for x in seen) / sum(seen) * p(gram[1:])
+
+    return [
+        (len(d), sum(w in words for w in d), n, sum(math.log10((words[w] + 1) / (n + v + 1)) for w in d), sum(math.log10(p(tuple(q[i : i + order]))) for i in range(len(d))))
+        for d, q in zip(docs, padded)
+    ]
+
+
+@pytest.mark.parametrize("order, hot, bits, wide", [(3, 8, 64, 16), (3, 10**6, 0, 0), (2, 8, 64, 2), (4, 100, 20, 16)])
+def test_scores(spark, monkeypatch, order, hot, bits, wide):
     monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "KEY_BITS", bits)
+    monkeypatch.setattr(lm, "WIDE", wide)
     monkeypatch.setattr(lm, "SHARD_WORDS", 64)
+    monkeypatch.setattr(lm, "HELD", 4000)
     pick = random.Random(3)
     vocabulary = [f"w{k}" for k in range(200)] + ["É", "The"]
     texts = [" ".join(pick.choices(vocabulary, weights=[1 / (k + 1) for k in range(202)], k=pick.randint(0, 60))) for _ in range(200)]
     texts += [None, "", "\n \t", "never seen words", "THE the The", texts[0], texts[0], "w1 " * 3000]
     df = spark.createDataFrame([(k, t, 0.5) for k, t in enumerate(texts)], "doc_id long, text string, score double")
-    got = {r.doc_id: r for r in lm.score_held_out(df).collect()}
+    got = {r.doc_id: r for r in lm.score_held_out(df, order=order).collect()}
     held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
-    for k, (n, known, train, base, score) in enumerate(plain_scores(texts, held)):
+    for k, (n, known, train, base, score) in enumerate(plain_scores(texts, held, order)):
         r = got[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(k), n, known, train)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
@@ -66,6 +86,24 @@ def test_model_is_a_distribution(spark):
     assert p.sum() == pytest.approx(1)
 
 
+def test_words_of_one_pattern_are_different():
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    words = lm.token_hashes(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))[0]
+    assert len(set(words.tolist())) == 3
+
+
+def test_arrays_of_a_store_that_is_not_mounted(tmp_path, monkeypatch):
+    for values in (np.arange(5, dtype="u1"), np.array([], dtype="i8"), np.array([1 << 40])):
+        storage.save(str(tmp_path / "x"), values)
+        mounted = storage.load(str(tmp_path / "x"))
+        with monkeypatch.context() as m:
+            m.setattr(storage, "is_local", lambda path: False)
+            for found in (mounted, storage.load(str(tmp_path / "x"))):
+                assert found.dtype == values.dtype and found.tolist() == values.tolist()
+    assert [lm.narrow(np.array([k])).dtype.itemsize for k in (255, 256, 1 << 16, 1 << 32)] == [1, 2, 4, 8]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(2, "a b")], "doc_id long, text string")
     assert lm.score_held_out(df.where("false")).count() == 0
