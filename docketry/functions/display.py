@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketry.functions.text import captured, trimmed
+from docketry.functions.text import captured, first_present, let, trimmed
 
 #: Names of known sites.
 SITES = {
@@ -75,3 +75,73 @@ def enhanced(query: Column) -> Column:
     """A question for the web with the country, and the word law unless it is legal already."""
     low = F.lower(query)
     return F.when(F.contains(low, F.lit("philippine")), query).when(low.rlike("law|legal|court"), F.concat(query, F.lit(" Philippines"))).otherwise(F.concat(query, F.lit(" Philippines law")))
+
+
+#: Bytes of an answer from which its debug list is cut, and entries that stay.
+LARGE_ANSWER, DEBUG_KEPT = 100_000, 20
+
+
+def debug_shown(size: Column, entries: Column) -> Column:
+    """How many of an answer's debug entries are sent along, and whether that is fewer than there are."""
+    cut = (size > LARGE_ANSWER) & (entries > DEBUG_KEPT)
+    return F.struct(F.when(cut, DEBUG_KEPT).otherwise(entries).cast("long").alias("n_shown"), cut.alias("truncated"))
+
+
+def web_item(place: Column, title: Column, source: Column, snippet: Column, url: Column) -> Column:
+    """One result of a web search in the context of a model."""
+    return F.concat(F.lit("\n"), place.cast("string"), F.lit(". **"), title, F.lit("**\n   Source: "), source, F.lit("\n   Content: "), snippet, F.lit("\n   URL: "), url, F.lit("\n"))
+
+
+#: What is said where a web search gives nothing.
+WEB_UNAVAILABLE = "Web search is currently unavailable. Please try searching for specific cases in our database or rephrase your question."
+WEB_UNCONFIGURED = "Web search is not configured. Please check API credentials or try searching for specific cases in our database."
+WEB_NOTHING = "I couldn't find current information on that topic. Please try rephrasing your question or asking about specific cases in our database."
+WEB_FAILED = "I encountered an error while searching for current information. Please try again later or ask about specific cases in our database."
+
+
+def web_state(available: Column, configured: Column, failed: Column, results: Column) -> Column:
+    """What is said instead of an answer from the web; null where there are results."""
+    return F.when(~available, WEB_UNAVAILABLE).when(~configured, WEB_UNCONFIGURED).when(failed, WEB_FAILED).when(results == 0, WEB_NOTHING)
+
+
+def web_plain(titles: Column, snippets: Column) -> Column:
+    """The first three results as an answer without a model."""
+    lines = F.transform(F.arrays_zip(F.slice(titles, 1, 3).alias("t"), F.slice(snippets, 1, 3).alias("s")), lambda r, i: F.concat(F.lit("**"), (i + 1).cast("string"), F.lit(". "), r["t"], F.lit("**\nSummary: "), r["s"], F.lit("\n")))
+    return F.when(F.size(titles) == 0, "No current information found on this topic.").otherwise(F.concat(F.lit("Based on current web sources, here's what I found:\n\n"), F.array_join(lines, "\n")))
+
+
+def case_in(text: Column) -> Column:
+    """The case that a message names: its number, else a title with two sides set in bold."""
+    number = F.coalesce(*(captured(text, p) for p in (r"(?i)G\.R\.\s*No\.?\s*([0-9\-]+)", r"(?i)GR\s*No\.?\s*([0-9\-]+)", r"(?i)G\.R\.\s*([0-9\-]+)")))
+    bold = [r"(?i)\*\*([^*]*\s+vs?\.?\s+[^*]+)\*\*", r"(?i)\*\*([^*]*\s+v\.?\s+[^*]+)\*\*", r"(?i)\*\*([A-Z][^*]*(?:vs?\.?|v\.)[^*]*)\*\*"]
+    sides = lambda t: F.when(F.lower(t).rlike(r" vs | v\. | v ") & F.length(t).between(11, 199), t)
+    title = F.coalesce(*(sides(F.trim(captured(text, p))) for p in bold))
+    return F.when(number.isNotNull() | title.isNotNull(), F.struct(number.alias("gr_number"), F.when(number.isNull(), title).alias("case_title")))
+
+
+def listed_case(place: Column, title: Column, date: Column, number: Column, ponente: Column, case_type: Column) -> Column:
+    """One case in the list of a justice's decisions; what is missing is left out."""
+    line = lambda label, c: F.concat(F.lit("\n- " + label), first_present(c))
+    head = F.concat(F.lit("**"), place.cast("string"), F.lit(". "), title, F.coalesce(F.concat(F.lit(" | "), first_present(date)), F.lit("")), F.lit("**"))
+    return F.concat(head, *(F.coalesce(x, F.lit("")) for x in (line("", number), line("Ponente: ", ponente), line("Type: ", F.initcap(case_type)))))
+
+
+def justice_answer(justice: Column, items: Column, total: Column) -> Column:
+    """The decisions of a justice: a heading, the items, and how many there are."""
+    found = F.when(total > F.size(items), F.concat(F.lit("*Note: Showing "), F.size(items).cast("string"), F.lit(" of "), total.cast("string"), F.lit(" cases found.*"))).otherwise(F.concat(F.lit("*Found "), total.cast("string"), F.when(total == 1, " case").otherwise(" cases"), F.lit(".*")))
+    tip = "\U0001f4a1 **Tip:** You can ask for more details about any specific case by mentioning its name or G.R. number."
+    return F.concat(F.lit("## Cases Penned by Justice "), justice, F.lit("\n\n"), F.array_join(F.transform(items, lambda i: F.concat(i, F.lit("\n"))), "\n"), F.lit("\n"), found, F.lit("\n\n" + tip))
+
+
+def request(body: Column) -> Column:
+    """A chat request: whether it is valid, and what holds where it leaves something out."""
+    r = F.from_json(body, "query string, history array<struct<role:string,content:string>>, template_mode string")
+
+    def whole(x: Column) -> Column:
+        history = F.coalesce(x["history"], F.array().cast("array<struct<role:string,content:string>>"))
+        mode = F.coalesce(x["template_mode"], F.lit("full"))
+        roles = F.forall(history, lambda m: F.coalesce(m["role"].isin("system", "user", "assistant"), F.lit(False)) & m["content"].isNotNull())
+        valid = F.coalesce(F.trim(x["query"]) != "", F.lit(False)) & roles & mode.isin("full", "simplified")
+        return F.struct(valid.alias("valid"), F.trim(x["query"]).alias("query"), F.size(history).alias("n_history"), mode.alias("template_mode"))
+
+    return let(r, whole)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.search import sized
 from docketry.session import ship
 
 LIKE_FROM = 0.72
@@ -35,8 +36,10 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
     files = spark.read.text(list(paths), wholetext=True)
     entry = f"array<struct<{', '.join(f'{n}:{t}' for n, t in (f.strip().split(' ', 1) for f in ENTRY.replace('struct<type:string,id:string>', 'map<string;string>').split(',')))}>>".replace("map<string;string>", "map<string,string>")
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", entry)).otherwise(F.from_json("value", f"struct<entries:{entry}>")["entries"])
-    found = files.select(F.explode(listed).alias("e")).select("e.term", "e.aliases", "e.definition", F.col("e.bar_importance").alias("importance"))
+    found = files.select(F.explode(listed).alias("e")).select("e.term", "e.aliases", "e.definition", F.col("e.bar_importance").alias("importance"), "e.elements", "e.anchors")
+    empty = F.lit(None)
     seed = spark.createDataFrame(SEED, "term string, aliases array<string>, definition string, importance int")
+    seed = seed.withColumn("elements", empty.cast("array<string>")).withColumn("anchors", empty.cast(found.schema["anchors"].dataType))
     none = found.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
     return found.unionByName(seed.crossJoin(F.broadcast(none)).drop("n"))
 
@@ -60,7 +63,8 @@ def names(entries: DataFrame) -> DataFrame:
 def search(entries: DataFrame, queries: DataFrame, k: int = 5, fuzzy: bool = True) -> DataFrame:
     """(query_id, term, score, rank): an exact name alone, else parts of names and names that are alike.
 
-    The glossary is small by its nature and goes to every executor.
+    Likeness is computed in Python, and only for pairs that can be alike enough
+    by the letters they share.
     """
     ship(entries.sparkSession)
 
@@ -68,11 +72,15 @@ def search(entries: DataFrame, queries: DataFrame, k: int = 5, fuzzy: bool = Tru
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a, b)])
 
-    pairs = queries.select("query_id", normal(F.col("query")).alias("q")).crossJoin(F.broadcast(names(entries)))
+    pairs = queries.select("query_id", normal(F.col("query")).alias("q")).crossJoin(sized(names(entries)))
     extra = (F.col("importance") - 3) * 2.0
     exact = F.when(F.col("q") == F.col("name"), F.col("exact"))
     part = F.when(F.contains("q", F.col("name")) | F.contains("name", F.col("q")), 82.0 + extra)
-    scored = pairs.withColumn("ratio", alike("q", "name")) if fuzzy else pairs.withColumn("ratio", F.lit(0.0))
+    plain = pairs.withColumn("ratio", F.lit(0.0))
+    lacking = lambda a, b: F.length(F.call_function("translate", F.col(a), F.col(b), F.lit("")))
+    shared = F.least(F.length("q") - lacking("q", "name"), F.length("name") - lacking("name", "q"))
+    possible = (2.0 * shared >= LIKE_FROM * (F.length("q") + F.length("name"))) & (F.col("q") != F.col("name"))
+    scored = plain.where(~possible).unionByName(pairs.where(possible).withColumn("ratio", alike("q", "name"))) if fuzzy else plain
     like = F.when(F.col("ratio") >= LIKE_FROM, 70.0 + F.col("ratio") * 20.0 + extra)
     scored = scored.withColumn("best_exact", F.max(exact).over(Window.partitionBy("query_id"))).withColumn("score", F.coalesce(exact, F.greatest(part, like)))
     scored = scored.where(F.col("score").isNotNull() & (F.col("best_exact").isNull() | (F.col("score") == F.col("best_exact"))))
@@ -81,29 +89,51 @@ def search(entries: DataFrame, queries: DataFrame, k: int = 5, fuzzy: bool = Tru
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def answer(term: Column, definition: Column) -> Column:
-    """An entry as text."""
-    return F.concat_ws(": ", term, definition)
+def answer(term: Column, definition: Column, elements: Column | None = None, anchors: Column | None = None) -> Column:
+    """An entry as text, with its elements if they are given, and what it is anchored in."""
+    listed = None if elements is None else F.when(F.size(elements) > 0, F.concat(F.lit("Elements:\n- "), F.array_join(elements, "\n- ")))
+    named = lambda a: F.concat(F.coalesce(a["type"], F.lit("")), F.lit(": "), F.coalesce(a["id"], F.lit("")))
+    sources = None if anchors is None else F.when(F.size(anchors) > 0, F.concat(F.lit("Anchors: "), F.array_join(F.transform(anchors, named), "; ")))
+    return F.concat_ws("\n", F.concat_ws(": ", term, definition), *(c for c in (listed, sources) if c is not None))
 
 
 #: Score from which an entry answers a question.
 ANSWER_FROM = 78.0
-#: Fixed patterns: what asks for a definition or for elements, and what names a case and so asks for none.
-DEFINES = r"(?i)^(?:what\s+is|define|meaning\s+of|ano\s+ang)\s+(?:an?\s+|the\s+)?(.+?)[ ?.]*$"
-ELEMENTS = r"(?i)\b(?:elements|requisites)\s+of\s+(.+?)[ ?.]*$"
-NAMES_CASE = r"(?i)\bg\.?r\.?\s*no|\bvs?\.\s|\bversus\b"
+#: Fixed patterns: what asks for a definition, for elements or for the difference of two rules, and what names a case and so asks for none.
+DEFINES = r"(?i)^(?:what\s+is|define|meaning\s+of|ano\s+ang)\s+(.+)"
+ELEMENTS = r"(?i)\b(?:elements|tests?)\s+of\s+(.+)"
+RULES = r"(?i)rule\s*45\s*(?:vs|versus|v\.?)\s*65"
+NAMES_NUMBER = r"(?i)\bG\.\s*R\.\s*(?:No\.|Nos\.)?\s*\d{1,6}(?:-\d{1,6})?\b"
+NAMES_CASE = r"\b([A-Z][A-Za-z'.()\- ]+)\s+v\.?s?\.?\s+([A-Z][A-Za-z'.()\- ]+)\b"
+#: Fixed value: what tells the two rules apart.
+RULES_TOLD = "Use Rule 45 for errors of law in judgments; Rule 65 for jurisdictional errors (grave abuse of discretion)."
 
 
 def respond(entries: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, answer) of every question: the entry it asks for, or null where a search has to answer."""
-    q = F.col("query")
-    asked = F.coalesce(*(F.nullif(F.regexp_extract(q, p, 1), F.lit("")) for p in (DEFINES, ELEMENTS)))
-    keyed = queries.select("query_id", F.when(~q.rlike(NAMES_CASE), asked).alias("query"))
-    best = search(entries, keyed.where("query is not null"), k=1).where(F.col("score") >= ANSWER_FROM).select("query_id", "term")
-    told = best.join(F.broadcast(entries.select("term", answer(F.col("term"), F.col("definition")).alias("answer"))), "term")
-    return keyed.select("query_id").join(F.broadcast(told.select("query_id", "answer")), "query_id", "left")
+    """(query_id, answer) of every question: the entry it asks for, or null where a search has to answer.
+
+    A question for elements gets them with the entry, one for the difference of
+    rules 45 and 65 both definitions, if the glossary has both.
+    """
+    q = F.trim("query")
+    bare = lambda c: F.nullif(F.regexp_replace(c, r"^[ ?.]+|[ ?.]+$", ""), F.lit(""))
+    defined, elements = bare(F.regexp_extract(normal(q), DEFINES, 1)), bare(F.regexp_extract(q, ELEMENTS, 1))
+    kind = F.when((q == "") | q.rlike(NAMES_NUMBER) | q.rlike(NAMES_CASE), F.lit(None)).when(q.rlike(RULES), "rules").when(normal(q).rlike(r"(?i)^(what\s+is|define|meaning\s+of|ano\s+ang)\b"), "definition").when(elements.isNotNull(), "elements")
+    keyed = queries.select("query_id", kind.alias("kind"), F.when(kind == "definition", F.coalesce(defined, q)).when(kind == "elements", elements).alias("key"))
+    pair = F.when(F.col("kind") == "rules", F.array(F.lit("Rule 45"), F.lit("Rule 65"))).otherwise(F.array("key"))
+    asked = keyed.where("kind is not null").select("query_id", "kind", F.posexplode(pair).alias("place", "query"))
+    best = search(entries, asked.select(F.struct("query_id", "place").alias("query_id"), "query"), k=1).select("query_id.query_id", "query_id.place", "term", "score")
+    has = {c.lower() for c in entries.columns}
+    plain = answer(F.col("term"), F.col("definition"), None, F.col("anchors") if "anchors" in has else None)
+    full = answer(F.col("term"), F.col("definition"), F.col("elements") if "elements" in has else None, F.col("anchors") if "anchors" in has else None)
+    texts = entries.groupBy("term").agg(F.first(plain).alias("plain"), F.first(full).alias("full"), F.trim(F.first("definition")).alias("definition"))
+    found = asked.join(best, ["query_id", "place"]).join(sized(texts), "term")
+    one = found.where("kind <> 'rules'").where(F.col("score") >= ANSWER_FROM).select("query_id", F.when(F.col("kind") == "elements", F.col("full")).otherwise(F.col("plain")).alias("answer"))
+    both = found.where("kind = 'rules' and definition <> ''").groupBy("query_id").agg(F.max(F.when(F.col("place") == 0, F.col("definition"))).alias("a"), F.max(F.when(F.col("place") == 1, F.col("definition"))).alias("b"))
+    told = F.concat(F.lit("Rule 45: "), "a", F.lit("\nRule 65: "), "b", F.lit("\n" + RULES_TOLD))
+    return keyed.select("query_id").join(one.unionByName(both.select("query_id", told.alias("answer"))), "query_id", "left")
 
 
 def syllabus(subjects: DataFrame, topics: DataFrame) -> DataFrame:
     """``subjects`` with the areas that ``topics`` (subject, areas) gives them; one that it lacks is not specified."""
-    return subjects.join(F.broadcast(topics), "subject", "left").withColumn("areas", F.coalesce("areas", F.array(F.lit("Not specified"))))
+    return subjects.join(topics, "subject", "left").withColumn("areas", F.coalesce("areas", F.array(F.lit("Not specified"))))

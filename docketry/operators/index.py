@@ -78,6 +78,22 @@ def nearest(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataF
     return search.ranked(spark.read.parquet(f"{path}/vectors").crossJoin(asked).select("query_id", "id", dot.alias("score")), "id", k)
 
 
+def remember(spark: SparkSession, path: str, rows: DataFrame) -> tuple[int, int, bool]:
+    """Keep contexts (key, context) across runs below ``path``: how many were made, how many there are now, and whether any were saved.
+
+    Only keys that the cache lacks are written, as files of their own; a cache that did not grow is left as it is.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    fresh = rows.dropDuplicates(["key"])
+    if known:
+        fresh = fresh.join(spark.read.parquet(path).select("key"), "key", "left_anti")
+    made = fresh.count()
+    if made or not known:
+        fresh.select("key", "context").write.mode("append").parquet(path)
+    return made, spark.read.parquet(path).count(), bool(made)
+
+
 def scroll(spark: SparkSession, path: str) -> DataFrame:
     """All points of a collection that have a payload."""
     return spark.read.parquet(f"{path}/points").where(F.col("payload").isNotNull())

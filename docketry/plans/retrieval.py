@@ -187,13 +187,6 @@ def context_budget_pack(spark: SparkSession, folder: str) -> DataFrame:
     return search.within_budget(rows, "tokens", 2500, order, F.desc("score"), F.asc("doc_id"), by="source").select("doc_id", "source", "running")
 
 
-@query("SELECT conv_id, CAST(max(turn) AS BIGINT) AS turn, max_by(md5(text), turn) AS digest FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
-def history_last_case(spark: SparkSession, folder: str) -> DataFrame:
-    """Latest answer of every conversation."""
-    rows = table(spark, folder, "conversations").where("role = 'assistant'")
-    return rows.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by(F.md5(F.encode("text", "utf-8")), "turn").alias("digest"))
-
-
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE coalesce(text, '') <> '') WHERE n <= 5")
 def history_last5(spark: SparkSession, folder: str) -> DataFrame:
     """Last five messages of every conversation that say anything."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import display, extract, text
@@ -42,31 +42,14 @@ def ground_truth(spark: SparkSession, folder: str) -> DataFrame:
     return parts.select("item_id", F.when(F.col("p").isNull(), F.col("raw")).otherwise(full).alias("reference"))
 
 
-@query("SELECT source, CAST(least(20, count(*)) AS INTEGER) AS n_shown, CAST(count(*) AS BIGINT) AS n_all FROM documents GROUP BY source")
-def response_truncation(spark: SparkSession, folder: str) -> DataFrame:
-    """Debug lists cut to twenty entries."""
-    kept = table(spark, folder, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_all"))
-    return kept.select("source", F.least(F.lit(20), F.col("n_all")).cast("int").alias("n_shown"), "n_all")
-
-
-@query("SELECT vec_id, CAST(i AS INTEGER) AS label_id, CAST(i = label AS INTEGER) AS hot FROM embeddings, range(10) t(i) WHERE vec_id < 50")
+@query("SELECT vec_id, CAST(i AS INTEGER) AS label_id, CAST(i = label AS INTEGER) AS hot FROM embeddings, range(10) t(i)")
 def multi_hot(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels as long rows of zeros and ones; ids out of range are left out."""
-    return _hot(table(spark, folder, "embeddings").where("vec_id < 50"))
-
-
-def _hot(rows: DataFrame) -> DataFrame:
-    labelled = rows.select("vec_id", F.array("label").alias("labels"))
+    """Labels of all vectors as long rows of zeros and ones; ids out of range are left out."""
+    labelled = table(spark, folder, "embeddings").select("vec_id", F.array("label").alias("labels"))
     hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(i.alias("label_id"), F.array_contains("labels", i).cast("int").alias("hot")))
     return labelled.select("vec_id", F.explode(hot).alias("h")).select("vec_id", "h.label_id", "h.hot")
 
 
-@query()
-def multi_hot_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels of all vectors as long rows of zeros and ones."""
-    return _hot(table(spark, folder, "embeddings"))
-
-
 @query(CTE + " SELECT doc_id, 50.0::DOUBLE * (CAST(contains(lower(case_title), 'acme corporation') AS INTEGER) + CAST(contains(lower(case_title), 'nlrc 2') AS INTEGER)) AS score FROM cases")
 def title_match_score(spark: SparkSession, folder: str) -> DataFrame:
     """Fifty points for each party of a question that the title names."""
@@ -90,24 +73,6 @@ def prompt_messages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("conv_id", "turn", "place", "m.role", "m.content")
 
 
-@query("SELECT CAST(page_id // 10 AS BIGINT) AS batch, string_agg((page_id % 10 + 1) || '. ' || url, chr(10) ORDER BY page_id) AS answer FROM pages WHERE page_id % 10 < 3 GROUP BY ALL")
-def web_answer(spark: SparkSession, folder: str) -> DataFrame:
-    """First three results of every search as a list."""
-    rows = table(spark, folder, "pages").where("page_id % 10 < 3").select(F.floor(F.col("page_id") / 10).alias("batch"), "page_id", F.concat((F.col("page_id") % 10 + 1).cast("string"), F.lit(". "), F.col("url")).alias("line"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("page_id", "line"))), lambda x: x["line"])
-    return rows.groupBy("batch").agg(F.array_join(listed, "\n").alias("answer"))
-
-
-@query()
-def web_answer_ranked(spark: SparkSession, folder: str) -> DataFrame:
-    """First three results of every search by their place among all its pages, whatever ids are missing."""
-    place = F.row_number().over(Window.partitionBy("batch").orderBy("page_id"))
-    rows = table(spark, folder, "pages").select(F.floor(F.col("page_id") / 10).alias("batch"), "page_id", "url").withColumn("place", place).where("place <= 3")
-    line = F.concat(F.col("place").cast("string"), F.lit(". "), F.coalesce("url", F.lit("")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
-    return rows.groupBy("batch").agg(F.array_join(listed, "\n").alias("answer"))
-
-
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN CAST(100000 + conv_id AS VARCHAR) END AS case_id FROM conversations")
 def response_case(spark: SparkSession, folder: str) -> DataFrame:
     """The case that an answer links to."""
@@ -122,23 +87,18 @@ def glossary_names(spark: SparkSession, folder: str) -> DataFrame:
     return glossary.names(entries).groupBy("term").agg(F.count(F.lit(1)).alias("n_names"))
 
 
-@query("SELECT page_id, CAST(y AS INTEGER) AS year, '/month/' || y AS url FROM pages, (VALUES (2005), (2006)) AS t(y)")
+@query("SELECT page_id, CAST(2000 + (page_id + y) % 20 AS INTEGER) AS year, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/month/' || page_id || '/' || y AS url FROM pages, range(3) t(y) WHERE 2000 + (page_id + y) % 20 BETWEEN 2004 AND 2015")
 def month_discovery(spark: SparkSession, folder: str) -> DataFrame:
-    """Links below the heading of their year."""
-    html = F.lit('<h2>2005</h2> <a href="/month/2005">Jan</a> <h2>2006</h2> <a href="/month/2006">Feb</a>')
-    rows = table(spark, folder, "pages").select("page_id", F.explode(pages.months(html)).alias("m"))
+    """Links below the headings of some years within the list of dates, made absolute; links outside it do not count."""
+    page = F.col("page_id").cast("string")
+    one = lambda y: F.concat(F.lit("<h2> "), (F.lit(2000) + (F.col("page_id") + y) % 20).cast("string"), F.lit('</h2><a class="m" href="/month/'), page, F.lit(f'/{y}">Jan</a>'))
+    html = F.concat(F.lit('<a href="/before">x</a><h2>2010</h2><div class="list" id="container_date">'), one(0), one(1), one(2), F.lit('</div><a href="/after">y</a>'))
+    rows = table(spark, folder, "pages").select("page_id", F.explode(pages.months(html, F.col("url"), 2004, 2015)).alias("m"))
     return rows.select("page_id", "m.year", "m.url")
 
 
-@query("SELECT doc_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS n_both, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INTEGER) AS n_missing FROM (SELECT doc_id, list_distinct(string_split(substr(text, 1, 200), ' ')) AS a, list_distinct(string_split(substr(text, 100, 200), ' ')) AS b FROM documents)")
+@query("SELECT doc_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS n_both, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INTEGER) AS n_missing FROM (SELECT doc_id, list_distinct(string_split(substr(text, 1, length(text) // 2), ' ')) AS a, list_distinct(string_split(substr(text, length(text) // 2 + 1), ' ')) AS b FROM documents)")
 def term_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """Words that two passages share, and those that one lacks."""
-    a, b = F.array_distinct(F.split(F.substring("text", 1, 200), " ")), F.array_distinct(F.split(F.substring("text", 100, 200), " "))
-    return table(spark, folder, "documents").select("doc_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_missing"))
-
-
-@query()
-def term_sets_whole(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the two halves of every whole text share, and those of the first that the second lacks."""
     half = F.floor(F.length("text") / 2).cast("int")
     a, b = (F.array_distinct(F.split(t, " ")) for t in (F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))))

@@ -92,21 +92,11 @@ def snippet_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", F.md5(F.encode(display.plain_snippet(F.col("html")), "utf-8")).alias("digest"))
 
 
-@query(r"""SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace('[INST] Based on my knowledge, ' || text || ' However, please note that x', '\[/?(INST|SYS|USER|ASSISTANT)\]', '', 'g'), '(?is)\s+However,? please note that.*$', ''), ' ' || chr(10))) AS digest FROM conversations WHERE NOT contains(text, chr(10) || chr(10))""")
+@query(r"""SELECT conv_id, turn, md5(regexp_replace(trim(regexp_replace(regexp_replace('[INST] Based on my knowledge, ' || text || ' However, please note that x', '\[/?(INST|SYS|USER|ASSISTANT)\]', '', 'g'), '(?is)\s+However,? please note that.*$', ''), ' ' || chr(10)), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g')) AS digest FROM conversations""")
 def clean_response(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers without instruction marks and disclaimers."""
-    return _cleaned(table(spark, folder, "conversations").where(~F.contains("text", F.lit("\n\n"))))
-
-
-def _cleaned(rows: DataFrame) -> DataFrame:
+    """Answers of all messages without instruction marks, disclaimers and runs of empty lines."""
     raw = F.concat(F.lit("[INST] Based on my knowledge, "), F.col("text"), F.lit(" However, please note that x"))
-    return rows.select("conv_id", "turn", F.md5(F.encode(display.clean_response(raw), "utf-8")).alias("digest"))
-
-
-@query()
-def clean_response_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers of all messages, those with empty lines as well, without instruction marks and disclaimers."""
-    return _cleaned(table(spark, folder, "conversations"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.md5(F.encode(display.clean_response(raw), "utf-8")).alias("digest"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split('**Title**' || chr(10) || '- item' || chr(10) || '**[G.R. No. 1](gr:1)**' || chr(10) || text, chr(10))) AS line FROM documents)
@@ -177,7 +167,7 @@ def context_cache_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT CAST(q AS BIGINT) AS query_id, CASE q WHEN 0 THEN 'Amparo: Remedy for violations of the right to life, liberty and security.' WHEN 1 THEN 'Estafa: Fraud that causes damage to another.' END AS answer FROM range(4) t(q)""")
 def glossary_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Questions that the glossary answers, and those that it leaves to a search."""
-    asked = spark.createDataFrame([(0, "What is the amparo?"), (1, "elements of swindling"), (2, "what is G.R. No. 5"), (3, "hello")], "query_id long, query string")
+    asked = spark.createDataFrame([(0, "What is amparo?"), (1, "elements of swindling"), (2, "what is G.R. No. 5"), (3, "hello")], "query_id long, query string")
     return glossary.respond(_terms(spark), asked)
 
 

@@ -38,17 +38,23 @@ def decision_links(pages: DataFrame, mark: str = "showdocs") -> DataFrame:
     return found.where(F.contains("href", F.lit(mark))).select("page_id", "place", absolute(F.col("href"), F.col("page")).alias("url"))
 
 
-def months(html: Column) -> Column:
-    """(year, url) of the links below each year's heading, in order."""
-    marks = F.regexp_extract_all(html, F.lit(r"(?is)(<h2[^>]*>\s*\d{4}|<a\s[^>]*href=\"[^\"]*\")"), F.lit(1))
+def months(html: Column, base: Column | None = None, first: int = 0, last: int = 9999) -> Column:
+    """(year, url) of the links below each year's heading within the list of dates, in order.
+
+    Only years ``first`` to ``last`` count; links are made absolute against ``base``.
+    """
+    inside = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<div[^>]*id=\"container_date\"[^>]*>(.*?)</div>", 1), F.lit("")), html)
+    marks = F.regexp_extract_all(inside, F.lit(r"(?is)(<h2[^>]*>\s*\d{4}|<a\s[^>]*href=\"[^\"]*\")"), F.lit(1))
     start = F.struct(F.lit(None).cast("int").alias("year"), F.array().cast("array<struct<year:int,url:string>>").alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         year = F.try_to_number(F.nullif(F.regexp_extract(x, r"(?i)^<h2[^>]*>\s*(\d{4})", 1), F.lit("")), F.lit("9999")).cast("int")
         url = F.regexp_extract(x, r'href="([^"]*)"', 1)
-        return F.when(year.isNotNull(), F.struct(year.alias("year"), acc["found"].alias("found"))).otherwise(F.struct(acc["year"].alias("year"), F.concat(acc["found"], F.array(F.struct(acc["year"].alias("year"), url.alias("url")))).alias("found")))
+        whole = url if base is None else absolute(url, base)
+        return F.when(year.isNotNull(), F.struct(year.alias("year"), acc["found"].alias("found"))).otherwise(F.struct(acc["year"].alias("year"), F.concat(acc["found"], F.array(F.struct(acc["year"].alias("year"), whole.alias("url")))).alias("found")))
 
-    return F.aggregate(marks, start, step, lambda acc: acc["found"])
+    found = F.aggregate(marks, start, step, lambda acc: acc["found"])
+    return found if (first, last) == (0, 9999) else F.filter(found, lambda m: m["year"].between(first, last))
 
 
 def first_by_url(rows: DataFrame, *order: Column) -> DataFrame:

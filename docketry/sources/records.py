@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ CASE = (
     "quality_metrics struct<has_ruling:boolean,text_length:int,sections_extracted:int,has_structured_sections:boolean>"
 )
 
-__all__ = ["CASE", "append_json", "decision_links", "first_match", "keep_new", "newest", "read_cases", "read_json_files", "upsert", "write_report"]
+__all__ = ["CASE", "append_json", "decision_links", "first_match", "first_matches", "keep_new", "newest", "read_cases", "read_first", "read_json_files", "read_queries", "report_rows", "upsert", "write_report"]
 
 
 def read_cases(spark: SparkSession, path: str, schema: str = CASE, partitions: int | None = None) -> DataFrame:
@@ -50,17 +52,83 @@ def write_report(df: DataFrame, path: str) -> None:
     df.select(*cut).write.mode("overwrite").option("header", True).csv(path)
 
 
-#: Prefixes under which a number may be stored.
-PREFIXES = ["", "G.R. No. ", "GR No. ", "A.M. No. ", "A.M. ", "A.C. No. ", "A.C. ", "OCA No. ", "U.C. No. ", "ADM No. ", "B.M. No. ", "LRC No. ", "SP No. "]
+#: Prefixes under which each field of a record may hold a number that is asked for.
+PREFIXES = {
+    "gr_number": ["", "G.R. No. ", "GR No. ", "A.M. No. ", "A.M. ", "A.C. No. ", "A.C. "],
+    "special_number": ["", "A.M. No. ", "A.M. ", "A.C. No. ", "A.C. ", "OCA No. ", "U.C. No. ", "ADM No. ", "B.M. No. ", "LRC No. ", "SP No. "],
+    "id": [""],
+}
+#: The same where only the id and the number itself count.
+PLAIN = {"gr_number": [""], "id": [""]}
 
 
-def first_match(cases: DataFrame, number: str, *order: Column) -> DataFrame:
+def first_match(cases: DataFrame, number: str, *order: Column, prefixes: dict[str, list[str]] | None = None) -> DataFrame:
     """The first record whose number or id is the one asked for, in any of its forms."""
-    forms = [p + number for p in PREFIXES]
-    met = F.col("gr_number").isin(forms) | F.col("special_number").isin(forms) | (F.col("id") == number)
+    met = functools.reduce(lambda a, b: a | b, (F.col(c).isin([p + number for p in ps]) for c, ps in (prefixes or PREFIXES).items()))
     return cases.where(met).orderBy(*order).limit(1)
 
 
+def first_matches(cases: DataFrame, numbers: DataFrame, order: str, prefixes: dict[str, list[str]] | None = None) -> DataFrame:
+    """The first record for each of many numbers (query_id, number), by one join over all their forms."""
+    prefixes = prefixes or PREFIXES
+    forms = F.array(*(F.struct(F.lit(c).alias("field"), F.concat(F.lit(p), F.col("number")).alias("value")) for c, ps in prefixes.items() for p in ps))
+    asked = numbers.select("query_id", F.explode(forms).alias("form")).select("query_id", "form.*")
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in prefixes))
+    own = cases.select(F.col(order).alias("_order"), F.struct(*cases.columns).alias("_record"), F.explode(fields).alias("_form"))
+    met = own.join(asked, (F.col("_form.field") == F.col("field")) & (F.col("_form.value") == F.col("value")))
+    return met.groupBy("query_id").agg(F.min_by("_record", "_order").alias("record")).select("query_id", "record.*")
+
+
+def special_forms(number: str) -> list[str]:
+    """A special number as it is given, in capitals and in small letters."""
+    return list(dict.fromkeys([number, number.upper(), number.lower()]))
+
+
+def first_form(cases: DataFrame, field: str, forms: list[str]) -> DataFrame:
+    """Records whose field has one of some forms, of the first form only that any record has; ``form`` counts from 1."""
+    place = F.array_position(F.array(*map(F.lit, forms)), F.col(field)).cast("int")
+    met = cases.where(F.col(field).isin(forms)).withColumn("form", place)
+    return met.join(met.agg(F.min("form").alias("form")), "form")
+
+
+def read_first(spark: SparkSession, path: str, n: int, schema: str = CASE) -> DataFrame:
+    """The first ``n`` valid records of a file of JSON lines, in the order of its lines."""
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_line", F.monotonically_increasing_id())
+    parsed = lines.select("_line", F.from_json("value", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    return parsed.where(F.col("r").isNotNull() & F.col("r._broken").isNull()).orderBy("_line").limit(n).select("r.*").drop("_broken")
+
+
+def read_queries(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """Test questions ``first`` to ``last``, counted from 1, of a file, in their normal form.
+
+    The number of a case is the one given, else an id that looks like one; what
+    is expected follows from the category and the question.
+    """
+    item = "query string, category string, case_year string, case_title string, case_id string, case_gr_number string, ground_truth string"
+    files = spark.read.text(path, wholetext=True)
+    listed = files.select(F.posexplode(F.from_json("value", f"struct<queries:array<struct<{', '.join(':'.join(f.split()) for f in item.split(','))}>>>")["queries"]).alias("place", "q"))
+    kept = listed.where(F.col("place").between(first - 1, last - 1)).select((F.col("place") + 1).alias("query_index"), "q.*")
+    low, asked = F.lower(F.coalesce("category", F.lit(""))), F.lower(F.coalesce("query", F.lit("")))
+    expected = F.when(F.contains(low, F.lit("digest")), "digest").when(low.rlike("factual|q&a|qa") | F.contains(asked, F.lit("ruling")), "ruling").otherwise("facts")
+    number = F.coalesce(F.nullif("case_gr_number", F.lit("")), F.when(F.col("case_id").rlike(r"G\.R\.|A\.C\.|A\.M\."), F.col("case_id")), F.lit("Unknown"))
+    told = F.concat(F.coalesce("category", F.lit("")), F.lit(" for "), F.coalesce("case_title", F.lit("")), F.lit(" ("), F.coalesce("case_year", F.lit("")), F.lit(")"))
+    return kept.select("query_index", "query", expected.alias("expected_type"), told.alias("description"), number.alias("case_number"), "case_id", "ground_truth")
+
+
+#: Columns of a report of tests, and what stands where a score is missing.
+REPORT = [
+    "test_name", "status", "query", "year", "category", "case_number", "response_length", "execution_time", "timestamp", "rouge_1_f1", "rouge_2_f1", "rouge_l_f1",
+    "bertscore_f1", "accuracy_score", "accuracy_level", "quality_threshold_met", "content_relevance_score",
+]
+
+
+def report_rows(tests: DataFrame) -> DataFrame:
+    """Rows of a report: its seventeen columns in order, with a default for each that ``tests`` lacks or leaves null."""
+    has = {c.lower() for c in tests.columns}
+    zero = {"response_length": F.lit(0), "quality_threshold_met": F.lit(False)} | {c: F.lit(0.0) for c in REPORT if c.endswith(("_f1", "_score")) or c == "execution_time"}
+    return tests.select(*((F.coalesce(F.col(c), zero.get(c, F.lit(""))) if c in has else zero.get(c, F.lit(""))).alias(c) for c in REPORT))
+
+
 def keep_new(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not stored yet."""
     return rows.join(stored.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
