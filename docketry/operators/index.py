@@ -15,6 +15,8 @@ from docketry.operators import search
 
 #: Folders that terms are dealt into.
 BUCKETS = 64
+#: Columns of the stored tables; an index of no documents has no files to tell them.
+POSTINGS, VOCABULARY = "doc_id {}, dl int, term string, tf bigint, bucket int", "term string, df bigint, bucket int"
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -37,28 +39,29 @@ def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     dealt = tf.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "doc_id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     spark = docs.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
+    kind = split.schema["doc_id"].dataType.simpleString()
+    stored = spark.read.schema(POSTINGS.format(kind)).parquet(f"{path}/postings")
     # The bucket is part of the key, so a term's count needs no shuffle of other buckets' rows.
     vocabulary = stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
     vocabulary.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
     sums = search.totals(split, F.col("words"))
-    words = spark.read.parquet(f"{path}/vocabulary").crossJoin(F.broadcast(sums))
+    words = spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary").crossJoin(F.broadcast(sums))
     mean = words.agg(F.avg(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean_idf"))
-    sums.crossJoin(mean).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
+    sums.crossJoin(mean).select("*", F.lit(buckets).alias("buckets"), F.lit(kind).alias("kind")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def bm25(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) by a stored word index; only folders of the questions' terms are read."""
     totals = spark.read.parquet(f"{path}/totals")
-    buckets = totals.first()["buckets"]
+    buckets, kind = totals.select("buckets", "kind").first()
     wanted = search.asked_terms(queries).withColumn("bucket", _bucket(F.col("term"), buckets))
     parts = [r[0] for r in wanted.select("bucket").distinct().collect()]  # at most ``buckets``
     asked = search.sized(wanted)
-    vocabulary = spark.read.parquet(f"{path}/vocabulary").where(F.col("bucket").isin(parts))
+    vocabulary = spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary").where(F.col("bucket").isin(parts))
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weights = vocabulary.join(asked, ["bucket", "term"]).crossJoin(F.broadcast(totals))
     weights = weights.select("bucket", "term", "query_id", "qtf", F.when(idf < 0, search.EPSILON * F.col("mean_idf")).otherwise(idf).alias("idf"), "n", "all_terms")
-    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(parts)).join(search.sized(weights), ["bucket", "term"])
+    hits = spark.read.schema(POSTINGS.format(kind)).parquet(f"{path}/postings").where(F.col("bucket").isin(parts)).join(search.sized(weights), ["bucket", "term"])
     return search.scored(hits)
 
 
