@@ -97,6 +97,7 @@ MARKERS = [
     ("arguments", "THE RULING", ["WHEREFORE"]), ("arguments", "DISCUSSION", ["WHEREFORE"]),
 ]
 LEADS = ["WHEREFORE", "ACCORDINGLY", "IN VIEW OF THE FOREGOING", "IN VIEW WHEREOF", "THUS", "HENCE", "PREMISES CONSIDERED"]
+RULING_LEADS = ["WHEREFORE", "ACCORDINGLY", "IN VIEW WHEREOF"]
 
 
 def _first_of(places: list[Column]) -> Column:
@@ -123,7 +124,7 @@ def ruling(text: Column, pattern: str = DISPOSITIVE, leads: list[str] = LEADS) -
     return let(_capitals(text), lambda upper: _ruling(text, upper, pattern, leads))
 
 
-def sections(text: Column, pattern: str = DISPOSITIVE) -> Column:
+def sections(text: Column, pattern: str = DISPOSITIVE, leads: list[str] = LEADS) -> Column:
     """Sections of more than 100 characters by name, the ruling of any length; the whole text as body if there are none.
 
     Markers are located in one copy of the text in capitals, then the text is sliced.
@@ -135,7 +136,7 @@ def sections(text: Column, pattern: str = DISPOSITIVE) -> Column:
         return let(F.regexp_replace(part, r"^\s+|\s+$", ""), lambda c: F.when(F.length(c) > 100, c))
 
     def listed(upper: Column) -> Column:
-        pairs = [F.struct(F.lit("ruling").alias("section"), F.trim(_ruling(text, upper, pattern, LEADS)).alias("content"))]
+        pairs = [F.struct(F.lit("ruling").alias("section"), F.trim(_ruling(text, upper, pattern, leads)).alias("content"))]
         for name in dict.fromkeys(m[0] for m in MARKERS):
             tries = [content(upper, begin, ends) for own, begin, ends in MARKERS if own == name]
             pairs.append(F.struct(F.lit(name).alias("section"), F.coalesce(*tries).alias("content")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,10 +63,65 @@ def rouge_l(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
             r = [h / m if m else 0.0 for h, _, m in size]
             yield pd.DataFrame({key: batch[key], "precision": p, "recall": r, "f1": [2 * x * y / (x + y) if x + y else 0.0 for x, y in zip(p, r)]})
 
-    plain = [F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ").alias(c) for c in ("response", "reference")]
+    plain = [F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ").alias(c) for c in ("response", "reference")]
     return pairs.select(key, *plain).mapInPandas(run, f"{key} long, precision double, recall double, f1 double")
 
 
+def best_reference(scored: DataFrame, key: str, reference: str, metrics: list[str] = ("precision", "recall", "f1")) -> DataFrame:
+    """For each answer the precision, recall and f1 against the reference with the best f1; the first one wins a tie, and without any overlap all are zero."""
+    best = F.max_by(F.struct(*metrics), F.struct(F.col("f1"), -F.col(reference)))
+    return scored.groupBy(key).agg(best.alias("b"), F.max("f1").alias("_top")).select(key, *(F.when(F.col("_top") > 0, F.col(f"b.{m}")).otherwise(0.0).alias(m) for m in metrics))
+
+
+def best_components(scored: DataFrame, key: str, metrics: list[str] = ("precision", "recall", "f1")) -> DataFrame:
+    """For each answer the best of each component over all references, each by itself, to four places."""
+    return scored.groupBy(key).agg(*(F.round(F.greatest(F.max(m), F.lit(0.0)), 4).alias(m) for m in metrics))
+
+
+def model_scores(pairs: DataFrame, key: str = "pair_id", model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
+    """(key, precision, recall, f1) of a model over batches of (key, response, reference); all zero where there is no model."""
+    if model is None:
+        return pairs.select(key, *(F.lit(0.0).alias(m) for m in ("precision", "recall", "f1")))
+    ship(pairs.sparkSession)
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(key, "response", "reference").mapInPandas(model, f"{key} {kind}, precision double, recall double, f1 double")
+
+
+#: What each level of accuracy comes with, and what each issue says.
+ADVICE = {
+    "HIGH": "Response demonstrates high legal information accuracy with proper case digest structure",
+    "MEDIUM": "Response shows moderate legal information accuracy, consider improving section identification",
+    "LOW": "Response has low legal information accuracy, significant improvements needed in case digest structure",
+}
+ISSUES = [
+    "Content semantic similarity is low - response may not match reference meaning",
+    "Information overlap is insufficient - ensure key facts are included",
+    "Case digest section identification is poor - improve facts, issues, ruling structure",
+    "Potential hallucination detected - verify factual consistency with reference",
+]
+
+
+def evaluated(pairs: DataFrame, key: str = "pair_id", model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
+    """All scores of answers (key, query, response, reference): overlap, sections, departure, relevance, quality, level and issues.
+
+    Sections of the content scores are all three; those of the quality follow from the question.
+    """
+    scores = pairs
+    for name, part in (("r1", rouge_n(pairs, 1, key)), ("r2", rouge_n(pairs, 2, key)), ("rl", rouge_l(pairs, key)), ("bert", model_scores(pairs, key, model))):
+        scores = scores.join(part.select(key, F.round("f1", 4).alias(name)), key)
+    digest = compare_sections(F.col("response"), F.col("reference"), expected_sections(F.lit("")))
+    asked = compare_sections(F.col("response"), F.col("reference"), expected_sections(F.col("query")))
+    scores = scores.withColumns({"digest": digest, "asked": asked, "relevance": F.when(F.coalesce("query", F.lit("")) != "", query_relevance(F.col("query"), F.col("response")))})
+    c = {n: F.col(n) for n in ("bert", "r1", "r2", "rl")}
+    relevant = lambda r: composite_quality(*c.values(), F.col("asked.f1"), r)
+    scores = scores.withColumns({"hallucination": hallucination(c["bert"], c["r1"]), "overall": F.round(overall_relevance(*c.values(), F.col("digest.f1")), 4), "quality": F.when(F.col("relevance").isNull(), relevant(None)).otherwise(relevant(F.col("relevance")))})
+    level = accuracy_level(F.col("quality"))
+    met = [c["bert"] < 0.4, c["r1"] < 0.4, F.col("asked.f1") < 0.5, F.col("hallucination.detected")]
+    issues = F.array_compact(F.array(*(F.when(m, t) for m, t in zip(met, ISSUES))))
+    advice = F.element_at(F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair)), level)
+    return scores.select(key, *c, F.col("digest.f1").alias("digest_f1"), "hallucination", "overall", F.round("quality", 4).alias("accuracy_score"), level.alias("accuracy_level"), advice.alias("recommendation"), issues.alias("issues"), (F.col("quality") >= 0.65).alias("quality_threshold_met"))
+
+
 def section_scores(text: Column) -> Column:
     """Score of each section of a digest by name: 0.7 for its words, 0.3 for its patterns."""
     low = F.lower(text)

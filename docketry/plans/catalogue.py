@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.plans import answers, cases, classification, evaluation, loads, reports, retrieval, shapes, storage, streams, titles  # noqa: F401  they register their queries
+from docketry.plans import answers, cases, classification, composition, evaluation, loads, reports, retrieval, shapes, storage, streams, titles  # noqa: F401  they register their queries
 from docketry.plans.registry import ORACLES, QUERIES, Query
 
 

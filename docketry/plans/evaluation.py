@@ -51,18 +51,44 @@ def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(evaluate.rouge_l(_pairs(spark, folder)))
 
 
-@query("""WITH p AS (SELECT b.item_id, d.doc_id, d.text, b.text AS reference FROM benchmark b JOIN documents d ON d.doc_id IN (b.item_id, b.item_id + 40)),
-    w AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split(regexp_replace(lower(reference), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) AS b FROM p),
-    s AS (SELECT item_id, doc_id, len(list_intersect(a, b)) * 1.0 / greatest(1, len(b)) AS share FROM w)
-    SELECT item_id, round(max(share), 6) AS best, arg_max(doc_id, share * 1000000 - doc_id * 0.000001) AS doc_id FROM s GROUP BY item_id""")
+_WORDS_OF = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+#: Each document as an answer with two references.
+BEST_SQL = f"""WITH p AS (SELECT d.doc_id, b.item_id, d.text AS response, b.text AS reference FROM documents d JOIN benchmark b ON b.item_id IN (d.doc_id % 40, (d.doc_id * 7 + 1) % 40)),
+    a AS (SELECT doc_id, item_id, g, count(*) AS n FROM (SELECT doc_id, item_id, unnest({_WORDS_OF.format('response')}) AS g FROM p) GROUP BY ALL), b AS (SELECT doc_id, item_id, g, count(*) AS n FROM (SELECT doc_id, item_id, unnest({_WORDS_OF.format('reference')}) AS g FROM p) GROUP BY ALL),
+    s AS (SELECT doc_id, item_id, CAST(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS DOUBLE) AS hit, CAST(coalesce(sum(a.n), 0) AS DOUBLE) AS own, CAST(coalesce(sum(b.n), 0) AS DOUBLE) AS theirs FROM a FULL JOIN b USING (doc_id, item_id, g) GROUP BY ALL),
+    r AS (SELECT doc_id, item_id, CASE WHEN own > 0 THEN hit / own ELSE 0 END AS p, CASE WHEN theirs > 0 THEN hit / theirs ELSE 0 END AS r FROM s), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM r)"""
+
+
+def _two_references(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("response"), F.explode(F.array_distinct(F.array(F.col("doc_id") % 40, (F.col("doc_id") * 7 + 1) % 40))).alias("item_id"))
+    pairs = docs.join(table(spark, folder, "benchmark").select("item_id", F.col("text").alias("reference")), "item_id")
+    keyed = pairs.withColumn("pair", F.struct("doc_id", "item_id"))
+    return evaluate.rouge_n(keyed, 1, "pair").select("pair.doc_id", "pair.item_id", "precision", "recall", "f1")
+
+
+@query(BEST_SQL + " SELECT doc_id, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(f, 12) DESC, item_id) AS n FROM f) WHERE n = 1")
 def best_reference(spark: SparkSession, folder: str) -> DataFrame:
-    """The better of two answers for each reference; the first one wins a tie."""
-    refs = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("reference"), F.explode(F.array(F.col("item_id"), F.col("item_id") + 40)).alias("doc_id"))
-    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
-    both = refs.join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    share = F.size(F.array_intersect(words("text"), words("reference"))) / F.greatest(F.lit(1), F.size(words("reference")))
-    scored = both.select("item_id", "doc_id", share.alias("share"))
-    return scored.groupBy("item_id").agg(F.round(F.max("share"), 6).alias("best"), F.max_by("doc_id", F.struct("share", -F.col("doc_id"))).alias("doc_id"))
+    """Precision, recall and f1 of every document against the better of its two references; the first one wins a tie."""
+    scored = _two_references(spark, folder).withColumn("f1", F.round("f1", 12))
+    return evaluate.best_reference(scored, "doc_id", "item_id").select("doc_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(BEST_SQL + " SELECT doc_id, round(max(p), 4) AS precision, round(max(r), 4) AS recall, round(max(f), 4) AS f1 FROM f GROUP BY doc_id")
+def best_components(spark: SparkSession, folder: str) -> DataFrame:
+    """The best precision, recall and f1 of every document over its two references, each by itself."""
+    return evaluate.best_components(_two_references(spark, folder), "doc_id")
+
+
+@query(f"WITH pairs AS ({PAIRS_SQL}) SELECT pair_id, CAST(0 AS DOUBLE) AS precision, CAST(0 AS DOUBLE) AS recall, CAST(0 AS DOUBLE) AS f1 FROM pairs")
+def model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores by a model where there is none."""
+    return evaluate.model_scores(_pairs(spark, folder))
+
+
+@query()
+def evaluated_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """All scores of answers against their references, from overlap to issues."""
+    return evaluate.evaluated(_pairs(spark, folder).drop("bert"))
 
 
 def _section_sql(c: str, name: str) -> str:
