@@ -140,7 +140,7 @@ def array(path: str) -> np.ndarray:
     found = _mapped.get(path)
     if found is None:
         found = storage.load(path)
-        if not isinstance(found, np.memmap):
+        if not storage.is_local(path):
             return found
         folder = path.rsplit("/", 2)[0]
         if folder != _model or len(_mapped) >= MAPPED:
@@ -349,7 +349,7 @@ def at_of(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def counts_at(path: str, at: np.ndarray) -> np.ndarray:
     """Counts at some places of a shard."""
     n = array(path + ".count")[at].astype(np.int64)
-    zero = np.flatnonzero(n == 0)
+    zero = np.flatnonzero(n == 0)  # counts beyond a byte
     if len(zero):
         n[zero] = array(path + ".largecount")[np.searchsorted(array(path + ".large"), at[zero])]
     return n
@@ -366,11 +366,16 @@ def look_up(path: str, context: np.ndarray, follower: np.ndarray) -> tuple[np.nd
     low, end = begin[at].astype(np.int64), begin[at + 1].astype(np.int64)
     high, first = end.copy(), low.copy()
     # All followers are sought at once, each among those of its context.
-    while len(todo := np.flatnonzero(low < high)):
-        middle = (low[todo] + high[todo]) // 2
-        less = word[middle].astype(np.int64) < follower[rows[todo]]
-        low[todo[less]], high[todo[~less]] = middle[less] + 1, middle[~less]
-    found = (low < end) & (word[np.minimum(low, end - 1)].astype(np.int64) == follower[rows])
+    sought = follower[rows]
+    todo = np.flatnonzero(low < high)
+    while len(todo):
+        a, b = low[todo], high[todo]
+        middle = (a + b) >> 1
+        less = word[middle] < sought[todo]
+        a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+        low[todo], high[todo] = a, b
+        todo = todo[a < b]
+    found = (low < end) & (word[np.minimum(low, end - 1)] == sought)
     count[rows[found]] = counts_at(path, low[found])
     each, back = np.unique(at, return_index=True)
     own, size = first[back], (end - first)[back]
@@ -408,14 +413,15 @@ class Model:
     frequent: np.ndarray
 
     def word_probability(self, number: np.ndarray) -> np.ndarray:
-        """p(w) of sorted distinct numbers; of -1 the probability of an unknown word."""
+        """p(w) of distinct numbers, in order but for -1; of -1 the probability of an unknown word."""
         out = np.full(len(number), self.word_free / (self.words.distinct + 1))
-        edges = np.searchsorted(number, self.words.offsets)
+        rows = np.flatnonzero(number >= 0)
+        edges = np.searchsorted(number[rows], self.words.offsets)
         for k, path in enumerate(self.follow):
-            own = number[edges[k] : edges[k + 1]]
+            own = rows[edges[k] : edges[k + 1]]
             if len(own) and path:
-                c = array(path)[own - self.words.offsets[k]].astype(np.float64)
-                out[edges[k] : edges[k + 1]] += np.maximum(c - cut_of(self.word_cut, c), 0) / max(self.kinds, 1)
+                c = array(path)[number[own] - self.words.offsets[k]].astype(np.float64)
+                out[own] += np.maximum(c - cut_of(self.word_cut, c), 0) / max(self.kinds, 1)
         return out
 
     def terms(self, context: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -445,9 +451,9 @@ class Model:
         share = np.where(seen, np.maximum(count - cut_of(level.cut, count), 0) / total, 0.0)
         return share, np.where(seen, stats[:, 1:] @ np.array(level.cut) / total, 1.0)
 
-    def probabilities(self, number: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """p(w | the words before it) of every token of some texts."""
-        known, word = np.unique(number, return_inverse=True)
+    def probabilities(self, known: np.ndarray, word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """p(w | the words before it) of every token of some texts, whose words are places among distinct numbers."""
+        number = known[word]
         p = self.word_probability(known)[word]
         for order in range(2, self.order + 1):
             columns = grams(number, counts, order, self.words.distinct)
@@ -459,12 +465,11 @@ class Model:
         return p
 
 
-def numbered(words: Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number and count of every token, and tokens by row."""
+def numbered(words: Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers and counts of the distinct words, each token's place among them, and tokens by row."""
     hashes, counts = token_hashes(batch)
     known, back = np.unique(hashes, return_inverse=True)
-    number, seen = words.find(known)
-    return number[back], seen[back], counts
+    return *words.find(known), back, counts
 
 
 def fit(train: DataFrame, order: int = ORDER) -> Model:
@@ -504,9 +509,9 @@ def fit(train: DataFrame, order: int = ORDER) -> Model:
             return pa.RecordBatch.from_arrays([pa.array(used), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
         for batch in common.parts(batches, "text", 8 << 20):
-            number, _, counts = numbered(words, batch)
-            held.append(grams(number.astype(kind), counts, order, start))
-            waiting += len(number)
+            number, _, word, counts = numbered(words, batch)
+            held.append(grams(number.astype(kind)[word], counts, order, start))
+            waiting += len(word)
             if waiting >= HELD:
                 yield send()
                 waiting = 0
@@ -614,11 +619,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.parts(batches, "text", 4 << 20):
-            number, seen, counts = numbered(words, batch)
+            number, seen, word, counts = numbered(words, batch)
             base = np.log10((seen + 1.0) / (words.tokens + 1.0 * (words.distinct + 1)))
-            p = np.log10(model.probabilities(number, counts))
+            p = np.log10(model.probabilities(number, word, counts))
             at = np.cumsum(counts) - counts
-            sums = [np.add.reduceat(x, at) if len(at) else x for x in ((number >= 0).astype(np.int64), base, p)]
+            sums = [np.add.reduceat(x, at) if len(at) else x for x in ((number >= 0).astype(np.int64)[word], base[word], p)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts.astype(np.int64)), *map(pa.array, sums)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

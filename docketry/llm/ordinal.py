@@ -7,20 +7,23 @@ score s, and ordered thresholds give the probability of a grade above k:
 
     P(grade > k) = 1 / (1 + exp(t_k - s)),  t_0 < t_1 < ...
 
-Weights and thresholds minimise the negative log-likelihood with a quadratic
-and an absolute penalty, so that few weights differ from zero and a stem that
-tells takes precedence over words that copies happen to share. They are fitted on at most ``TRAIN_ROWS`` rated texts, those whose
-ids have the smallest hashes. A feature gets a weight if ``LEAST_TEXTS`` of
+Weights and thresholds come from ``STEPS`` steps of Adam on the mean negative
+log-likelihood with a quadratic penalty; after each step weights move towards
+zero by ``SPARSITY`` times its rate, so that few differ from zero and a stem
+that tells takes precedence over words that copies happen to share. They are
+fitted on at most ``TRAIN_ROWS`` rated texts, those whose ids have the smallest
+hashes. A feature gets a weight if ``LEAST_TEXTS`` of
 these have it and its share among some grade and those above departs from
 chance by ``SIGNAL`` standard deviations, so that the many words that say
 nothing add no noise to long texts. Every text is then scored as a whole.
 
 Defined cases: a null text counts as empty; ratings that are null are left
-out, and of several ratings of one text the lowest counts; rated ids without a
-text and texts without an id do not train; without any rating, or with one
-grade only, every text has an equal score and is kept; rows that repeat an id
-are scored as texts of their own; further columns stay as they are; an empty
-table gives an empty result.
+out, and of several ratings of one text the lowest counts; of several texts of
+a rated id the one with the smallest digest trains; rated ids without a text
+and texts without an id do not train; without any rating, or with one grade
+only, every text has an equal score and is kept; rows that repeat an id are
+scored as texts of their own; further columns stay as they are; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -194,7 +197,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
     # At most ``rows`` ids, so they may go to every executor.
     sample = F.broadcast(rated.where(F.col("hash") <= top).select("_id", "grade"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(sample, F.col("id") == F.col("_id")).select("text", "grade")
+    # Of rows that repeat an id one trains, so the bound holds for rows as well.
+    found = texts.join(sample, F.col("id") == F.col("_id")).groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("grade").alias("grade"))
 
     @common.tidy
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +215,6 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
         for batch in batches:
             grade += batch.column("grade").to_pylist()
             sets += [np.frombuffer(x, dtype="<u4") for x in batch.column("features").to_pylist()]
-            del grade[2 * rows :], sets[2 * rows :]  # rows that repeat an id are bounded too
         if grade:
             model = fit(np.repeat(np.arange(len(sets)), list(map(len, sets))), np.concatenate(sets), np.array(grade), grades)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.known.astype("<i8"), model.weights.astype("<f8"), model.thresholds.astype("<f8"))], ["known", "weights", "thresholds"])

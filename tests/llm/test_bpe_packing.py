@@ -142,3 +142,17 @@ def test_special_tokens_need_no_certain_sign(tmp_path):
     own.write_text(json.dumps(stored))
     ids = bpe.TrieEncoder(vocab.read(str(own))).encode_batch(["a[stop]b"])[0]
     assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(str(own)).encode("a[stop]b", add_special_tokens=False).ids
+
+
+def test_texts_longer_than_a_window_and_equal_ones(spark, library):
+    long = " ".join(f"word{k % 97}" for k in range(4000))
+    texts = [long, "same text", "same text", "same text", long, "", "x"]
+    got = packing.pack_documents(rows(spark, texts).coalesce(1), PATH, window=300).collect()
+    pieces, used = defaultdict(list), defaultdict(int)
+    for r in got:
+        pieces[r.doc_id].append((r.start, r.length, bytes(r.ids)))
+        used[r.sequence_id] += r.length
+    for k, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(b"".join(b for _, _, b in sorted(pieces[k])), "<u4").tolist() == ids
+    assert max(used.values()) <= 1024 and sum(used.values()) == sum(n for p in pieces.values() for _, n, _ in p)

@@ -145,6 +145,84 @@ def test_held_out_accuracy(spark):
     assert kept == {k for k, r in got.items() if r.kept}
 
 
+def plain_fit(sets, grade, grades):
+    """The classifier's fit in plain Python, with slopes by differences of the likelihood."""
+    n = len(grade)
+    names = sorted({f for s in sets for f in s})
+    known = []
+    for f in names:
+        rows = [k for k, s in enumerate(sets) if f in s]
+        far = 0.0
+        for t in range(grades - 1):
+            share = sum(g > t for g in grade) / n
+            spread = math.sqrt(max(len(rows) * share * (1 - share) * (1 - len(rows) / n), 1e-9))
+            far = max(far, abs(sum(grade[k] > t for k in rows) - len(rows) * share) / spread)
+        if len(rows) >= ordinal.LEAST_TEXTS and far >= ordinal.SIGNAL:
+            known.append(f)
+    size = len(known)
+    shares = [min(max(sum(g > t for g in grade) / n, 1e-3), 1 - 1e-3) for t in range(grades - 1)]
+    first = [-math.log(s / (1 - s)) for s in shares]
+    free = [0.0] * size + first[:1] + [math.log(max(b - a, 1e-3)) for a, b in zip(first, first[1:])]
+
+    def thresholds(x):
+        out = [x[size]]
+        for gap in x[size + 1 :]:
+            out.append(out[-1] + math.exp(gap))
+        return out
+
+    def loss(x):
+        theta, total = thresholds(x), 0.0
+        for s, g in zip(sets, grade):
+            score = sum(x[k] for k, f in enumerate(known) if f in s)
+            above = [1.0, *(1 / (1 + math.exp(t - score)) for t in theta), 0.0]
+            total -= math.log(max(above[g] - above[g + 1], 1e-12))
+        return total / n + ordinal.PENALTY * sum(w * w for w in x[:size])
+
+    mean, square = [0.0] * len(free), [0.0] * len(free)
+    for step in range(1, ordinal.STEPS + 1):
+        slope = []
+        for k in range(len(free)):
+            up, down = free[:], free[:]
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            slope.append((loss(up) - loss(down)) / 2e-5)
+        mean = [0.9 * a + 0.1 * b for a, b in zip(mean, slope)]
+        square = [0.99 * a + 0.01 * b * b for a, b in zip(square, slope)]
+        rate = ordinal.RATE * min(1.0, 2 * (1 - step / (ordinal.STEPS + 1)))
+        free = [x - rate * (m / (1 - 0.9**step)) / (math.sqrt(q / (1 - 0.99**step)) + 1e-10) for x, m, q in zip(free, mean, square)]
+        free[:size] = [math.copysign(max(abs(x) - rate * ordinal.SPARSITY, 0), x) for x in free[:size]]
+    return known, free[:size], thresholds(free)
+
+
+def test_fit_against_a_plain_one():
+    pick = random.Random(11)
+    grade, sets = [], []
+    for _ in range(160):
+        g = pick.choice([0, 1, 2, 2])
+        own = {100 + pick.randrange(12)}
+        if pick.random() < 0.9:
+            own.add(1 + g)
+        if g and pick.random() < 0.6:
+            own.add(7)
+        grade.append(g)
+        sets.append(sorted(own))
+    model = ordinal.fit(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets), np.array(grade), 3)
+    known, weights, thresholds = plain_fit([set(s) for s in sets], grade, 3)
+    assert model.known.tolist() == known and len(known) >= 3
+    assert model.weights == pytest.approx(weights, abs=2e-3) and model.thresholds == pytest.approx(thresholds, abs=2e-3)
+    for s in sets[:40]:
+        score = sum(w for f, w in zip(known, weights) if f in s)
+        above = model.above(model.score(np.zeros(len(s), dtype=np.int64), np.array(s), 1))[0]
+        assert above == pytest.approx([1 / (1 + math.exp(t - score)) for t in thresholds], abs=2e-3)
+
+
+def test_one_text_of_a_rated_id_trains(spark):
+    docs = spark.createDataFrame([(1, t) for t in ("a", "b", "c")] * 3 + [(2, "x y")] * 4 + [(3, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    model = ordinal.train(docs, labels.select("doc_id", ordinal.rating().alias("grade")), 3, rows=2)
+    assert len(model.thresholds) == 2 and ordinal.classify(docs, labels).count() == 14
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (2, ""), (3, "word " * 50000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
