@@ -145,3 +145,51 @@ def request(body: Column) -> Column:
         return F.struct(valid.alias("valid"), F.trim(x["query"]).alias("query"), F.size(history).alias("n_history"), mode.alias("template_mode"))
 
     return let(r, whole)
+
+
+#: Fixed patterns: what stands apart in a line of rich text: links in bold, links, and bold words.
+BOLD_LINK, LINK, BOLD = r"\*\*\[[^\]]+\]\((?:gr:|am:|https?:)[^)]+\)\*\*", r"\[[^\]]+\]\([^)]+\)", r"\*\*[^*]+\*\*"
+
+
+def spans(text: Column) -> Column:
+    """(kind, text, target) of the parts of a rich text in order: links to cases and pages, bold words, and plain text."""
+    marked = F.regexp_replace(text, f"({BOLD_LINK}|{LINK}|{BOLD})", "\u0001$1\u0001")
+
+    def part(p: Column) -> Column:
+        target = captured(p, r"\[[^\]]+\]\(([^)]+)\)")
+        case = captured(target, r"^(?:gr|am):(.+)$")
+        kind = F.when(p.rlike(f"^{BOLD_LINK}$") & case.isNotNull(), "case").when(p.rlike(f"^(?:{BOLD_LINK}|{LINK})$"), "link").when(p.rlike(f"^{BOLD}$") & ~F.contains(p, F.lit("[")), "bold").otherwise("plain")
+        shown = F.when(kind.isin("case", "link"), captured(p, r"\[([^\]]+)\]")).when(kind == "bold", F.regexp_extract(p, r"^\*\*(.*)\*\*$", 1)).otherwise(p)
+        return F.struct(kind.alias("kind"), shown.alias("text"), F.when(kind == "case", case).when(kind == "link", target).alias("target"))
+
+    return F.transform(F.filter(F.split(marked, "\u0001"), lambda p: p != ""), part)
+
+
+def blocks(text: Column) -> Column:
+    """(kind, lines) of a rich text: headings by themselves, lists, and paragraphs, which empty lines part."""
+    kind = "array<struct<kind:string,lines:array<string>>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.array().cast("array<string>").alias("open"))
+
+    def closed(acc: Column) -> Column:
+        listed = F.forall(acc["open"], lambda x: x.rlike(r"^\s*[-*]\s+"))
+        one = F.struct(F.when(listed, "list").otherwise("paragraph").alias("kind"), F.when(listed, F.transform(acc["open"], lambda x: F.regexp_replace(x, r"^\s*[-*]\s+", ""))).otherwise(acc["open"]).alias("lines"))
+        return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(one))).otherwise(acc["done"])
+
+    def step(acc: Column, line: Column) -> Column:
+        own = line_kind(line)
+        heading = F.concat(closed(acc), F.array(F.struct(F.lit("heading").alias("kind"), F.array(F.regexp_replace(F.trim(line), r"^#{1,3} |^\*\*|\*\*:?$", "")).alias("lines"))))
+        done = F.when(own == "heading", heading).when(own == "blank", closed(acc)).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(own.isin("heading", "blank"), F.array().cast("array<string>")).otherwise(F.concat(acc["open"], F.array(line))).alias("open"))
+
+    return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), start, step, closed)
+
+
+def listing_summary(made: Column, plain: Column) -> Column:
+    """A model's summary for a list of cases if it says enough, else the plain one."""
+    said = F.trim(made)
+    return F.when(F.length(said) > 20, said).otherwise(plain)
+
+
+def prompt(question: Column, context: Column, system: str) -> Column:
+    """What a model is asked: the system's text, the context if there is any, and the question."""
+    return F.concat(F.lit(f"System: {system}\n\n"), F.coalesce(F.concat(F.lit("Context: "), first_present(context), F.lit("\n\n")), F.lit("")), F.lit("User: "), question)

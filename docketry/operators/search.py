@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.text import ascii_tokens
+from docketry.functions.text import ascii_tokens, first_present
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Rows of a table that may go to every executor.
@@ -106,3 +106,23 @@ def within_budget(df: DataFrame, tokens: str, budget: int, *order: Column, by: s
     """Rows of each question in order up to the first that goes over the budget, with the running sum."""
     window = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("running", F.sum(tokens).over(window)).where(F.col("running") <= budget)
+
+
+#: Sections in the order in which a context takes them; others come last.
+PRIORITY = {"summary": 0, "ruling": 1, "dispositive": 1, "facts": 2, "issues": 3, "arguments": 4, "body": 5}
+
+
+def packed_context(chunks: DataFrame, by: str, budget: int = 2500, key: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
+    """The chunks of each question that fit the budget, and their context as one text (by, context).
+
+    ``chunks`` has section, content, token_count, score and numbers of cases.
+    Taken are sections by priority, then score, up to the first that does not fit.
+    """
+    order = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in PRIORITY.items() for x in pair)), F.col("section")), F.lit(5))
+    placed = chunks.withColumn("_order", order)
+    kept = within_budget(placed, "token_count", budget, F.asc("_order"), F.desc("score"), F.asc(key), by=by)
+    number = F.coalesce(F.concat(F.lit(" ("), first_present(F.col("gr_number"), F.col("special_number")), F.lit(")")), F.lit(""))
+    line = F.concat(F.lit("["), F.initcap("section"), number, F.lit("] "), "content")
+    # A budget bounds what is kept of a question, so its lines may be gathered.
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("running", "_order", (-F.col("score")).alias("below"), key, line.alias("line")))), lambda x: x["line"])
+    return kept.drop("_order", "running"), kept.groupBy(by).agg(F.array_join(listed, "\n\n").alias("context"))

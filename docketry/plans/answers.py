@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.functions import display
+from docketry.functions import display, titles
+from docketry.operators import search
 from docketry.plans.cases import CTE
 from docketry.plans.registry import query
 from docketry.sources.tables import cases, table
@@ -102,3 +103,65 @@ def justice_listing(spark: SparkSession, folder: str) -> DataFrame:
     first = own.withColumn("place", F.row_number().over(Window.partitionBy("ponente").orderBy("doc_id"))).where("place <= 5")
     item = display.listed_case(F.col("place"), F.col("case_title"), F.col("promulgation_year").cast("string"), F.col("gr_number"), F.col("ponente"), F.lit("civil"))
     return first.groupBy("ponente").agg(_in_order(item).alias("items")).join(totals, "ponente").select("ponente", display.justice_answer(F.col("ponente"), F.col("items"), F.col("total")).alias("answer"))
+
+
+@query("""WITH c AS (SELECT doc_id, source, CASE doc_id % 7 WHEN 0 THEN 'summary' WHEN 1 THEN 'ruling' WHEN 2 THEN 'facts' WHEN 3 THEN 'issues' WHEN 4 THEN 'arguments' WHEN 5 THEN 'body' ELSE 'odd' END AS section, least(doc_id % 7, 5) AS priority, greatest(1, length(text) // 40) AS tokens, doc_id % 13 AS score FROM documents),
+    r AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY priority, score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM c)
+    SELECT source, string_agg('[' || upper(substr(section, 1, 1)) || substr(section, 2) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' (No. ' || doc_id || ')' END || '] about ' || doc_id, chr(10) || chr(10) ORDER BY priority, score DESC, doc_id) AS context FROM r WHERE running <= 2500 GROUP BY source""")
+def packed_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Context for a model from each source's chunks, by section and score within the budget."""
+    sections = F.array(*map(F.lit, ["summary", "ruling", "facts", "issues", "arguments", "body", "odd"]))
+    item = F.col("doc_id").cast("string")
+    number = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("No. "), item))
+    rows = table(spark, folder, "documents").select("source", "doc_id", F.element_at(sections, (F.col("doc_id") % 7 + 1).cast("int")).alias("section"), F.concat(F.lit("about "), item).alias("content"), F.greatest(F.lit(1), F.floor(F.length("text") / 40)).alias("token_count"), (F.col("doc_id") % 13).alias("score"), number.alias("gr_number"), F.lit(None).cast("string").alias("special_number"))
+    return search.packed_context(rows, "source", key="doc_id")[1]
+
+
+@query(r"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'plain:see |case:G.R. No. ' || conv_id || '>' || conv_id || '|plain: and |bold:' || role WHEN 1 THEN 'link:site>https://h/' || turn || '|plain:, |link:x>y' ELSE 'plain:' || role || ' says' END AS parts FROM conversations""")
+def richtext_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, bold words and plain text of answers, in order."""
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("see **[G.R. No. "), conv, F.lit("](gr:"), conv, F.lit(")** and **"), "role", F.lit("**"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("**[site](https://h/"), turn, F.lit(")**, [x](y)"))).otherwise(F.concat("role", F.lit(" says")))
+    told = lambda s: F.concat(s["kind"], F.lit(":"), s["text"], F.coalesce(F.concat(F.lit(">"), s["target"]), F.lit("")))
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(F.transform(display.spans(said), told), "|").alias("parts"))
+
+
+@query("""SELECT conv_id, turn, 'heading:Facts|paragraph:' || role || '+said|list:one+two|heading:' || turn || CASE WHEN turn % 2 = 0 THEN '|paragraph:- a+b' ELSE '' END AS blocks FROM conversations""")
+def richtext_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings, lists and paragraphs of answers, in order."""
+    said = F.concat(F.lit("## Facts\n"), "role", F.lit("\nsaid\n\n- one\n* two\n**"), F.col("turn").cast("string"), F.lit("**:"), F.when(F.col("turn") % 2 == 0, "\n- a\nb").otherwise("\n"))
+    told = lambda b: F.concat(b["kind"], F.lit(":"), F.array_join(b["lines"], "+"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(F.transform(display.blocks(said), told), "|").alias("blocks"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(trim(substr(text, 1, 40))) > 20 THEN trim(substr(text, 1, 40)) ELSE 'plain ' || doc_id END AS summary FROM documents")
+def listing_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries for a list of cases: a model's where it says enough, else the plain one."""
+    made = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 40)).when(F.col("doc_id") % 3 == 1, "  too short  ")
+    return table(spark, folder, "documents").select("doc_id", display.listing_summary(made, F.concat(F.lit("plain "), F.col("doc_id").cast("string"))).alias("summary"))
+
+
+@query("SELECT conv_id, turn, 'System: be brief' || chr(10) || chr(10) || CASE WHEN turn % 2 = 0 THEN 'Context: c' || turn || chr(10) || chr(10) ELSE '' END || 'User: ' || text AS prompt FROM conversations")
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """What a model is asked with each message."""
+    context = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("c"), F.col("turn").cast("string"))).when(F.col("turn") % 3 == 0, "")
+    return table(spark, folder, "conversations").select("conv_id", "turn", display.prompt(F.col("text"), context, "be brief").alias("prompt"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, conv_id % 7 AS case_no FROM conversations)
+    SELECT conv_id, turn, 'G.R. No. ' || case_no AS case_id, CAST(count(*) OVER w AS BIGINT) AS n_before, CAST(sum(length(text)) OVER w AS BIGINT) AS chars_before FROM c WINDOW w AS (PARTITION BY case_no ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)""")
+def history_by_case(spark: SparkSession, folder: str) -> DataFrame:
+    """How the history of each case that messages name grows, in the order of arrival."""
+    rows = table(spark, folder, "conversations")
+    message = F.concat(F.lit("on G.R. No. "), (F.col("conv_id") % 7).cast("string"), F.lit(": "), "text")
+    by = Window.partitionBy("case_id").orderBy("conv_id", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    named = rows.withColumn("case_id", F.concat(F.lit("G.R. No. "), display.case_in(message)["gr_number"]))
+    return named.select("conv_id", "turn", "case_id", F.count(F.lit(1)).over(by).alias("n_before"), F.sum(F.length("text")).over(by).alias("chars_before"))
+
+
+@query(CTE + " SELECT title, min(doc_id) AS doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN case_title WHEN doc_id % 6 = 4 THEN 'Case (' || coalesce(gr_number, special_number) || ')' ELSE case_title || ', RESPONDENT.' END AS title FROM cases) GROUP BY title")
+def unique_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the cases that are shown under one title the first; a missing title is read from the text."""
+    title = F.when(F.col("doc_id") % 9 != 0, F.col("case_title"))
+    own = cases(spark, folder).select("doc_id", titles.shown(title, F.col("clean_text"), F.col("gr_number"), F.col("special_number")).alias("title"))
+    return search.first_per_key(own, F.col("title"), F.asc("doc_id")).select("title", "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions import display, extract, text
+from docketry.functions import display, extract
 from docketry.operators import glossary
 from docketry.plans.cases import CTE
 from docketry.plans.registry import query
@@ -103,12 +103,3 @@ def term_sets(spark: SparkSession, folder: str) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     a, b = (F.array_distinct(F.split(t, " ")) for t in (F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))))
     return table(spark, folder, "documents").select("doc_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_missing"))
-
-
-@query("SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'digest' WHEN 1 THEN 'ruling' ELSE 'facts' END AS expected_type, CASE WHEN item_id % 2 = 0 THEN 'G.R. No. ' || item_id ELSE 'id' || item_id END AS case_number FROM benchmark")
-def test_query_normal_form(spark: SparkSession, folder: str) -> DataFrame:
-    """Test questions with the kind of answer they expect and the number of their case."""
-    asked = F.element_at(F.array(F.lit("a case digest"), F.lit("the ruling"), F.lit("facts only")), (F.col("item_id") % 3 + 1).cast("int"))
-    kind = F.when(F.contains(asked, F.lit("digest")), "digest").when(F.contains(asked, F.lit("ruling")), "ruling").otherwise("facts")
-    gr = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("G.R. No. "), F.col("item_id").cast("string"))).otherwise("")
-    return table(spark, folder, "benchmark").select("item_id", kind.alias("expected_type"), text.first_present(gr, F.concat(F.lit("id"), F.col("item_id").cast("string"))).alias("case_number"))

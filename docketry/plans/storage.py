@@ -32,11 +32,12 @@ def page_filter(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", pages.worth_parsing(F.col("html")).alias("worth"))
 
 
-@query("SELECT host, page_id FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, page_id, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1) ORDER BY page_id) AS n FROM pages) WHERE n = 1")
+@query("SELECT url, page_id, CAST(2000 + page_id % 9 AS INTEGER) AS year FROM (SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY page_id) AS n FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS url FROM pages UNION ALL SELECT page_id, url FROM pages)) WHERE n = 1")
 def dedupe_first_url(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each host the first page."""
-    rows = table(spark, folder, "pages").select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("url"), "page_id")
-    return pages.first_by_url(rows, F.asc("page_id")).select(F.col("url").alias("host"), "page_id")
+    """Addresses from two listings, each once, with the year of the listing that had it first."""
+    listed = table(spark, folder, "pages").select("page_id", "url", (F.col("page_id") % 9 + 2000).cast("int").alias("year"))
+    fronts = listed.withColumn("url", F.regexp_extract("url", r"^(https?://[^/?#]+)", 1))
+    return pages.first_by_url(fronts.unionByName(listed), F.asc("page_id")).select("url", "page_id", "year")
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -133,13 +134,6 @@ def glossary_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
     return glossary.search(_terms(spark), asked)
 
 
-@query("SELECT conv_id, turn, role IN ('system', 'user', 'assistant') AND trim(text) <> '' AS valid, CASE WHEN turn % 2 = 0 THEN 'full' ELSE 'simplified' END AS template FROM conversations")
-def request_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Which messages are valid, and the template that applies."""
-    valid = F.col("role").isin("system", "user", "assistant") & (F.trim("text") != "")
-    return table(spark, folder, "conversations").select("conv_id", "turn", valid.alias("valid"), F.coalesce(F.when(F.col("turn") % 2 == 1, "simplified"), F.lit("full")).alias("template"))
-
-
 @query("SELECT CAST(q AS BIGINT) AS query_id, CASE q WHEN 0 THEN 'FACTS' WHEN 1 THEN 'RULING' WHEN 2 THEN 'FACTS|ISSUES|RULING' ELSE 'ISSUES' END AS sections FROM range(4) t(q)")
 def template_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Sections of the simplified template by question."""

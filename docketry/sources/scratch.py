@@ -12,6 +12,8 @@ def path(spark: SparkSession, what: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; only without one a temporary folder is made."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docketry-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -36,8 +36,9 @@ def upsert_into(stream: DataFrame, path: str, checkpoint: str, key: str, version
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        done = [m for m in range(n) if _exists(spark, f"{path}/batch={m}")]
-        stored = spark.read.parquet(f"{path}/batch={done[-1]}") if done else batch.limit(0)
+        # The batch before is the state but for one that was never written.
+        last = next((m for m in range(n - 1, -1, -1) if _exists(spark, f"{path}/batch={m}")), None)
+        stored = batch.limit(0) if last is None else spark.read.parquet(f"{path}/batch={last}")
         upsert(stored, batch, key, version).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
