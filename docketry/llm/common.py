@@ -65,6 +65,19 @@ def clean(spark: SparkSession) -> None:
         forget(spark, _made.pop())
 
 
+def mark() -> int:
+    """How many paths have been made so far, for ``clean_since``."""
+    return len(_made)
+
+
+def clean_since(spark: SparkSession, at: int, *keep: str) -> None:
+    """Remove what has been written to the shared folder since a mark, but for some paths; what read it must be stored."""
+    gone = [path for path in _made[at:] if path not in keep]
+    _made[at:] = [path for path in _made[at:] if path in keep]
+    for path in gone:
+        forget(spark, path)
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
