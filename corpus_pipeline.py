@@ -57,12 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what goes from one to the next is written to the shared folder."""
+    """All stages over documents; what goes from one to the next is written to the shared folder, and removed once read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = common.mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.cut(docs, "stage")
+            common.clean_since(spark, start, docs.cut_path)
     return docs
 
 
