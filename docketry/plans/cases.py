@@ -280,6 +280,17 @@ def website_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return cases(spark, folder).select("doc_id", F.md5(F.encode(text.without_site_lines(F.col("clean_text")), "utf-8")).alias("digest"))
 
 
+@query(CTE + """, g AS (SELECT doc_id, clean_text, regexp_extract(clean_text, '\\[[^\\n]*?G\\.R\\.\\s+No\\.?\\s*\\d+[^\\n]*?\\]', 0) AS m FROM cases),
+    b AS (SELECT doc_id, CASE WHEN m <> '' THEN substr(clean_text, strpos(clean_text, m)) ELSE clean_text END AS t FROM g)
+    SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) || chr(10) || 'the end') AS digest FROM b""")
+def website_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts in the site's frame without it: its parts go wherever they stand, and lines that mention its navigation."""
+    before = "Supreme Court E-Library x\n y Information At Your Fingertips\nToggle posts A A+ A++\nSee also Korea, South and the site map\n"
+    after = "\nCONTACT: Supreme Court of the Philippines\nMalaysia (632) 524-2706\nlibraryservices.sc@judiciary.gov.ph\n12 Phil. 3\nthe end\n\u00a9 2019 E-Library"
+    framed = F.concat(F.lit(before), F.col("clean_text"), F.lit(after))
+    return cases(spark, folder).select("doc_id", F.md5(F.encode(text.without_site_lines(framed, compat=True), "utf-8")).alias("digest"))
+
+
 @query(CTE + """, d AS (SELECT doc_id, promulgation_year, CASE doc_id % 4 WHEN 0 THEN CAST(1998 + doc_id % 25 AS VARCHAR) || '-01-31' WHEN 1 THEN 'undated' WHEN 2 THEN '' END AS date FROM cases),
     y AS (SELECT doc_id, coalesce(promulgation_year, TRY_CAST(CASE WHEN regexp_matches(date, '^[0-9]{4}') THEN substr(date, 1, 4) END AS INTEGER)) AS year FROM d)
     SELECT doc_id FROM y WHERE year IS NULL OR year BETWEEN 2005 AND 2015""")
