@@ -100,3 +100,16 @@ def remember(spark: SparkSession, path: str, rows: DataFrame) -> tuple[int, int,
 def scroll(spark: SparkSession, path: str) -> DataFrame:
     """All points of a collection that have a payload."""
     return spark.read.parquet(f"{path}/points").where(F.col("payload").isNotNull())
+
+
+def stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row: documents, terms and contexts that are stored below ``path``, and which indexes there are."""
+
+    def rows(name: str) -> int | None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return spark.read.schema(VOCABULARY).parquet(f"{path}/{name}").count() if there and name == "vocabulary" else spark.read.parquet(f"{path}/{name}").count() if there else None
+
+    words, vectors, contexts = rows("vocabulary"), rows("vectors"), rows("contexts")
+    total = spark.read.parquet(f"{path}/totals").first()["n"] if words is not None else 0
+    return spark.createDataFrame([(total, words or 0, contexts or 0, words is not None, vectors is not None)], "total_chunks long, terms long, cached_contexts long, bm25_available boolean, vectors_available boolean")

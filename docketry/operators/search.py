@@ -126,3 +126,23 @@ def packed_context(chunks: DataFrame, by: str, budget: int = 2500, key: str = "c
     # A budget bounds what is kept of a question, so its lines may be gathered.
     listed = F.transform(F.array_sort(F.collect_list(F.struct("running", "_order", (-F.col("score")).alias("below"), key, line.alias("line")))), lambda x: x["line"])
     return kept.drop("_order", "running"), kept.groupBy(by).agg(F.array_join(listed, "\n\n").alias("context"))
+
+
+#: Fields of a payload that may hold the content, in order, and those that a document has by themselves.
+CONTENT = ["content", "text", "clean_text", "body", "case_text"]
+OWN = ["title", "content", "gr_number", "year", "section", "source_url"]
+#: Fields that every document's metadata has.
+COMMON = ["ponente", "division", "case_type", "date", "promulgation_year", "is_en_banc", "is_administrative", "bar_primary_subject", "bar_secondary_subjects"]
+
+
+def hit_documents(hits: DataFrame, match_type: str) -> DataFrame:
+    """Hits (score, payload as a map) as documents; what a document has no field for is its metadata."""
+    p = lambda k: F.try_element_at("payload", F.lit(k))
+    or_empty = lambda *ks: F.coalesce(first_present(*map(p, ks)), F.lit(""))
+    rest = F.map_filter("payload", lambda k, v: ~k.isin(*OWN, *COMMON, "case_id"))
+    added = {"case_id": first_present(p("gr_number"), p("id"), p("case_id"))} | {k: F.coalesce(p(k), F.lit("false")) if k.startswith("is_") else p(k) for k in COMMON}
+    known = F.create_map(*(x for k, v in added.items() for x in (F.lit(k), v)))
+    return hits.select(
+        *(c for c in hits.columns if c not in ("score", "payload")), or_empty("title").alias("title"), or_empty(*CONTENT).alias("content"), or_empty("gr_number").alias("gr_number"), or_empty("year").alias("year"), or_empty("section").alias("section"),
+        F.coalesce(p("section_type"), F.lit("general")).alias("section_type"), "score", or_empty("source_url").alias("url"), F.lit(match_type).alias("match_type"), F.map_concat(rest, known).alias("metadata"),
+    )

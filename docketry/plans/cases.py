@@ -143,6 +143,16 @@ def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
     return made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(text.token_estimate(F.col("content"))).cast("long").alias("n_tokens"))
 
 
+@query(WINDOWS_SQL.replace("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(chars // 4) AS BIGINT) AS n_tokens FROM d WHERE chars // 4 >= 200 GROUP BY doc_id", "SELECT lang, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(chars // 4) AS BIGINT) AS n_tokens, round(avg(chars // 4), 6) AS avg_tokens, round(count(*) / CAST(count(DISTINCT doc_id) AS DOUBLE), 6) AS chunks_per_case FROM d JOIN documents USING (doc_id) WHERE chars // 4 >= 200 GROUP BY lang"))
+def chunk_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks and their tokens by language, and chunks for each document."""
+    made = table(spark, folder, "documents").select("doc_id", "lang", F.explode(chunks.windows(text.sentences(F.col("text")))).alias("content"))
+    n = text.token_estimate(F.col("content"))
+    per = made.groupBy("lang", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("tokens"))
+    sums = per.groupBy("lang").agg(F.sum("n").alias("n_chunks"), F.sum("tokens").cast("long").alias("n_tokens"), F.count(F.lit(1)).alias("cases"))
+    return sums.select("lang", "n_chunks", "n_tokens", F.round(F.col("n_tokens") / F.col("n_chunks"), 6).alias("avg_tokens"), F.round(F.col("n_chunks") / F.col("cases"), 6).alias("chunks_per_case"))
+
+
 @query("SELECT doc_id, CAST(CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS BIGINT) AS n_tokens FROM documents")
 def token_estimates(spark: SparkSession, folder: str) -> DataFrame:
     """Estimated tokens of every document."""

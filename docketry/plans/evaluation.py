@@ -39,6 +39,14 @@ def rouge1(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(evaluate.rouge_n(_pairs(spark, folder), 1))
 
 
+@query(_grams(1).replace("SELECT pair_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r", "SELECT round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS rouge_1, round(avg(bert), 6) AS bert, round(100.0 * avg(CASE WHEN bert >= 0.5 THEN 1 ELSE 0 END), 4) AS accuracy FROM r JOIN pairs USING (pair_id)"))
+def average_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Averages of the scores of a run of tests."""
+    pairs = _pairs(spark, folder)
+    scores = evaluate.rouge_n(pairs, 1).select("pair_id", "f1").join(pairs.select("pair_id", "bert"), "pair_id")
+    return scores.agg(F.round(F.avg("f1"), 6).alias("rouge_1"), F.round(F.avg("bert"), 6).alias("bert"), F.round(F.avg((F.col("bert") >= 0.5).cast("double")) * 100, 4).alias("accuracy"))
+
+
 @query(_grams(2))
 def rouge2(spark: SparkSession, folder: str) -> DataFrame:
     """Overlap in pairs of words."""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.operators import glossary, index
+from docketry.operators import glossary, index, search
 from docketry.plans.cases import CTE
 from docketry.plans.registry import query
-from docketry.sources import records, scratch
+from docketry.sources import pages, records, scratch
 from docketry.sources.tables import cases, table
 
 #: Numbers that are looked up: plain, with a prefix, special, as an id, and one that no case has.
@@ -151,3 +151,41 @@ def collection_scroll(spark: SparkSession, folder: str) -> DataFrame:
     if index.create(spark, path, schema):
         raise ValueError("a collection was made twice")
     return index.scroll(spark, path).select("payload.*")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS total_chunks, (SELECT count(DISTINCT t) FROM (SELECT unnest(list_filter(string_split(regexp_replace(lower(lang || ' ' || source), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) >= 2)) AS t FROM documents)) AS terms, (SELECT count(DISTINCT lang) FROM documents) AS cached_contexts, true AS bm25_available, false AS vectors_available")
+def index_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """What a stored index holds."""
+    path = scratch.path(spark, "index")
+    docs = table(spark, folder, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("text"), "lang")
+    index.build(docs, path)
+    index.remember(spark, f"{path}/contexts", docs.select(F.col("lang").alias("key"), F.col("lang").alias("context")))
+    return index.stats(spark, path)
+
+
+@query("""SELECT doc_id, '' AS title, CASE doc_id % 3 WHEN 0 THEN 'body ' || doc_id WHEN 1 THEN 'text ' || doc_id ELSE '' END AS content, CASE WHEN doc_id % 2 = 0 THEN 'G.R. No. ' || doc_id ELSE '' END AS gr_number, CASE WHEN doc_id % 5 = 0 THEN 'facts' ELSE '' END AS section, CASE WHEN doc_id % 4 = 0 THEN 'factual' ELSE 'general' END AS section_type,
+    CAST(doc_id % 10 AS DOUBLE) AS score, 'exact' AS match_type, CASE WHEN doc_id % 2 = 0 THEN 'G.R. No. ' || doc_id ELSE 'id' || doc_id END AS case_id, 'false' AS is_en_banc, lang AS other FROM documents""")
+def hit_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits of an index as documents: the first field with content counts, other fields become metadata."""
+    item, k = F.col("doc_id").cast("string"), F.col("doc_id")
+    pairs = {"content": F.lit(""), "body": F.when(k % 3 == 0, F.concat(F.lit("body "), item)), "text": F.when(k % 3 == 1, F.concat(F.lit("text "), item)), "gr_number": F.when(k % 2 == 0, F.concat(F.lit("G.R. No. "), item)), "id": F.concat(F.lit("id"), item), "section": F.when(k % 5 == 0, "facts"), "section_type": F.when(k % 4 == 0, "factual"), "other": F.col("lang")}
+    payload = F.create_map(*(x for n, v in pairs.items() for x in (F.lit(n), v)))
+    made = search.hit_documents(table(spark, folder, "documents").select("doc_id", (k % 10).cast("double").alias("score"), payload.alias("payload")), "exact")
+    told = lambda n: F.try_element_at("metadata", F.lit(n)).alias(n)
+    return made.select("doc_id", "title", "content", "gr_number", "section", "section_type", "score", "match_type", told("case_id"), told("is_en_banc"), told("other"))
+
+
+@query("SELECT page_id, CAST(1 AS INTEGER) AS place, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/showdocs/1/' || page_id AS url FROM pages WHERE page_id % 4 <> 0 UNION ALL SELECT page_id, 2, 'https://other/showdocs/2' FROM pages WHERE page_id % 4 <> 0")
+def box_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links to decisions within the list of titles of every page, made absolute; pages without the list have none."""
+    inner = F.concat(F.lit('<a href="/else/1">x</a><a class="t" href="/showdocs/1/'), F.col("page_id").cast("string"), F.lit('">y</a><a href="https://other/showdocs/2">z</a>'))
+    html = F.concat(F.lit('<a href="/showdocs/9">before</a>'), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit('<div id="container_title">'), inner, F.lit("</div>"))).otherwise(inner))
+    return pages.decision_links(table(spark, folder, "pages").select("page_id", "url", html.alias("html")), box="container_title")
+
+
+@query("SELECT page_id FROM pages WHERE length(html) >= 1000 AND NOT (contains(html, 'Supreme Court E-Library') AND length(html) < 2000) AND sha256(url) NOT IN (SELECT sha256(url) FROM pages WHERE page_id % 3 = 0)")
+def pages_to_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that are worth parsing and whose record is not stored yet."""
+    rows = table(spark, folder, "pages").withColumn("id", F.sha2("url", 256))
+    stored = rows.where("page_id % 3 = 0").select("id")
+    return records.keep_new(rows.where(pages.worth_parsing(F.col("html"))), stored, "id").select("page_id")

@@ -96,6 +96,16 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return fused.where("place <= 15").select(F.col("id").alias("doc_id"), F.round("rrf", 9).alias("rrf"), "place")
 
 
+@query(f"WITH {VECTOR_CTE} SELECT doc_id, round(1.0 / (rank + 60), 9) AS rrf, CAST(rank AS INTEGER) AS place FROM vec WHERE rank <= 15")
+def rrf_one_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Fusion where the words of a question meet nothing: the other list in its order."""
+    vec = _vector(spark, folder, 50).select("query_id", F.col("vec_id").alias("id"), "rank")
+    unmet = spark.range(1).select(F.lit(1).alias("query_id"), F.lit("zzzzqqqq").alias("query"))
+    lex = search.ranked(search.bm25(table(spark, folder, "documents"), unmet), "doc_id", 50).select("query_id", F.col("doc_id").alias("id"), "rank")
+    placed = search.fuse(vec, lex).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "first_rank")))
+    return placed.where("place <= 15").select(F.col("id").alias("doc_id"), F.round("rrf", 9).alias("rrf"), "place")
+
+
 @query(RRF_CTE + ", top AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY rrf DESC, first_rank) AS INTEGER) AS place FROM rrf QUALIFY place <= 15) SELECT doc_id, place, lang, source, n_chars FROM top JOIN documents USING (doc_id)")
 def hybrid_hydrated(spark: SparkSession, folder: str) -> DataFrame:
     """Fused results with the fields of their documents; ids without a document are dropped."""

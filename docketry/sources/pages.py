@@ -32,9 +32,15 @@ def absolute(url: Column, base: Column) -> Column:
     return F.when(url.rlike("^https?://"), url).when(url.startswith("/"), F.concat(host, url)).otherwise(F.concat(host, F.lit("/"), url))
 
 
-def decision_links(pages: DataFrame, mark: str = "showdocs") -> DataFrame:
-    """(page_id, place, url) of the links to decisions."""
-    found = pages.select("page_id", F.col("url").alias("page"), F.posexplode(links(F.col("html"))).alias("place", "href"))
+def within(html: Column, box: str) -> Column:
+    """What stands in the box of a page with this id; null without one."""
+    return F.nullif(F.regexp_extract(html, rf"(?is)<div[^>]*id=\"{box}\"[^>]*>(.*?)</div>", 1), F.lit(""))
+
+
+def decision_links(pages: DataFrame, mark: str = "showdocs", box: str | None = None) -> DataFrame:
+    """(page_id, place, url) of the links to decisions, of those within a box if it is named."""
+    where = F.col("html") if box is None else within(F.col("html"), box)
+    found = pages.select("page_id", F.col("url").alias("page"), F.posexplode(links(where)).alias("place", "href"))
     return found.where(F.contains("href", F.lit(mark))).select("page_id", "place", absolute(F.col("href"), F.col("page")).alias("url"))
 
 
@@ -43,7 +49,7 @@ def months(html: Column, base: Column | None = None, first: int = 0, last: int =
 
     Only years ``first`` to ``last`` count; links are made absolute against ``base``.
     """
-    inside = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<div[^>]*id=\"container_date\"[^>]*>(.*?)</div>", 1), F.lit("")), html)
+    inside = F.coalesce(within(html, "container_date"), html)
     marks = F.regexp_extract_all(inside, F.lit(r"(?is)(<h2[^>]*>\s*\d{4}|<a\s[^>]*href=\"[^\"]*\")"), F.lit(1))
     start = F.struct(F.lit(None).cast("int").alias("year"), F.array().cast("array<struct<year:int,url:string>>").alias("found"))
 
