@@ -43,23 +43,23 @@ def others(spark, tmp_path_factory):
 
 
 def test_all_vectors_have_labels(spark, others):
-    rows = catalogue.queries()["multi_hot_all"](spark, others).collect()
+    rows = catalogue.queries()["multi_hot"](spark, others).collect()
     assert len(rows) == 30
     assert {(r.vec_id, r.label_id) for r in rows if r.hot} == {(7, 3), (50, 0)}
 
 
 def test_results_are_ranked_where_ids_are_missing(spark, others):
-    rows = catalogue.queries()["web_answer_ranked"](spark, others).collect()
+    rows = catalogue.queries()["web_answer"](spark, others).collect()
     assert {r.batch: r.answer for r in rows} == {0: "1. u0\n2. u4\n3. u5", 1: "1. u17"}
 
 
 def test_whole_texts_are_compared(spark, others):
-    row = catalogue.queries()["term_sets_whole"](spark, others).first()
+    row = catalogue.queries()["term_sets"](spark, others).first()
     assert row.n_both >= 195 and row.n_missing <= 5
 
 
 def test_messages_with_empty_lines_are_cleaned(spark, others):
-    rows = {r.turn: r.digest for r in catalogue.queries()["clean_response_all"](spark, others).collect()}
+    rows = {r.turn: r.digest for r in catalogue.queries()["clean_response"](spark, others).collect()}
     assert set(rows) == {0, 1} and rows[0] != rows[1]
 
 
