@@ -36,7 +36,8 @@ def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     """Write the word index of a collection below ``path``; one pass over the texts, two shuffles."""
     split = docs.select(F.col(doc_id).alias("doc_id"), ascii_tokens(F.col(text)).alias("words"))
     tf = split.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dealt = tf.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "doc_id")
+    # By ranges, so that the postings of a word that most documents have are several tasks and files.
+    dealt = tf.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     spark = docs.sparkSession
     kind = split.schema["doc_id"].dataType.simpleString()
