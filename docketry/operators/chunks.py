@@ -12,35 +12,40 @@ SIZE, OVERLAP, LEAST, WHOLE = 640, 96, 200, 1200
 
 
 def windows(parts: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
-    """Chunks of sentences: filled up to ``size`` tokens, begun with the last ``overlap`` tokens, of ``least`` tokens or more."""
-    held = "array<struct<text:string,tokens:int>>"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(held).alias("open"), F.lit(0).alias("tokens"))
+    """Chunks of sentences: filled up to ``size`` tokens, begun with the last ``overlap`` tokens, of ``least`` tokens or more.
 
-    def total(items: Column) -> Column:
-        return F.aggregate(items, F.lit(0), lambda n, x: n + x["tokens"])
-
-    def text(items: Column) -> Column:
-        return F.array_join(F.transform(items, lambda x: x["text"]), " ")
+    The fold carries numbers alone, where each chunk begins and ends; texts are
+    joined once, at the end.
+    """
+    spans = "array<struct<first:int,last:int>>"
 
-    def tail(items: Column) -> Column:
-        zero = F.struct(F.array().cast(held).alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+    def kept(tokens: Column) -> Column:
+        """(n, tokens) of the last sentences that fit the overlap."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("tokens"), F.lit(True).alias("on"))
 
         def take(acc: Column, x: Column) -> Column:
-            fits = acc["on"] & (acc["n"] + x["tokens"] <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(x), acc["kept"])).otherwise(acc["kept"]).alias("kept"), F.when(fits, acc["n"] + x["tokens"]).otherwise(acc["n"]).alias("n"), fits.alias("on"))
+            fits = acc["on"] & (acc["tokens"] + x <= overlap)
+            return F.struct((acc["n"] + fits.cast("int")).alias("n"), F.when(fits, acc["tokens"] + x).otherwise(acc["tokens"]).alias("tokens"), fits.alias("on"))
+
+        return F.aggregate(F.reverse(tokens), start, take)
 
-        return F.aggregate(F.reverse(items), zero, take, lambda acc: acc["kept"])
+    def cut(tokens: Column) -> Column:
+        start = F.struct(F.array().cast(spans).alias("done"), F.lit(1).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("tokens"))
+        span = lambda acc: F.struct(acc["first"].alias("first"), acc["at"].alias("last"))
 
-    def closed(done: Column, items: Column) -> Column:
-        return F.when((F.size(items) > 0) & (token_estimate(text(items)) >= least), F.concat(done, F.array(text(items)))).otherwise(done)
+        def step(acc: Column, x: Column) -> Column:
+            full = (acc["at"] >= acc["first"]) & (acc["tokens"] + x > size)
+            begun = let(kept(F.slice(tokens, acc["first"], acc["at"] - acc["first"] + 1)), lambda k: F.struct(F.concat(acc["done"], F.array(span(acc))).alias("done"), (acc["at"] + 1 - k["n"]).alias("first"), (acc["at"] + 1).alias("at"), (k["tokens"] + x).alias("tokens")))
+            return F.when(full, begun).otherwise(F.struct(acc["done"].alias("done"), acc["first"].alias("first"), (acc["at"] + 1).alias("at"), (acc["tokens"] + x).alias("tokens")))
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (F.size(acc["open"]) > 0) & (acc["tokens"] + x["tokens"] > size)
-        rest = F.when(full, tail(acc["open"])).otherwise(acc["open"])
-        return F.struct(F.when(full, closed(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"), F.concat(rest, F.array(x)).alias("open"), (F.when(full, total(rest)).otherwise(acc["tokens"]) + x["tokens"]).alias("tokens"))
+        return F.aggregate(tokens, start, step, lambda acc: F.when(acc["at"] > 0, F.concat(acc["done"], F.array(span(acc)))).otherwise(acc["done"]))
 
-    measured = F.transform(parts, lambda s: F.struct(s.alias("text"), token_estimate(s).alias("tokens")))
-    return F.aggregate(measured, start, step, lambda acc: closed(acc["done"], acc["open"]))
+    def made(held: Column) -> Column:
+        found = let(F.transform(held, token_estimate), cut)
+        texts = F.transform(found, lambda s: F.array_join(F.slice(held, s["first"], s["last"] - s["first"] + 1), " "))
+        return F.filter(texts, lambda t: token_estimate(t) >= least)
+
+    return let(parts, made)
 
 
 def chunk_id(case: Column, section: Column, paragraph: Column) -> Column:
@@ -76,11 +81,13 @@ def case_chunks(cases: DataFrame, key: str = "id", whole: int = WHOLE) -> DataFr
     named = named.withColumn("_summary", summary(cases.columns)).withColumn("_parts", F.when(first_present(F.col("clean_text")).isNotNull(), F.coalesce(given, parsed) if "sections" in cases.columns else parsed))
 
     def cut(s: Column) -> Column:
-        content = trimmed(s["content"])
-        own = s["section"].isin("ruling", "dispositive", "issues") & (token_estimate(content) <= whole)
+        short = s["section"].isin("ruling", "dispositive", "issues")
         name = F.when(s["section"] == "dispositive", "ruling").otherwise(s["section"])
-        made = F.when(content == "", F.array().cast("array<string>")).when(own, F.array(content)).otherwise(windows(sentences(content)))
-        return F.transform(made, lambda c, n: F.struct(name.alias("section"), c.alias("content"), n.alias("paragraph_index"), F.lit("content").alias("chunk_type")))
+
+        def parts(content: Column) -> Column:
+            return F.when(content == "", F.array().cast("array<string>")).when(short & (token_estimate(content) <= whole), F.array(content)).otherwise(windows(sentences(content)))
+
+        return F.transform(let(trimmed(s["content"]), parts), lambda c, n: F.struct(name.alias("section"), c.alias("content"), n.alias("paragraph_index"), F.lit("content").alias("chunk_type")))
 
     first = F.array(F.struct(F.lit("summary").alias("section"), F.col("_summary").alias("content"), F.lit(0).alias("paragraph_index"), F.lit("summary").alias("chunk_type")))
     rest = F.coalesce(F.flatten(F.transform("_parts", cut)), F.array().cast("array<struct<section:string,content:string,paragraph_index:int,chunk_type:string>>"))
