@@ -152,11 +152,14 @@ def _decisions(held: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
     every = held.where(F.col(LINE) >= 0).select(at.alias("at"), "h1", "h2", *KEYS)
     distinct = common.cut(every.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(k).alias(k) for k in KEYS)).drop("h1", "h2"), "distinct-lines")
 
+    spark = held.sparkSession
+    common.release(spark)
     half = distinct.select("at", F.explode(F.array_compact(F.array(*KEYS))).alias("key"))
     shared = common.cut(half.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key")), "shared-halves")
     likely = _merge(half, shared, F.col("key") == F.col("_key")).select("at.*")
     wanted = common.cut(likely.groupBy("id", "digest").agg(F.collect_set("line").alias("wanted")), "wanted-lines")
-    common.forget(held.sparkSession, shared.cut_path)
+    common.forget(spark, shared.cut_path)
+    common.release(spark)
     docs = held.where(F.col(LINE) == -1).select(ID, F.col(DIGEST).alias("_digest"), TEXT, BYTES)
     found = _merge(docs, wanted, (F.col(ID) == F.col("id")) & (F.col("_digest") == F.col("digest"))).select("id", "digest", TEXT, BYTES, "wanted")
 
@@ -175,7 +178,8 @@ def _decisions(held: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
 
     texts = found.mapInArrow(pick, "id long, digest long, line int, text string").dropDuplicates(["id", "digest", "line"])
     texts = common.cut(texts, "line-texts")
-    common.forget(held.sparkSession, wanted.cut_path)
+    common.forget(spark, wanted.cut_path)
+    common.release(spark)
 
     @common.tidy
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +197,7 @@ def _decisions(held: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind), *(batch.column(c).take(take) for c in ("id", "digest", "line"))], ["key", "kind", "id", "digest", "line"])
 
     emitted = common.cut(texts.mapInArrow(variants, "key long, kind byte, id long, digest long, line int"), "variants")
+    common.release(spark)
     at = F.struct("id", "digest", "line")
     first = lambda kind: F.min(F.when(F.col("kind") == kind, at)).alias(f"first{kind}")
     met = common.cut(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first(0), first(1), first(2)).where("n > 1").withColumnRenamed("key", "_key"), "met-variants")
@@ -200,7 +205,8 @@ def _decisions(held: DataFrame, least: int) -> tuple[DataFrame, list[str]]:
     pairs = _merge(emitted, met, F.col("key") == F.col("_key")).select("id", "digest", "line", other.alias("other")).where(F.col("other") < at).distinct()
     pairs = common.cut(pairs, "near-pairs")
     for done in (emitted, met):
-        common.forget(held.sparkSession, done.cut_path)
+        common.forget(spark, done.cut_path)
+    common.release(spark)
     later = texts.select(F.struct("id", "digest", "line").alias("_at"), "text")
     both = _merge(pairs.select(at.alias("at"), "other"), later, F.col("at") == F.col("_at")).select("at", "other", "text")
     both = _merge(both, texts.select(F.struct("id", "digest", "line").alias("_at"), F.col("text").alias("earlier")), F.col("other") == F.col("_at"))
@@ -245,6 +251,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, least: int, figures: boo
     told = common.cut(told, "line-decisions")
     for path in done:
         common.forget(docs.sparkSession, path)
+    common.release(docs.sparkSession)
     told = told.select(F.col("id").alias("_told_id"), F.col("digest").alias("_told_digest"), "kept", "near")
     whole = held.where(F.col(LINE) == -1).select(*inner.values(), ID, DIGEST, TEXT, BYTES)
     joined = _merge(whole, told, (F.col(ID) == F.col("_told_id")) & (F.col(DIGEST) == F.col("_told_digest")), "left")
