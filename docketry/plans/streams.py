@@ -35,9 +35,8 @@ def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*").select("user_id", "event_id")
     sink = scratch.path(spark, "latest")
-    done = incremental.upsert_into(stream, sink, scratch.path(spark, "state"), "user_id", "event_id")
-    done.awaitTermination()
-    return spark.read.parquet(f"{sink}/batch={done.lastProgress['batchId']}").select("user_id", "event_id")
+    incremental.merge_into(stream, sink, scratch.path(spark, "state"), "user_id", "event_id", parts=16).awaitTermination()
+    return incremental.merged(spark, sink, parts=16).select("user_id", "event_id")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")

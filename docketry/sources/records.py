@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.sources.pages import decision_links
@@ -135,7 +135,14 @@ def keep_new(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(stored: DataFrame, batch: DataFrame, key: str, version: str) -> DataFrame:
-    """Both together, of each key the latest version."""
-    order = Window.partitionBy(key).orderBy(F.desc(version))
-    both = stored.unionByName(batch, allowMissingColumns=True)
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """Both together, of each key the latest version.
+
+    Of equal versions the batch's wins, and within a batch the row with the
+    greatest digest. Rows are combined before the shuffle, so that one key may
+    hold any share of them.
+    """
+    both = stored.withColumn("_place", F.lit(0)).unionByName(batch.withColumn("_place", F.lit(1)), allowMissingColumns=True)
+    columns = [c for c in both.columns if c != "_place"]
+    digest = F.xxhash64(*(name for name, kind in both.dtypes if name != "_place" and "map<" not in kind))
+    latest = F.max_by(F.struct(*columns), F.struct(version, "_place", digest))
+    return both.groupBy(F.col(key).alias("_key")).agg(latest.alias("_row")).select("_row.*")

@@ -60,6 +60,30 @@ def test_stream_upserts(spark, tmp_path):
     assert sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t" / "batch=1")).collect()) == [("a", 2), ("b", 1)]
 
 
+def test_stream_merges_only_touched_parts(spark, tmp_path):
+    source, state, sink = (str(tmp_path / n) for n in ("in", "state", "t"))
+    schema = "id string, v int"
+    batches = [[(f"k{k}", 1) for k in range(40)] + [(None, 3)], [("k7", 2), ("k8", 0), ("k7", 1)], [("new", 5)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        incremental.merge_into(spark.readStream.schema(schema).parquet(source), sink, state, "id", "v", parts=8).awaitTermination()
+    want = {f"k{k}": 1 for k in range(40)} | {"k7": 2, "new": 5, None: 3}
+    assert {r.id: r.v for r in incremental.merged(spark, sink, parts=8).collect()} == want
+    assert incremental.merged(spark, sink, parts=8).count() == len(want)
+    assert len(list((tmp_path / "t" / "batch=2").glob("state_part=*"))) == 1
+    # A batch that was not written whole does not count.
+    (tmp_path / "t" / "batch=2" / "_SUCCESS").unlink()
+    assert {r.id: r.v for r in incremental.merged(spark, sink, parts=8).collect()} == {k: v for k, v in want.items() if k != "new"}
+
+
+def test_upsert_of_equal_versions(spark):
+    schema = "id long, v int, text string, more map<string,string>"
+    old = spark.createDataFrame([(1, 1, "old", None), (2, None, "old", None), (None, 1, "none", None)], schema)
+    new = spark.createDataFrame([(1, 1, "new", {"a": "b"}), (2, 0, "new", None), (None, 2, "later", None)], schema)
+    assert {r.id: (r.v, r.text) for r in records.upsert(old, new, "id", "v").collect()} == {1: (1, "new"), 2: (0, "new"), None: (2, "later")}
+    assert records.upsert(old, new.limit(0), "id", "v").count() == 3
+
+
 def test_windows_of_a_stream(spark, tmp_path):
     rows = [("2024-01-01 01:00:00", "view", 1.0), ("2024-01-01 02:00:00", "view", 2.0), ("2024-01-05 00:00:00", "view", 4.0)]
     df = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
