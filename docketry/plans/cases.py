@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions import classify, extract, rules, text, titles
 from docketry.operators import chunks
 from docketry.plans.registry import query
-from docketry.sources.tables import CASES_SQL, cases, table
+from docketry.sources.tables import CASES_SQL, cases, spread, table
 
 CTE = f"WITH RECURSIVE cases AS ({CASES_SQL})"
 
@@ -117,7 +117,7 @@ SPLIT = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s
 @query(f"SELECT doc_id, CAST(len({SPLIT.format('text')}) AS BIGINT) AS n_sentences, CAST(coalesce(list_sum(list_transform({SPLIT.format('text')}, lambda x: length(x))), 0) AS BIGINT) AS n_chars FROM documents")
 def sentence_split_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences of every document."""
-    found = table(spark, folder, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    found = spread(table(spark, folder, "documents")).select("doc_id", text.sentences(F.col("text")).alias("s"))
     return found.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.aggregate("s", F.lit(0), lambda n, x: n + F.length(x)).cast("long").alias("n_chars"))
 
 
@@ -138,7 +138,7 @@ WINDOWS_SQL = f"""WITH RECURSIVE s AS (SELECT doc_id, list_transform({SPLIT.form
 @query(WINDOWS_SQL)
 def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Sliding windows of sentences over every document."""
-    parts = table(spark, folder, "documents").select("doc_id", text.sentences(F.col("text")).alias("parts"))
+    parts = spread(table(spark, folder, "documents")).select("doc_id", text.sentences(F.col("text")).alias("parts"))
     made = parts.select("doc_id", F.explode(chunks.windows(F.col("parts"))).alias("content"))
     return made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(text.token_estimate(F.col("content"))).cast("long").alias("n_tokens"))
 
@@ -146,7 +146,7 @@ def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
 @query(WINDOWS_SQL.replace("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(chars // 4) AS BIGINT) AS n_tokens FROM d WHERE chars // 4 >= 200 GROUP BY doc_id", "SELECT lang, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(chars // 4) AS BIGINT) AS n_tokens, round(avg(chars // 4), 6) AS avg_tokens, round(count(*) / CAST(count(DISTINCT doc_id) AS DOUBLE), 6) AS chunks_per_case FROM d JOIN documents USING (doc_id) WHERE chars // 4 >= 200 GROUP BY lang"))
 def chunk_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks and their tokens by language, and chunks for each document."""
-    made = table(spark, folder, "documents").select("doc_id", "lang", F.explode(chunks.windows(text.sentences(F.col("text")))).alias("content"))
+    made = spread(table(spark, folder, "documents")).select("doc_id", "lang", F.explode(chunks.windows(text.sentences(F.col("text")))).alias("content"))
     n = text.token_estimate(F.col("content"))
     per = made.groupBy("lang", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("tokens"))
     sums = per.groupBy("lang").agg(F.sum("n").alias("n_chunks"), F.sum("tokens").cast("long").alias("n_tokens"), F.count(F.lit(1)).alias("cases"))

@@ -10,7 +10,7 @@ from docketry.operators import engine, index, search
 from docketry.plans.cases import CTE, all_chunks
 from docketry.plans.registry import query
 from docketry.sources import scratch
-from docketry.sources.tables import cases, table
+from docketry.sources.tables import cases, spread, table
 
 QUESTION = "the of and erthat tion nothere"
 TOKENS = r"list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) >= 2)"
@@ -36,7 +36,7 @@ def _question(spark: SparkSession) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    return search.ranked(search.bm25(table(spark, folder, "documents"), _question(spark)), "doc_id", k)
+    return search.ranked(search.bm25(spread(table(spark, folder, "documents")), _question(spark)), "doc_id", k)
 
 
 def _vector(spark: SparkSession, folder: str, k: int) -> DataFrame:
@@ -55,7 +55,7 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 def stored_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Ten best documents by a word index that is written first; a question reads its terms' folders alone."""
     path = scratch.path(spark, "index")
-    index.build(table(spark, folder, "documents"), path)
+    index.build(spread(table(spark, folder, "documents")), path)
     return search.ranked(index.bm25(spark, path, _question(spark)), "doc_id", 10).select("doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -72,7 +72,7 @@ def stored_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {BM25_CTE} SELECT CAST(count(*) AS BIGINT) AS n_documents, round(sum(coalesce(score, 0)), 4) AS total, CAST(count(*) FILTER (score IS NULL) AS BIGINT) AS n_zero FROM documents LEFT JOIN sc USING (doc_id)")
 def bm25_all_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all documents, those without a shared term as zero."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     scored = docs.select("doc_id").join(search.bm25(docs, _question(spark)), "doc_id", "left")
     return scored.agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.sum(F.coalesce("score", F.lit(0.0))), 4).alias("total"), F.count_if(F.col("score").isNull()).alias("n_zero"))
 
@@ -101,7 +101,7 @@ def rrf_one_list(spark: SparkSession, folder: str) -> DataFrame:
     """Fusion where the words of a question meet nothing: the other list in its order."""
     vec = _vector(spark, folder, 50).select("query_id", F.col("vec_id").alias("id"), "rank")
     unmet = spark.range(1).select(F.lit(1).alias("query_id"), F.lit("zzzzqqqq").alias("query"))
-    lex = search.ranked(search.bm25(table(spark, folder, "documents"), unmet), "doc_id", 50).select("query_id", F.col("doc_id").alias("id"), "rank")
+    lex = search.ranked(search.bm25(spread(table(spark, folder, "documents")), unmet), "doc_id", 50).select("query_id", F.col("doc_id").alias("id"), "rank")
     placed = search.fuse(vec, lex).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "first_rank")))
     return placed.where("place <= 15").select(F.col("id").alias("doc_id"), F.round("rrf", 9).alias("rrf"), "place")
 

@@ -10,6 +10,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes up to which a table counts as small, however many cores there are.
+SMALL = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a small table, dealt out to all cores; any other scan as it is.
+
+    A small file may be one row group, which one task reads: what is costly in
+    each row would run on one core. A large table has splits for all cores, and
+    is never shuffled for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= min(SMALL, cores * split) else df
+
+
 #: Documents as case records with a header, a caption and their whole texts, every third in sections. Both SQL dialects read it.
 CASES_SQL = """
 SELECT doc_id,
@@ -41,4 +59,4 @@ FROM documents
 
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of a folder as case records."""
-    return spark.sql(CASES_SQL.replace("FROM documents", "FROM {documents}"), documents=table(spark, folder, "documents"))
+    return spark.sql(CASES_SQL.replace("FROM documents", "FROM {documents}"), documents=spread(table(spark, folder, "documents")))
