@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.sources import pages, records
+from docketry.sources import pages, records, tables
 from docketry.streaming import incremental
 
 
@@ -100,3 +100,13 @@ def test_upsert(spark, n):
     new = spark.createDataFrame([(1, 2), (9, 2)], "id long, v int")
     got = {r.id: r.v for r in records.upsert(old, new, "id", "v").collect()}
     assert got[1] == 2 and got[9] == 2 and len(got) == {0: 2, 3: 4}[n]
+
+
+def test_only_small_scans_are_spread(spark, tmp_path, monkeypatch):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    dealt = tables.spread(scan)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt.collect()) == list(range(100))
+    monkeypatch.setattr(tables, "SMALL", 0)
+    assert tables.spread(scan) is scan
