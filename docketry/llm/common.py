@@ -246,12 +246,12 @@ def parts(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) ->
             yield batch.slice(a, b - a)
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word ``[^\\x20\\x09-\\x0D]+`` and the number of words by row."""
+def tokens_of(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word ``[^\\x20\\x09-\\x0D]+`` and the number of words by row; ``gap`` tells other bytes that part words."""
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets) - 1, dtype=np.int64)
-    solid = ~SPACE[data]
+    solid = ~gap[data]
     head = solid.copy()
     head[1:] &= ~solid[:-1]
     tail = solid.copy()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, common, linededup, lm, lshforest, ordinal, packing, pivots, replytrees, runindex, simhash, warc
+from docketry.llm import bpe, common, linededup, lm, lshforest, ordinal, packing, pivots, replytrees, runindex, simhash, tput, warc
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,6 +86,11 @@ def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return tput.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_quality": op2_quality,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
     "op11_reply_trees": op11_reply_trees,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -128,6 +134,19 @@ ORACLES: dict[str, str] = {
             CAST(sum(length('<|im_start|>') + length(role) + 1 + length(escaped) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op12_lexical_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        t AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        v AS (SELECT DISTINCT term FROM q),
+        p AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+        f AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM p WHERE term IN (SELECT term FROM v) GROUP BY doc_id, term),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, t GROUP BY term, n_docs),
+        s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM q JOIN f USING (term) JOIN w USING (term), t GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 50
+    """,
 }
 
 

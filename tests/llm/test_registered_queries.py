@@ -30,7 +30,7 @@ def rows(spark, name):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     sql = duckdb.connect()
-    for table in ("embeddings", "pages", "conversations"):
+    for table in ("embeddings", "pages", "conversations", "documents", "benchmark"):
         sql.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     found = sql.execute(registry.oracle_sql()[name])
     names = [c[0] for c in found.description]
