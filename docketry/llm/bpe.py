@@ -9,7 +9,9 @@ The state of a node follows from states above it. A sequence of tokens is what
 the merges produce exactly if each two neighbours are what they produce from
 those two tokens' bytes. So the last token at a node is the one token that ends
 there and goes with the last token of the node where it begins; the encoding
-of a word is read off by following last tokens back to the root.
+of a word is read off by following last tokens back to the root. Which tokens
+end at a node, the longest first, is what an automaton over all tokens tells
+with one step a byte, however long the word.
 
 Defined cases: a null text counts as empty and has no ids; special tokens of
 the vocabulary are found in texts first, as the tokenizers library does;
@@ -63,14 +65,56 @@ class TrieEncoder:
                 self.id_of.append(n)
                 self.halves[self.rank[n]] = (self.rank[a], self.rank[b])
             self.joined.setdefault((self.rank[a], self.rank[b]), self.rank[n])
-        self.by_text = {found.tokens[n]: k for n, k in self.rank.items()}
-        self.longest = max(map(len, self.by_text), default=1)
         self.fits: dict[int, bool] = {}
-        self.by_text = {t: k for t, k in self.by_text.items() if self._whole(k)}
         self.packed = [np.uint32(n).tobytes() for n in self.id_of]
         self.size = [len(self.bytes_of[n]) for n in self.id_of]
+        self._link({found.tokens[n]: k for n, k in self.rank.items() if self._whole(k)})
         self.known: dict[str, bytes] = {}
 
+    def _link(self, tokens: dict[bytes, int]) -> None:
+        """The automaton: steps by (state, byte), where a state falls back to, and the longest token that ends there.
+
+        ``shorter`` tells of each token the next longest one that ends it.
+        """
+        self.step: dict[int, int] = {}
+        self.back, self.ends = array("i", [0]), array("i", [-1])
+        owner = {}
+        for text, k in tokens.items():
+            state = 0
+            for byte in text:
+                key = state << 8 | byte
+                state = self.step.get(key)
+                if state is None:
+                    state = self.step[key] = len(self.ends)
+                    self.back.append(0)
+                    self.ends.append(-1)
+            self.ends[state], owner[state] = k, k
+        below: list[list[tuple[int, int]]] = [[] for _ in self.ends]
+        for key, state in self.step.items():
+            below[key >> 8].append((key & 255, state))
+        self.shorter = array("i", [-1]) * len(self.id_of)
+        level = [0]
+        while level:
+            for above in level:
+                for byte, state in below[above]:
+                    self.back[state] = self._after(self.back[above], byte) if above else 0
+                    rest = self.ends[self.back[state]]
+                    if state in owner:
+                        self.shorter[owner[state]] = rest
+                    else:
+                        self.ends[state] = rest
+            level = [state for above in level for _, state in below[above]]
+
+    def _after(self, state: int, byte: int) -> int:
+        """The state that a byte leads to."""
+        while True:
+            found = self.step.get(state << 8 | byte)
+            if found is not None:
+                return found
+            if not state:
+                return 0
+            state = self.back[state]
+
     def _whole(self, k: int) -> bool:
         """Whether the token's own bytes are encoded as that token."""
         return k not in self.halves or self._goes(*self.halves[k], below=k)
@@ -99,36 +143,44 @@ class TrieEncoder:
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word as little-endian 32-bit integers."""
         out: dict[str, bytes] = {}
-        token_at, fits, longest, packed, size = self.by_text.get, self.fits, self.longest, self.packed, self.size
+        fits, packed, size, ends, shorter, step, back = self.fits, self.packed, self.size, self.ends, self.shorter, self.step, self.back
         path = b""
-        # Of each node the last token alone; its encoding is read off by walking back to the root.
-        last = array("i", [-1])
+        # Of each node the automaton's state and the last token alone; its encoding is read off by walking back to the root.
+        states, last = array("i", [0]), array("i", [-1])
         for raw, word in sorted((w.encode(), w) for w in words):
             shared = 0
             for a, b in zip(path, raw):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(raw) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = token_at(raw[start:end])
-                    if token is None:
-                        continue
-                    if start:
-                        before = last[start]
-                        key = before << 32 | token
-                        ok = fits.get(key)
-                        if ok is None:
-                            if len(fits) >= KEPT_PAIRS:
-                                fits.clear()
-                            ok = fits[key] = self._goes(before, token)
-                        if not ok:
-                            continue
-                    last.append(token)
-                    break
-                else:
-                    raise ValueError(f"no token ends at byte {end} of {raw!r}")
+            del last[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
+            for end in range(shared, len(raw)):
+                byte = raw[end]
+                found = step.get(state << 8 | byte)
+                while found is None and state:
+                    state = back[state]
+                    found = step.get(state << 8 | byte)
+                state = found or 0
+                states.append(state)
+                token = ends[state]
+                while token >= 0:
+                    start = end + 1 - size[token]
+                    if not start:
+                        break
+                    before = last[start]
+                    key = before << 32 | token
+                    ok = fits.get(key)
+                    if ok is None:
+                        if len(fits) >= KEPT_PAIRS:
+                            fits.clear()
+                        ok = fits[key] = self._goes(before, token)
+                    if ok:
+                        break
+                    token = shorter[token]
+                if token < 0:
+                    raise ValueError(f"no token ends at byte {end + 1} of {raw!r}")
+                last.append(token)
             path = raw
             tokens, at = [], len(raw)
             while at:

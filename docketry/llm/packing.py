@@ -9,10 +9,14 @@ lowest cost among those with enough room. There are just as many sequences as
 the tokens need, so a document that fits nowhere is cut and fills the gaps.
 Only the last sequence of a window has padding.
 
+Ids come from tiktoken with the vocabulary's own ranks, the fastest encoder at
+hand. Its pattern engine gives up on very long runs of white space; such a text
+goes to the tokenizers library, which is slower and gives the same ids.
+
 Defined cases: a null or empty text is the end token alone; special tokens of
-the vocabulary are found in texts; repeated rows are packed as documents of
-their own; a null id stays null; further columns are ignored; an empty table
-gives an empty result.
+the vocabulary are found in texts; texts may be of any length and have runs of
+any length; repeated rows are packed as documents of their own; a null id stays
+null; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from docketry.llm import common, vocab
 
@@ -36,16 +41,38 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 WINDOW = 2_000_000
 
 
+class Coder:
+    """Encodes texts with the vocabulary of a tokenizer file."""
+
+    def __init__(self, content: bytes):
+        found = vocab.load(content)
+        self.fast = tiktoken.Encoding("packing", pat_str=vocab.PATTERN, mergeable_ranks={t: n for n, t in found.tokens.items()}, special_tokens=dict(found.special))
+        self.content = content
+
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        made = Tokenizer.from_str(self.content.decode())
+        made.no_truncation()
+        made.no_padding()
+        return made
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the pattern engine's stack: a long run of white space
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
 @functools.lru_cache(maxsize=2)
-def tokenizer(content: bytes) -> tiktoken.Encoding:
-    """A fast encoder with the vocabulary's own ids."""
-    found = vocab.load(content)
-    return tiktoken.Encoding("packing", pat_str=vocab.PATTERN, mergeable_ranks={t: n for n, t in found.tokens.items()}, special_tokens=dict(found.special))
+def tokenizer(content: bytes) -> Coder:
+    """One encoder for each vocabulary and worker."""
+    return Coder(content)
 
 
-def ids_of(coder: tiktoken.Encoding, text: str | None, end: int = END) -> np.ndarray:
+def ids_of(coder: Coder, text: str | None, end: int = END) -> np.ndarray:
     """The document's ids with the end token, as little-endian 32-bit integers."""
-    own = coder.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
+    own = coder.encode(text) if text else np.zeros(0, np.uint32)
     return np.append(own, np.uint32(end)).astype("<u4", copy=False)
 
 

@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -156,3 +157,30 @@ def test_texts_longer_than_a_window_and_equal_ones(spark, library):
         ids = [*library.encode(text, add_special_tokens=False).ids, 0]
         assert np.frombuffer(b"".join(b for _, _, b in sorted(pieces[k])), "<u4").tolist() == ids
     assert max(used.values()) <= 1024 and sum(used.values()) == sum(n for p in pieces.values() for _, n, _ in p)
+
+
+N = 1_000_000
+LONG = {"blanks": "a" + " " * N + "b", "breaks": "\n" * N, "mixed": "x" + "\n \t" * (N // 3) + "y", "letter": "a" * N, "within": "one " + "a" * N + " two", "dashes": "-" * N, "special": "<|endoftext|>" + " " * N + "<|endoftext|>"}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_runs_of_a_million(library, name):
+    """Neither encoder fails on long runs, and the trie's needs some seconds of CPU at most for a million bytes."""
+    text, content = LONG[name], vocab.read(PATH)
+    expected = library.encode(text, add_special_tokens=False).ids
+    assert packing.ids_of(packing.tokenizer(content), text).tolist() == [*expected, 0]
+    coder = bpe.encoder(content)
+    began = time.process_time()
+    ids = coder.encode_batch([text])[0]
+    assert np.frombuffer(ids, "<u4").tolist() == expected
+    assert time.process_time() - began < 12
+
+
+def test_long_runs_in_rows(spark, library):
+    texts = [LONG["blanks"], "in between", LONG["breaks"], None]
+    got = defaultdict(dict)
+    for r in packing.pack_documents(rows(spark, texts), PATH).collect():
+        got[r.doc_id][r.start] = r.ids
+    for k, text in enumerate(texts):
+        ids = b"".join(got[k][at] for at in sorted(got[k]))
+        assert np.frombuffer(ids, "<u4").tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 0]

@@ -85,3 +85,16 @@ def test_stages_on_odd_tables(spark, folder):
         assert stage(spark, clash, folder).count() >= 1
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, clash, folder).columns == clash.columns
+
+
+def test_last_stage_takes_long_runs(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from docketry.llm import registry
+
+    texts = ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "a" * 1_000_000, None]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    pieces = dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path)).collect()
+    library = Tokenizer.from_file(registry.TOKENIZER)
+    for k, text in enumerate(texts):
+        assert sum(r.length for r in pieces if r.doc_id == k) == len(library.encode(text or "", add_special_tokens=False).ids) + 1
