@@ -12,7 +12,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from docketry.operators import chunks, index, search
+from docketry.operators import chunks, index
 from docketry.plans import catalogue
 from docketry.session import build, ship
 from docketry.sources import records
@@ -35,7 +35,7 @@ def main(args: list[str]) -> int:
     if args[:1] == ["ask"] and len(args) == 3:
         spark = ship(build())
         asked = spark.createDataFrame([(1, args[2])], "query_id int, query string")
-        best = search.ranked(index.bm25(spark, args[1], asked), "doc_id", 10)
+        best = index.best(spark, args[1], asked, 10)
         found = best.join(spark.read.parquet(f"{args[1]}/chunks"), F.col("doc_id") == F.col("chunk_id"))
         found.select("rank", "score", "case_id", "section", "content_preview").orderBy("rank").show(10, truncate=80)
         return 0

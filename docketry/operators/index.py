@@ -1,22 +1,42 @@
-"""A stored index of a collection: postings, lengths, vocabulary, totals and unit vectors.
+"""A stored index of a collection: blocks of postings, vocabulary, totals and cells of unit vectors.
 
-Postings and vocabulary are dealt into buckets by a hash of the term, one folder
-each, so a question reads the folders of its own terms and nothing else. Points
-are upserted by id, and read back as the rows that were put in.
+Documents are dealt into blocks by a hash of their id, and a term's postings
+are one row for each block that has it, with the greatest part of a score that
+any of its documents takes from the term. Rows are dealt into buckets by a hash
+of the term, one folder each, so a question reads the folders of its own terms
+and nothing else. The best documents of a question are found by blocks: what a
+block could reach at most is the sum of its terms' greatest parts, so only
+blocks that could hold one of the best are opened.
+
+Vectors are stored by cells around centres. A cell knows how far its farthest
+vector lies from its centre, so a question opens its nearest cells and then only
+those that could hold something nearer than what it has.
+
+Points are upserted by id, and read back as the rows that were put in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import ascii_tokens
 from docketry.operators import search
+from docketry.sources import scratch
 
 #: Folders that terms are dealt into.
 BUCKETS = 64
+#: Documents of a block, about.
+BLOCK = 1024
 #: Columns of the stored tables; an index of no documents has no files to tell them.
-POSTINGS, VOCABULARY = "doc_id {}, dl int, term string, tf bigint, bucket int", "term string, df bigint, bucket int"
+POSTINGS = "block int, term string, most double, entries array<struct<doc_id:{},tf:bigint,dl:int>>, bucket int"
+VOCABULARY = "term string, df bigint, bucket int"
+#: What rounding may add to a score.
+SLACK = 1e-8
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -32,54 +52,178 @@ def create(spark: SparkSession, path: str, schema: str) -> bool:
     return True
 
 
-def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> None:
-    """Write the word index of a collection below ``path``; one pass over the texts, two shuffles."""
-    split = docs.select(F.col(doc_id).alias("doc_id"), ascii_tokens(F.col(text)).alias("words"))
-    tf = split.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # By ranges, so that the postings of a word that most documents have are several tasks and files.
-    dealt = tf.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, block: int = BLOCK) -> None:
+    """Write the word index of a collection below ``path``; one pass over the texts for totals, one for postings."""
     spark = docs.sparkSession
+    split = docs.select(F.col(doc_id).alias("doc_id"), ascii_tokens(F.col(text)).alias("words"))
     kind = split.schema["doc_id"].dataType.simpleString()
+    n, all_terms = search.totals(split, F.col("words")).first()
+    tf = split.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    blocks = max(1, -(-n // block))
+    part = search.part(F.col("tf"), F.col("dl"), F.lit(all_terms / n if n else 1.0))
+    placed = tf.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("part", part)
+    # By ranges, which the grouping takes over: the blocks of a word that most documents have are several tasks and files.
+    dealt = placed.repartitionByRange("bucket", "term", "block")
+    rows = dealt.groupBy("bucket", "term", "block").agg(F.max("part").alias("most"), F.collect_list(F.struct("doc_id", "tf", "dl")).alias("entries"))
+    rows.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     stored = spark.read.schema(POSTINGS.format(kind)).parquet(f"{path}/postings")
     # The bucket is part of the key, so a term's count needs no shuffle of other buckets' rows.
-    vocabulary = stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = stored.groupBy("bucket", "term").agg(F.sum(F.size("entries")).alias("df"))
     vocabulary.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
-    sums = search.totals(split, F.col("words"))
-    words = spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary").crossJoin(F.broadcast(sums))
-    mean = words.agg(F.avg(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean_idf"))
-    sums.crossJoin(mean).select("*", F.lit(buckets).alias("buckets"), F.lit(kind).alias("kind")).write.mode("overwrite").parquet(f"{path}/totals")
+    weight = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary").agg(F.avg(weight).alias("mean_idf"))
+    mean.select(F.lit(n).alias("n"), F.lit(all_terms).alias("all_terms"), "mean_idf", F.lit(buckets).alias("buckets"), F.lit(kind).alias("kind")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def bm25(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) by a stored word index; only folders of the questions' terms are read."""
-    totals = spark.read.parquet(f"{path}/totals")
-    buckets, kind = totals.select("buckets", "kind").first()
-    wanted = search.asked_terms(queries).withColumn("bucket", _bucket(F.col("term"), buckets))
+def _asked(spark: SparkSession, path: str, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of the questions' terms and (bucket, term, query_id, weight, mean_dl); only folders of those terms are read."""
+    totals = spark.read.parquet(f"{path}/totals").first()
+    wanted = search.asked_terms(queries).withColumn("bucket", _bucket(F.col("term"), totals["buckets"]))
     parts = [r[0] for r in wanted.select("bucket").distinct().collect()]  # at most ``buckets``
-    asked = search.sized(wanted)
     vocabulary = spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary").where(F.col("bucket").isin(parts))
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weights = vocabulary.join(asked, ["bucket", "term"]).crossJoin(F.broadcast(totals))
-    weights = weights.select("bucket", "term", "query_id", "qtf", F.when(idf < 0, search.EPSILON * F.col("mean_idf")).otherwise(idf).alias("idf"), "n", "all_terms")
-    hits = spark.read.schema(POSTINGS.format(kind)).parquet(f"{path}/postings").where(F.col("bucket").isin(parts)).join(search.sized(weights), ["bucket", "term"])
-    return search.scored(hits)
+    idf = F.log(F.lit(totals["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    known = vocabulary.join(search.sized(wanted), ["bucket", "term"])
+    weight = F.col("qtf") * F.when(idf < 0, search.EPSILON * F.lit(totals["mean_idf"])).otherwise(idf)
+    weights = known.select("bucket", "term", "query_id", weight.alias("weight"), F.lit(totals["all_terms"] / max(totals["n"], 1)).alias("mean_dl"))
+    postings = spark.read.schema(POSTINGS.format(totals["kind"])).parquet(f"{path}/postings").where(F.col("bucket").isin(parts))
+    return postings, weights
+
+
+def _scores(hits: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of rows with query_id, weight, mean_dl and entries."""
+    each = hits.select("query_id", "weight", "mean_dl", F.inline("entries"))
+    return each.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * search.part(F.col("tf"), F.col("dl"), F.col("mean_dl"))).alias("score"))
+
+
+def bm25(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of every document that shares a term with a question."""
+    postings, weights = _asked(spark, path, queries)
+    return _scores(postings.join(search.sized(weights), ["bucket", "term"]))
+
+
+def best(spark: SparkSession, path: str, queries: DataFrame, k: int, first: int = 4) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` best documents of every question, as ``search.ranked`` of ``bm25`` gives them.
+
+    The ``first`` most promising blocks of a question give a k-th score; after
+    that only blocks that could reach it are opened. ``opened`` tells which.
+    """
+    postings, weights = _asked(spark, path, queries)
+    weights = search.sized(weights)
+    chances = _chances(postings, weights)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "block"))
+    begun = chances.withColumn("place", place).where(F.col("place") <= first).select("query_id", "block")
+    held = search.ranked(_scores(_open(postings, weights, begun)), "doc_id", k)
+    found = opened(chances, begun, held, k)
+    return search.ranked(_scores(_open(postings, weights, found)), "doc_id", k)
+
 
+def _chances(postings: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query_id, block, most): what a document of a block could score at most; entries are not read for it."""
+    return postings.select("bucket", "term", "block", "most").join(weights, ["bucket", "term"]).groupBy("query_id", "block").agg(F.sum(F.greatest(F.col("weight") * F.col("most"), F.lit(0.0))).alias("most"))
 
-def build_vectors(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding") -> None:
-    """Write vectors of length one, in double precision, below ``path``; zero and null vectors are left out."""
-    v = F.col(vector).cast("array<double>")
+
+def _open(postings: DataFrame, weights: DataFrame, blocks: DataFrame) -> DataFrame:
+    return postings.join(weights, ["bucket", "term"]).join(blocks, ["query_id", "block"])
+
+
+def opened(chances: DataFrame, begun: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """(query_id, block) of the blocks of a question that could hold one of its ``k`` best, by what the first ones gave."""
+    bar = held.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+    return chances.join(bar, "query_id", "left").where(F.col("bar").isNull() | (F.col("most") >= F.col("bar") - SLACK)).select("query_id", "block")
+
+
+# ---------------------------------------------------------------- vectors
+
+#: Cells at most, and vectors that their centres are fitted on.
+CELLS, SAMPLE = 4096, 200_000
+#: The cell of vectors whose length is not that of the sample's; it is always opened.
+OTHERS = -1
+
+
+def _unit(vector: Column) -> Column:
+    """A vector of length one in double precision; null for one without a direction or with components that are no numbers."""
+    v = vector.cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = vectors.where(norm > 0).select(F.col(key).alias("id"), F.transform(v, lambda x: x / norm).alias("unit"))
-    unit.write.mode("overwrite").parquet(f"{path}/vectors")
+    return F.when((norm > 0) & (norm < float("inf")), F.transform(v, lambda x: x / norm))
+
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-def nearest(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` nearest stored vectors of every question (query_id, q), by one product each."""
-    norm = F.sqrt(F.aggregate(F.col("q").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
-    asked = search.sized(queries.select("query_id", F.transform(F.col("q").cast("array<double>"), lambda x: x / norm).alias("q")))
-    dot = F.aggregate(F.zip_with("unit", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return search.ranked(spark.read.parquet(f"{path}/vectors").crossJoin(asked).select("query_id", "id", dot.alias("score")), "id", k)
+
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
+def build_vectors(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding", cells: int | None = None, sample: int = SAMPLE, seed: int = 7) -> None:
+    """Write vectors of length one, in double precision, by cells below ``path``; those without a direction are left out.
+
+    Centres come from k-means over at most ``sample`` vectors, the first by a
+    hash of their ids; every vector is stored, in the cell of its nearest
+    centre. There are about as many cells as a cell has vectors, ``CELLS`` at most.
+    """
+    spark = vectors.sparkSession
+    unit = vectors.select(F.col(key).alias("id"), _unit(F.col(vector)).alias("unit")).where("unit is not null")
+    n = unit.count()
+    wide = unit.groupBy(F.size("unit").alias("size")).count().orderBy(F.desc("count"), "size").first() if n else None
+    size = wide["size"] if wide else 0
+    same = unit.where(F.size("unit") == size).withColumn("features", array_to_vector("unit"))
+    if n:
+        chosen = same.orderBy(F.xxhash64("id"), "id").limit(sample).select("features")
+        model = KMeans(k=max(2, min(CELLS, cells or math.isqrt(n))), seed=seed, maxIter=10, predictionCol="cell").fit(chosen)
+        centres = [(c, [float(x) for x in v]) for c, v in enumerate(model.clusterCenters())]
+        placed = model.transform(same).select("id", "unit", "cell").union(unit.where(F.size("unit") != size).select("id", "unit", F.lit(OTHERS).alias("cell")))
+    else:
+        centres, placed = [], unit.withColumn("cell", F.lit(OTHERS))
+    # By ranges, so that a cell of many copies is several tasks and files.
+    placed.repartitionByRange("cell", "id").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    kind = unit.schema["id"].dataType.simpleString()
+    stored = spark.read.schema(f"id {kind}, unit array<double>, cell int").parquet(f"{path}/vectors")
+    middle = spark.createDataFrame(centres, "cell int, centre array<double>").select("cell", _unit(F.col("centre")).alias("centre"))
+    near = stored.join(F.broadcast(middle), "cell", "left").select("cell", "centre", F.coalesce(_angle(_dot(F.col("unit"), F.col("centre"))), F.lit(math.pi)).alias("angle"))
+    near.groupBy("cell").agg(F.first("centre").alias("centre"), F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind)).write.mode("overwrite").parquet(f"{path}/cells")
+
+
+def nearest(spark: SparkSession, path: str, queries: DataFrame, k: int, probe: int = 4, report: list | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` nearest stored vectors of every question (query_id, q), exactly.
+
+    A question opens its ``probe`` nearest cells, then some more, then all others
+    that may still hold a vector as near as its k-th: no vector of a cell is
+    nearer than the angle to its centre less the cell's radius.
+    ``report`` gets the number of opened pairs of question and cell of each
+    round. Questions without a direction have no result.
+    """
+    cells = spark.read.parquet(f"{path}/cells")
+    kind = (cells.select("kind").first() or ["bigint"])[0]
+    asked = queries.select("query_id", _unit(F.col("q")).alias("q")).where("q is not null")
+    vectors = spark.read.schema(f"id {kind}, unit array<double>, cell int").parquet(f"{path}/vectors")
+    # At most CELLS cells for each of a stated set of questions.
+    bound = F.when(F.col("centre").isNull() | (F.size("centre") != F.size("q")), 1.0).otherwise(F.cos(F.greatest(F.lit(0.0), _angle(_dot(F.col("q"), F.col("centre"))) - F.col("radius"))))
+    nearness = F.coalesce(_dot(F.col("q"), F.col("centre")), F.lit(2.0))
+    chances = asked.crossJoin(F.broadcast(cells)).select("query_id", "q", "cell", bound.alias("bound"), nearness.alias("nearness"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("nearness"), "cell"))
+    chances = scratch.table(chances.withColumn("place", place), "cells")
+    least, most, held = 0, probe, None
+    while True:
+        wanted = chances.where((F.col("place") > least) & (F.col("place") <= most))
+        if held is not None:
+            bar = held.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+            open_still = chances.where(F.col("place") > least).join(F.broadcast(bar), "query_id", "left").where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - SLACK))
+            wanted = open_still.where(F.col("place") <= most).select(*chances.columns)
+            # Nothing within reach of this round need not mean that of the next ones.
+            if open_still.isEmpty():
+                return held
+        names = [r[0] for r in wanted.select("cell").distinct().collect()]  # at most CELLS
+        if report is not None:
+            report.append(wanted.count())
+        if names:
+            met = vectors.where(F.col("cell").isin(names)).join(F.broadcast(wanted.select("query_id", "q", "cell")), "cell").where(F.size("unit") == F.size("q"))
+            scored = met.select("query_id", "id", _dot(F.col("unit"), F.col("q")).alias("score"))
+            now = search.ranked(scored if held is None else scored.unionByName(held.drop("rank")), "id", k)
+            held = scratch.table(now, "nearest")
+        elif held is None:
+            return spark.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {kind}, score double, rank int")
+        least, most = most, 4 * probe if most == probe else CELLS + 1
 
 
 def remember(spark: SparkSession, path: str, rows: DataFrame) -> tuple[int, int, bool]:

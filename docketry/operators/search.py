@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import ascii_tokens, first_present
+from docketry.sources import scratch
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Rows of a table that may go to every executor.
@@ -45,24 +46,37 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(ascii_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def part(tf: Column, dl: Column, mean_dl: Column) -> Column:
+    """What a term gives a document, before its weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean_dl))
+
+
 def scored(hits: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of rows with qtf, idf, tf, dl, n and all_terms."""
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("all_terms") / F.col("n"))))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    own = F.col("qtf") * F.col("idf") * part(F.col("tf"), F.col("dl"), F.col("all_terms") / F.col("n"))
+    return hits.groupBy("query_id", "doc_id").agg(F.sum(own).alias("score"))
+
+
+def counted(split: DataFrame) -> DataFrame:
+    """(term, df, all_terms) of documents cut into ``words``, in one pass; a row without a term has their number and that of all terms."""
+    marked = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("words").alias("dl"))), F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("dl"))))
+    return split.select(F.inline(marked)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("all_terms"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, score) of the documents that share a term with a query.
 
-    ``queries`` has query_id and query. Documents are cut into words within
-    their row: their length is a size, and only words of the questions leave
-    the row. What is shuffled is the vocabulary, combined before the shuffle,
-    and the hits. ``index`` stores both, for questions that come again.
+    ``queries`` has query_id and query. Texts are read twice: once for the
+    vocabulary, which is written as a table since the weights and their mean
+    both need it, and once for the hits. Documents are cut into words within
+    their row, and only words of the questions leave it. ``index`` stores
+    postings, for questions that come again.
     """
-    split = docs.select(F.col(doc_id).alias("doc_id"), ascii_tokens(F.col(text)).alias("words"))
-    vocabulary = split.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    split = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(ascii_tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    known = scratch.table(counted(split), "vocabulary")
+    sums = known.where("term is null").select(F.col("df").alias("n"), "all_terms")
     wanted = asked_terms(queries)
-    weights = weigh(vocabulary, totals(split, F.col("words")), sized(wanted))
+    weights = weigh(known.where("term is not null").select("term", "df"), sums, sized(wanted))
     terms = [r[0] for r in wanted.select("term").distinct().limit(FEW + 1).collect()]
     kept = F.filter("words", lambda w: w.isin(terms)) if len(terms) <= FEW else F.col("words")
     tf = split.select("doc_id", F.size("words").alias("dl"), F.explode(kept).alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -53,15 +53,15 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {BM25_CTE} SELECT doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM lex WHERE rank <= 10")
 def stored_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten best documents by a word index that is written first; a question reads its terms' folders alone."""
+    """Ten best documents by a word index that is written first; a question reads its terms' folders and opens promising blocks alone."""
     path = scratch.path(spark, "index")
     index.build(spread(table(spark, folder, "documents")), path)
-    return search.ranked(index.bm25(spark, path, _question(spark)), "doc_id", 10).select("doc_id", "rank", F.round("score", 6).alias("score"))
+    return index.best(spark, path, _question(spark), 10).select("doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {VECTOR_CTE} SELECT doc_id AS vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM vec WHERE rank <= 20")
 def stored_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """Twenty nearest of stored unit vectors."""
+    """Twenty nearest of unit vectors stored by cells."""
     path = scratch.path(spark, "index")
     vectors = table(spark, folder, "embeddings")
     index.build_vectors(vectors, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def path(spark: SparkSession, what: str) -> str:
@@ -17,3 +17,10 @@ def path(spark: SparkSession, what: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docketry-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to a new path and read again, so that what reads it more than once computes it once."""
+    at = path(df.sparkSession, what)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
