@@ -42,7 +42,8 @@ def answer(cases: DataFrame, queries: DataFrame, key: str = "doc_id", top: int =
     exact = exact.withColumn("first", F.min("place").over(Window.partitionBy("query_id"))).where("place = first").select("query_id", "route", F.lit(0.0).alias("score"), *fields)
 
     by_justice = own.crossJoin(search.sized(asked.where("route = 'ponente'"))).where(extract.ponente_matches(F.col("ponente"), F.col("justice"))).select("query_id", "route", F.lit(0.0).alias("score"), *fields)
-    titled = own.crossJoin(search.sized(asked.where("route = 'title'"))).where(F.forall("parties", lambda p: F.contains(F.lower("case_title"), p))).select("query_id", "route", F.lit(0.0).alias("score"), *fields)
+    named = search.named_in_titles(own, asked.where("route = 'title'"), key).select("query_id", F.col(key).alias("_named"))
+    titled = own.join(named, F.col(key) == F.col("_named")).select("query_id", F.lit("title").alias("route"), F.lit(0.0).alias("score"), *fields)
 
     met = titled.select("query_id").distinct()
     worded = asked.where("route in ('words', 'title')").join(met, "query_id", "left_anti")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.operators.search import sized
-from docketry.session import ship
+from docketry.operators.substrings import alike, containing
 
 LIKE_FROM = 0.72
 #: Fixed values, applied in this order.
@@ -63,27 +60,23 @@ def names(entries: DataFrame) -> DataFrame:
 def search(entries: DataFrame, queries: DataFrame, k: int = 5, fuzzy: bool = True) -> DataFrame:
     """(query_id, term, score, rank): an exact name alone, else parts of names and names that are alike.
 
-    Likeness is computed in Python, and only for pairs that can be alike enough
-    by the letters they share.
+    Exact names meet by equality, parts and likeness by the runs of characters
+    that they share (``substrings``). A question without a word finds nothing.
     """
-    ship(entries.sparkSession)
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a, b)])
-
-    pairs = queries.select("query_id", normal(F.col("query")).alias("q")).crossJoin(sized(names(entries)))
+    asked = queries.select("query_id", normal(F.col("query")).alias("q")).where("q <> ''").distinct()
+    known = names(entries).select("term", "importance", "name", "exact").distinct()
+    texts, parts = known.select("name").distinct(), asked.select(F.col("query_id").alias("large_id"), F.col("q").alias("text"))
     extra = (F.col("importance") - 3) * 2.0
-    exact = F.when(F.col("q") == F.col("name"), F.col("exact"))
-    part = F.when(F.contains("q", F.col("name")) | F.contains("name", F.col("q")), 82.0 + extra)
-    plain = pairs.withColumn("ratio", F.lit(0.0))
-    lacking = lambda a, b: F.length(F.call_function("translate", F.col(a), F.col(b), F.lit("")))
-    shared = F.least(F.length("q") - lacking("q", "name"), F.length("name") - lacking("name", "q"))
-    possible = (2.0 * shared >= LIKE_FROM * (F.length("q") + F.length("name"))) & (F.col("q") != F.col("name"))
-    scored = plain.where(~possible).unionByName(pairs.where(possible).withColumn("ratio", alike("q", "name"))) if fuzzy else plain
-    like = F.when(F.col("ratio") >= LIKE_FROM, 70.0 + F.col("ratio") * 20.0 + extra)
-    scored = scored.withColumn("best_exact", F.max(exact).over(Window.partitionBy("query_id"))).withColumn("score", F.coalesce(exact, F.greatest(part, like)))
-    scored = scored.where(F.col("score").isNotNull() & (F.col("best_exact").isNull() | (F.col("score") == F.col("best_exact"))))
+    exact = asked.join(known, F.col("q") == F.col("name")).select("query_id", "term", F.col("exact").alias("score"), "exact")
+    within = containing(parts, texts.select(F.col("name").alias("small_id"), F.col("name").alias("part"))).select(F.col("large_id").alias("query_id"), F.col("small_id").alias("name"))
+    around = containing(texts.select(F.col("name").alias("large_id"), F.col("name").alias("text")), parts.select(F.col("large_id").alias("small_id"), F.col("text").alias("part"))).select(F.col("small_id").alias("query_id"), F.col("large_id").alias("name"))
+    told = within.union(around).distinct().withColumn("points", F.lit(82.0))
+    if fuzzy:
+        near = alike(parts.select(F.col("large_id").alias("left_id"), F.col("text").alias("a")), texts.select(F.col("name").alias("right_id"), F.col("name").alias("b")), LIKE_FROM)
+        told = told.union(near.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("name"), (70.0 + F.col("ratio") * 20.0).alias("points")))
+    other = told.join(known, "name").select("query_id", "term", (F.col("points") + extra).alias("score"), F.lit(None).cast("double").alias("exact"))
+    every = exact.union(other)
+    scored = every.withColumn("best", F.max("exact").over(Window.partitionBy("query_id"))).where(F.col("best").isNull() | ((F.col("exact") == F.col("best"))))
     best = scored.groupBy("query_id", "term").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "term")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -160,3 +160,18 @@ def hit_documents(hits: DataFrame, match_type: str) -> DataFrame:
         *(c for c in hits.columns if c not in ("score", "payload")), or_empty("title").alias("title"), or_empty(*CONTENT).alias("content"), or_empty("gr_number").alias("gr_number"), or_empty("year").alias("year"), or_empty("section").alias("section"),
         F.coalesce(p("section_type"), F.lit("general")).alias("section_type"), "score", or_empty("source_url").alias("url"), F.lit(match_type).alias("match_type"), F.map_concat(rest, known).alias("metadata"),
     )
+
+
+def named_in_titles(cases: DataFrame, asked: DataFrame, key: str = "doc_id", title: str = "case_title") -> DataFrame:
+    """(query_id, key, title) of the cases whose title names all parties of a question (query_id, parties), two at least.
+
+    A title is looked up by a run of characters of each party, and questions
+    share the parties that they have in common.
+    """
+    from docketry.operators.substrings import containing
+
+    parties = asked.where(F.size("parties") >= 2).select("query_id", F.size(F.array_distinct("parties")).alias("n"), F.explode(F.array_distinct("parties")).alias("party"))
+    named = cases.select(F.col(key).alias("large_id"), F.lower(title).alias("text"), F.col(title).alias("title"))
+    met = containing(named.select("large_id", "text"), parties.select(F.col("party").alias("small_id"), F.col("party").alias("part")).distinct())
+    both = met.join(parties, F.col("small_id") == F.col("party")).groupBy("query_id", "large_id").agg(F.count(F.lit(1)).alias("_met"), F.max("n").alias("n")).where("_met = n")
+    return both.select("query_id", "large_id").join(named.select("large_id", "title"), "large_id").select("query_id", F.col("large_id").alias(key), F.col("title").alias(title))

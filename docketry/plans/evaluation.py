@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions import rules
 from docketry.operators import evaluate
 from docketry.plans.registry import query
-from docketry.sources.tables import table
+from docketry.sources.tables import QUESTIONS_SQL, questions, table
 
 PAIRS_SQL = "SELECT b.item_id AS pair_id, d.text AS response, b.text AS reference, 'What is the decision and ruling of case ' || d.lang || ' about facts that th' AS query, CAST(b.item_id % 20 AS DOUBLE) / 20 AS bert FROM benchmark b JOIN documents d ON d.doc_id = b.item_id"
 
@@ -129,11 +129,11 @@ def section_f1(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).select("pair_id", told.alias("s")).select("pair_id", "s.accuracy", "s.precision", "s.recall", "s.f1", F.size("s.missing").alias("n_missing"), F.size("s.extra").alias("n_extra"))
 
 
-@query("""SELECT q AS query_id, CASE q WHEN 0 THEN 'facts' WHEN 1 THEN 'ruling' WHEN 2 THEN 'facts|issues|ruling' WHEN 3 THEN 'facts|issues' ELSE 'facts|issues|ruling' END AS expected FROM range(5) t(q)""")
+@query(f"""SELECT conv_id, turn, CASE WHEN d OR NOT (f OR i OR r) THEN 'facts|issues|ruling' ELSE concat_ws('|', CASE WHEN f THEN 'facts' END, CASE WHEN i THEN 'issues' END, CASE WHEN r THEN 'ruling' END) END AS expected
+    FROM (SELECT conv_id, turn, contains(q, 'fact') AS f, contains(q, 'issue') AS i, contains(q, 'ruling') OR contains(q, 'decision') OR contains(q, 'held') AS r, contains(q, 'digest') OR (contains(q, 'covering') AND contains(q, 'main')) AS d FROM (SELECT *, lower(coalesce(query, '')) AS q FROM ({QUESTIONS_SQL})))""")
 def expected_sections(spark: SparkSession, folder: str) -> DataFrame:
-    """Sections that questions ask for."""
-    asked = spark.createDataFrame([(0, "the facts please"), (1, "what was held"), (2, "a digest of it"), (3, "facts and issues"), (4, "tell me all")], "query_id long, query string")
-    return asked.select("query_id", F.array_join(evaluate.expected_sections(F.col("query")), "|").alias("expected"))
+    """Sections that the questions of all messages ask for."""
+    return questions(spark, folder).select("conv_id", "turn", F.array_join(evaluate.expected_sections(F.col("query")), "|").alias("expected"))
 
 
 _WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) > {1}))"

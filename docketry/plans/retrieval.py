@@ -10,7 +10,7 @@ from docketry.operators import engine, index, search
 from docketry.plans.cases import CTE, all_chunks
 from docketry.plans.registry import query
 from docketry.sources import scratch
-from docketry.sources.tables import cases, spread, table
+from docketry.sources.tables import QUESTIONS_SQL, cases, questions, spread, table
 
 QUESTION = "the of and erthat tion nothere"
 TOKENS = r"list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) >= 2)"
@@ -113,12 +113,14 @@ def hybrid_hydrated(spark: SparkSession, folder: str) -> DataFrame:
     return F.broadcast(top).join(table(spark, folder, "documents"), "doc_id").select("doc_id", "place", "lang", "source", "n_chars")
 
 
-@query(CTE + " SELECT doc_id, case_title FROM cases WHERE contains(lower(case_title), 'acme') AND contains(lower(case_title), 'nlrc 2') ORDER BY doc_id LIMIT 50")
+@query(CTE + """, q AS (SELECT conv_id, turn, 'acme corporation' AS a, 'nlrc ' || conv_id % 60 AS b FROM conversations WHERE (conv_id + turn) % 12 = 1),
+    m AS (SELECT conv_id, turn, doc_id, case_title, row_number() OVER (PARTITION BY conv_id, turn ORDER BY doc_id) AS n FROM q JOIN cases ON contains(lower(case_title), a) AND contains(lower(case_title), b)) SELECT conv_id, turn, doc_id, case_title FROM m WHERE n <= 50""")
 def title_party_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Cases whose title names both parties of a question."""
-    asked = spark.range(1).select(extract.parties(F.lit("Acme vs NLRC 2")).alias("p"))
-    met = cases(spark, folder).crossJoin(search.sized(asked)).where((F.size("p") >= 2) & F.forall("p", lambda p: F.contains(F.lower("case_title"), p)))
-    return met.orderBy("doc_id").limit(50).select("doc_id", "case_title")
+    """The first fifty cases whose title names both parties, for all questions of messages that name two."""
+    asked = questions(spark, folder).where(extract.asks_title(F.col("query")) & F.contains("query", F.lit("NLRC"))).select(F.struct("conv_id", "turn").alias("query_id"), extract.parties(F.col("query")).alias("parties"))
+    met = search.named_in_titles(cases(spark, folder).select("doc_id", "case_title"), asked)
+    first = met.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where("n <= 50")
+    return first.select("query_id.*", "doc_id", "case_title")
 
 
 @query(CTE + " SELECT doc_id, gr_number FROM cases WHERE gr_number IN ('100010', 'G.R. No. 100010', 'GR No. 100010') ORDER BY doc_id LIMIT 8")
@@ -130,22 +132,21 @@ def exact_number_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return met.join(F.broadcast(met.agg(F.min("form").alias("form"))), "form").orderBy("doc_id").limit(8).select("doc_id", "gr_number")
 
 
-#: Questions for the routing query, and how often a text of a conversation stands for each.
+#: Questions that are answered end to end.
 ASKED = ["cases penned by justice Peralta", "Acme vs NLRC", "G.R. No. 0176692 digest", "A.M. No. P-11-2907 ruling", "what is amparo", "GR No. 123456", "justice Lazaro-Javier decisions", "annulment cases 150001"]
-_ASKED_SQL = "(VALUES " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(ASKED)) + ") AS a(query_id, query)"
 
 
-@query(r"""SELECT query_id, regexp_matches(lower(query), 'penned by justice|decisions by justice|justice [a-z\s]+ (cases|decisions|opinions)') AS is_ponente,
+@query(rf"""SELECT conv_id, turn, regexp_matches(lower(trim(query)), '{extract.PONENTE_QUERY}') AS is_ponente,
       regexp_matches(lower(query), '\bvs\.?\b|\bversus\b') AS is_title,
       CASE WHEN regexp_matches(query, '(?i)A\.M\.\s+No') THEN 'A.M. No. ' || regexp_extract(query, '(?i)A\.M\.\s+No\.?\s*([A-Z0-9\-]+)', 1) END AS special_number,
-      CASE WHEN NOT regexp_matches(query, '(?i)A\.M\.\s+No') THEN nullif(ltrim(coalesce(nullif(regexp_extract(query, '(?i)G\.?R\.?\s*NOS?\.?\s*([0-9\-]+)', 1), ''), regexp_extract(query, '\b(\d{5,})\b', 1)), '0'), '') END AS gr_number
-    FROM """ + _ASKED_SQL)
+      CASE WHEN NOT regexp_matches(query, '(?i)A\.M\.\s+No') THEN nullif(ltrim(coalesce(nullif(regexp_extract(query, '(?i)G\.?R\.?\s*NOS?\.?\s*([0-9\-]+)', 1), ''), regexp_extract(query, '\b(\d{{5,}})\b', 1)), '0'), '') END AS gr_number,
+      CASE (conv_id + turn) % 12 WHEN 0 THEN CASE conv_id % 3 WHEN 0 THEN 'Peralta' WHEN 1 THEN 'Lazaro-Javier' ELSE 'Gesmundo' END WHEN 6 THEN 'Lazaro-Javier' END AS justice
+    FROM ({QUESTIONS_SQL})""")
 def query_routing(spark: SparkSession, folder: str) -> DataFrame:
-    """Where questions go: a justice's decisions, a title, a special or an ordinary number."""
-    asked = spark.createDataFrame(list(enumerate(ASKED)), "query_id int, query string")
+    """Where the questions of all messages go: a justice's decisions, a title, a special or an ordinary number."""
     q = F.col("query")
     special = extract.special_of_query(q)
-    return asked.select("query_id", extract.asks_ponente(q).alias("is_ponente"), extract.asks_title(q).alias("is_title"), special.alias("special_number"), F.when(special.isNull(), extract.gr_of_query(q)).alias("gr_number"))
+    return questions(spark, folder).select("conv_id", "turn", extract.asks_ponente(q).alias("is_ponente"), extract.asks_title(q).alias("is_title"), special.alias("special_number"), F.when(special.isNull(), extract.gr_of_query(q)).alias("gr_number"), extract.ponente_of_query(q).alias("justice"))
 
 
 @query(CTE + " SELECT doc_id, ponente FROM cases WHERE contains(lower(ponente), 'lazaro')")

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import display, extract
-from docketry.operators import glossary
 from docketry.plans.cases import CTE
 from docketry.plans.registry import query
 from docketry.sources import pages
-from docketry.sources.tables import cases, table
+from docketry.sources.tables import QUESTIONS_SQL, cases, questions, table
 
 #: Fixed value: version of the payload.
 CHUNK_VERSION = "v2.0"
@@ -58,11 +57,10 @@ def title_match_score(spark: SparkSession, folder: str) -> DataFrame:
     return cases(spark, folder).select("doc_id", (F.size(F.filter(names, lambda p: F.contains(low, p))) * 50.0).alias("score"))
 
 
-@query("SELECT CAST(q AS BIGINT) AS query_id, CASE q WHEN 0 THEN 'estafa Philippines law' WHEN 1 THEN 'tax law Philippines' ELSE 'Philippine courts' END AS enhanced FROM range(3) t(q)")
+@query(f"SELECT conv_id, turn, md5(CASE WHEN contains(lower(query), 'philippine') THEN query WHEN regexp_matches(lower(query), 'law|legal|court') THEN query || ' Philippines' ELSE query || ' Philippines law' END) AS digest FROM ({QUESTIONS_SQL})")
 def query_enhancement(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions for a search of the web."""
-    asked = spark.createDataFrame([(0, "estafa"), (1, "tax law"), (2, "Philippine courts")], "query_id long, query string")
-    return asked.select("query_id", display.enhanced(F.col("query")).alias("enhanced"))
+    """The questions of all messages for a search of the web."""
+    return questions(spark, folder).select("conv_id", "turn", F.md5(F.encode(display.enhanced(F.col("query")), "utf-8")).alias("digest"))
 
 
 @query("SELECT conv_id, turn, CAST(p AS INTEGER) AS place, CASE p WHEN 0 THEN 'system' ELSE 'user' END AS role, CASE p WHEN 0 THEN 'be brief' ELSE role END AS content FROM conversations, range(2) t(p)")
@@ -80,13 +78,6 @@ def response_case(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", display.case_of_response(linked).alias("case_id"))
 
 
-@query("SELECT term, CAST(count(*) AS BIGINT) AS n_names FROM (VALUES " + ", ".join(f"('{t}')" for t, a, _, _ in glossary.SEED for _ in [t, *a]) + ") AS g(term) GROUP BY term")
-def glossary_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Names under which each term is found."""
-    entries = spark.createDataFrame(glossary.SEED, "term string, aliases array<string>, definition string, importance int")
-    return glossary.names(entries).groupBy("term").agg(F.count(F.lit(1)).alias("n_names"))
-
-
 @query("SELECT page_id, CAST(2000 + (page_id + y) % 20 AS INTEGER) AS year, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/month/' || page_id || '/' || y AS url FROM pages, range(3) t(y) WHERE 2000 + (page_id + y) % 20 BETWEEN 2004 AND 2015")
 def month_discovery(spark: SparkSession, folder: str) -> DataFrame:
     """Links below the headings of some years within the list of dates, made absolute; links outside it do not count."""

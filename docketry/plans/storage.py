@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from docketry.functions import display, text
 from docketry.operators import glossary
+from docketry.plans.cases import CTE
 from docketry.plans.registry import query
 from docketry.sources import pages, records
-from docketry.sources.tables import table
+from docketry.sources.tables import QUESTIONS_SQL, cases, questions, table
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title FROM pages")
@@ -109,43 +110,72 @@ def richtext_line_types(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy(display.line_kind(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(glossary.SEED, "term string, aliases array<string>, definition string, importance int")
+#: Benchmark items as entries of a glossary: their first words are the term, all words of a sentence an alias; and the seed.
+_ENTRIES_SQL = f"""(SELECT array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS term, ['item ' || item_id] AS aliases, text AS definition, CAST(item_id % 6 AS INTEGER) AS importance FROM benchmark
+    UNION ALL SELECT * FROM (VALUES {", ".join(f"('{t}', CAST([{', '.join(repr(x) for x in a)}] AS VARCHAR[]), '{d}', {i})" for t, a, d, i in glossary.SEED)}) AS s(term, aliases, definition, importance))"""
+_NORMAL_SQL = "regexp_replace({0}, '\\s+', ' ', 'g')".format("replace(" * len(glossary.REPLACED) + "lower(trim({0}))" + "".join(f", '{a}', '{b}')" for a, b in glossary.REPLACED))
+_NAMES_CTE = f"""e AS (SELECT * FROM {_ENTRIES_SQL} WHERE trim(term) <> '' AND trim(definition) <> ''),
+    n AS (SELECT term, definition, coalesce(importance, 3) AS importance, {_NORMAL_SQL.format('term')} AS name, 99.0 AS exact FROM e UNION ALL SELECT term, definition, coalesce(importance, 3), {_NORMAL_SQL.format('alias')}, 100.0 FROM (SELECT *, unnest(aliases) AS alias FROM e)),
+    named AS (SELECT * FROM n WHERE name <> '')"""
 
 
-_NAMES = "(VALUES " + ", ".join(f"('{t}', '{n.lower()}', {99 if n == t else 100}, {i})" for t, a, _, i in glossary.SEED for n in [t, *a]) + ") AS g(term, name, exact, importance)"
-_ASKED = ["what is amparo", "swindling", "Habeas Corpus", "rule 65", "unknown thing"]
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    seed = spark.createDataFrame(glossary.SEED, "term string, aliases array<string>, definition string, importance int")
+    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    rows = table(spark, folder, "benchmark").select(words.alias("term"), F.array(F.concat(F.lit("item "), F.col("item_id").cast("string"))).alias("aliases"), F.col("text").alias("definition"), (F.col("item_id") % 6).cast("int").alias("importance"))
+    return rows.unionByName(seed)
 
 
-@query(f"""WITH q AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{q.lower()}')" for k, q in enumerate(_ASKED))}) AS t(query_id, q)),
-    s AS (SELECT query_id, term, CASE WHEN q = name THEN exact WHEN contains(q, name) OR contains(name, q) THEN 82.0 + (importance - 3) * 2 END AS score, max(CASE WHEN q = name THEN exact END) OVER (PARTITION BY query_id) AS best FROM q, {_NAMES}),
-    m AS (SELECT query_id, term, max(score) AS score FROM s WHERE score IS NOT NULL AND (best IS NULL OR score = best) GROUP BY ALL)
-    SELECT CAST(query_id AS BIGINT) AS query_id, term, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS INTEGER) AS rank FROM m""")
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages and benchmark items as questions for the glossary."""
+    said = questions(spark, folder).select(F.struct("conv_id", "turn").alias("query_id"), "query")
+    named = F.concat(F.lit("define "), F.array_join(F.slice(F.split("text", " "), 1, 3), " "))
+    return said.unionByName(table(spark, folder, "benchmark").select(F.struct((-1 - F.col("item_id")).alias("conv_id"), F.lit(0).cast("long").alias("turn")).alias("query_id"), named.alias("query")))
+
+
+_ASKED_CTE = f"q AS (SELECT conv_id, turn, {_NORMAL_SQL.format('query')} AS q FROM ({QUESTIONS_SQL} UNION ALL SELECT -1 - item_id, 0, 'define ' || array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') FROM benchmark) WHERE {_NORMAL_SQL.format('query')} <> '')"
+
+
+@query(f"""WITH {_NAMES_CTE}, {_ASKED_CTE},
+    s AS (SELECT conv_id, turn, term, CASE WHEN q = name THEN exact WHEN contains(q, name) OR contains(name, q) THEN 82.0 + (importance - 3) * 2 END AS score, max(CASE WHEN q = name THEN exact END) OVER (PARTITION BY conv_id, turn) AS best FROM q, named),
+    m AS (SELECT conv_id, turn, term, max(score) AS score FROM s WHERE score IS NOT NULL AND (best IS NULL OR score = best) GROUP BY ALL)
+    SELECT conv_id, turn, term, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, term) AS INTEGER) AS rank FROM m QUALIFY rank <= 5""")
 def glossary_exact_substring(spark: SparkSession, folder: str) -> DataFrame:
-    """Glossary terms by name and by part of a name."""
-    asked = spark.createDataFrame(list(enumerate(_ASKED)), "query_id long, query string")
-    return glossary.search(_terms(spark), asked, fuzzy=False)
+    """Glossary terms by name and by part of a name, for all messages and benchmark items."""
+    return glossary.search(_entries(spark, folder), _asked(spark, folder), fuzzy=False).select("query_id.*", "term", "score", "rank")
 
 
 @query()
 def glossary_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
-    """Glossary terms by likeness as well."""
-    asked = spark.createDataFrame([(0, "ampparo"), (1, "certiorary"), (2, "quo waranto")], "query_id long, query string")
-    return glossary.search(_terms(spark), asked)
+    """Glossary terms by likeness as well: every benchmark item's term with a letter dropped and one doubled."""
+    term = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    wrong = F.concat(F.substring(term, 1, 3), F.substr(term, F.lit(5)), F.substr(term, F.length(term)))
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), wrong.alias("query"))
+    return glossary.search(_entries(spark, folder), asked)
 
 
-@query("SELECT CAST(q AS BIGINT) AS query_id, CASE q WHEN 0 THEN 'FACTS' WHEN 1 THEN 'RULING' WHEN 2 THEN 'FACTS|ISSUES|RULING' ELSE 'ISSUES' END AS sections FROM range(4) t(q)")
+@query(f"WITH {_NAMES_CTE} SELECT term, CAST(count(*) AS BIGINT) AS n_names FROM named GROUP BY term")
+def glossary_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names under which each term is found."""
+    return glossary.names(_entries(spark, folder)).groupBy("term").agg(F.count(F.lit(1)).alias("n_names"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN d THEN 'FACTS|ISSUES|RULING' WHEN f AND NOT i AND NOT r THEN 'FACTS' WHEN r AND NOT f AND NOT i THEN 'RULING' WHEN i AND NOT f AND NOT r THEN 'ISSUES' ELSE 'FACTS|ISSUES|RULING' END AS sections
+    FROM (SELECT conv_id, turn, contains(lower(query), 'fact') AS f, contains(lower(query), 'issue') AS i, contains(lower(query), 'ruling') OR contains(lower(query), 'decision') AS r, contains(lower(query), 'digest') OR contains(lower(query), 'covering') AS d FROM ({QUESTIONS_SQL}))""")
 def template_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Sections of the simplified template by question."""
-    asked = spark.createDataFrame([(0, "facts of it"), (1, "the ruling"), (2, "a digest"), (3, "issues only")], "query_id long, query string")
-    return asked.select("query_id", display.template_sections(F.col("query")).alias("sections"))
+    return questions(spark, folder).select("conv_id", "turn", display.template_sections(F.col("query")).alias("sections"))
+
+
+#: What a classifier says of each message: an action with or without a focus, or none.
+_SAID_SQL = "CASE turn % 4 WHEN 0 THEN concat('[SEARCH_CASES:', role, '] ', text) WHEN 1 THEN concat(text, ' [CASE_DIGEST]') WHEN 2 THEN concat('[WEB_SEARCH] ', text) ELSE text END"
 
 
-@query("SELECT CAST(q AS BIGINT) AS query_id, CASE q WHEN 0 THEN 'SEARCH_CASES' WHEN 1 THEN 'CASE_DIGEST' WHEN 2 THEN 'WEB_SEARCH' END AS name, CASE q WHEN 0 THEN 'facts' END AS focus FROM range(4) t(q)")
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'SEARCH_CASES' WHEN 1 THEN 'CASE_DIGEST' WHEN 2 THEN 'WEB_SEARCH' END AS name, CASE turn % 4 WHEN 0 THEN role END AS focus FROM conversations")
 def classifier_action(spark: SparkSession, folder: str) -> DataFrame:
     """Actions that a classifier's answers ask for."""
-    said = spark.createDataFrame([(0, "[SEARCH_CASES:facts]"), (1, "ok [CASE_DIGEST]"), (2, "[WEB_SEARCH] now"), (3, "nothing")], "query_id long, answer string")
-    return said.select("query_id", display.action(F.col("answer")).alias("a")).select("query_id", "a.name", "a.focus")
+    said = table(spark, folder, "conversations").select("conv_id", "turn", F.expr(_SAID_SQL).alias("answer"))
+    return said.select("conv_id", "turn", display.action(F.col("answer")).alias("a")).select("conv_id", "turn", "a.name", "a.focus")
 
 
 @query("SELECT md5(doc_id || '|' || lang) AS key, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'cached ' || doc_id ELSE 'made ' || doc_id END AS context FROM documents")
@@ -158,16 +188,19 @@ def context_cache_join(spark: SparkSession, folder: str) -> DataFrame:
     return keyed.join(cache, "key", "left").select("key", "doc_id", text.first_present(F.col("kept"), F.concat(F.lit("made "), F.col("doc_id").cast("string"))).alias("context"))
 
 
-@query("""SELECT CAST(q AS BIGINT) AS query_id, CASE q WHEN 0 THEN 'Amparo: Remedy for violations of the right to life, liberty and security.' WHEN 1 THEN 'Estafa: Fraud that causes damage to another.' END AS answer FROM range(4) t(q)""")
+@query(f"""WITH {_NAMES_CTE}, q AS (SELECT item_id, definition, term, CASE item_id % 4 WHEN 0 THEN 'What is ' || term || '?' WHEN 1 THEN 'define item ' || item_id WHEN 2 THEN 'what is G.R. No. ' || item_id ELSE text END AS query FROM (SELECT *, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS term, text AS definition FROM benchmark))
+    SELECT item_id AS query_id, CASE WHEN item_id % 4 IN (0, 1) THEN term || ': ' || definition END AS answer FROM q""")
 def glossary_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Questions that the glossary answers, and those that it leaves to a search."""
-    asked = spark.createDataFrame([(0, "What is amparo?"), (1, "elements of swindling"), (2, "what is G.R. No. 5"), (3, "hello")], "query_id long, query string")
-    return glossary.respond(_terms(spark), asked)
+    item, term = F.col("item_id").cast("string"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    query_ = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("What is "), term, F.lit("?"))).when(F.col("item_id") % 4 == 1, F.concat(F.lit("define item "), item)).when(F.col("item_id") % 4 == 2, F.concat(F.lit("what is G.R. No. "), item)).otherwise(F.col("text"))
+    return glossary.respond(_entries(spark, folder), table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), query_.alias("query")))
 
 
-@query("SELECT subject, CASE subject WHEN 'labor_law' THEN 'Standards|Relations' ELSE 'Not specified' END AS areas FROM (VALUES ('labor_law'), ('other')) AS t(subject)")
+@query(CTE + """ SELECT doc_id, CASE WHEN contains(case_title, 'NLRC') THEN 'Standards|Relations' WHEN contains(case_title, 'PEOPLE') THEN 'Felonies' ELSE 'Not specified' END AS areas FROM cases""")
 def syllabus_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Areas of subjects."""
-    topics = spark.createDataFrame([("labor_law", ["Standards", "Relations"])], "subject string, areas array<string>")
-    found = glossary.syllabus(spark.createDataFrame([("labor_law",), ("other",)], "subject string"), topics)
-    return found.select("subject", F.array_join("areas", "|").alias("areas"))
+    """Areas of the subject of every case."""
+    topics = spark.createDataFrame([("labor_law", ["Standards", "Relations"]), ("criminal_law", ["Felonies"])], "subject string, areas array<string>")
+    subject = F.when(F.contains("case_title", F.lit("NLRC")), "labor_law").when(F.contains("case_title", F.lit("PEOPLE")), "criminal_law").otherwise("civil_law")
+    found = glossary.syllabus(cases(spark, folder).select("doc_id", subject.alias("subject")), topics)
+    return found.select("doc_id", F.array_join("areas", "|").alias("areas"))

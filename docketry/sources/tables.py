@@ -57,6 +57,23 @@ FROM documents
 """
 
 
+#: Messages as questions of all kinds: what is asked for varies with the message, and every third asks its whole text. Both SQL dialects read it.
+QUESTIONS_SQL = """
+SELECT conv_id, turn, CASE (conv_id + turn) % 12
+    WHEN 0 THEN concat('cases penned by justice ', CASE conv_id % 3 WHEN 0 THEN 'Peralta' WHEN 1 THEN 'Lazaro-Javier' ELSE 'Gesmundo' END)
+    WHEN 1 THEN concat('Acme Corporation vs NLRC ', conv_id % 60) WHEN 2 THEN concat('G.R. No. 0', 100000 + conv_id, ' digest') WHEN 3 THEN concat('A.M. No. P-', 10 + conv_id % 13, '-', 2900 + conv_id, ' ruling')
+    WHEN 4 THEN concat('what is ', CASE conv_id % 4 WHEN 0 THEN 'amparo' WHEN 1 THEN 'Swindling' WHEN 2 THEN 'rule 65' ELSE role END) WHEN 5 THEN concat('the facts and issues of GR No. ', 100000 + conv_id)
+    WHEN 6 THEN 'justice Lazaro-Javier decisions' WHEN 7 THEN concat('annulment cases ', 150000 + conv_id) WHEN 8 THEN concat('what was held by Philippine courts on ', role)
+    ELSE text END AS query
+FROM conversations
+"""
+
+
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of a folder as questions (conv_id, turn, query)."""
+    return spark.sql(QUESTIONS_SQL.replace("FROM conversations", "FROM {conversations}"), conversations=table(spark, folder, "conversations"))
+
+
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of a folder as case records."""
     return spark.sql(CASES_SQL.replace("FROM documents", "FROM {documents}"), documents=spread(table(spark, folder, "documents")))
