@@ -180,7 +180,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
-        for batch in batches:
+        for batch in common.parts(batches, "payload"):
             for name, url, payload, digest, original, single, first_single in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None or writer.payload >= file_bytes:
                     if writer:
