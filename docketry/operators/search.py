@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import ascii_tokens, first_present
+from docketry.operators.running import running
 from docketry.sources import scratch
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
@@ -117,9 +118,8 @@ def first_per_key(df: DataFrame, key: Column, *order: Column, limit: int | None
 
 
 def within_budget(df: DataFrame, tokens: str, budget: int, *order: Column, by: str) -> DataFrame:
-    """Rows of each question in order up to the first that goes over the budget, with the running sum."""
-    window = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(tokens).over(window)).where(F.col("running") <= budget)
+    """Rows of each question in order up to the first that goes over the budget, with the running sum; tokens are not negative."""
+    return running(df, by, list(order), {"running": tokens}, {"running": budget}).where(F.col("running") <= budget)
 
 
 #: Sections in the order in which a context takes them; others come last.

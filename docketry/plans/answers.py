@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import display, titles
+from docketry.operators.running import running
 from docketry.operators import search
 from docketry.plans.cases import CTE
 from docketry.plans.registry import query
@@ -154,9 +155,8 @@ def history_by_case(spark: SparkSession, folder: str) -> DataFrame:
     """How the history of each case that messages name grows, in the order of arrival."""
     rows = table(spark, folder, "conversations")
     message = F.concat(F.lit("on G.R. No. "), (F.col("conv_id") % 7).cast("string"), F.lit(": "), "text")
-    by = Window.partitionBy("case_id").orderBy("conv_id", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    named = rows.withColumn("case_id", F.concat(F.lit("G.R. No. "), display.case_in(message)["gr_number"]))
-    return named.select("conv_id", "turn", "case_id", F.count(F.lit(1)).over(by).alias("n_before"), F.sum(F.length("text")).over(by).alias("chars_before"))
+    named = rows.select("conv_id", "turn", F.concat(F.lit("G.R. No. "), display.case_in(message)["gr_number"]).alias("case_id"), F.lit(1).alias("one"), F.length("text").alias("chars"))
+    return running(named, "case_id", [F.asc("conv_id"), F.asc("turn")], {"n_before": "one", "chars_before": "chars"}).drop("one", "chars")
 
 
 @query(CTE + " SELECT title, min(doc_id) AS doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN case_title WHEN doc_id % 6 = 4 THEN 'Case (' || coalesce(gr_number, special_number) || ')' ELSE case_title || ', RESPONDENT.' END AS title FROM cases) GROUP BY title")

@@ -179,10 +179,22 @@ def hit_documents(spark: SparkSession, folder: str) -> DataFrame:
 def box_links(spark: SparkSession, folder: str) -> DataFrame:
     """Links to decisions within the list of titles of every page, made absolute; pages without the list have none."""
     inner = F.concat(F.lit('<a href="/else/1">x</a><a class="t" href="/showdocs/1/'), F.col("page_id").cast("string"), F.lit('">y</a><a href="https://other/showdocs/2">z</a>'))
-    html = F.concat(F.lit('<a href="/showdocs/9">before</a>'), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit('<div id="container_title">'), inner, F.lit("</div>"))).otherwise(inner))
+    html = F.concat(F.lit('<a href="/showdocs/9">before</a>'), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit('<div id="container_title"><div>'), inner, F.lit('</div></div><a href="/showdocs/8">after</a>'))).otherwise(inner))
     return pages.decision_links(table(spark, folder, "pages").select("page_id", "url", html.alias("html")), box="container_title")
 
 
+@query(r"""WITH b AS (SELECT page_id, url, coalesce(nullif(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), ''), '') AS nav, coalesce(html, '') AS html FROM pages),
+    l AS (SELECT page_id, url, unnest(regexp_extract_all(nav || html, '(?is)<a\s[^>]*href="([^"]*)"', 1)) AS href FROM b)
+    SELECT page_id, count(*) AS n, md5(string_agg(DISTINCT CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' || href END, '|' ORDER BY CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' || href END)) AS digest FROM l GROUP BY page_id""")
+def framed_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of every page's own html, put into a box with its menu in a box of its own: what the menu has counts twice."""
+    html = F.coalesce("html", F.lit(""))
+    menu = F.regexp_extract(html, r"(?s)<nav>(.*?)</nav>", 1)
+    boxed = F.concat(F.lit('<div><div id="list"><div>'), menu, F.lit("</div>"), html, F.lit('</div><a href="/after">x</a></div>'))
+    found = pages.decision_links(table(spark, folder, "pages").select("page_id", "url", boxed.alias("html")), mark="", box="list")
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.encode(F.array_join(F.array_sort(F.collect_set("url")), "|"), "utf-8")).alias("digest"))
+
+
 @query("SELECT page_id FROM pages WHERE length(html) >= 1000 AND NOT (contains(html, 'Supreme Court E-Library') AND length(html) < 2000) AND sha256(url) NOT IN (SELECT sha256(url) FROM pages WHERE page_id % 3 = 0)")
 def pages_to_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that are worth parsing and whose record is not stored yet."""

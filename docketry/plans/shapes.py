@@ -83,7 +83,7 @@ def month_discovery(spark: SparkSession, folder: str) -> DataFrame:
     """Links below the headings of some years within the list of dates, made absolute; links outside it do not count."""
     page = F.col("page_id").cast("string")
     one = lambda y: F.concat(F.lit("<h2> "), (F.lit(2000) + (F.col("page_id") + y) % 20).cast("string"), F.lit('</h2><a class="m" href="/month/'), page, F.lit(f'/{y}">Jan</a>'))
-    html = F.concat(F.lit('<a href="/before">x</a><h2>2010</h2><div class="list" id="container_date">'), one(0), one(1), one(2), F.lit('</div><a href="/after">y</a>'))
+    html = F.concat(F.lit('<a href="/before">x</a><h2>2010</h2><div class="list" id="container_date"><div>'), one(0), F.lit("</div><DIV class='in'><div></div>"), one(1), F.lit("</DIV>"), one(2), F.lit('</div><a href="/after">y</a>'))
     rows = table(spark, folder, "pages").select("page_id", F.explode(pages.months(html, F.col("url"), 2004, 2015)).alias("m"))
     return rows.select("page_id", "m.year", "m.url")
 

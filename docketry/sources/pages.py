@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.text import first_present
+from docketry.functions.text import first_present, let
 
 BOILERPLATE = "Supreme Court E-Library"
 
@@ -33,8 +33,31 @@ def absolute(url: Column, base: Column) -> Column:
 
 
 def within(html: Column, box: str) -> Column:
-    """What stands in the box of a page with this id; null without one."""
-    return F.nullif(F.regexp_extract(html, rf"(?is)<div[^>]*id=\"{box}\"[^>]*>(.*?)</div>", 1), F.lit(""))
+    """What stands in the box of a page with this id, up to where the box itself closes; null without one.
+
+    Boxes may lie in boxes: a count of how many are open tells which end is the
+    box's own. One that never closes takes all that follows.
+    """
+    opens = rf"(?is)^<div\b[^>]*\bid=[\"']{box}[\"'][^>]*>"
+
+    def found(parts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+        def step(acc: Column, part: Column) -> Column:
+            at, inside = acc["at"] + 1, acc["depth"] > 0
+            begins = ~inside & (acc["first"] == 0) & part.rlike(opens)
+            depth = F.when(begins, 1).when(inside & part.rlike("(?i)^</div"), acc["depth"] - 1).when(inside & part.rlike(r"(?i)^<div\b"), acc["depth"] + 1).otherwise(acc["depth"])
+            ends = inside & (depth == 0)
+            return F.struct(at.alias("at"), depth.alias("depth"), F.when(begins, at).otherwise(acc["first"]).alias("first"), F.when(ends, at).otherwise(acc["last"]).alias("last"))
+
+        def cut(place: Column) -> Column:
+            last = F.when(place["last"] > 0, place["last"]).otherwise(place["at"] + 1)
+            own = F.regexp_replace(F.element_at(parts, F.greatest(place["first"], F.lit(1))), opens, "")
+            return F.when(place["first"] > 0, F.concat(own, F.array_join(F.slice(parts, place["first"] + 1, F.greatest(last - place["first"] - 1, F.lit(0))), "")))
+
+        return let(F.aggregate(parts, start, step), cut)
+
+    return F.nullif(let(F.split(html, r"(?i)(?=</?div\b)"), found), F.lit(""))
 
 
 def decision_links(pages: DataFrame, mark: str = "showdocs", box: str | None = None) -> DataFrame:
