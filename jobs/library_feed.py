@@ -37,14 +37,16 @@ SETTINGS = {"least_characters": 500, "chunk_tokens": 640, "overlap_tokens": 96,
 
 
 def decide(batch: DataFrame, known: DataFrame, least: int) -> DataFrame:
-    """Records of a batch without its number; ``known`` has (checksum, known_id) of the texts of earlier batches."""
+    """Records of a batch without its number; ``known`` has (checksum, first_id) of the new texts of earlier batches."""
     n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     rows = batch.select("doc_id", "lang", text.tagged_sha256(F.col("text")).alias("checksum"), n.alias("n_chars"))
     rows = rows.groupBy("doc_id", "checksum").agg(F.min("lang").alias("lang"), F.max("n_chars").alias("n_chars"))
     long_enough = F.col("checksum").isNotNull() & (F.col("n_chars") >= least)
     # One row for each text, so that copies of one may be any share of the rows.
-    owners = rows.where(long_enough).groupBy("checksum").agg(F.min("doc_id").alias("own_id")).join(known, "checksum", "left")
-    owners = owners.select("checksum", F.coalesce("known_id", "own_id").alias("first_id"), F.col("known_id").isNull().alias("fresh"))
+    own = rows.where(long_enough).groupBy("checksum").agg(F.min("doc_id").alias("own_id"))
+    # Only what the batch asks for leaves the library's records, and is little where a batch is.
+    seen = known.join(own.select("checksum"), "checksum", "left_semi").groupBy("checksum").agg(F.min("first_id").alias("known_id"), F.lit(True).alias("seen"))
+    owners = own.join(seen, "checksum", "left").select("checksum", F.coalesce("known_id", "own_id").alias("first_id"), F.col("seen").isNull().alias("fresh"))
     met = rows.join(owners, "checksum", "left")
     status = F.when(F.col("fresh").isNull(), "short").when(F.col("fresh") & F.col("first_id").eqNullSafe(F.col("doc_id")), "new").otherwise("duplicate")
     return met.select("doc_id", "checksum", status.alias("status"), "first_id", "n_chars", "lang")
@@ -65,7 +67,7 @@ def take(batch: DataFrame, number: int, output: str, settings: dict) -> None:
     """Write the records and chunks of one batch, over those of an attempt that failed."""
     spark = batch.sparkSession
     stored = spark.read.schema(RECORDS).parquet(f"{output}/records")
-    known = stored.where((F.col("batch") < number) & (F.col("status") == "new")).groupBy("checksum").agg(F.min("first_id").alias("known_id"))
+    known = stored.where((F.col("batch") < number) & (F.col("status") == "new")).select("checksum", "first_id")
     records = decide(batch, known, settings["least_characters"]).withColumn("batch", F.lit(number).cast("long"))
     log.info("batch %s: records", number)
     write_partitions(records, f"{output}/records", "batch", "lang")
