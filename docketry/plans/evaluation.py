@@ -60,16 +60,19 @@ def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _WORDS_OF = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
-#: Each document as an answer with two references.
-BEST_SQL = f"""WITH p AS (SELECT d.doc_id, b.item_id, d.text AS response, b.text AS reference FROM documents d JOIN benchmark b ON b.item_id IN (d.doc_id % 40, (d.doc_id * 7 + 1) % 40)),
+#: Each document as an answer with two of all references.
+BEST_SQL = f"""WITH p AS (SELECT d.doc_id, b.item_id, d.text AS response, b.text AS reference FROM documents d JOIN benchmark b ON b.item_id IN (d.doc_id % (SELECT count(*) FROM benchmark), (d.doc_id * 7 + 1) % (SELECT count(*) FROM benchmark))),
     a AS (SELECT doc_id, item_id, g, count(*) AS n FROM (SELECT doc_id, item_id, unnest({_WORDS_OF.format('response')}) AS g FROM p) GROUP BY ALL), b AS (SELECT doc_id, item_id, g, count(*) AS n FROM (SELECT doc_id, item_id, unnest({_WORDS_OF.format('reference')}) AS g FROM p) GROUP BY ALL),
     s AS (SELECT doc_id, item_id, CAST(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS DOUBLE) AS hit, CAST(coalesce(sum(a.n), 0) AS DOUBLE) AS own, CAST(coalesce(sum(b.n), 0) AS DOUBLE) AS theirs FROM a FULL JOIN b USING (doc_id, item_id, g) GROUP BY ALL),
     r AS (SELECT doc_id, item_id, CASE WHEN own > 0 THEN hit / own ELSE 0 END AS p, CASE WHEN theirs > 0 THEN hit / theirs ELSE 0 END AS r FROM s), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM r)"""
 
 
 def _two_references(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("response"), F.explode(F.array_distinct(F.array(F.col("doc_id") % 40, (F.col("doc_id") * 7 + 1) % 40))).alias("item_id"))
-    pairs = docs.join(table(spark, folder, "benchmark").select("item_id", F.col("text").alias("reference")), "item_id")
+    items = table(spark, folder, "benchmark")
+    count = items.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("n"))
+    chosen = F.array_distinct(F.array(F.col("doc_id") % F.col("n"), (F.col("doc_id") * 7 + 1) % F.col("n")))
+    docs = table(spark, folder, "documents").crossJoin(F.broadcast(count)).select("doc_id", F.col("text").alias("response"), F.explode(chosen).alias("item_id"))
+    pairs = docs.join(items.select("item_id", F.col("text").alias("reference")), "item_id")
     keyed = pairs.withColumn("pair", F.struct("doc_id", "item_id"))
     return evaluate.rouge_n(keyed, 1, "pair").select("pair.doc_id", "pair.item_id", "precision", "recall", "f1")
 

@@ -70,12 +70,13 @@ def _glossary(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch.path(spark, "glossary")
     extra = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("first"), F.lit("second")))
     entry = F.struct(F.concat(F.lit("term "), F.col("item_id").cast("string")).alias("term"), F.concat(F.lit("about "), F.md5(F.encode("text", "utf-8"))).alias("definition"), (F.col("item_id") % 6).cast("int").alias("bar_importance"), extra.alias("elements"))
-    rows = table(spark, folder, "benchmark").select((F.col("item_id") % 2).alias("half"), F.to_json(entry).alias("entry"))
-    listed = rows.groupBy("half").agg(F.concat(F.lit("["), F.array_join(F.collect_list("entry"), ","), F.lit("]")).alias("list"))
+    rows = table(spark, folder, "benchmark").select((F.col("item_id") % 2).alias("half"), F.floor(F.col("item_id") / 100).alias("file"), F.to_json(entry).alias("entry"))
+    listed = rows.groupBy("half", "file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("entry"), ","), F.lit("]")).alias("list"))
     value = F.when(F.col("half") == 0, F.concat(F.lit('{"entries":'), F.col("list"), F.lit("}"))).otherwise(F.col("list"))
-    other = spark.createDataFrame([("not a glossary",)], "value string")
-    listed.select(value.alias("value")).unionByName(other).repartition(3, "value").write.text(path)
-    return glossary.read(spark, f"{path}/*.txt")
+    other = spark.createDataFrame([("not a glossary", -1, -1)], "value string, half long, file long")
+    # A folder and so a file for each list, of a hundred entries at most.
+    listed.select(value.alias("value"), "half", "file").unionByName(other).write.partitionBy("half", "file").text(path)
+    return glossary.read(spark, f"{path}/*/*/*.txt")
 
 
 @query("""SELECT item_id AS query_id, CASE item_id % 5 WHEN 0 THEN 'term ' || item_id || ': about ' || md5(text) WHEN 1 THEN 'term ' || item_id || ': about ' || md5(text) || CASE WHEN item_id % 3 = 0 THEN chr(10) || 'Elements:' || chr(10) || '- first' || chr(10) || '- second' ELSE '' END END AS answer FROM benchmark""")

@@ -73,19 +73,23 @@ def query_slice(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(F.col("place").between(5, 20)).select("item_id", "place")
 
 
-@query(r"""SELECT page_id, 10.0::DOUBLE + CASE WHEN regexp_matches(lower(url), 'elibrary\.judiciary\.gov\.ph|sc\.judiciary\.gov\.ph|lawphil\.net') THEN 20.0 ELSE 0.0 END + CASE WHEN contains(lower(url), '.gov.ph') THEN 15.0 ELSE 0.0 END
-    + CASE WHEN regexp_matches(lower(html), 'supreme court|decision|ruling|case') THEN 10.0 ELSE 0.0 END AS score FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://lawphil.net/x' WHEN 1 THEN 'https://www.sc.gov.ph/y' ELSE url END AS url, html FROM pages)""")
+_RELEVANCE_SQL = r"""10.0::DOUBLE + CASE WHEN regexp_matches(lower({0}), 'elibrary\.judiciary\.gov\.ph|sc\.judiciary\.gov\.ph|lawphil\.net') THEN 20.0 ELSE 0.0 END + CASE WHEN contains(lower({0}), '.gov.ph') THEN 15.0 ELSE 0.0 END
+    + CASE WHEN regexp_matches(lower(html), 'supreme court|decision|ruling|case') THEN 10.0 ELSE 0.0 END"""
+#: The same page on one of two official sites. Both SQL dialects read it.
+_MIRROR_SQL = "CASE WHEN page_id % 2 = 0 THEN concat('https://www.lawphil.net/', page_id) ELSE concat('https://www.sc.gov.ph/', page_id) END"
+
+
+@query(f"SELECT page_id, {_RELEVANCE_SQL.format('url')} AS score, {_RELEVANCE_SQL.format('mirror')} AS mirrored FROM (SELECT *, {_MIRROR_SQL} AS mirror FROM pages)")
 def web_relevance(spark: SparkSession, folder: str) -> DataFrame:
-    """Relevance of web results."""
-    url = F.when(F.col("page_id") % 3 == 0, "https://lawphil.net/x").when(F.col("page_id") % 3 == 1, "https://www.sc.gov.ph/y").otherwise(F.col("url"))
-    return table(spark, folder, "pages").select("page_id", display.web_relevance(url, F.col("html")).alias("score"))
+    """Relevance of all pages as results from the web, where they are and on an official site."""
+    score = lambda url: display.web_relevance(url, F.col("html"))
+    return table(spark, folder, "pages").select("page_id", score(F.col("url")).alias("score"), score(F.expr(_MIRROR_SQL)).alias("mirrored"))
 
 
-@query("SELECT page_id, CASE WHEN host = 'lawphil.net' THEN 'LawPhil' ELSE host END AS site FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'lawphil.net' ELSE replace(regexp_extract(url, '^https?://([^/?#]+)', 1), 'www.', '') END AS host FROM pages)")
+@query(f"SELECT page_id, replace(regexp_extract(url, '^https?://([^/?#]+)', 1), 'www.', '') AS site, CASE page_id % 2 WHEN 0 THEN 'LawPhil' ELSE 'sc.gov.ph' END AS mirror FROM pages")
 def source_domain(spark: SparkSession, folder: str) -> DataFrame:
-    """Sites of web results by name."""
-    url = F.when(F.col("page_id") % 3 == 0, "https://www.lawphil.net/x").otherwise(F.col("url"))
-    return table(spark, folder, "pages").select("page_id", display.site(url).alias("site"))
+    """Sites of all pages by name, and of the same on an official site."""
+    return table(spark, folder, "pages").select("page_id", display.site(F.col("url")).alias("site"), display.site(F.expr(_MIRROR_SQL)).alias("mirror"))
 
 
 @query(r"SELECT page_id, md5(trim(replace(replace(regexp_replace(html, '\s+', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'))) AS digest FROM pages")

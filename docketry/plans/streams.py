@@ -44,6 +44,5 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Events by day and type from a stream with a watermark; the result has a row per day and type."""
     events = table(spark, folder, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = "windows_" + scratch.path(spark, "x").rsplit("-", 1)[-1]
-    out = incremental.run_once(incremental.operation_windows(stream), name, scratch.path(spark, "state"), "complete")
+    out = incremental.store_once(incremental.operation_windows(stream), scratch.path(spark, "windows"), scratch.path(spark, "state"))
     return out.select(F.to_date("w.start").alias("day"), "event_type", "n")

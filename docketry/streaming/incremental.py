@@ -106,6 +106,14 @@ def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") ->
     return df.sparkSession.table(name)
 
 
+def store_once(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All that an aggregated stream has now, as a table at ``path``; each batch holds the whole result and replaces the one before."""
+    spark, schema = df.sparkSession, df.schema
+    query = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(path)
+
+
 def observed(df: DataFrame, name: str, record: Callable[[dict], None]) -> DataFrame:
     """``df`` whose row count goes to ``record`` when an action has run."""
     from pyspark.sql import Observation
