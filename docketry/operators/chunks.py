@@ -92,7 +92,8 @@ def case_chunks(cases: DataFrame, key: str = "id", whole: int = WHOLE) -> DataFr
     first = F.array(F.struct(F.lit("summary").alias("section"), F.col("_summary").alias("content"), F.lit(0).alias("paragraph_index"), F.lit("summary").alias("chunk_type")))
     rest = F.coalesce(F.flatten(F.transform("_parts", cut)), F.array().cast("array<struct<section:string,content:string,paragraph_index:int,chunk_type:string>>"))
     listed = named.withColumn("_chunks", F.concat(first, rest)).withColumn("total_chunks", F.size("_chunks"))
-    flat = listed.select(*(c for c in cases.columns if c not in ("clean_text", "sections")), "case_id", "total_chunks", F.posexplode("_chunks").alias("chunk_index", "_c"))
+    # There is always a summary; not being outer would compute the chunks a second time, to look for empty lists.
+    flat = listed.select(*(c for c in cases.columns if c not in ("clean_text", "sections")), "case_id", "total_chunks", F.posexplode_outer("_chunks").alias("chunk_index", "_c"))
     out = flat.select("*", "_c.*").drop("_c")
     kind = F.when(F.col("chunk_type") == "summary", "mini_summary").otherwise(section_type(F.col("section")))
     name = F.when(F.col("chunk_type") == "summary", F.concat("case_id", F.lit("_summary"))).otherwise(F.concat_ws("_", "case_id", "section", F.col("paragraph_index").cast("string")))

@@ -58,7 +58,7 @@ def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     split = docs.select(F.col(doc_id).alias("doc_id"), ascii_tokens(F.col(text)).alias("words"))
     kind = split.schema["doc_id"].dataType.simpleString()
     n, all_terms = search.totals(split, F.col("words")).first()
-    tf = split.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = split.select("doc_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term")).where("term is not null").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     blocks = max(1, -(-n // block))
     part = search.part(F.col("tf"), F.col("dl"), F.lit(all_terms / n if n else 1.0))
     placed = tf.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("part", part)

@@ -61,7 +61,8 @@ def scored(hits: DataFrame) -> DataFrame:
 def counted(split: DataFrame) -> DataFrame:
     """(term, df, all_terms) of documents cut into ``words``, in one pass; a row without a term has their number and that of all terms."""
     marked = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("words").alias("dl"))), F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("dl"))))
-    return split.select(F.inline(marked)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("all_terms"))
+    # As an outer one: else the optimiser computes the array a second time, to filter rows without any.
+    return split.select(F.inline_outer(marked)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("all_terms"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,7 +81,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str
     weights = weigh(known.where("term is not null").select("term", "df"), sums, sized(wanted))
     terms = [r[0] for r in wanted.select("term").distinct().limit(FEW + 1).collect()]
     kept = F.filter("words", lambda w: w.isin(terms)) if len(terms) <= FEW else F.col("words")
-    tf = split.select("doc_id", F.size("words").alias("dl"), F.explode(kept).alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = split.select("doc_id", F.size("words").alias("dl"), F.explode_outer(kept).alias("term")).where("term is not null").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     return scored(tf.join(weights, "term"))
 
 

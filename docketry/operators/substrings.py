@@ -39,10 +39,10 @@ def containing(large: DataFrame, small: DataFrame) -> DataFrame:
     parts have, and then verified. Ids of either side must not repeat with
     different strings; empty and null strings meet nothing.
     """
-    keyed = small.where("part <> ''").select("small_id", "part", F.explode(F.array_distinct(F.when(F.length("part") >= RUN, runs(F.col("part"), RUN)).otherwise(F.array("part")))).alias("run"))
+    keyed = small.where("part <> ''").select("small_id", "part", F.explode_outer(F.array_distinct(F.when(F.length("part") >= RUN, runs(F.col("part"), RUN)).otherwise(F.array("part")))).alias("run")).where("run is not null")
     rare = keyed.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     keys = keyed.join(rare, "run").groupBy("small_id", "part").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
-    own = large.where("text <> ''").select("large_id", F.explode(F.array_distinct(F.concat(*(runs(F.col("text"), n) for n in range(1, RUN + 1))))).alias("run"))
+    own = large.where("text <> ''").select("large_id", F.explode_outer(F.array_distinct(F.concat(*(runs(F.col("text"), n) for n in range(1, RUN + 1))))).alias("run")).where("run is not null")
     # Ids alone meet; the strings join what is left.
     met = own.join(sized(keys), "run").select("large_id", "small_id", "part").distinct()
     return met.join(large, "large_id").where(F.contains("text", F.col("part"))).select("large_id", "small_id").distinct()
@@ -77,7 +77,7 @@ def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
     def listed(df: DataFrame, name: str, c: str, n: int, around: list[int]) -> DataFrame:
         size = F.length(c)
-        rows = df.where(F.col(c) != "").select(f"{name}_id", size.alias(f"{name}_size"), F.explode(runs(F.col(c), n)).alias("run"))
+        rows = df.where(F.col(c) != "").select(f"{name}_id", size.alias(f"{name}_size"), F.explode_outer(runs(F.col(c), n)).alias("run")).where("run is not null")
         rows = rows.where(F.col(f"{name}_size") < short) if n == 1 else rows
         counts = rows.groupBy(f"{name}_id", f"{name}_size", "run").agg(F.count(F.lit(1)).alias(f"{name}_n"))
         level = F.floor(F.log(F.col(f"{name}_size")) / step).cast("int")
