@@ -9,7 +9,7 @@ from docketry.functions import extract, titles
 from docketry.plans.cases import CTE
 from docketry.plans.registry import query
 from docketry.session import ship
-from docketry.sources.tables import cases, table
+from docketry.sources.tables import cases, spread, table
 
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -43,7 +43,7 @@ def title_validity(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT doc_id, len(list_filter({_LIST(titles.FACT_PHRASES)}, lambda p: contains(lower(text), p))) > 0 AS factual, len(list_filter({_LIST(titles.BODY_PHRASES)}, lambda p: contains(lower(text), p))) > 0 AS body FROM documents")
 def factual_content(spark: SparkSession, folder: str) -> DataFrame:
     """Which texts read like facts, and like running text."""
-    return table(spark, folder, "documents").select("doc_id", titles.factual(F.col("text")).alias("factual"), titles.body_text(F.col("text")).alias("body"))
+    return spread(table(spark, folder, "documents")).select("doc_id", titles.factual(F.col("text")).alias("factual"), titles.body_text(F.col("text")).alias("body"))
 
 
 @query(CTE + r""" SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'Case (' || coalesce(gr_number, special_number) || ')' WHEN doc_id % 6 = 4 THEN case_title ELSE case_title END AS title FROM cases""")
