@@ -1,51 +1,63 @@
-"""Cutting texts into overlapping chunks of whole sentences, by a fold that stays in the JVM."""
+"""Cutting texts into overlapping chunks of whole sentences. Texts stay in the JVM; where chunks begin and end is found from numbers of tokens."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions.extract import DISPOSITIVE, case_key, dispositive_excerpt, section_type, sections
 from docketry.functions.text import first_present, let, present, preview, sentences, token_estimate, trimmed, uuid5
+from docketry.session import ship
 
 SIZE, OVERLAP, LEAST, WHOLE = 640, 96, 200, 1200
 
 
-def windows(parts: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
-    """Chunks of sentences: filled up to ``size`` tokens, begun with the last ``overlap`` tokens, of ``least`` tokens or more.
+def spans_of(tokens: np.ndarray, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """(first, last), counted from 1, of every chunk of sentences with these numbers of tokens.
 
-    The fold carries numbers alone, where each chunk begins and ends; texts are
-    joined once, at the end.
+    A chunk ends before the sentence that would take it above ``size`` tokens,
+    and holds one sentence at least that the chunk before has not. It begins
+    with the last sentences of the chunk before that hold ``overlap`` tokens at
+    most together. Ends and beginnings are searched for in the running sums, so
+    a chunk costs two binary searches, however long the text is.
     """
-    spans = "array<struct<first:int,last:int>>"
+    sums = np.concatenate(([0], np.cumsum(tokens, dtype=np.int64)))
+    out, n, first, last = [], len(tokens), 0, -1
+    while last < n - 1:
+        if out:
+            first = max(first, int(np.searchsorted(sums, sums[last + 1] - overlap, "left")))
+        last = max(last + 1, int(np.searchsorted(sums, sums[first] + size, "right")) - 2)
+        out.append((first + 1, last + 1))
+    return out
+
+
+def spans(tokens: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """The chunks of each of several texts, given the tokens of their sentences (array<array<int>>); only numbers go to Python."""
+    ship(SparkSession.active())
 
-    def kept(tokens: Column) -> Column:
-        """(n, tokens) of the last sentences that fit the overlap."""
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("tokens"), F.lit(True).alias("on"))
+    @F.pandas_udf("array<array<struct<first:int,last:int>>>")
+    def cut(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda texts: None if texts is None else [[{"first": a, "last": b} for a, b in spans_of(t, size, overlap)] for t in texts])
 
-        def take(acc: Column, x: Column) -> Column:
-            fits = acc["on"] & (acc["tokens"] + x <= overlap)
-            return F.struct((acc["n"] + fits.cast("int")).alias("n"), F.when(fits, acc["tokens"] + x).otherwise(acc["tokens"]).alias("tokens"), fits.alias("on"))
+    return cut(tokens)
 
-        return F.aggregate(F.reverse(tokens), start, take)
 
-    def cut(tokens: Column) -> Column:
-        start = F.struct(F.array().cast(spans).alias("done"), F.lit(1).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("tokens"))
-        span = lambda acc: F.struct(acc["first"].alias("first"), acc["at"].alias("last"))
+def all_windows(texts: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
+    """Chunks of each of several texts (array<array<string>> of sentences): filled up to ``size`` tokens, begun with the last ``overlap`` tokens, of ``least`` tokens or more."""
+    found = spans(F.transform(texts, lambda held: F.transform(held, token_estimate)), size, overlap)
 
-        def step(acc: Column, x: Column) -> Column:
-            full = (acc["at"] >= acc["first"]) & (acc["tokens"] + x > size)
-            begun = let(kept(F.slice(tokens, acc["first"], acc["at"] - acc["first"] + 1)), lambda k: F.struct(F.concat(acc["done"], F.array(span(acc))).alias("done"), (acc["at"] + 1 - k["n"]).alias("first"), (acc["at"] + 1).alias("at"), (k["tokens"] + x).alias("tokens")))
-            return F.when(full, begun).otherwise(F.struct(acc["done"].alias("done"), acc["first"].alias("first"), (acc["at"] + 1).alias("at"), (acc["tokens"] + x).alias("tokens")))
+    def made(held: Column, cuts: Column) -> Column:
+        joined = F.transform(cuts, lambda s: F.array_join(F.slice(held, s["first"], s["last"] - s["first"] + 1), " "))
+        return F.filter(joined, lambda t: token_estimate(t) >= least)
 
-        return F.aggregate(tokens, start, step, lambda acc: F.when(acc["at"] > 0, F.concat(acc["done"], F.array(span(acc)))).otherwise(acc["done"]))
+    return F.zip_with(texts, found, made)
 
-    def made(held: Column) -> Column:
-        found = let(F.transform(held, token_estimate), cut)
-        texts = F.transform(found, lambda s: F.array_join(F.slice(held, s["first"], s["last"] - s["first"] + 1), " "))
-        return F.filter(texts, lambda t: token_estimate(t) >= least)
 
-    return let(parts, made)
+def windows(parts: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
+    """The same of one text; null of a text that is null."""
+    return F.element_at(all_windows(F.when(parts.isNotNull(), F.array(parts)), size, overlap, least), 1)
 
 
 def chunk_id(case: Column, section: Column, paragraph: Column) -> Column:
@@ -78,19 +90,29 @@ def case_chunks(cases: DataFrame, key: str = "id", whole: int = WHOLE) -> DataFr
     parsed = sections(F.col("clean_text"), DISPOSITIVE)
     given = let(supplied(F.col("sections")), lambda s: F.when(F.size(s) > 0, s)) if "sections" in cases.columns else F.lit(None)
     named = cases.withColumn("case_id", case_key(F.col("gr_number"), F.col("special_number"), F.col(key).cast("string")))
-    named = named.withColumn("_summary", summary(cases.columns)).withColumn("_parts", F.when(first_present(F.col("clean_text")).isNotNull(), F.coalesce(given, parsed) if "sections" in cases.columns else parsed))
+    parts = F.when(first_present(F.col("clean_text")).isNotNull(), F.coalesce(given, parsed) if "sections" in cases.columns else parsed)
 
-    def cut(s: Column) -> Column:
+    def prepared(s: Column) -> Column:
+        """A section under its own name, as its whole text where it is short, else as sentences."""
         short = s["section"].isin("ruling", "dispositive", "issues")
         name = F.when(s["section"] == "dispositive", "ruling").otherwise(s["section"])
+        none = F.array().cast("array<string>")
+
+        def held(content: Column) -> Column:
+            entire = (content != "") & short & (token_estimate(content) <= whole)
+            return F.struct(name.alias("section"), F.when(entire, content).alias("entire"), F.when(entire | (content == ""), none).otherwise(sentences(content)).alias("sentences"))
+
+        return let(trimmed(s["content"]), held)
 
-        def parts(content: Column) -> Column:
-            return F.when(content == "", F.array().cast("array<string>")).when(short & (token_estimate(content) <= whole), F.array(content)).otherwise(windows(sentences(content)))
+    # Sections and windows are columns of their own: a Python function cannot stand within another expression's lambda.
+    named = named.withColumn("_summary", summary(cases.columns)).withColumn("_parts", F.transform(parts, prepared))
+    named = named.withColumn("_windows", all_windows(F.transform("_parts", lambda s: s["sentences"])))
 
-        return F.transform(let(trimmed(s["content"]), parts), lambda c, n: F.struct(name.alias("section"), c.alias("content"), n.alias("paragraph_index"), F.lit("content").alias("chunk_type")))
+    def cut(s: Column, made: Column) -> Column:
+        return F.transform(F.when(s["entire"].isNotNull(), F.array(s["entire"])).otherwise(made), lambda c, n: F.struct(s["section"].alias("section"), c.alias("content"), n.alias("paragraph_index"), F.lit("content").alias("chunk_type")))
 
     first = F.array(F.struct(F.lit("summary").alias("section"), F.col("_summary").alias("content"), F.lit(0).alias("paragraph_index"), F.lit("summary").alias("chunk_type")))
-    rest = F.coalesce(F.flatten(F.transform("_parts", cut)), F.array().cast("array<struct<section:string,content:string,paragraph_index:int,chunk_type:string>>"))
+    rest = F.coalesce(F.flatten(F.zip_with("_parts", "_windows", cut)), F.array().cast("array<struct<section:string,content:string,paragraph_index:int,chunk_type:string>>"))
     listed = named.withColumn("_chunks", F.concat(first, rest)).withColumn("total_chunks", F.size("_chunks"))
     # There is always a summary; not being outer would compute the chunks a second time, to look for empty lists.
     flat = listed.select(*(c for c in cases.columns if c not in ("clean_text", "sections")), "case_id", "total_chunks", F.posexplode_outer("_chunks").alias("chunk_index", "_c"))
