@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry.plans.registry import query
 from docketry.sources import records, scratch
 from docketry.sources.tables import table
-from docketry.streaming import incremental
+from docketry.streaming import incremental, kept
 
 
 @query("SELECT doc_id, n_chars, lang FROM documents")
@@ -46,3 +46,27 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     out = incremental.store_once(incremental.operation_windows(stream), scratch.path(spark, "windows"), scratch.path(spark, "state"))
     return out.select(F.to_date("w.start").alias("day"), "event_type", "n")
+
+
+def _operations(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of events as operations."""
+    events = table(spark, folder, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*")
+    return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("operation"), F.col("value").alias("duration"))
+
+
+@query("SELECT operation, CAST(count(*) AS BIGINT) AS n, round(avg(duration), 6) AS avg_duration FROM (SELECT event_type AS operation, value AS duration FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000) GROUP BY operation")
+def stream_last_1000(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of the last thousand operations of a stream, which keeps them as state."""
+    sink = scratch.path(spark, "last")
+    kept.keep_last(_operations(spark, folder), sink, scratch.path(spark, "state")).awaitTermination()
+    return kept.last(spark, sink).groupBy("operation").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration"), 6).alias("avg_duration"))
+
+
+@query("""SELECT CAST(w.days AS INTEGER) AS days, event_type AS operation, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total
+    FROM events, (VALUES (7), (30), (90)) AS w(days), (SELECT max(CAST(ts AS DATE)) AS newest FROM events) WHERE CAST(ts AS DATE) > newest - w.days GROUP BY ALL""")
+def stream_trailing_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Operations of the last 7, 30 and 90 days of a stream, which keeps tallies by day as state."""
+    sink = scratch.path(spark, "days")
+    kept.keep_days(_operations(spark, folder), sink, scratch.path(spark, "state")).awaitTermination()
+    return kept.trailing(spark, sink).withColumn("total", F.round("total", 4))
