@@ -52,11 +52,11 @@ def special_number_upper(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS digest FROM documents ORDER BY doc_id LIMIT 25")
 def bounded_load(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 25 valid records of a file that has broken lines between them."""
+    """The first 25 valid records of files that have broken lines between them."""
     path = scratch.path(spark, "cases")
     docs = table(spark, folder, "documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("clean_text"))).alias("line"))
     broken = docs.select("doc_id", F.explode(F.array(F.lit("{broken"), F.lit(""), F.col("line"))).alias("value"))
-    broken.orderBy("doc_id", F.length("value")).select("value").coalesce(1).write.text(path)
+    broken.repartitionByRange(16, "doc_id").sortWithinPartitions("doc_id", F.length("value")).select("value").write.text(path)
     return records.read_first(spark, path, 25, "id string, clean_text string").select("id", F.md5(F.encode("clean_text", "utf-8")).alias("digest"))
 
 
@@ -92,15 +92,15 @@ def glossary_responses(spark: SparkSession, folder: str) -> DataFrame:
       CASE item_id % 3 WHEN 0 THEN 'Case Digest' WHEN 1 THEN 'Factual Q&A' ELSE 'Other' END || ' for Case ' || item_id || ' (2001)' AS description,
       CASE item_id % 4 WHEN 0 THEN 'G.R. No. ' || item_id WHEN 1 THEN 'A.C. No. ' || item_id ELSE 'Unknown' END AS case_number FROM q WHERE query_index BETWEEN 3 AND 20""")
 def query_file_slice(spark: SparkSession, folder: str) -> DataFrame:
-    """Test questions 3 to 20 of a file, in their normal form."""
+    """Test questions 3 to 20 of files with a question on each line, in their normal form."""
     path = scratch.path(spark, "questions")
     item = F.col("item_id").cast("string")
     category = F.element_at(F.array(F.lit("Case Digest"), F.lit("Factual Q&A"), F.lit("Other")), (F.col("item_id") % 3 + 1).cast("int"))
     number, other = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("G.R. No. "), item)), F.when(F.col("item_id") % 4 == 1, F.concat(F.lit("A.C. No. "), item)).otherwise("x1")
     one = F.struct(F.col("text").alias("query"), category.alias("category"), F.lit("2001").alias("case_year"), F.concat(F.lit("Case "), item).alias("case_title"), other.alias("case_id"), number.alias("case_gr_number"))
-    rows = table(spark, folder, "benchmark").agg(F.array_sort(F.collect_list(F.struct("item_id", one.alias("q")))).alias("all"))
-    rows.select(F.to_json(F.struct(F.transform("all", lambda x: x["q"]).alias("queries"))).alias("value")).write.text(path)
-    return records.read_queries(spark, path, 3, 20).select("query_index", "query", "expected_type", "description", "case_number")
+    rows = table(spark, folder, "benchmark").select("item_id", F.to_json(one).alias("value"))
+    rows.repartitionByRange(16, "item_id").sortWithinPartitions("item_id").select("value").write.text(path)
+    return records.read_query_lines(spark, path, 3, 20).select("query_index", "query", "expected_type", "description", "case_number")
 
 
 @query("""SELECT 'test ' || conv_id || '.' || turn AS test_name, role AS status, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS query, '' AS year, '' AS category, '' AS case_number, CAST(length(text) AS INTEGER) AS response_length,

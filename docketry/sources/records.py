@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.sources.pages import decision_links
@@ -18,7 +19,7 @@ CASE = (
     "quality_metrics struct<has_ruling:boolean,text_length:int,sections_extracted:int,has_structured_sections:boolean>"
 )
 
-__all__ = ["CASE", "append_json", "decision_links", "first_match", "first_matches", "keep_new", "newest", "read_cases", "read_first", "read_json_files", "read_queries", "report_rows", "upsert", "write_report"]
+__all__ = ["CASE", "append_json", "decision_links", "first_match", "first_matches", "keep_new", "lines", "newest", "read_cases", "read_first", "read_json_files", "read_queries", "read_query_lines", "report_rows", "sliced", "upsert", "write_report"]
 
 
 def read_cases(spark: SparkSession, path: str, schema: str = CASE, partitions: int | None = None) -> DataFrame:
@@ -91,23 +92,83 @@ def first_form(cases: DataFrame, field: str, forms: list[str]) -> DataFrame:
     return met.join(met.agg(F.min("form").alias("form")), "form")
 
 
+def lines(spark: SparkSession, path: str | list[str], files: list[str] | None = None) -> DataFrame:
+    """Lines of text files (value) with their place: file, start of the split, and a number that grows within the split."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    # Below the numbering, so that other files are not opened.
+    read = read.where(F.col("_file").isin(files)) if files is not None else read
+    return read.withColumn("_line", F.monotonically_increasing_id())
+
+
+#: Rows of a slice up to which its splits are looked up first, so that only their files are read again.
+SLICE = 10_000
+
+
+def sliced(spark: SparkSession, path: str, first: int, last: int, valid: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows ``first`` to ``last``, counted from 1 over all files in order of their names and lines, with their ``place``.
+
+    ``valid`` takes lines and leaves those that count, with their places. They
+    are counted by split, and the counts added up, a row a split; of the lines
+    only those in splits that hold a part of the slice are numbered, each split
+    by itself. No line leaves its task for the counts.
+    """
+    split = ["_file", "_start"]
+    counts = valid(lines(spark, path)).groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    near = counts.select(*split, "_n", before).where((F.col("_before") < last) & (F.col("_before") + F.col("_n") >= first)).drop("_n")
+    files = None
+    if last - first < SLICE:
+        held = near.collect()  # each holds a row of the slice
+        files = sorted({r["_file"] for r in held})
+        near = F.broadcast(spark.createDataFrame(held, near.schema))
+    within = F.row_number().over(Window.partitionBy(*split).orderBy("_line"))
+    numbered = valid(lines(spark, path, files)).join(near, split).withColumn("place", F.col("_before") + within)
+    return numbered.where(F.col("place").between(first, last)).drop(*split, "_line", "_before")
+
+
 def read_first(spark: SparkSession, path: str, n: int, schema: str = CASE) -> DataFrame:
-    """The first ``n`` valid records of a file of JSON lines, in the order of its lines."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_line", F.monotonically_increasing_id())
-    parsed = lines.select("_line", F.from_json("value", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
-    return parsed.where(F.col("r").isNotNull() & F.col("r._broken").isNull()).orderBy("_line").limit(n).select("r.*").drop("_broken")
+    """The first ``n`` valid records of JSON lines, in the order of files and lines.
+
+    Files are opened in growing numbers, in order of their names, until they
+    hold enough; each task hands on its first ``n`` at most.
+    """
+    files = sorted(spark.read.text(path).inputFiles())
+    many = 4
+    while True:
+        told = lines(spark, files[:many] if files else path).where(F.trim("value") != "")
+        parsed = told.withColumn("r", F.from_json("value", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+        found = parsed.where(F.col("r").isNotNull() & F.col("r._broken").isNull()).orderBy("_file", "_start", "_line").limit(n).select("r.*").drop("_broken")
+        if many >= len(files) or found.count() >= n:
+            return found
+        many *= 4
+
+
+QUESTION = "query string, category string, case_year string, case_title string, case_id string, case_gr_number string, ground_truth string"
 
 
 def read_queries(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
-    """Test questions ``first`` to ``last``, counted from 1, of a file, in their normal form.
+    """Test questions ``first`` to ``last``, counted from 1, of a file that lists them all in one document, in their normal form."""
+    files = spark.read.text(path, wholetext=True)
+    listed = files.select(F.posexplode(F.from_json("value", f"struct<queries:array<struct<{', '.join(':'.join(f.split()) for f in QUESTION.split(','))}>>>")["queries"]).alias("place", "q"))
+    return _questions(listed.where(F.col("place").between(first - 1, last - 1)).select((F.col("place") + 1).alias("query_index"), "q.*"))
+
+
+def read_query_lines(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The same of files with a question on each line; blank and malformed lines do not count."""
+
+    def valid(told: DataFrame) -> DataFrame:
+        parsed = told.where(F.trim("value") != "").withColumn("q", F.from_json("value", QUESTION + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+        return parsed.where(F.col("q").isNotNull() & F.col("q._broken").isNull()).drop("value")
+
+    return _questions(sliced(spark, path, first, last, valid).select(F.col("place").cast("int").alias("query_index"), "q.*").drop("_broken"))
+
+
+def _questions(kept: DataFrame) -> DataFrame:
+    """Questions in their normal form.
 
     The number of a case is the one given, else an id that looks like one; what
     is expected follows from the category and the question.
     """
-    item = "query string, category string, case_year string, case_title string, case_id string, case_gr_number string, ground_truth string"
-    files = spark.read.text(path, wholetext=True)
-    listed = files.select(F.posexplode(F.from_json("value", f"struct<queries:array<struct<{', '.join(':'.join(f.split()) for f in item.split(','))}>>>")["queries"]).alias("place", "q"))
-    kept = listed.where(F.col("place").between(first - 1, last - 1)).select((F.col("place") + 1).alias("query_index"), "q.*")
     low, asked = F.lower(F.coalesce("category", F.lit(""))), F.lower(F.coalesce("query", F.lit("")))
     expected = F.when(F.contains(low, F.lit("digest")), "digest").when(low.rlike("factual|q&a|qa") | F.contains(asked, F.lit("ruling")), "ruling").otherwise("facts")
     number = F.coalesce(F.nullif("case_gr_number", F.lit("")), F.when(F.col("case_id").rlike(r"G\.R\.|A\.C\.|A\.M\."), F.col("case_id")), F.lit("Unknown"))
