@@ -2,70 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions import rules
+from docketry.functions import automaton, rules
 from docketry.functions.text import contains_any, first_present, let
 
 
-def _table(rows: list[tuple[str, list[str]]]) -> Column:
-    """Labels with their words, as one constant that a row is tested against; no code is generated for each word."""
-    return F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).cast("array<string>").alias("words")) for label, words in rows))
-
-
 def case_types(title: Column, text: Column, number: Column) -> Column:
     """The primary type of a case and its subtypes in the order of the rules."""
-    both = F.struct(F.upper(title).alias("named"), F.concat(F.upper(title), F.lit("\n"), F.upper(F.substring(text, 1, 4000))).alias("seen"))
-    return let(both, lambda b: _case_types(b["named"], b["seen"], number))
+    words = list(dict.fromkeys([w for _, ws in rules.SUBTYPES for w in ws] + rules.CRIMINAL + ["A.M.", "PETITION"]))
+    found = automaton.occurring(F.concat(F.upper(title), F.lit("\n"), F.upper(F.substring(text, 1, 4000))), words)
+    both = F.struct(F.upper(title).alias("named"), found.alias("found"))
+    return let(both, lambda b: _case_types(b["named"], b["found"], {w: k for k, w in enumerate(words)}, number))
 
 
-def _case_types(named: Column, seen: Column, number: Column) -> Column:
+def _case_types(named: Column, found: Column, place: dict[str, int], number: Column) -> Column:
     plain = ~contains_any(named, rules.NOT_ADMINISTRATIVE)
     both_sides = F.contains(named, F.lit("COMPLAINANT")) & F.contains(named, F.lit("RESPONDENT"))
     special = {"consolidated": F.contains(number, F.lit("-")), "administrative_matter": plain, "disciplinary_complaint": plain & both_sides}
+    has = lambda *words: F.arrays_overlap(found, F.array(*(F.lit(place[w]) for w in words)))
+    # The words of a rule as their places; a constant that a row is tested against, so that no code is generated for each.
+    table = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*(F.lit(place[w]) for w in words)).cast("array<int>").alias("words")) for label, words in rules.SUBTYPES))
 
     def met(rule: Column) -> Column:
-        by_words = F.exists(rule["words"], lambda w: F.contains(seen, w))
+        by_words = F.arrays_overlap(found, rule["words"])
         label = rule["label"]
         return F.when(label == "consolidated", special["consolidated"]).when(label == "administrative_matter", special["administrative_matter"] & by_words).when(label == "disciplinary_complaint", special["disciplinary_complaint"]).otherwise(by_words)
 
-    listed = F.transform(F.filter(_table(rules.SUBTYPES), lambda r: F.coalesce(met(r), F.lit(False))), lambda r: r["label"])
+    listed = F.transform(F.filter(table, lambda r: F.coalesce(met(r), F.lit(False))), lambda r: r["label"])
 
-    def whole(found: Column) -> Column:
-        unnamed = F.contains(seen, F.lit("PETITION")) & ~F.arrays_overlap(found, F.array(*map(F.lit, rules.NAMED_PETITIONS)))
-        return F.when(unnamed, F.array_append(found, F.lit("petition"))).otherwise(found)
+    def whole(labels: Column) -> Column:
+        unnamed = has("PETITION") & ~F.arrays_overlap(labels, F.array(*map(F.lit, rules.NAMED_PETITIONS)))
+        return F.when(unnamed, F.array_append(labels, F.lit("petition"))).otherwise(labels)
 
-    kind = F.when(F.contains(seen, F.lit("A.M.")), "administrative").when(contains_any(seen, rules.CRIMINAL), "criminal").otherwise("civil")
+    kind = F.when(has("A.M."), "administrative").when(has(*rules.CRIMINAL), "criminal").otherwise("civil")
     return F.struct(kind.alias("case_type"), let(listed, whole).alias("case_subtypes"))
 
 
 def subject_counts(text: Column) -> Column:
-    """(subject, rank, score) of every subject: how often its keywords stand in the text as whole ASCII words.
-
-    The text is cut into words once, and of these only keywords are kept; only
-    keywords of several words are sought in the text, if it has them at all.
-    """
-    single = {s: [w for w in ws if w.replace("_", "").isalnum()] for s, ws in rules.SUBJECTS.items()}
-    known = sorted({w for ws in single.values() for w in ws})
-
-    def phrases(low: Column, subject: str) -> Column:
-        found = F.lit(0)
-        for w in rules.SUBJECTS[subject]:
-            if w not in single[subject]:
-                found = found + F.when(F.contains(low, F.lit(w)), F.regexp_count(low, F.lit(rf"(?<![a-z0-9_]){w}(?![a-z0-9_])"))).otherwise(0)
-        return found
-
-    def within(subject: str) -> Callable[[Column], Column]:
-        return lambda w: w.isin(single[subject])
-
-    def counted(low: Column) -> Column:
-        kept = F.filter(F.split(low, "[^a-z0-9_]+"), lambda w: w.isin(known))
-        return let(kept, lambda words: F.array(*(F.struct(F.lit(s).alias("subject"), F.lit(k).alias("rank"), (F.size(F.filter(words, within(s))) + phrases(low, s)).cast("long").alias("score")) for k, s in enumerate(rules.SUBJECTS))))
-
-    return let(F.lower(text), counted)
+    """(subject, rank, score) of every subject: how often its keywords stand in the text as whole ASCII words."""
+    counts = automaton.counted(F.lower(text), rules.SUBJECTS)
+    return let(counts, lambda n: F.array(*(F.struct(F.lit(s).alias("subject"), F.lit(k).alias("rank"), F.get(n, F.lit(k)).alias("score")) for k, s in enumerate(rules.SUBJECTS))))
 
 
 def _scores(**by_label: Column) -> Column:

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts on their way to Python workers: a few MB at a time, however long they are.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
 
