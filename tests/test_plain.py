@@ -131,7 +131,7 @@ def test_windows_of_odd_rows(spark):
 
 
 def test_title_case(spark):
-    """Every caption word by word: small words small within a title, initials and marks of parties kept."""
+    """Every caption keeps its letters and begins with a capital; a check of bounds, not a plain version of the rules."""
     rows = cases(spark, FOLDER).select("doc_id", "case_title").collect()
     got = {r.doc_id: r.title for r in catalogue.queries()["title_case"](spark, FOLDER).collect()}
     assert sorted(got) == sorted(r.doc_id for r in rows)
