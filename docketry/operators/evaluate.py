@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import rules
 from docketry.functions.text import ascii_tokens
+from docketry.operators.search import sized
 from docketry.session import ship
 
 BERT_FROM, ROUGE_FROM = 0.85, 0.45
@@ -87,6 +88,32 @@ def model_scores(pairs: DataFrame, key: str = "pair_id", model: Callable[[Iterat
     return pairs.select(key, "response", "reference").mapInPandas(model, f"{key} {kind}, precision double, recall double, f1 double")
 
 
+def rare_overlap(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(key, precision, recall, f1): greedy matching of words by their form, each weighted by its rarity among references.
+
+    This is the published matching score with one-hot vectors in place of a
+    model's: a word of a side counts wholly if the other side has it, and not
+    at all otherwise; its weight is ln((references + 1) / (references with it + 1)).
+    Words of a pair are counted before they meet their weights. Null and empty
+    texts score zero, and so do texts whose words are in every reference.
+    """
+
+    def counted(c: str, out: str) -> DataFrame:
+        words = F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+        return pairs.select(key, F.explode(words).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias(out))
+
+    theirs = counted("reference", "b")
+    total = pairs.agg(F.count(F.lit(1)).alias("n"))
+    known = theirs.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))
+    met = counted("response", "a").join(theirs, [key, "w"], "full").join(sized(known), "w", "left").crossJoin(F.broadcast(total)).withColumn("weight", weight)
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    share = lambda c: _ratio(F.sum(F.when(both, F.col(c) * F.col("weight")).otherwise(0.0)), F.sum(F.col(c) * F.col("weight")))
+    sums = met.groupBy(key).agg(share("a").alias("precision"), share("b").alias("recall"))
+    scored = pairs.select(key).join(sums, key, "left").select(key, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall")))
+    return scored.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+
+
 #: What each level of accuracy comes with, and what each issue says.
 ADVICE = {
     "HIGH": "Response demonstrates high legal information accuracy with proper case digest structure",
@@ -101,25 +128,32 @@ ISSUES = [
 ]
 
 
-def evaluated(pairs: DataFrame, key: str = "pair_id", model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
+def _places(c: Column, places: int = 4) -> Column:
+    """Rounded to few places by way of twelve, so that the last bits of a quotient do not decide a half."""
+    return F.round(F.round(c, 12), places)
+
+
+def evaluated(pairs: DataFrame, key: str = "pair_id", model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None, semantic: DataFrame | None = None) -> DataFrame:
     """All scores of answers (key, query, response, reference): overlap, sections, departure, relevance, quality, level and issues.
 
     Sections of the content scores are all three; those of the quality follow from the question.
+    ``semantic`` holds (key, f1) of likeness in meaning, ``rare_overlap`` for example; without it the model's scores are taken.
     """
     scores = pairs
-    for name, part in (("r1", rouge_n(pairs, 1, key)), ("r2", rouge_n(pairs, 2, key)), ("rl", rouge_l(pairs, key)), ("bert", model_scores(pairs, key, model))):
-        scores = scores.join(part.select(key, F.round("f1", 4).alias(name)), key)
+    like = model_scores(pairs, key, model) if semantic is None else semantic
+    for name, part in (("r1", rouge_n(pairs, 1, key)), ("r2", rouge_n(pairs, 2, key)), ("rl", rouge_l(pairs, key)), ("bert", like)):
+        scores = scores.join(part.select(key, _places(F.col("f1")).alias(name)), key)
     digest = compare_sections(F.col("response"), F.col("reference"), expected_sections(F.lit("")))
     asked = compare_sections(F.col("response"), F.col("reference"), expected_sections(F.col("query")))
     scores = scores.withColumns({"digest": digest, "asked": asked, "relevance": F.when(F.coalesce("query", F.lit("")) != "", query_relevance(F.col("query"), F.col("response")))})
     c = {n: F.col(n) for n in ("bert", "r1", "r2", "rl")}
     relevant = lambda r: composite_quality(*c.values(), F.col("asked.f1"), r)
-    scores = scores.withColumns({"hallucination": hallucination(c["bert"], c["r1"]), "overall": F.round(overall_relevance(*c.values(), F.col("digest.f1")), 4), "quality": F.when(F.col("relevance").isNull(), relevant(None)).otherwise(relevant(F.col("relevance")))})
+    scores = scores.withColumns({"hallucination": hallucination(c["bert"], c["r1"]), "overall": _places(overall_relevance(*c.values(), F.col("digest.f1"))), "quality": F.when(F.col("relevance").isNull(), relevant(None)).otherwise(relevant(F.col("relevance")))})
     level = accuracy_level(F.col("quality"))
     met = [c["bert"] < 0.4, c["r1"] < 0.4, F.col("asked.f1") < 0.5, F.col("hallucination.detected")]
     issues = F.array_compact(F.array(*(F.when(m, t) for m, t in zip(met, ISSUES))))
     advice = F.element_at(F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair)), level)
-    return scores.select(key, *c, F.col("digest.f1").alias("digest_f1"), "hallucination", "overall", F.round("quality", 4).alias("accuracy_score"), level.alias("accuracy_level"), advice.alias("recommendation"), issues.alias("issues"), (F.col("quality") >= 0.65).alias("quality_threshold_met"))
+    return scores.select(key, *c, F.col("digest.f1").alias("digest_f1"), "hallucination", "overall", _places(F.col("quality")).alias("accuracy_score"), level.alias("accuracy_level"), advice.alias("recommendation"), issues.alias("issues"), (F.col("quality") >= 0.65).alias("quality_threshold_met"))
 
 
 def section_scores(text: Column) -> Column:
@@ -156,7 +190,7 @@ def compare_sections(response: Column, reference: Column, expected: Column) -> C
     p, r = _ratio(hit, F.size(ours)), _ratio(hit, F.size(theirs))
     missing, extra = F.array_except(theirs, ours), F.array_except(ours, theirs)
     accuracy = _ratio(F.size(expected) - F.size(missing) - F.size(extra), F.size(expected))
-    return F.struct(F.round(accuracy, 4).alias("accuracy"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1(p, r), 4).alias("f1"), missing.alias("missing"), extra.alias("extra"))
+    return F.struct(_places(accuracy).alias("accuracy"), _places(p).alias("precision"), _places(r).alias("recall"), _places(f1(p, r)).alias("f1"), missing.alias("missing"), extra.alias("extra"))
 
 
 def query_relevance(query: Column, response: Column) -> Column:
@@ -185,7 +219,7 @@ def hallucination(bert: Column, rouge: Column) -> Column:
     flag = (bert < BERT_FROM) | (rouge < ROUGE_FROM)
     above = F.least(F.lit(1.0), (bert - BERT_FROM) / (1 - BERT_FROM)) * 0.7 + F.least(F.lit(1.0), (rouge - ROUGE_FROM) / (1 - ROUGE_FROM)) * 0.3
     below = F.greatest(F.lit(0.0), (BERT_FROM - bert) / BERT_FROM) * 0.7 + F.greatest(F.lit(0.0), (ROUGE_FROM - rouge) / ROUGE_FROM) * 0.3
-    return F.struct(flag.alias("detected"), F.round(bert * 0.7 + rouge * 0.3, 4).alias("consistency"), F.round(F.when(flag, F.greatest(F.lit(0.0), 1 - below)).otherwise(above), 4).alias("confidence"))
+    return F.struct(flag.alias("detected"), _places(bert * 0.7 + rouge * 0.3).alias("consistency"), _places(F.when(flag, F.greatest(F.lit(0.0), 1 - below)).otherwise(above)).alias("confidence"))
 
 
 def overall_relevance(bert: Column, rouge1: Column, rouge2: Column, rougel: Column, digest: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions import rules
 from docketry.operators import evaluate
 from docketry.plans.registry import query
-from docketry.sources.tables import QUESTIONS_SQL, questions, table
+from docketry.sources.tables import QUESTIONS_SQL, questions, spread, table
 
 PAIRS_SQL = "SELECT b.item_id AS pair_id, d.text AS response, b.text AS reference, 'What is the decision and ruling of case ' || d.lang || ' about facts that th' AS query, CAST(b.item_id % 20 AS DOUBLE) / 20 AS bert FROM benchmark b JOIN documents d ON d.doc_id = b.item_id"
 
@@ -53,13 +53,24 @@ def rouge2(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(evaluate.rouge_n(_pairs(spark, folder), 2))
 
 
-@query()
+_WORDS_OF = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+def _subsequences(pairs: str, name: str) -> str:
+    """The longest common subsequence of words, a word of the response after the other; words that the reference lacks change nothing."""
+    return f"""lw AS (SELECT pair_id, len(a) AS own, len(b) AS theirs, list_filter(a, lambda w: list_contains(b, w)) AS a, b FROM (SELECT pair_id, {_WORDS_OF.format('response')} AS a, {_WORDS_OF.format('reference')} AS b FROM {pairs})),
+    lcs AS (SELECT pair_id, 0 AS i, list_transform(b, lambda w: 0) AS line FROM lw UNION ALL
+      SELECT pair_id, i + 1, list_transform(line, lambda v, j: list_max(list_slice(list_transform(line, lambda u, k: greatest(u, CASE WHEN b[k] = a[i + 1] THEN CASE WHEN k > 1 THEN line[k - 1] ELSE 0 END + 1 ELSE 0 END)), 1, j))) FROM lcs JOIN lw USING (pair_id) WHERE i < len(a)),
+    lh AS (SELECT pair_id, CAST(max(coalesce(list_max(line), 0)) AS DOUBLE) AS hit FROM lcs GROUP BY pair_id),
+    {name} AS (SELECT pair_id, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM (SELECT pair_id, CASE WHEN own > 0 THEN hit / own ELSE 0 END AS p, CASE WHEN theirs > 0 THEN hit / theirs ELSE 0 END AS r FROM lw JOIN lh USING (pair_id)))"""
+
+
+@query(f"WITH RECURSIVE pairs AS ({PAIRS_SQL}), {_subsequences('pairs', 'rl')} SELECT pair_id, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM rl")
 def rouge_l(spark: SparkSession, folder: str) -> DataFrame:
     """Overlap in the longest common subsequence."""
     return _rounded(evaluate.rouge_l(_pairs(spark, folder)))
 
 
-_WORDS_OF = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
 #: Each document as an answer with two of all references.
 BEST_SQL = f"""WITH p AS (SELECT d.doc_id, b.item_id, d.text AS response, b.text AS reference FROM documents d JOIN benchmark b ON b.item_id IN (d.doc_id % (SELECT count(*) FROM benchmark), (d.doc_id * 7 + 1) % (SELECT count(*) FROM benchmark))),
     a AS (SELECT doc_id, item_id, g, count(*) AS n FROM (SELECT doc_id, item_id, unnest({_WORDS_OF.format('response')}) AS g FROM p) GROUP BY ALL), b AS (SELECT doc_id, item_id, g, count(*) AS n FROM (SELECT doc_id, item_id, unnest({_WORDS_OF.format('reference')}) AS g FROM p) GROUP BY ALL),
@@ -96,12 +107,6 @@ def model_scores(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.model_scores(_pairs(spark, folder))
 
 
-@query()
-def evaluated_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """All scores of answers against their references, from overlap to issues."""
-    return evaluate.evaluated(_pairs(spark, folder).drop("bert"))
-
-
 def _section_sql(c: str, name: str) -> str:
     words, patterns = rules.DIGEST_WORDS[name], rules.DIGEST_PATTERNS[name]
     listed = ", ".join(f"'{w}'" for w in words)
@@ -164,37 +169,97 @@ def context_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return shared.select("pair_id", F.size("s").alias("n_shared"), F.round(F.coalesce(F.try_divide(F.size(F.array_intersect("s", "r")), F.size("s")), F.lit(0.0)), 6).alias("overlap"))
 
 
-@query("""SELECT doc_id, bert < 0.85 OR rouge < 0.45 AS detected, round(bert * 0.7 + rouge * 0.3, 4) AS consistency,
-    round(CASE WHEN bert < 0.85 OR rouge < 0.45 THEN greatest(0.0, 1 - (greatest(0.0, (0.85 - bert) / 0.85) * 0.7 + greatest(0.0, (0.45 - rouge) / 0.45) * 0.3)) ELSE least(1.0, (bert - 0.85) / (1 - 0.85)) * 0.7 + least(1.0, (rouge - 0.45) / (1 - 0.45)) * 0.3 END, 4) AS confidence
-    FROM (SELECT doc_id, CAST(doc_id % 101 AS DOUBLE) / 100 AS bert, CAST(doc_id % 37 AS DOUBLE) / 36 AS rouge FROM documents)""")
-def hallucination_flag(spark: SparkSession, folder: str) -> DataFrame:
-    """Which answers depart from their reference."""
-    scored = table(spark, folder, "documents").select("doc_id", ((F.col("doc_id") % 101).cast("double") / 100).alias("bert"), ((F.col("doc_id") % 37).cast("double") / 36).alias("rouge"))
-    return scored.select("doc_id", evaluate.hallucination(F.col("bert"), F.col("rouge")).alias("h")).select("doc_id", "h.detected", "h.consistency", "h.confidence")
+#: Two answers for every document: its own text, and its reference in other words around it; questions ask for a digest, for some sections, for none, or nothing. Both SQL dialects read it.
+ANSWERS_SQL = """
+SELECT doc_id * 2 + kind AS pair_id,
+  CASE (doc_id + kind) % 4 WHEN 0 THEN concat('Digest of the case on ', lang) WHEN 1 THEN 'What are the facts and the decision of the court?' WHEN 2 THEN concat('What did ', source, ' say on the respondent?') ELSE '' END AS query,
+  concat(CASE WHEN kind = 0 THEN coalesce(text, '') ELSE concat('On this question ', reference, ' as held in ', lang) END,
+    CASE doc_id % 3 WHEN 0 THEN ' background antecedents of petitioner and respondent ' WHEN 1 THEN ' held ordered decreed wherefore it is ordered ' ELSE '' END) AS response,
+  concat(reference, CASE WHEN item_id % 2 = 0 THEN ' the decision held and ordered, wherefore ' ELSE ' facts and background of petitioner and accused ' END) AS reference
+FROM (SELECT doc_id, d.text, lang, source, kind, b.item_id, coalesce(b.text, '') AS reference
+  FROM documents d CROSS JOIN (SELECT 0 AS kind UNION ALL SELECT 1 AS kind) k CROSS JOIN (SELECT count(*) AS n FROM benchmark) c JOIN (SELECT item_id, text FROM benchmark) b ON b.item_id = d.doc_id % nullif(c.n, 0)) x
+"""
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """(pair_id, query, response, reference): two answers for every document."""
+    named = ANSWERS_SQL.replace("FROM documents", "FROM {documents}").replace("FROM benchmark", "FROM {benchmark}")
+    return spark.sql(named, documents=spread(table(spark, folder, "documents")).select("doc_id", "text", "lang", "source"), benchmark=table(spark, folder, "benchmark").select("item_id", "text"))
+
 
+def _n_grams(n: int) -> str:
+    side = lambda c, out: f"{out}{n} AS (SELECT pair_id, g, count(*) AS n FROM (SELECT pair_id, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {n} - 1), ' '))) AS g FROM (SELECT pair_id, {_WORDS_OF.format(c)} AS w FROM answers)) GROUP BY ALL)"
+    return f"""{side('response', 'a')}, {side('reference', 'b')},
+    s{n} AS (SELECT pair_id, CAST(sum(least(coalesce(a{n}.n, 0), coalesce(b{n}.n, 0))) AS DOUBLE) AS hit, CAST(coalesce(sum(a{n}.n), 0) AS DOUBLE) AS own, CAST(coalesce(sum(b{n}.n), 0) AS DOUBLE) AS theirs FROM a{n} FULL JOIN b{n} USING (pair_id, g) GROUP BY pair_id),
+    f{n} AS (SELECT pair_id, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM (SELECT pair_id, CASE WHEN own > 0 THEN hit / own ELSE 0 END AS p, CASE WHEN theirs > 0 THEN hit / theirs ELSE 0 END AS r FROM s{n}))"""
 
-QUALITY_SQL = """WITH s AS (SELECT doc_id, CAST(doc_id % 101 AS DOUBLE) / 100 AS bert, CAST(doc_id % 37 AS DOUBLE) / 36 AS r1, CAST(doc_id % 29 AS DOUBLE) / 28 AS r2, CAST(doc_id % 31 AS DOUBLE) / 30 AS rl, CAST(doc_id % 5 AS DOUBLE) / 4 AS dg, CAST(doc_id % 11 AS DOUBLE) / 10 AS rel FROM documents),
-    m AS (SELECT doc_id, bert, r1, r2, rl, dg, ((bert * 0.6 + r1 * 0.2 + r2 * 0.1 + rl * 0.1) * 0.6 + dg * 0.2 + rel * 0.2) * 1.65 AS raised FROM s),
-    q AS (SELECT *, least(1.0, greatest(0.0, CASE WHEN raised < 0.4 THEN raised * 1.15 ELSE raised END)) AS quality FROM m)"""
 
+_PLACES = "CAST(round(CAST({0} AS DECIMAL(24, 12)), 4) AS DOUBLE)"
+#: Words of both sides by their rarity among the references, after the n-grams of one word.
+RARE_SQL = f"""df AS (SELECT g, count(*) AS df FROM b1 GROUP BY g),
+    m AS (SELECT pair_id, a1.n AS a, b1.n AS b, ln(((SELECT count(*) FROM answers) + 1)::DOUBLE / (coalesce(df, 0) + 1)) AS w FROM a1 FULL JOIN b1 USING (pair_id, g) LEFT JOIN df USING (g)),
+    rare AS (SELECT pair_id, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM (SELECT pair_id, coalesce(sum(a * w) FILTER (b IS NOT NULL) / nullif(sum(a * w), 0), 0) AS p, coalesce(sum(b * w) FILTER (a IS NOT NULL) / nullif(sum(b * w), 0), 0) AS r FROM m GROUP BY pair_id))"""
 
-def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    part = lambda n: (F.col("doc_id") % n).cast("double") / (n - 1)
-    return table(spark, folder, "documents").select("doc_id", part(101).alias("bert"), part(37).alias("r1"), part(29).alias("r2"), part(31).alias("rl"), part(5).alias("dg"), part(11).alias("rel"))
+
+def _compared(asked: str) -> str:
+    """The f1 of those sections of a digest that ``asked`` lists."""
+    sections = lambda c: "list_filter([" + ", ".join(f"CASE WHEN {_section_sql(c, n)} > 0.3 THEN '{n}' END" for n in rules.DIGEST_WORDS) + f"], lambda x: x IS NOT NULL AND list_contains({asked}, x))"
+    return f"(SELECT CASE WHEN len(o) + len(t) > 0 THEN {_PLACES.format('2.0::DOUBLE * len(list_intersect(o, t)) / (len(o) + len(t))')} ELSE 0::DOUBLE END FROM (SELECT {sections('response')} AS o, {sections('reference')} AS t))"
+
+
+_ASKED = """CASE WHEN contains(lq, 'digest') OR contains(lq, 'covering') AND contains(lq, 'main') OR NOT (contains(lq, 'fact') OR contains(lq, 'issue') OR contains(lq, 'ruling') OR contains(lq, 'decision') OR contains(lq, 'held')) THEN ['facts', 'issues', 'ruling']
+    ELSE list_filter([CASE WHEN contains(lq, 'fact') THEN 'facts' END, CASE WHEN contains(lq, 'issue') THEN 'issues' END, CASE WHEN contains(lq, 'ruling') OR contains(lq, 'decision') OR contains(lq, 'held') THEN 'ruling' END], lambda x: x IS NOT NULL) END"""
+#: All scores of the answers.
+RUN_SQL = f"""WITH RECURSIVE answers AS ({ANSWERS_SQL}), {_n_grams(1)}, {_n_grams(2)}, {_subsequences('answers', 'rl')}, {RARE_SQL},
+    w AS (SELECT pair_id, lower(response) AS low, {_WORDS.format('query', 3)} AS q, {_WORDS.format('response', 0)} AS r FROM answers WHERE query <> ''),
+    related AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{'|'.join(v)}')" for k, v in rules.RELATED.items())}) AS t(word, related)),
+    extra AS (SELECT pair_id, 0.5::DOUBLE * count(*) AS bonus FROM w JOIN related ON list_contains(q, word) AND len(list_filter(string_split(related, '|'), lambda s: contains(low, s))) > 0 GROUP BY pair_id),
+    rel AS (SELECT pair_id, CASE WHEN len(q) = 0 THEN 0.5 ELSE least(1.0, len(list_intersect(q, r)) / CAST(len(q) AS DOUBLE) + least(coalesce(bonus, 0) / len(q), 0.3)) END AS relevance FROM w LEFT JOIN extra USING (pair_id)),
+    digests AS (SELECT pair_id, {_compared("['facts', 'issues', 'ruling']")} AS dg, {_compared('asked')} AS ag FROM (SELECT *, {_ASKED} AS asked FROM (SELECT *, lower(query) AS lq FROM answers))),
+    scores AS (SELECT pair_id, {', '.join(_PLACES.format(f'coalesce({t}.f1, 0)') + f' AS {c}' for t, c in (('f1', 'r1'), ('f2', 'r2'), ('rl', 'rl'), ('rare', 'bert')))}, dg, ag, relevance
+      FROM answers LEFT JOIN f1 USING (pair_id) LEFT JOIN f2 USING (pair_id) LEFT JOIN rl USING (pair_id) LEFT JOIN rare USING (pair_id) JOIN digests USING (pair_id) LEFT JOIN rel USING (pair_id)),
+    mean AS (SELECT *, (bert * 0.6::DOUBLE + r1 * 0.2::DOUBLE + r2 * 0.1::DOUBLE + rl * 0.1::DOUBLE) AS content, bert < 0.85 OR r1 < 0.45 AS detected FROM scores),
+    raised AS (SELECT *, 1.65::DOUBLE * CASE WHEN relevance IS NULL THEN (content * 0.6::DOUBLE + ag * 0.2::DOUBLE) / 0.8::DOUBLE ELSE content * 0.6::DOUBLE + ag * 0.2::DOUBLE + relevance * 0.2::DOUBLE END AS raised FROM mean),
+    run AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN raised < 0.4 THEN raised * 1.15::DOUBLE ELSE raised END)) AS quality FROM raised)"""
+_LEVEL = "CASE WHEN quality >= 0.8 THEN 'HIGH' WHEN quality >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END"
+_ISSUES = "CAST((bert < 0.4)::INT + (r1 < 0.4)::INT + (ag < 0.5)::INT + detected::INT AS INTEGER)"
+_DEPARTS = f"""{_PLACES.format('(bert * 0.7::DOUBLE + r1 * 0.3::DOUBLE)')} AS consistency, {_PLACES.format("CASE WHEN detected THEN greatest(0.0, 1 - (greatest(0.0, (0.85::DOUBLE - bert) / 0.85) * 0.7::DOUBLE + greatest(0.0, (0.45::DOUBLE - r1) / 0.45) * 0.3::DOUBLE)) ELSE least(1.0, (bert - 0.85::DOUBLE) / (1 - 0.85::DOUBLE)) * 0.7::DOUBLE + least(1.0, (r1 - 0.45::DOUBLE) / (1 - 0.45::DOUBLE)) * 0.3::DOUBLE END")} AS confidence"""
+_OVERALL = _PLACES.format("(bert * 0.7::DOUBLE + (r1 + r2 + rl) / 3 * 0.15::DOUBLE + dg * 0.15::DOUBLE)")
+
+
+def _run(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = answers(spark, folder)
+    return evaluate.evaluated(pairs, semantic=evaluate.rare_overlap(pairs))
+
+
+@query(f"WITH answers AS ({ANSWERS_SQL}), {_n_grams(1)}, {RARE_SQL} SELECT pair_id, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM rare")
+def rare_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that answers share with their references, by rarity."""
+    return _rounded(evaluate.rare_overlap(answers(spark, folder)))
+
+
+@query(RUN_SQL + f" SELECT pair_id, r1, r2, rl, bert, dg AS digest_f1, detected, {_DEPARTS}, {_OVERALL} AS overall, {_PLACES.format('quality')} AS accuracy_score, {_LEVEL} AS accuracy_level, CASE {_LEVEL} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in evaluate.ADVICE.items())} END AS recommendation, {_ISSUES} AS n_issues, quality >= 0.65 AS met FROM run")
+def evaluated_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """All scores of answers against their references, from overlap to issues."""
+    return _run(spark, folder).select("pair_id", "r1", "r2", "rl", "bert", "digest_f1", "hallucination.*", "overall", "accuracy_score", "accuracy_level", "recommendation", F.size("issues").alias("n_issues"), F.col("quality_threshold_met").alias("met"))
+
+
+@query(RUN_SQL + f" SELECT pair_id, detected, {_DEPARTS} FROM run")
+def hallucination_flag(spark: SparkSession, folder: str) -> DataFrame:
+    """Which answers depart from their reference."""
+    return _run(spark, folder).select("pair_id", "hallucination.*")
 
 
-@query(QUALITY_SQL + " SELECT doc_id, round(quality, 6) AS quality, CASE WHEN quality >= 0.8 THEN 'HIGH' WHEN quality >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level, quality >= 0.65 AS met, CAST((bert < 0.4)::INT + (r1 < 0.4)::INT + (dg < 0.5)::INT AS INTEGER) AS n_issues FROM q")
+@query(RUN_SQL + f" SELECT pair_id, {_PLACES.format('quality')} AS quality, {_LEVEL} AS level, quality >= 0.65 AS met, {_ISSUES} AS n_issues FROM run")
 def composite_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """Quality of answers, its level and the issues behind it."""
-    q = _scored(spark, folder).withColumn("quality", evaluate.composite_quality(*(F.col(c) for c in ("bert", "r1", "r2", "rl", "dg", "rel"))))
-    issues = (F.col("bert") < 0.4).cast("int") + (F.col("r1") < 0.4).cast("int") + (F.col("dg") < 0.5).cast("int")
-    return q.select("doc_id", F.round("quality", 6).alias("quality"), evaluate.accuracy_level(F.col("quality")).alias("level"), (F.col("quality") >= 0.65).alias("met"), issues.alias("n_issues"))
+    """Quality of answers by the scores they were given, its level and the issues behind it."""
+    return _run(spark, folder).select("pair_id", F.col("accuracy_score").alias("quality"), F.col("accuracy_level").alias("level"), F.col("quality_threshold_met").alias("met"), F.size("issues").alias("n_issues"))
 
 
-@query(QUALITY_SQL + " SELECT doc_id, round(bert * 0.7 + (r1 + r2 + rl) / 3 * 0.15 + dg * 0.15, 4) AS overall FROM q")
+@query(RUN_SQL + f" SELECT pair_id, {_OVERALL} AS overall FROM run")
 def overall_relevance(spark: SparkSession, folder: str) -> DataFrame:
-    """Content relevance of answers."""
-    return _scored(spark, folder).select("doc_id", F.round(evaluate.overall_relevance(*(F.col(c) for c in ("bert", "r1", "r2", "rl", "dg"))), 4).alias("overall"))
+    """Content relevance of answers by the scores they were given."""
+    return _run(spark, folder).select("pair_id", "overall")
 
 
 LABEL_SQL = "SELECT doc_id AS example, 'quality' AS label, quality AS truth, CAST(length(text) > 800 AS INTEGER) AS guess FROM labels JOIN documents USING (doc_id) UNION ALL SELECT doc_id, 'toxic', toxic, CAST(contains(text, 'idiot') OR contains(text, 'clown') AS INTEGER) FROM labels JOIN documents USING (doc_id)"

@@ -1,6 +1,7 @@
 """Case records of pages, titles of pages, and evaluation runs, by literal cases."""
 
 import hashlib
+import math
 
 import pandas as pd
 import pytest
@@ -90,3 +91,24 @@ def test_an_evaluation_run(spark):
     assert got[2].hallucination.detected and evaluate.ISSUES[1] in got[2].issues and evaluate.ISSUES[0] not in got[2].issues
     without = {r.pair_id: r for r in evaluate.evaluated(pairs).collect()}
     assert without[1].bert == 0.0 and evaluate.ISSUES[0] in without[1].issues and without[1].recommendation == evaluate.ADVICE[without[1].accuracy_level]
+
+
+def test_words_count_by_their_rarity(spark):
+    rows = [(1, "A b.", "a b"), (2, "a c", "a d"), (3, None, "a"), (4, "a", "a x"), (5, "b b z", "a b y"), (6, "", None)]
+    pairs = spark.createDataFrame(rows, "pair_id long, response string, reference string")
+    b, y, z = math.log(7 / 3), math.log(7 / 2), math.log(7)
+    a = math.log(7 / 6)
+    got = {r.pair_id: (r.precision, r.recall) for r in evaluate.rare_overlap(pairs).collect()}
+    want = {1: (1, 1), 2: (a / (a + z), a / (a + y)), 3: (0, 0), 4: (1, a / (a + y)), 5: (2 * b / (2 * b + z), b / (a + b + y)), 6: (0, 0)}
+    assert got.keys() == want.keys()
+    for k, found in got.items():
+        assert found == pytest.approx(want[k])
+    assert evaluate.rare_overlap(pairs.limit(0)).count() == 0
+
+
+def test_scores_of_meaning_from_elsewhere(spark):
+    text = "The facts and background: petitioner, respondent and accused. Issue: whether it was. Held and ordered, the decision and ruling."
+    pairs = spark.createDataFrame([(1, "What was held?", text, text), (2, "", "nothing alike", text)], "pair_id long, query string, response string, reference string")
+    got = {r.pair_id: r for r in evaluate.evaluated(pairs, semantic=evaluate.rare_overlap(pairs)).collect()}
+    assert (got[1].r1, got[1].rl, got[1].accuracy_level) == (1.0, 1.0, "HIGH") and got[2].bert == 0.0
+    assert got[2].hallucination.detected and len(got[2].issues) == 4
