@@ -173,13 +173,6 @@ def all_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.case_chunks(cases(spark, folder), "doc_id")
 
 
-@query()
-def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of every case with identifiers and places."""
-    made = all_chunks(spark, folder)
-    return made.select("doc_id", F.col("chunk_id").alias("id"), "section", "section_type", "paragraph_index", "token_count", F.md5(F.encode("content", "utf-8")).alias("digest"), "chunk_index", "total_chunks")
-
-
 RULING_SQL = r"regexp_extract(clean_text, '(?is)(?:WHEREFORE|ACCORDINGLY|IN VIEW OF THE FOREGOING|IN VIEW WHEREOF|THUS|HENCE|PREMISES CONSIDERED).*?SO\s+ORDERED\.?', 0)"
 SUMMARY_CTE = CTE + f""", r AS (SELECT *, {RULING_SQL} AS full_ruling FROM cases), f AS (SELECT *, trim(substr(full_ruling, 1, 200)) AS f FROM r),
     p AS (SELECT *, length(f) - instr(reverse(f), ' ') AS cut_at, instr(reverse(f), ' ') AS sp FROM f),
@@ -187,6 +180,68 @@ SUMMARY_CTE = CTE + f""", r AS (SELECT *, {RULING_SQL} AS full_ruling FROM cases
     m AS (SELECT *, coalesce(gr_number, special_number, CAST(doc_id AS VARCHAR)) AS case_id, concat_ws('. ', 'Case: ' || case_title, coalesce('G.R. Number: ' || gr_number, 'Special Number: ' || special_number), 'Ponente: ' || ponente, 'Ruling: ' || nullif(excerpt, '')) AS content FROM e)"""
 
 
+def _uuid5_sql(name: str) -> str:
+    """The version-5 identifier of a name."""
+    h = f"sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({name}))"
+    part = lambda at, n: f"substr({h}, {at}, {n})"
+    return f"{part(1, 8)} || '-' || {part(9, 4)} || '-5' || {part(14, 3)} || '-' || translate({part(17, 1)}, '0123456789abcdef', '89ab89ab89ab89ab') || {part(18, 3)} || '-' || {part(21, 12)}"
+
+
+_MARKS = [(r"\bG\.R\.\s+No\.", "G.R. No.", 1), (r"\bA\.M\.\s+No\.", "A.M. No.", 2), (r"\bU\.S\.", "U.S.", 3), (r"\bPhil\.", "Phil.", 4)]
+
+
+def _sentences_sql(c: str) -> str:
+    """Sentences of more than ten characters; abbreviations are set aside while the text is split."""
+    whole = "x"
+    for pattern, plain, mark in _MARKS:
+        c, whole = f"regexp_replace({c}, '{pattern}', chr({mark}), 'g')", f"replace({whole}, chr({mark}), '{plain}')"
+    return rf"list_filter(list_transform(string_split(regexp_replace({c}, '([.!?])\s+([A-Z])', '\1' || chr(5) || '\2', 'g'), chr(5)), lambda x: trim({whole}, ' ' || chr(10) || chr(9))), lambda x: length(x) > 10)"
+
+
+def _chunks_sql(sections: str) -> str:
+    """All chunks (doc_id, case_id, section, ord, n, chunk_type, content, tokens, chunk_index, total_chunks, id) of the sections (doc_id, section, content), after ``SUMMARY_CTE``."""
+    return SUMMARY_CTE + f"""{sections},
+    cut AS (SELECT *, section IN ('ruling', 'issues') AND length(content) // 4 <= 1200 AS short FROM (SELECT doc_id, section, ord, trim(content, ' ' || chr(10) || chr(9)) AS content FROM told) WHERE content <> ''),
+    s AS (SELECT doc_id, section, ord, parts, list_transform(range(1, len(parts) + 1), lambda i: CAST(list_sum(list_transform(list_slice(parts, 1, i), lambda x: greatest(1, length(x) // 4))) AS INTEGER)) AS cum FROM (SELECT doc_id, section, ord, {_sentences_sql('content')} AS parts FROM cut WHERE NOT short) WHERE len(parts) > 0),
+    w AS (SELECT doc_id, section, 1 AS lo, 1 AS i, 0 AS ended FROM s UNION ALL
+      SELECT doc_id, section, CASE WHEN cut THEN i + 1 - CAST(len(list_filter(range(1, i - lo + 2), lambda k: cum[i] - CASE WHEN i > k THEN cum[i - k] ELSE 0 END <= 96)) AS INTEGER) ELSE lo END, i + 1, CASE WHEN cut THEN lo ELSE 0 END
+      FROM (SELECT *, cum[i + 1] - CASE WHEN lo > 1 THEN cum[lo - 1] ELSE 0 END > 640 AS cut FROM w JOIN s USING (doc_id, section) WHERE i < len(cum))),
+    pieces AS (SELECT doc_id, section, ended AS lo, i - 1 AS hi FROM w WHERE ended > 0 UNION ALL SELECT doc_id, section, lo, i FROM w JOIN s USING (doc_id, section) WHERE i = len(cum)),
+    texts AS (SELECT doc_id, section, ord, 0 AS lo, content FROM cut WHERE short UNION ALL SELECT doc_id, section, ord, lo, array_to_string(list_slice(parts, lo, hi), ' ') FROM pieces JOIN s USING (doc_id, section)),
+    kept AS (SELECT doc_id, section, ord, content, row_number() OVER (PARTITION BY doc_id, section ORDER BY lo) - 1 AS n FROM texts WHERE lo = 0 OR length(content) // 4 >= 200),
+    listed AS (SELECT doc_id, 'summary' AS section, 0 AS ord, 0 AS n, 'summary' AS chunk_type, content FROM m UNION ALL SELECT doc_id, section, ord, n, 'content', content FROM kept),
+    placed AS (SELECT l.*, m.case_id, CAST(CASE WHEN length(l.content) = 0 THEN 0 ELSE greatest(1, length(l.content) // 4) END AS INTEGER) AS tokens, CAST(row_number() OVER (PARTITION BY l.doc_id ORDER BY ord, n) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY l.doc_id) AS INTEGER) AS total_chunks FROM listed l JOIN m USING (doc_id)),
+    chunked AS (SELECT *, {_uuid5_sql("case_id || CASE chunk_type WHEN 'summary' THEN '_summary' ELSE '_' || section || '_' || n END")} AS id,
+      CASE WHEN chunk_type = 'summary' THEN 'mini_summary' ELSE CASE section WHEN 'ruling' THEN 'dispositive' WHEN 'facts' THEN 'factual' WHEN 'issues' THEN 'issues' WHEN 'arguments' THEN 'legal_analysis' ELSE 'general' END END AS section_type FROM placed)"""
+
+
+#: Chunks of the sections that are found in the texts.
+CHUNKS_SQL = _chunks_sql(SECTION_CTE[len(CTE) :] + ", told AS (SELECT *, list_position(['ruling', 'facts', 'issues', 'arguments', 'body'], section) AS ord FROM sec)")
+_CHUNK_ROWS = " SELECT doc_id, id, section, section_type, CAST(n AS INTEGER) AS paragraph_index, tokens AS token_count, md5(content) AS digest, chunk_index, total_chunks FROM chunked"
+#: Sections that records bring along: every third case brings none, every third a ruling and an empty list of issues, the others texts under names of their own.
+SUPPLIED_SQL = """SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN map(['Ruling', 'ISSUES', 'Facts'], ['  ' || substr(clean_text, 1, 900) || chr(10), ' ', clean_text]) WHEN 2 THEN map(['Discussion', 'Issues'], [clean_text || ' ', substr(clean_text, 1, 400)]) END AS sections FROM cases"""
+
+
+def _digested(made: DataFrame) -> DataFrame:
+    return made.select("doc_id", F.col("chunk_id").alias("id"), "section", "section_type", "paragraph_index", "token_count", F.md5(F.encode("content", "utf-8")).alias("digest"), "chunk_index", "total_chunks")
+
+
+@query(CHUNKS_SQL + _CHUNK_ROWS)
+def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of every case with identifiers and places."""
+    return _digested(all_chunks(spark, folder))
+
+
+@query(_chunks_sql(SECTION_CTE[len(CTE) :] + f""", given AS (SELECT doc_id, lower(e.key) AS section, e.value AS content, n AS ord FROM (SELECT doc_id, unnest(map_entries(sections)) AS e, generate_subscripts(map_entries(sections), 1) AS n FROM ({SUPPLIED_SQL}))),
+    told AS (SELECT doc_id, section, content, ord FROM given UNION ALL SELECT *, list_position(['ruling', 'facts', 'issues', 'arguments', 'body'], section) FROM sec WHERE doc_id NOT IN (SELECT doc_id FROM given))""").replace("WHEN 'arguments' THEN 'legal_analysis'", "WHEN 'arguments' THEN 'legal_analysis' WHEN 'discussion' THEN 'legal_analysis'") + _CHUNK_ROWS)
+def supplied_section_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of cases that bring sections along, and of those that bring none."""
+    c, k = F.col("clean_text"), F.col("doc_id") % 3
+    ruling = F.create_map(F.lit("Ruling"), F.concat(F.lit("  "), F.substring(c, 1, 900), F.lit("\n")), F.lit("ISSUES"), F.lit(" "), F.lit("Facts"), c)
+    own = F.create_map(F.lit("Discussion"), F.concat(c, F.lit(" ")), F.lit("Issues"), F.substring(c, 1, 400))
+    return _digested(chunks.case_chunks(cases(spark, folder).withColumn("sections", F.when(k == 1, ruling).when(k == 2, own)), "doc_id"))
+
+
 @query(SUMMARY_CTE + " SELECT doc_id, case_id, content, CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || '...' ELSE content END AS content_preview, CAST(greatest(1, length(content) // 4) AS INTEGER) AS token_count, CAST(0 AS INTEGER) AS chunk_index, 'mini_summary' AS section_type FROM m")
 def summary_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The first chunk of every case, which says what the case is and how it ended."""
@@ -194,21 +249,23 @@ def summary_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "case_id", "content", "content_preview", "token_count", "chunk_index", "section_type")
 
 
-@query(SUMMARY_CTE + """ SELECT content, 'summary' AS section, 'mini_summary' AS section_type, 'summary' AS chunk_type, CAST(0 AS INTEGER) AS paragraph_index, CAST(greatest(1, length(content) // 4) AS INTEGER) AS token_count, case_id,
-    coalesce(gr_number, '') AS gr_number, coalesce(special_number, '') AS special_number, case_title AS title, '' AS date, coalesce(ponente, '') AS ponente, '' AS division, false AS en_banc, '' AS source_url, CAST(coalesce(promulgation_year, 0) AS INTEGER) AS promulgation_year,
-    false AS is_administrative, CAST(0 AS INTEGER) AS chunk_index, 'v2.0' AS chunk_version, CAST(1700000000 AS BIGINT) AS processed_timestamp, 'rule_based_fallback' AS classification_method, CAST(0 AS DOUBLE) AS classification_confidence FROM m""")
+@query(CHUNKS_SQL + """ SELECT c.content, section, section_type, chunk_type, CAST(n AS INTEGER) AS paragraph_index, tokens AS token_count, c.case_id, coalesce(gr_number, '') AS gr_number, coalesce(special_number, '') AS special_number, case_title AS title, '' AS date,
+    coalesce(ponente, '') AS ponente, '' AS division, false AS en_banc, '' AS source_url, CAST(coalesce(promulgation_year, 0) AS INTEGER) AS promulgation_year, false AS is_administrative, chunk_index, total_chunks, 'v2.0' AS chunk_version, CAST(1700000000 AS BIGINT) AS processed_timestamp,
+    'rule_based_fallback' AS classification_method, CAST(0 AS DOUBLE) AS classification_confidence, id FROM chunked c JOIN m USING (doc_id)""")
 def point_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """What goes into an index with the first chunk of every case, in all fields but the number of chunks and the scores."""
-    made = chunks.payload(all_chunks(spark, folder).where("chunk_type = 'summary'"), F.timestamp_seconds(F.lit(1700000000)))
-    return made.select("payload.*").drop("total_chunks", "case_type_classification")
+    """What goes into an index with every chunk of every case, in all fields but the empty map of scores."""
+    made = chunks.payload(all_chunks(spark, folder), F.timestamp_seconds(F.lit(1700000000)))
+    return made.select("id", "payload.*").drop("case_type_classification")
 
 
-@query(SUMMARY_CTE + f""" SELECT '{extract.CONTEXTS["general"]} ' || content AS content, content AS original_content, 'summary' AS section, 'mini_summary' AS section_type, coalesce(gr_number, '') AS gr_number, coalesce(special_number, '') AS special_number,
-    case_title AS title, coalesce(ponente, '') AS ponente, '' AS case_type, '' AS date, 'summary' AS chunk_type, CAST(greatest(1, length(content) // 4) AS INTEGER) AS token_count, true AS contextual FROM m""")
+_CONTEXT = "CASE section_type " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in extract.CONTEXTS.items() if k != "general") + f" ELSE '{extract.CONTEXTS['general']}' END"
+
+
+@query(CHUNKS_SQL + f""" SELECT {_CONTEXT} || ' ' || c.content AS content, c.content AS original_content, section, section_type, coalesce(gr_number, '') AS gr_number, coalesce(special_number, '') AS special_number,
+    case_title AS title, coalesce(ponente, '') AS ponente, '' AS case_type, '' AS date, chunk_type, tokens AS token_count, true AS contextual, id AS stable_id FROM chunked c JOIN m USING (doc_id)""")
 def contextual_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """What goes into a contextual index with the first chunk of every case."""
-    made = all_chunks(spark, folder).where("chunk_type = 'summary'")
-    return chunks.contextual_payload(made, extract.context_of(F.col("section_type"))).select("payload.*").drop("stable_id")
+    """What goes into a contextual index with every chunk of every case."""
+    return chunks.contextual_payload(all_chunks(spark, folder), extract.context_of(F.col("section_type"))).select("payload.*")
 
 
 @query(CTE + " SELECT doc_id, sha256(k) AS stable_id, 'sha256:' || sha256(clean_text) AS checksum, md5(clean_text || '|' || substr(clean_text, 1, 500)) AS chunk_hash FROM (SELECT doc_id, clean_text, coalesce(gr_number, '') || '|' || coalesce(special_number, '') || '|body|general|0|' || substr(sha256(clean_text), 1, 16) AS k FROM cases)")

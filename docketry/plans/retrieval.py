@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import extract, text
 from docketry.operators import engine, index, search
-from docketry.plans.cases import CTE, all_chunks
+from docketry.plans.cases import CHUNKS_SQL, CTE, all_chunks
 from docketry.plans.registry import query
 from docketry.sources import scratch
 from docketry.sources.tables import QUESTIONS_SQL, cases, questions, spread, table
@@ -239,7 +239,7 @@ def first_important(made: DataFrame, n: int = 5) -> DataFrame:
     return placed.where(F.col("n") <= n)
 
 
-@query()
+@query(CHUNKS_SQL + " SELECT doc_id, id, section, section_type, CAST(p AS INTEGER) AS paragraph_index, CAST(place AS INTEGER) AS n FROM (SELECT *, n AS p, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS place FROM chunked WHERE section_type IN ('dispositive', 'issues', 'legal_analysis')) WHERE place <= 5")
 def important_section_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """First five chunks of every case that hold its ruling, issues or arguments."""
     return first_important(all_chunks(spark, folder)).select("doc_id", F.col("chunk_id").alias("id"), "section", "section_type", "paragraph_index", "n")

@@ -137,3 +137,14 @@ def test_title_case(spark):
     assert sorted(got) == sorted(r.doc_id for r in rows)
     for r in rows:
         assert got[r.doc_id].lower() == r.case_title.lower() and got[r.doc_id][0].isupper()
+
+
+def test_sections_that_records_bring(spark):
+    rows = [(1, None), (2, {}), (3, {"Facts": " ", "Issues": None}), (4, {"DISPOSITIVE": " So ordered. ", "Facts": None}), (5, {"Annex": "x" * 900})]
+    df = spark.createDataFrame([(k, "A text of its own. " * 60, None, None, s) for k, s in rows], "id int, clean_text string, gr_number string, special_number string, sections map<string,string>")
+    got = {}
+    for r in chunks.case_chunks(df).where("chunk_type <> 'summary'").orderBy("id", "chunk_index").collect():
+        got.setdefault(r.id, []).append((r.section, r.section_type, r.content[:11], r.chunk_id))
+    assert [got[k][0][:3] for k in (1, 2, 3)] == [("body", "general", "A text of i")] * 3
+    assert got[4] == [("ruling", "dispositive", "So ordered.", str(uuid.uuid5(uuid.NAMESPACE_DNS, "4_ruling_0")))]
+    assert [x[:3] for x in got[5]] == [("annex", "general", "x" * 11)]
