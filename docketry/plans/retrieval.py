@@ -15,15 +15,22 @@ from docketry.sources.tables import QUESTIONS_SQL, cases, questions, spread, tab
 QUESTION = "the of and erthat tion nothere"
 TOKENS = r"list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) >= 2)"
 
-BM25_CTE = f"""
-    p AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents),
+
+
+def _bm25_cte(texts: str, question: str) -> str:
+    """Scores of the texts (doc_id, text) for a question, and their ranks."""
+    return f"""
+    p AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM {texts}),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY ALL),
-    tot AS (SELECT (SELECT count(*) FROM documents) AS n, sum(dl) AS total FROM dl),
+    tot AS (SELECT (SELECT count(*) FROM {texts}) AS n, sum(dl) AS total FROM dl),
     idf AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, tot GROUP BY term, n),
-    q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({TOKENS.format(f"'{QUESTION}'")}) AS term) GROUP BY ALL),
+    q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({TOKENS.format(f"'{question}'")}) AS term) GROUP BY ALL),
     w AS (SELECT term, qtf, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf) ELSE idf END AS idf FROM q JOIN idf USING (term)),
     sc AS (SELECT doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (total / n)))) AS score FROM tf JOIN w USING (term) JOIN dl USING (doc_id), tot GROUP BY doc_id),
     lex AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc)"""
+
+
+BM25_CTE = _bm25_cte("documents", QUESTION)
 VECTOR_CTE = """
     vq AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 0),
     vs AS (SELECT vec_id, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q) AS score FROM embeddings, vq),
@@ -156,14 +163,20 @@ def ponente_filter(spark: SparkSession, folder: str) -> DataFrame:
     return cases(spark, folder).where(extract.ponente_matches(F.col("ponente"), name)).select("doc_id", "ponente")
 
 
-SIMILAR_SQL = """, sim AS (SELECT *, CAST(ts AS DOUBLE) AS title_score FROM (SELECT doc_id, case_title, gr_number, special_number, CASE WHEN contains(l, 'acme corporation vs nlrc 8') THEN 100.0 ELSE 0.0 END + CASE WHEN contains(l, 'acme corporation') THEN 50.0 ELSE 0.0 END
-      + CASE WHEN contains(l, 'nlrc 8') THEN 50.0 ELSE 0.0 END + 20.0 * len(list_filter(['acme', 'corporation', 'nlrc'], lambda p: contains(l, p))) AS ts, CAST(doc_id % 97 AS DOUBLE) AS score FROM (SELECT *, lower(case_title) AS l FROM cases))),
+TITLE_QUESTION = "Acme Corporation vs. NLRC 8"
+SIMILAR_SQL = ", texts AS (SELECT doc_id, clean_text AS text FROM cases)," + _bm25_cte("texts", TITLE_QUESTION) + """, sim AS (SELECT *, CAST(ts AS DOUBLE) AS title_score FROM (SELECT doc_id, case_title, gr_number, special_number, CASE WHEN contains(l, 'acme corporation vs nlrc 8') THEN 100.0 ELSE 0.0 END + CASE WHEN contains(l, 'acme corporation') THEN 50.0 ELSE 0.0 END
+      + CASE WHEN contains(l, 'nlrc 8') THEN 50.0 ELSE 0.0 END + 20.0 * len(list_filter(['acme', 'corporation', 'nlrc'], lambda p: contains(l, p))) AS ts, coalesce(round(100 * sc.score / (SELECT max(score) FROM sc), 9), 0) AS score FROM (SELECT *, lower(case_title) AS l FROM cases) LEFT JOIN sc USING (doc_id))),
     comb AS (SELECT *, CASE WHEN score > 50 THEN score + 0.1 * title_score ELSE 0.7 * title_score + 0.3 * score END AS combined FROM sim)"""
 
 
 def _rescored(spark: SparkSession, folder: str) -> DataFrame:
-    parts = extract.query_parts(F.lit("Acme Corporation vs. NLRC 8"))
-    scored = cases(spark, folder).withColumn("title_score", extract.title_similarity(parts, F.col("case_title"))).withColumn("score", (F.col("doc_id") % 97).cast("double"))
+    """Cases with how well their titles meet a question, their BM25 score in percent of the best one's, and both in one."""
+    rows, parts = cases(spark, folder), extract.query_parts(F.lit(TITLE_QUESTION))
+    asked = spark.range(1).select(F.lit(1).alias("query_id"), F.lit(TITLE_QUESTION).alias("query"))
+    found = search.bm25(rows.select("doc_id", F.col("clean_text").alias("text")), asked).select("doc_id", F.col("score").alias("bm25"))
+    best = found.agg(F.max("bm25").alias("best"))
+    scored = rows.withColumn("title_score", extract.title_similarity(parts, F.col("case_title"))).join(found, "doc_id", "left").crossJoin(F.broadcast(best))
+    scored = scored.withColumn("score", F.coalesce(F.round(100 * F.col("bm25") / F.col("best"), 9), F.lit(0.0)))
     both = F.when(F.col("score") > 50, F.col("score") + 0.1 * F.col("title_score")).otherwise(0.7 * F.col("title_score") + 0.3 * F.col("score"))
     return scored.withColumn("combined", both)
 
@@ -171,7 +184,7 @@ def _rescored(spark: SparkSession, folder: str) -> DataFrame:
 @query(CTE + SIMILAR_SQL + " SELECT doc_id, title_score FROM sim")
 def title_similarity(spark: SparkSession, folder: str) -> DataFrame:
     """How well titles meet a question."""
-    return _rescored(spark, folder).select("doc_id", "title_score")
+    return cases(spark, folder).select("doc_id", extract.title_similarity(extract.query_parts(F.lit(TITLE_QUESTION)), F.col("case_title")).alias("title_score"))
 
 
 @query(CTE + SIMILAR_SQL + " SELECT doc_id, round(combined, 6) AS combined FROM comb")
