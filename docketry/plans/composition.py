@@ -32,15 +32,24 @@ def page_records(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("id", "source_url", "court", "clean_version", "crawl_ts", "promulgation_year")
 
 
-@query(CTE + """ SELECT 'sha256:' || sha256('http://h/' || doc_id) AS id, gr_number IS NOT NULL AS has_gr_number, special_number, coalesce(ponente, 'PER CURIAM') AS ponente,
-    CASE doc_id % 4 WHEN 0 THEN 'En Banc' WHEN 1 THEN 'First Division' WHEN 2 THEN 'Second Division' ELSE 'Third Division' END AS division, doc_id % 4 = 0 AS en_banc, CAST(promulgation_year AS INTEGER) AS promulgation_year FROM cases""")
+@query(CTE + r""", t AS (SELECT *, CASE WHEN doc_id % 6 = 4 THEN regexp_extract(case_title, '^IN RE: (.*)$', 1) ELSE case_title END || ', RESPONDENT.' AS title FROM cases)
+    SELECT 'sha256:' || sha256('http://h/' || doc_id) AS id, 'http://h/' || doc_id AS source_url, gr_number, gr_number AS gr_numbers, gr_number IS NOT NULL AS has_gr_number, special_number, special_number AS special_numbers, special_number IS NOT NULL AS has_special_number, title AS case_title, title AS shown_title,
+      CAST(make_date(2003 + doc_id % 20, CASE doc_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 1 ELSE 10 END, 1 + doc_id % 28) AS VARCHAR) AS promulgation_date, CAST(promulgation_year AS INTEGER) AS promulgation_year, 'Supreme Court' AS court, 'v2.2' AS clean_version, '2023-11-14T22:13:20Z' AS crawl_ts, coalesce(ponente, 'PER CURIAM') AS ponente,
+      CASE doc_id % 4 WHEN 0 THEN 'En Banc' WHEN 1 THEN 'First Division' WHEN 2 THEN 'Second Division' ELSE 'Third Division' END AS division, doc_id % 4 = 0 AS en_banc, CASE WHEN special_number IS NOT NULL THEN 'administrative' WHEN doc_id % 6 = 0 THEN 'criminal' ELSE 'civil' END AS case_type,
+      doc_id % 2 = 0 AS has_ruling, doc_id % 2 = 0 AS ruling_section, true AS header_section, true AS checked, true AS measured FROM t""")
 def text_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Case records of all texts: numbers, justice and division as the texts have them."""
+    """Case records of all texts in the fields that the texts decide; the checksum and the length are held against the record's own text."""
     rows, none = cases(spark, folder), F.lit(None).cast("string")
     # The site's frame ends at a bracketed number, which these texts have below the division.
     body = F.replace("clean_text", F.lit("["), F.lit(""))
-    made = compose.from_texts(rows, body, F.concat(F.lit("http://h/"), F.col("doc_id").cast("string")), F.col("case_title"), none, F.col("promulgation_year"), none)
-    return made.select("id", "has_gr_number", "special_number", "ponente", "division", "en_banc", "promulgation_year")
+    made = compose.from_texts(rows, body, F.concat(F.lit("http://h/"), F.col("doc_id").cast("string")), F.col("case_title"), none, F.col("promulgation_year"), none, F.timestamp_seconds(F.lit(1700000000)))
+    has = lambda name: F.coalesce(F.map_contains_key("sections", F.lit(name)), F.lit(False)).alias(f"{name}_section")
+    joined = lambda name: F.array_join(name, "|").alias(name)
+    checked = F.col("checksum") == F.concat(F.lit("sha256:"), F.sha2("clean_text", 256))
+    return made.select(
+        "id", "source_url", "gr_number", joined("gr_numbers"), "has_gr_number", "special_number", joined("special_numbers"), "has_special_number", "case_title", "shown_title", "promulgation_date", "promulgation_year", "court", "clean_version", "crawl_ts",
+        "ponente", "division", "en_banc", "case_type", "quality_metrics.has_ruling", has("ruling"), has("header"), checked.alias("checked"), (F.col("quality_metrics.text_length") == F.length("clean_text")).alias("measured"),
+    )
 
 
 @query(CTE + """, picked AS (SELECT doc_id, gr_number, special_number FROM cases WHERE doc_id % 9 = 2)
