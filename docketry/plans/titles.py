@@ -46,11 +46,11 @@ def factual_content(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents")).select("doc_id", titles.factual(F.col("text")).alias("factual"), titles.body_text(F.col("text")).alias("body"))
 
 
-@query(CTE + r""" SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'Case (' || coalesce(gr_number, special_number) || ')' WHEN doc_id % 6 = 4 THEN case_title ELSE case_title END AS title FROM cases""")
+@query(CTE + r""" SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND doc_id % 6 = 4 THEN 'Case (' || coalesce(gr_number, special_number) || ')' WHEN doc_id % 7 = 0 THEN string_split(clean_text, chr(10))[3] ELSE case_title END AS title FROM cases""")
 def display_title(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles as displayed; without one the number stands in."""
-    title = F.when(F.col("doc_id") % 9 != 0, F.col("case_title"))
-    return cases(spark, folder).select("doc_id", titles.shown(title, F.lit(None).cast("string"), F.col("gr_number"), F.col("special_number")).alias("title"))
+    """Titles as displayed; without one a line of the text that names both sides stands in, or the number."""
+    title = F.when(F.col("doc_id") % 7 != 0, F.col("case_title"))
+    return cases(spark, folder).select("doc_id", titles.shown(title, F.col("clean_text"), F.col("gr_number"), F.col("special_number")).alias("title"))
 
 
 @query()
