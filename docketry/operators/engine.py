@@ -7,11 +7,13 @@ only where a search needs it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import extract, titles
 from docketry.operators import search
+from docketry.operators.substrings import containing
+from docketry.sources import scratch
 
 TOP = 5
 #: Forms under which a number may be stored, the first that any case has counts.
@@ -27,21 +29,67 @@ def route(queries: DataFrame) -> DataFrame:
     return routed.withColumn("route", kind.when(extract.asks_title(q) & (F.size("parties") >= 2), "title").otherwise("words"))
 
 
-def answer(cases: DataFrame, queries: DataFrame, key: str = "doc_id", top: int = TOP) -> DataFrame:
-    """(query_id, route, rank, key, title, number, summary): up to ``top`` cases for every question.
+def _routed(queries: DataFrame) -> DataFrame:
+    """``route``, written once: every way of answering reads it, and its patterns are costly on long questions."""
+    return scratch.table(route(queries), "routed")
 
-    A title question that no title meets is searched by its words.
+
+def _fields(key: str) -> list[str]:
+    return [key, "case_title", "gr_number", "special_number", "ponente", "clean_text"]
+
+
+def of_justices(own: DataFrame, asked: DataFrame, key: str, top: int) -> DataFrame:
+    """The first ``top`` cases of the justice that each question (query_id, route, justice) names, each number once.
+
+    A decision's justice is the one asked for if the name holds the surname
+    (``extract.ponente_matches``). So distinct surnames are looked up in
+    distinct names by a run of characters; cases and questions meet by equality,
+    and questions on one justice share the cases found.
     """
-    asked = route(queries)
-    fields = [key, "case_title", "gr_number", "special_number", "ponente", "clean_text"]
-    own = cases.select(*fields)
+    surname = F.element_at(F.split(extract.plain_name(F.col("justice")), " "), -1)
+    names = own.where(F.col("ponente").isNotNull()).select(F.col("ponente").alias("large_id"), extract.plain_name(F.col("ponente")).alias("text")).distinct()
+    met = containing(names, asked.where(F.col("justice").isNotNull()).select(F.col("justice").alias("small_id"), surname.alias("part")).distinct())
+    penned = own.join(search.sized(met.select(F.col("large_id").alias("ponente"), F.col("small_id").alias("justice"))), "ponente").withColumn("number", _number())
+    once = penned.withColumn("_n", F.row_number().over(Window.partitionBy("justice", "number").orderBy(key))).where("_n = 1")
+    first = once.withColumn("_n", F.row_number().over(Window.partitionBy("justice").orderBy(key))).where(F.col("_n") <= top)
+    return asked.select("query_id", "route", "justice").join(search.sized(first.select("justice", *_fields(key))), "justice").select("query_id", "route", F.lit(0.0).alias("score"), *_fields(key))
+
 
+def looked_up(own: DataFrame, asked: DataFrame, key: str, top: int) -> DataFrame:
+    """(query_id, route, score, fields of cases) of routed questions on a number, a special number or a justice."""
+    fields = _fields(key)
     numbered = asked.where("route in ('number', 'special')").select("query_id", "route", F.explode(F.when(F.col("route") == "special", F.array(F.struct(F.lit(0).alias("place"), F.col("special").alias("number")))).otherwise(F.array(*(F.struct(F.lit(n).alias("place"), F.concat(F.lit(p), F.col("gr")).alias("number")) for n, p in enumerate(FORMS))))).alias("form"))
     numbers = own.select("*", F.explode(F.array_distinct(F.array_compact(F.array("gr_number", "special_number")))).alias("number"))
     exact = numbers.join(search.sized(numbered.select("query_id", "route", "form.place", "form.number")), "number")
     exact = exact.withColumn("first", F.min("place").over(Window.partitionBy("query_id"))).where("place = first").select("query_id", "route", F.lit(0.0).alias("score"), *fields)
+    return exact.unionByName(of_justices(own, asked.where("route = 'ponente'"), key, top))
 
-    by_justice = own.crossJoin(search.sized(asked.where("route = 'ponente'"))).where(extract.ponente_matches(F.col("ponente"), F.col("justice"))).select("query_id", "route", F.lit(0.0).alias("score"), *fields)
+
+def _number() -> Column:
+    return extract.case_key(F.col("gr_number"), F.col("special_number"), F.col("case_title"))
+
+
+def _shown(found: DataFrame, key: str, top: int) -> DataFrame:
+    """The best ``top`` cases of every question, each number once, as they are displayed."""
+    order = [F.desc(F.round("score", 9)), F.asc(key)]
+    once = found.withColumn("number", _number()).withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "number").orderBy(*order))).where("_n = 1")
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top)
+    title = titles.shown(F.col("case_title"), F.col("clean_text"), F.col("gr_number"), F.col("special_number"))
+    return ranked.select("query_id", "route", "rank", key, title.alias("title"), "number", extract.number_link(F.col("number")).alias("link"), extract.dispositive_excerpt(F.col("clean_text")).alias("summary"))
+
+
+def look_up(cases: DataFrame, queries: DataFrame, key: str = "doc_id", top: int = TOP) -> DataFrame:
+    """(query_id, route, rank, key, title, number, link, summary) for the questions on numbers and justices alone; no text is searched."""
+    return _shown(looked_up(cases.select(*_fields(key)), _routed(queries), key, top), key, top)
+
+
+def answer(cases: DataFrame, queries: DataFrame, key: str = "doc_id", top: int = TOP) -> DataFrame:
+    """(query_id, route, rank, key, title, number, link, summary): up to ``top`` cases for every question.
+
+    A title question that no title meets is searched by its words.
+    """
+    asked, fields = _routed(queries), _fields(key)
+    own = cases.select(*fields)
     named = search.named_in_titles(own, asked.where("route = 'title'"), key).select("query_id", F.col(key).alias("_named"))
     titled = own.join(named, F.col(key) == F.col("_named")).select("query_id", F.lit("title").alias("route"), F.lit(0.0).alias("score"), *fields)
 
@@ -51,11 +99,4 @@ def answer(cases: DataFrame, queries: DataFrame, key: str = "doc_id", top: int =
     found = own.join(hits, F.col(key) == F.col("_hit")).join(worded.select("query_id", "query"), "query_id")
     similar = extract.title_similarity(extract.query_parts(F.col("query")), F.col("case_title"))
     searched = found.select("query_id", F.lit("words").alias("route"), (similar * 0.7 + F.col("_bm25") * 0.3).alias("score"), *fields)
-
-    every = exact.unionByName(by_justice).unionByName(titled).unionByName(searched)
-    number = extract.case_key(F.col("gr_number"), F.col("special_number"), F.col("case_title"))
-    order = [F.desc(F.round("score", 9)), F.asc(key)]
-    once = every.withColumn("number", number).withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "number").orderBy(*order))).where("_n = 1")
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top)
-    title = titles.shown(F.col("case_title"), F.col("clean_text"), F.col("gr_number"), F.col("special_number"))
-    return ranked.select("query_id", "route", "rank", key, title.alias("title"), "number", extract.number_link(F.col("number")).alias("link"), extract.dispositive_excerpt(F.col("clean_text")).alias("summary"))
+    return _shown(looked_up(own, asked, key, top).unionByName(titled).unionByName(searched), key, top)

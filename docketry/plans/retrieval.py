@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import extract, text
 from docketry.operators import engine, index, search
-from docketry.plans.cases import CHUNKS_SQL, CTE, all_chunks
+from docketry.plans.cases import CHUNKS_SQL, CTE, SUMMARY_CTE, all_chunks
 from docketry.plans.registry import query
 from docketry.sources import scratch
 from docketry.sources.tables import QUESTIONS_SQL, cases, questions, spread, table
@@ -258,6 +258,25 @@ def important_section_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return first_important(all_chunks(spark, folder)).select("doc_id", F.col("chunk_id").alias("id"), "section", "section_type", "paragraph_index", "n")
 
 
+#: What the questions of all messages ask for by number or justice.
+LOOKED_UP_SQL = rf""", asked AS (SELECT conv_id, turn, regexp_matches(lower(trim(query)), '{extract.PONENTE_QUERY}') AS is_ponente, CASE WHEN regexp_matches(query, '(?i)A\.M\.\s+No') THEN 'A.M. No. ' || regexp_extract(query, '(?i)A\.M\.\s+No\.?\s*([A-Z0-9\-]+)', 1) END AS special,
+      CASE WHEN NOT regexp_matches(query, '(?i)A\.M\.\s+No') THEN nullif(ltrim(coalesce(nullif(regexp_extract(query, '(?i)G\.?R\.?\s*NOS?\.?\s*([0-9\-]+)', 1), ''), regexp_extract(query, '\b(\d{{5,}})\b', 1)), '0'), '') END AS gr,
+      CASE (conv_id + turn) % 12 WHEN 0 THEN CASE conv_id % 3 WHEN 0 THEN 'Peralta' WHEN 1 THEN 'Lazaro-Javier' ELSE 'Gesmundo' END WHEN 6 THEN 'Lazaro-Javier' END AS justice FROM ({QUESTIONS_SQL})),
+    routed AS (SELECT *, CASE WHEN is_ponente AND justice IS NOT NULL THEN 'ponente' WHEN special IS NOT NULL THEN 'special' WHEN gr IS NOT NULL THEN 'number' END AS route FROM asked),
+    first AS (SELECT justice, doc_id FROM (SELECT justice, doc_id, row_number() OVER (PARTITION BY justice ORDER BY doc_id) AS n FROM (VALUES ('Peralta'), ('Lazaro-Javier'), ('Gesmundo')) j(justice) JOIN cases ON starts_with(ponente, upper(justice))) WHERE n <= 5),
+    met AS (SELECT conv_id, turn, route, doc_id FROM routed JOIN first USING (justice) WHERE route = 'ponente' UNION ALL SELECT conv_id, turn, route, doc_id FROM routed JOIN cases ON special_number = special WHERE route = 'special'
+      UNION ALL SELECT conv_id, turn, route, doc_id FROM routed JOIN cases ON gr_number = 'G.R. No. ' || gr WHERE route = 'number')
+    SELECT conv_id, turn, route, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY doc_id) AS INTEGER) AS rank, doc_id, case_title AS title, coalesce(gr_number, special_number) AS number,
+      CASE WHEN gr_number IS NULL THEN '**[' || special_number || '](am:' || regexp_extract(special_number, 'A\.M\.\s+No\.\s+([A-Z0-9\-]+)', 1) || ')**' ELSE '**[' || gr_number || '](gr:' || regexp_extract(gr_number, 'G\.R\.\s+No\.\s+([0-9\-]+)', 1) || ')**' END AS link, excerpt AS summary FROM met JOIN e USING (doc_id)"""
+
+
+@query(SUMMARY_CTE + LOOKED_UP_SQL)
+def looked_up_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions of all messages on a number or a justice, from routing to the cases displayed."""
+    asked = questions(spark, folder).select(F.struct("conv_id", "turn").alias("query_id"), "query")
+    return engine.look_up(cases(spark, folder), asked).select("query_id.*", "route", "rank", "doc_id", "title", "number", "link", "summary")
+
+
 @query()
 def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Questions from routing to a summary."""
