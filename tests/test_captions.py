@@ -1,5 +1,7 @@
 """Captions: each rule by literal texts."""
 
+import time
+
 import pytest
 
 from docketry.functions import captions, titles
@@ -50,3 +52,11 @@ def test_titles_of_administrative_cases(line, title):
 def test_long_captions_are_left_alone():
     long = "A, PETITIONER, VS. " + "B" * 4000 + ", RESPONDENT"
     assert READER.derive(long + "\nCDE, PETITIONER, VS. FGH, RESPONDENT") == "CDE, PETITIONER, VS. FGH, RESPONDENT"
+
+
+def test_long_lines_are_judged_in_one_pass():
+    begun = time.process_time()
+    assert not captions.two_sides("word " * 40_000)
+    assert captions.two_sides("word " * 40_000 + "vs. b")
+    assert time.process_time() - begun < 2
+    assert [captions.two_sides(x) for x in ("a v. b", "a  VERSUS  b", "vs. b", "a vs.", "a vs.b", "a versus  ")] == [True, True, False, False, False, True]
