@@ -111,6 +111,11 @@ def test_site_lines(spark):
     assert value(spark, text.without_site_lines(F.col("t"), compat=True), t=t) == "[ G.R. No. 5, x ]\nend"
 
 
+def test_numbers_in_sentences_are_no_frame(spark):
+    t = "call +1 (632) 555-4827 now\nMalaysia (632) 524-2706\n(632) 524-2706 \nend (632) 555-1111"
+    assert value(spark, text.without_site_lines(F.col("t"), compat=True), t=t) == "call +1 (632) 555-4827 now\nend (632) 555-1111"
+
+
 def test_display(spark):
     assert value(spark, display.site(F.col("u")), u="https://www.lawphil.net/a") == "LawPhil"
     assert value(spark, display.clean_response(F.col("t")), t="[INST] Based on my knowledge, x\n\n\n\ny However, please note that z") == "Based on my knowledge, x\n\ny"
