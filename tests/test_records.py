@@ -119,3 +119,14 @@ def test_references_without_an_end_are_text_where_sql_reads(spark):
     got = spark.createDataFrame([(page,)], "h string").select(html.read(html.closed_references(F.col("h"))).alias("t")).first()["t"]
     assert got["page_title"] == "A&<B &&amp &nbsp; &lt; and more"
     assert html.title_of(page)[1] == "A&<B && \u00a0 &lt; and more"
+
+
+def test_overlaps_are_counted_within_the_row(spark):
+    pairs = spark.createDataFrame([(1, "", "a b a c " * 300, "b a c c a"), (2, "", None, "a"), (3, "", "x", "")], "pair_id long, query string, response string, reference string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for scored in (evaluate.rouge_n(pairs, 1), evaluate.rouge_n(pairs, 2), evaluate.rouge_l(pairs), evaluate.best_components(evaluate.rouge_n(pairs, 1), "pair_id")):
+        assert "Join" not in plan(scored)
+    assert "FullOuter" not in plan(evaluate.rare_overlap(pairs)) and plan(evaluate.evaluated(pairs)).count("Join") == plan(pairs.join(pairs.select("pair_id"), "pair_id")).count("Join")
+    hits = {n: [round(r.recall, 6) for r in evaluate.rouge_n(pairs, n).orderBy("pair_id").collect()] for n in (1, 2)}
+    assert hits == {1: [1.0, 0.0, 0.0], 2: [0.75, 0.0, 0.0]}
+    assert [r.recall for r in evaluate.rouge_l(pairs).orderBy("pair_id").collect()] == [1.0, 0.0, 0.0]
