@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from docketry.operators import search, substrings
 
@@ -50,3 +51,21 @@ def test_titles_that_name_all_parties(spark):
     got = search.named_in_titles(spark.createDataFrame(titles, "doc_id int, case_title string"), spark.createDataFrame(asked, "query_id int, parties array<string>"))
     assert {(r.query_id, r.doc_id) for r in got.collect()} == {(1, 1), (1, 4), (1, 5), (2, 2), (4, 1), (4, 2), (4, 4), (4, 5)}
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
+def test_first_titles_of_each_question(spark):
+    titles = [(n, f"ACME VS. NLRC {n % 3}") for n in range(30)] + [(30, None), (31, "NLRC")]
+    asked = [(q, ["acme", f"nlrc {q % 4}"] if q % 2 else [f"nlrc {q % 4}", "acme", "acme"]) for q in range(12)] + [(12, ["acme"]), (13, None)]
+    made = lambda **k: {tuple(r)[:2] for r in search.named_in_titles(spark.createDataFrame(titles, "doc_id int, case_title string"), spark.createDataFrame(asked, "query_id int, parties array<string>"), **k).collect()}
+    every = {(q, n) for q in range(12) for n in range(30) if n % 3 == q % 4}
+    assert made() == every
+    assert made(first=4) == {(q, n) for q, n in every if n < 12}
+
+
+def test_parts_longer_than_every_string_are_not_cut(spark, monkeypatch):
+    cut = []
+    whole = F.udf(lambda t: cut.append(1) or [t[k : k + 3] for k in range(len(t) - 2)], "array<string>")
+    monkeypatch.setattr(substrings, "runs", lambda c, size: F.when(F.length(c) > 20, F.raise_error(F.lit("cut"))).otherwise(whole(c)).cast("array<string>") if size == 3 else F.array().cast("array<string>"))
+    big = spark.createDataFrame([(1, "maria reyes"), (2, "juan")], "large_id int, text string")
+    parts = spark.createDataFrame([(1, "reyes"), (2, "x" * 50), (3, "maria reyess")], "small_id int, part string")
+    assert {tuple(r) for r in substrings.containing(big, parts).collect()} == {(1, 1)}
