@@ -60,3 +60,16 @@ def test_long_lines_are_judged_in_one_pass():
     assert captions.two_sides("word " * 40_000 + "vs. b")
     assert time.process_time() - begun < 2
     assert [captions.two_sides(x) for x in ("a v. b", "a  VERSUS  b", "vs. b", "a vs.", "a vs.b", "a versus  ")] == [True, True, False, False, False, True]
+
+
+def test_running_text_is_not_tried_by_patterns(monkeypatch):
+    """Lines that hold no word of a caption are passed over; letters that only a pattern without regard to case takes for others still count."""
+    tried = []
+    for name in ("with_notes", "two_sides", "ends_caption", "joins_parties"):
+        own = getattr(captions, name)
+        monkeypatch.setattr(captions, name, lambda line, own=own: tried.append(line) or own(line))
+    line = "the record shows that he was heard and that the sum was paid in full to her "
+    READER.derive("\n".join([line] * 40))
+    assert not tried
+    assert READER.derive("ANA CRUZ, PETITıONER, VERſUS BEN REYES, REſPONDENT.\n" + line)
+    assert tried
