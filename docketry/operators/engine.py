@@ -95,7 +95,7 @@ def answer(cases: DataFrame, queries: DataFrame, key: str = "doc_id", top: int =
 
     met = titled.select("query_id").distinct()
     worded = asked.where("route in ('words', 'title')").join(met, "query_id", "left_anti")
-    hits = search.ranked(search.bm25(own, worded.select("query_id", "query"), key, "clean_text"), "doc_id", 4 * top).withColumnRenamed("doc_id", "_hit").withColumnRenamed("score", "_bm25")
+    hits = search.ranked(search.bm25(own, worded.select("query_id", "query"), key, "clean_text", first=4 * top), "doc_id", 4 * top).withColumnRenamed("doc_id", "_hit").withColumnRenamed("score", "_bm25")
     found = own.join(hits, F.col(key) == F.col("_hit")).join(worded.select("query_id", "query"), "query_id")
     similar = extract.title_similarity(extract.query_parts(F.col("query")), F.col("case_title"))
     searched = found.select("query_id", F.lit("words").alias("route"), (similar * 0.7 + F.col("_bm25") * 0.3).alias("score"), *fields)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators import evaluate, search
 from docketry.session import build
+from docketry.sources import scratch
 from docketry.sources.tables import spread
 from jobs.settings import HERE, load, log, ready, write_folder, write_partitions
 
@@ -46,15 +47,14 @@ SETTINGS = {"hits": 10, "target_recall": 0.6, "target_share": 0.5}
 def find(documents: DataFrame, questions: DataFrame, settings: dict) -> DataFrame:
     """The best documents of every question with their scores."""
     asked = questions.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    best = search.ranked(search.bm25(documents, asked), "doc_id", settings["hits"]).select("query_id", "doc_id", "rank", "score")
+    best = search.ranked(search.bm25(documents, asked, first=settings["hits"]), "doc_id", settings["hits"]).select("query_id", "doc_id", "rank", "score")
     texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("response"), "lang")
-    pairs = best.join(texts, F.col("doc_id") == F.col("_id")).join(asked.withColumnRenamed("query", "reference"), "query_id")
-    pairs = pairs.withColumn("pair_id", F.struct("query_id", "doc_id"))
-    recall = lambda n: evaluate.rouge_n(pairs, n).select(F.col("pair_id").alias(f"_pair_{n}"), F.round("recall", 9).alias(f"recall_{n}"))
-    scored = pairs.select("pair_id", "rank", "score", "lang").join(recall(1), F.col("pair_id") == F.col("_pair_1"), "left").join(recall(2), F.col("pair_id") == F.col("_pair_2"), "left")
+    # A few rows a question, against all texts; both recalls are counted in one pass.
+    pairs = search.sized(scratch.table(best, "hits")).join(texts, F.col("doc_id") == F.col("_id")).join(asked.withColumnRenamed("query", "reference"), "query_id")
+    scored = pairs.select("query_id", "doc_id", "rank", "score", "lang", evaluate.recalls(pairs, 1, 2).alias("r")).select("*", *(F.round(f"r.recall_{n}", 9).alias(f"recall_{n}") for n in (1, 2)))
     full = [F.coalesce(f"recall_{n}", F.lit(0.0)).alias(f"recall_{n}") for n in (1, 2)]
     met = F.coalesce("recall_1", F.lit(0.0)) >= settings["target_recall"]
-    return scored.select(F.col("pair_id.query_id").alias("item_id"), "rank", F.col("pair_id.doc_id").alias("doc_id"), "score", *full, met.alias("met"), "lang")
+    return scored.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score", *full, met.alias("met"), "lang")
 
 
 def summarise(hits: DataFrame, questions: int, settings: dict, baseline: DataFrame) -> DataFrame:
