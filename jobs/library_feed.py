@@ -57,8 +57,10 @@ def cut(batch: DataFrame, records: DataFrame, settings: dict) -> DataFrame:
     new = records.where("status = 'new'").select("doc_id", "checksum", "lang")
     texts = batch.select(F.col("doc_id").alias("_id"), text.tagged_sha256(F.col("text")).alias("_checksum"), "text").dropDuplicates(["_id", "_checksum"])
     own = texts.join(new, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_checksum") == F.col("checksum")))
-    pieces = chunks.windows(text.sentences(F.col("text")), settings["chunk_tokens"], settings["overlap_tokens"], settings["least_tokens"])
-    made = own.select("doc_id", "checksum", "lang", F.posexplode_outer(pieces).alias("chunk_index", "content")).where("content is not null")
+    # Sentences are a column of their own: windows use them more than once.
+    parted = own.withColumn("parts", text.sentences(F.col("text")))
+    pieces = chunks.windows(F.col("parts"), settings["chunk_tokens"], settings["overlap_tokens"], settings["least_tokens"])
+    made = parted.select("doc_id", "checksum", "lang", F.posexplode_outer(pieces).alias("chunk_index", "content")).where("content is not null")
     name = F.concat_ws("_", "checksum", F.col("chunk_index").cast("string"))
     return made.select(text.uuid5(name).alias("chunk_id"), "doc_id", "checksum", "chunk_index", text.token_estimate(F.col("content")).alias("token_count"), "content", "lang")
 
