@@ -24,3 +24,8 @@ def test_sentences_at_odd_ends(spark):
     assert cut(" \n\u000b A first sentence!\u000b\n Then U.S. law holds.  Not parted here. \t\n") == ["A first sentence!", "Then U.S. law holds.  Not parted here."]
     assert cut("A mark \u0003 is read as its letters. So it was before.") == ["A mark U.S. is read as its letters.", "So it was before."]
     assert cut(None) is None and cut(" ") == []
+
+
+def test_sentences_of_all_chunks_are_cut_once(spark, tmp_path):
+    spark.createDataFrame([(1, "One is here. Two is there.", "en")], library_feed.INPUT).write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(steps(catalogue.queries()["chunk_totals"](spark, str(tmp_path)), "split(")) == 1
