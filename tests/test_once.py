@@ -1,5 +1,6 @@
 """Costly steps are computed once a row, whatever reads them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import text
@@ -29,3 +30,17 @@ def test_sentences_at_odd_ends(spark):
 def test_sentences_of_all_chunks_are_cut_once(spark, tmp_path):
     spark.createDataFrame([(1, "One is here. Two is there.", "en")], library_feed.INPUT).write.parquet(f"{tmp_path}/documents.parquet")
     assert len(steps(catalogue.queries()["chunk_totals"](spark, str(tmp_path)), "split(")) == 1
+
+
+def scans(df, column):
+    """Scans of files that read a column."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "FileScan" in line and f"{column}#" in line]
+
+
+@pytest.mark.parametrize("name", ["combined_score", "bm25_topk", "bm25_all_documents", "picked_top5_unique"])
+def test_texts_are_read_no_more_once_they_are_counted(spark, tmp_path, name):
+    spark.createDataFrame([(1, "The tax of Acme", "en", "a"), (2, None, "en", "a"), (3, "the nothere", "en", "b")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.queries()[name](spark, str(tmp_path))
+    assert scans(spark.read.parquet(f"{tmp_path}/documents.parquet").select("text"), "text") and not scans(found, "text")
+    assert found.count()
