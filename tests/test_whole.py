@@ -1,5 +1,6 @@
 """Queries without SQL read the whole of their tables."""
 
+import duckdb
 import pytest
 
 from docketry.plans import catalogue
@@ -69,3 +70,23 @@ def test_important_chunks_of_every_case(spark, folder):
     assert by_doc[3][0] == "issues" and by_doc[9][0] == "issues" and by_doc[4] == ["ruling"]
     assert all([r.n for r in rows if r.doc_id == k] == list(range(1, len(v) + 1)) and len(v) <= 5 for k, v in by_doc.items())
     assert {r.section_type for r in rows} <= {"dispositive", "issues", "legal_analysis"}
+
+
+def test_parties_of_every_message_are_sought(spark, tmp_path):
+    at = str(tmp_path)
+    spark.createDataFrame([(k, "text", "en", "s") for k in range(120)], "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+    asked = [
+        (9, 0, "Maria Reyes vs. Court of Appeals 1"), (9, 1, "People of the Philippines\nVERSUS\n\u00a0Juan Cruz 6\u2009\n"), (9, 2, "Pedro Santos vs.Judge Lim 3"), (33, 0, "BIR vs Delta Co. vs NLRC"), (8, 5, "made anew"),
+        (45, 0, "people vs c"), (45, 1, "vs NLRC 2"), (45, 2, None), (57, 0, "the text names no parties"), (57, 1, "vs"), (57, 2, "Maria Reyes vs " + "x" * 5000), (69, 0, "reyes, vs appeals versed"),
+    ]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in asked], "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    got = sorted(tuple(r) for r in catalogue.queries()["title_party_match"](spark, at).select("conv_id", "turn", "doc_id", "case_title").collect())
+    numbered = lambda kind, start: {d for d in range(120) if d % 6 == kind and str(d % 50).startswith(str(start))}
+    assert {(c, t): {d for a, b, d, _ in got if (a, b) == (c, t)} for c, t, _ in asked} == {
+        (9, 0): numbered(1, 1), (9, 1): numbered(0, 6), (9, 2): numbered(3, 3), (33, 0): numbered(5, ""), (8, 5): numbered(2, 8), (45, 0): numbered(0, ""),
+        (45, 1): set(), (45, 2): set(), (57, 0): set(), (57, 1): set(), (57, 2): set(), (69, 0): set(),
+    }
+    sql = duckdb.connect()
+    for name in ("documents", "conversations"):
+        sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet/*.parquet'")
+    assert got == sorted(sql.execute(catalogue.oracle_sql()["title_party_match"]).fetchall())
